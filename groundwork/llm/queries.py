@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, mixing, quality
+from groundwork.llm import chat, mixing, near_dup, quality
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -31,10 +31,16 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.RESULT[:-1])
 
 
+def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
     "op7_line_quality": op7_line_quality,
+    "op9_bagminhash_classes": op9_bagminhash_classes,
 }
 
 ORACLE_SQL: dict[str, str] = {
