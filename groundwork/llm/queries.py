@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, mixing, near_dup, quality
+from groundwork.llm import chat, decontaminate, mixing, near_dup, quality
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -25,6 +25,11 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", "chosen", "rejected", *spans)
 
 
+def op6_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it leaks."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +44,7 @@ def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
+    "op6_tiling_leaks": op6_tiling_leaks,
     "op7_line_quality": op7_line_quality,
     "op9_bagminhash_classes": op9_bagminhash_classes,
 }
