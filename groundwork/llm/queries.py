@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, decontaminate, mixing, near_dup, quality
+from groundwork.llm import chat, decontaminate, mixing, near_dup, quality, secret_scan, spans
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -36,6 +36,12 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.RESULT[:-1])
 
 
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *spans.digest(F.col("secret_spans"), secret_scan.BASE))
+
+
 def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_preference_format": op2_preference_format,
     "op6_tiling_leaks": op6_tiling_leaks,
     "op7_line_quality": op7_line_quality,
+    "op8_secret_spans": op8_secret_spans,
     "op9_bagminhash_classes": op9_bagminhash_classes,
 }
 
