@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, decontaminate, mixing, near_dup, quality, secret_scan, spans
+from groundwork.llm import chat, decontaminate, mixing, near_dup, pii, quality, secret_scan, spans
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -47,6 +47,12 @@ def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *spans.digest(F.col("pii_spans"), pii.BASE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_quality": op7_line_quality,
     "op8_secret_spans": op8_secret_spans,
     "op9_bagminhash_classes": op9_bagminhash_classes,
+    "op10_pii_spans": op10_pii_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
