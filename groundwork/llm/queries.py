@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, decontaminate, mixing, near_dup, pii, quality, secret_scan, spans
+from groundwork.llm import chat, decontaminate, license_scan, mixing, near_dup, pii, quality, secret_scan, spans
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -25,6 +25,11 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", "chosen", "rejected", *spans)
 
 
+def op5_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names."""
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_tiling_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it leaks."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -56,6 +61,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
+    "op5_license_labels": op5_license_labels,
     "op6_tiling_leaks": op6_tiling_leaks,
     "op7_line_quality": op7_line_quality,
     "op8_secret_spans": op8_secret_spans,
