@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, decontaminate, license_scan, mixing, near_dup, pii, quality, secret_scan, spans
+from groundwork.llm import chat, decontaminate, html_text, license_scan, mixing, near_dup, pii, quality, secret_scan, spans
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -25,6 +25,12 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", "chosen", "rejected", *spans)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    read = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences that every document names."""
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -61,6 +67,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
+    "op4_main_text": op4_main_text,
     "op5_license_labels": op5_license_labels,
     "op6_tiling_leaks": op6_tiling_leaks,
     "op7_line_quality": op7_line_quality,
