@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm import chat, decontaminate, html_text, license_scan, mixing, near_dup, pii, quality, secret_scan, spans
+import corpus_pipeline
+from groundwork.llm import chat, decontaminate, html_text, license_scan, mixing, near_dup, pii, quality, secret_scan, spans, token_counts
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -25,6 +26,12 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", "chosen", "rejected", *spans)
 
 
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after the clean-up, counted by its edits."""
+    made = token_counts.revised_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_before", "n_after", "n_encoded", F.size("lengths").cast("long").alias("n_leaves"), F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     read = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -67,6 +74,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
+    "op3_edit_token_counts": op3_edit_token_counts,
     "op4_main_text": op4_main_text,
     "op5_license_labels": op5_license_labels,
     "op6_tiling_leaks": op6_tiling_leaks,
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_spans": op8_secret_spans,
     "op9_bagminhash_classes": op9_bagminhash_classes,
     "op10_pii_spans": op10_pii_spans,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
