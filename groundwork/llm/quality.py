@@ -98,7 +98,10 @@ def judge(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> Da
     out = out.withColumn("base_failed", (F.col("n_words") < r.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * r.max_repeat_percent))
     size = lambda c: F.length(F.array_join(c, ""))
     out = out.withColumn("kept", ~F.col("base_failed") & (size("_left") >= r.min_left * size("_lines")))
-    return out.withColumn("cleaned", F.array_join("_left", "\n")).drop("_lines", "_left")
+    out = out.withColumn("cleaned", F.array_join("_left", "\n"))
+    # results leave through a generator, so that no later filter on them is pushed into, and repeats, the steps above
+    others = [c for c in own.columns]
+    return out.select(*others, F.inline(F.array(F.struct(*RESULT))))
 
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "cleaned")
