@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from inspect import getmembers, isfunction
 
 from pyspark.sql import DataFrame, SparkSession
 
+from groundwork.plans import queries
+from groundwork.plans.oracle import SQL
+
 FLAGSHIP = "find_quotes"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: f for name, f in getmembers(queries, isfunction) if f.__module__ == queries.__name__ and not name.startswith("_")
+}
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES}
