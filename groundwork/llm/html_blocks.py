@@ -21,6 +21,7 @@ class Block:
     linked: int
     tags: tuple[str, ...]
     marks: frozenset[str]
+    near: frozenset[str]
     parent: int
 
 
@@ -33,6 +34,8 @@ FAMILIES = {
     "main": "article content post entry story main body text prose page single",
 }
 _FAMILY = {w: f for f, ws in FAMILIES.items() for w in ws.split()}
+#: Stems by which a longer word, such as commentlist, belongs to a family.
+_STEMS = [(x, _FAMILY[x]) for x in ("comment", "advert", "sponsor", "cookie", "sidebar", "footer", "header", "navbar", "breadcrumb", "newsletter", "related", "article", "content", "banner", "social")]
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -40,7 +43,7 @@ def families(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
     out = set()
     for k, v in attrs:
         if k in ("class", "id", "role", "aria-label", "itemprop", "data-role") and v:
-            out |= {_FAMILY[w] for w in map(str.lower, _WORDS.findall(v[:400])) if w in _FAMILY}
+            out |= {f for w in map(str.lower, _WORDS.findall(v[:400])) if (f := _FAMILY.get(w) or next((y for x, y in _STEMS if w.startswith(x)), None))}
         elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
             out.add("hidden")
     return frozenset(out)
@@ -50,6 +53,7 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, frozenset[str], int]] = [("", frozenset(), 0)]
+        self.near: list[frozenset[str]] = [frozenset()]  # families of the nearest element that has any
         self.skip, self.links, self.count = 0, 0, 0
         self.parts: list[str] = []
         self.linked = 0
@@ -59,7 +63,7 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             at = next((n for t, _, n in reversed(self.open) if t in BLOCK and t not in ("p", "li")), 0)
-            self.blocks.append(Block(text, self.linked, tuple(t for t, _, _ in self.open[1:]), self.open[-1][1], at))
+            self.blocks.append(Block(text, self.linked, tuple(t for t, _, _ in self.open[1:]), self.open[-1][1], self.near[-1], at))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -76,7 +80,8 @@ class _Reader(HTMLParser):
         self.count += 1
         own = families(attrs) if attrs else frozenset()
         self.open.append((tag, self.open[-1][1] | own, self.count))
-        self.skip += tag in HIDDEN or "hidden" in own
+        self.near.append(own or self.near[-1])
+        self.skip += tag in HIDDEN or ("hidden" in own and "hidden" not in self.open[-2][1])
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -94,11 +99,14 @@ class _Reader(HTMLParser):
 
     def _cut(self, i: int) -> None:
         self.end_block()
-        for t, own, _ in reversed(self.open[i:]):
-            before = self.open[self.open.index((t, own, _)) - 1][1]
-            self.skip -= t in HIDDEN or ("hidden" in own and "hidden" not in before)
-            self.links -= t == "a"
-        del self.open[i:]
+        for k in range(i, len(self.open)):
+            self._leave(k)
+        del self.open[i:], self.near[i:]
+
+    def _leave(self, k: int) -> None:
+        t, own, _ = self.open[k]
+        self.skip -= t in HIDDEN or ("hidden" in own and "hidden" not in self.open[k - 1][1])
+        self.links -= t == "a"
 
     def handle_endtag(self, tag: str) -> None:
         if tag in GAP:
@@ -108,10 +116,8 @@ class _Reader(HTMLParser):
                 if tag in BLOCK or any(t in BLOCK for t, _, _ in self.open[i:]):
                     self._cut(i)
                 else:
-                    t, own, _ = self.open[i]
-                    self.skip -= t in HIDDEN or ("hidden" in own and "hidden" not in self.open[i - 1][1])
-                    self.links -= t == "a"
-                    del self.open[i]
+                    self._leave(i)
+                    del self.open[i], self.near[i]
                 return
 
     def handle_data(self, data: str) -> None:

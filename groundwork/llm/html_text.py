@@ -33,8 +33,8 @@ _TAGS = frozenset("nav footer header aside article main form section table ul ol
 
 @dataclass(frozen=True)
 class Pages:
-    pages: int = 260
-    epochs: int = 6
+    pages: int = 360
+    epochs: int = 7
     seed: int = 5
 
 
@@ -48,6 +48,7 @@ def features(page: list[Block]) -> list[list[str]]:
         leaf = next((t for t in reversed(b.tags) if t in _TAGS or t == "div"), "none")
         fs = ["bias", f"leaf:{leaf}", f"words:{min(6, words.bit_length())}", f"link:{0 if not b.linked else 1 if link < 0.4 else 2 if link < 0.9 else 3}"]
         fs += [f"in:{t}" for t in tags] + [f"is:{m}" for m in b.marks]
+        fs += [f"near:{m}" for m in b.near] or ["near:none"]
         inner = next((t for t in reversed(b.tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form")), "none")
         fs.append(f"inner:{inner}")
         fs.append(f"end:{'stop' if b.text[-1] in '.!?…:;\"”»' else 'open'}")
@@ -114,7 +115,7 @@ class _Writer:
 
     def paragraph(self) -> str:
         r = self.r
-        text = r.choice((lambda: self.sentence(1, 3), lambda: self.sentence(5, 20), lambda: " ".join(self.sentence(4, 16) for _ in range(r.randint(1, 6)))))()
+        text = r.choice((lambda: self.words(1, 5), lambda: self.sentence(1, 3), lambda: self.sentence(5, 20), lambda: " ".join(self.sentence(4, 16) for _ in range(r.randint(1, 6)))))()
         if r.random() < 0.1:
             text = text.replace(" ", "*** ", 3)
         if r.random() < 0.15:
