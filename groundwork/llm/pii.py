@@ -235,6 +235,7 @@ def candidates_of(text: str) -> list[tuple[str, int, int, bool, int]]:
 
 
 _DIGIT = re.compile(r"[0-9]")
+_SPANS = "array<struct<kind:string,start:long,end:long,fixed:boolean>>"
 _FOUND = "array<struct<kind:string,start:long,end:long,fixed:boolean,code:long>>"
 
 
@@ -251,13 +252,14 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and pii_spans, an array of (kind, start, end) in order, a row for each document."""
+    """doc_id and pii_spans, an array of (kind, start, end, fixed) in order, a row for each document;
+    fixed tells the spans of the fixed patterns from those that the classifier adds."""
     found = cut(candidates(docs))
     counts = found.select(F.explode("found.code").alias("code")).groupBy("code").count()
     model = trained([(int(c), int(n)) for c, n in counts.collect()])
     accepted = set(model.accepted)
 
-    @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
+    @F.pandas_udf(_SPANS)
     def chosen(rows: pd.Series) -> pd.Series:
         out = []
         for row in rows:
@@ -266,11 +268,11 @@ def scan(docs: DataFrame) -> DataFrame:
             for s in sorted((s for s in row if not s["fixed"] and s["code"] in accepted), key=lambda s: (s["start"], -s["end"])):
                 if not any(b < s["end"] and s["start"] < e for _, b, e in spans):
                     spans.append((s["kind"], s["start"], s["end"]))
-            out.append([{"kind": k, "start": a, "end": b} for k, a, b in in_order(spans, KINDS)])
+            known = set(base)
+            out.append([{"kind": k, "start": a, "end": b, "fixed": (k, a, b) in known} for k, a, b in in_order(spans, KINDS)])
         return pd.Series(out)
 
-    none = F.expr("array()").cast("array<struct<kind:string,start:long,end:long>>")
-    fast = F.when(F.size("found") == 0, none)
+    none = F.expr("array()").cast(_SPANS)
     some = found.filter(F.size("found") > 0).withColumn("pii_spans", chosen("found"))
-    rest = found.filter(F.size("found") == 0).withColumn("pii_spans", fast)
+    rest = found.filter(F.size("found") == 0).withColumn("pii_spans", none)
     return some.unionByName(rest).select(F.col("doc_id").cast("long").alias("doc_id"), "pii_spans")

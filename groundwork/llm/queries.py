@@ -57,7 +57,8 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *spans.digest(F.col("secret_spans"), secret_scan.BASE))
+    base = spans.of_kinds(F.col("secret_spans"), secret_scan.BASE)
+    return found.select("doc_id", *spans.digest(F.col("secret_spans"), base, secret_scan.BASE))
 
 
 def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,8 @@ def op9_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *spans.digest(F.col("pii_spans"), pii.BASE))
+    base = F.filter("pii_spans", lambda s: s["fixed"])
+    return found.select("doc_id", *spans.digest(F.col("pii_spans"), base, pii.BASE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,10 +22,10 @@ def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
 
-def digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
-    """n_<kind> of each kind, base_sha256 over those kinds, and all spans."""
-    counts = [F.size(of_kinds(spans, (k,))).cast("long").alias(f"n_{k}") for k in kinds]
-    return [*counts, F.sha2(joined(of_kinds(spans, kinds)), 256).alias("base_sha256"), joined(spans).alias("spans")]
+def digest(spans: Column, base: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> and base_sha256 over the ``base`` spans, and all spans."""
+    counts = [F.size(of_kinds(base, (k,))).cast("long").alias(f"n_{k}") for k in kinds]
+    return [*counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")]
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
