@@ -112,7 +112,7 @@ def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     for them.
     """
     cols = docs.columns
-    packed = docs.withColumn("_all", F.struct(*[docs[c] for c in cols]))
-    drawn = plan(packed.select("doc_id", "source", "text", "_all"), mix, keep=("_all",))
+    packed = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in cols]).alias("_all"))
+    drawn = plan(packed, mix, keep=("_all",))
     drawn = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return drawn.select(*[F.col("_all")[c].alias(c) for c in cols if c != "copy"], "copy")

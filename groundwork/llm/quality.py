@@ -108,7 +108,8 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def keep_clean(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The documents that pass, with their cleaned text, in the columns of ``docs``."""
-    clean = judge(docs, rules).filter("kept")
-    n = [F.length("cleaned").cast("long").alias("n_chars")] if "n_chars" in docs.columns else []
-    return clean.select(*[F.col("cleaned").alias("text") if c == "text" else n[0] if c == "n_chars" else F.col(c) for c in docs.columns])
+    """The documents that pass, with their cleaned text, in the columns of ``docs``, which may be
+    named like results. n_chars, where there is one, follows the text."""
+    packed = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    return judge(packed, rules).filter("kept").select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
