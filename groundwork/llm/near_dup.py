@@ -2,14 +2,20 @@
 
 1. Documents with the same words are one text (grouped by a digest of the words, counted before the
    shuffle, so that thousands of copies cost as much as one).
-2. Each text gets 128 BagMinHash components over its five-word shingles and 32 bands of 4.
-3. In each bucket every text is paired with the bucket's leader, and each pair's multisets of
-   shingles are compared. Links join texts to components.
-4. Buckets that still hold more than one component pair the texts outside the bucket's largest
-   component with the texts of other components: so every pair of a bucket is linked, compared or
-   already in one component, without forming all pairs of a large group.
+2. Each text gets 160 BagMinHash components over its five-word shingles and 32 bands of 5.
+3. In each bucket every text is paired with the text that meets most others, the likely original of a
+   group of edited copies, and each pair's multisets of shingles are compared. Links join texts to
+   components.
+4. Texts of buckets that still hold several components are open. What two of them share is bounded by
+   the shingles that they have in common with other components at all, and by their overlaps with the
+   leader plus their other shingles that any text shares. By these exact bounds, texts (such as those that share only a passage) that cannot reach the threshold
+   leave, exactly. Twice, the rest is paired with the text that meets most others outside the
+   bucket's largest component.
+5. What is open after that pairs with the texts of other components of its bucket, where the bound
+   allows a link. So every pair of a bucket is compared, excluded by the bound, or already in one
+   component, without forming all pairs of a group.
 
-Two texts at a similarity of 0.8 share no bucket with a probability of 5e-8.
+Two texts at a similarity of 0.8 share no bucket with a probability of 3e-6.
 
 Edge cases: words are runs of letters and digits in lower case, so copies that differ in case, white
 space or punctuation only are one text; a text of one to four words has one shingle; a text without
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundwork.llm.bagminhash import bands, signatures
+from groundwork.llm.bagminhash import bands, shingles, signatures, weighted
 from groundwork.llm.lineage import cut
 from groundwork.llm.text import TERM, whole
 
@@ -40,8 +46,8 @@ from groundwork.llm.text import TERM, whole
 class NearDup:
     similarity: float = 0.8
     shingle: int = 5
-    components: int = 128
-    rows: int = 4
+    components: int = 160
+    rows: int = 5
     batch_words: int = 200_000
 
 
@@ -62,18 +68,54 @@ def _banded(p: NearDup):
                 h = bands(sig, p.rows).view(np.int64)
                 n = h.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(h) + 1, n, dtype=np.int32)), pa.array(h.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[at:to], b.column("key")[at:to], lists], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[at:to], b.column("key")[at:to], lists, pa.array(np.maximum(np.diff(starts[at : to + 1]) - p.shingle + 1, 1))], names=["doc_id", "key", "bands", "size"])
                 at = to
 
     return run
 
 
+def _bag_rows(p: NearDup):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("hashes")
+            starts = np.asarray(column.offsets).astype(np.int64)
+            flat = np.asarray(column.values).view(np.uint64)[starts[0] : starts[-1]]
+            starts, reps, roots = starts - starts[0], b.column("rep").to_numpy(), b.column("root").to_numpy()
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + p.batch_words, "right")) - 1)
+                x, own, w = weighted(*shingles(flat[starts[at] : starts[to]], starts[at : to + 1] - starts[at], p.shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(reps[at:to][own]), pa.array(roots[at:to][own]), pa.array(x.view(np.int64)), pa.array(w)], names=["rep", "root", "h", "w"])
+                at = to
+
+    return run
+
+
+def _weights(texts: DataFrame, p: NearDup) -> DataFrame:
+    """(rep, own, met) of ``texts`` (rep, root, text): how many of a text's shingles, repeats counted,
+    no other text has, and how many a text of another component has."""
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1))
+    hashed = texts.select("rep", "root", F.transform(ws, lambda w: F.xxhash64(w)).alias("hashes"))
+    rows = hashed.mapInArrow(_bag_rows(p), "rep long, root long, h long, w long").repartition("h")  # once, for the groups and the join
+    by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    kind = by.filter("n = 1 or low <> high").select("h", "n")
+    each = rows.join(kind.hint("merge"), "h")
+    sums = lambda one: F.sum(F.when(F.col("n") == 1 if one else F.col("n") > 1, F.col("w")).otherwise(0))
+    return each.groupBy("rep").agg(sums(True).alias("own"), sums(False).alias("met"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (rep, bucket, root, ...) of buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    return members.join(several.select("bucket"), "bucket")
+
+
 def banded(docs: DataFrame, p: NearDup) -> DataFrame:
     """doc_id, key (digest of the words) and bands of every document that has words."""
     ws = F.regexp_extract_all(F.lower(whole("text")), F.lit(f"({TERM})"), F.lit(1))
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), ws.alias("ws")).filter(F.col("doc_id").isNotNull() & (F.size("ws") > 0))
     d = d.select("doc_id", F.md5(F.array_join("ws", " ")).alias("key"), F.transform("ws", lambda w: F.xxhash64(w)).alias("hashes"))
-    return d.mapInArrow(_banded(p), "doc_id long, key string, bands array<long>")
+    return d.mapInArrow(_banded(p), "doc_id long, key string, bands array<long>, size long")
 
 
 def _similar(p: NearDup):
@@ -84,25 +126,27 @@ def _similar(p: NearDup):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, of = None, Counter()
         for f in frames:
-            ok = []
+            shared, ok = [], []
             for a, x, y in zip(f["a"], f["text_a"], f["text_b"], strict=True):
                 if a != last:
                     last, of = a, bag(x)
                 other = bag(y)
                 small, large = (of, other) if len(of) <= len(other) else (other, of)
                 both = sum(min(n, large[s]) for s, n in small.items() if s in large)
+                shared.append(both)
                 ok.append(both >= p.similarity * (of.total() + other.total() - both) - 1e-9)
-            yield f.loc[np.array(ok, bool), ["a", "b"]]
+            yield f[["a", "b"]].assign(shared=shared, ok=ok)
 
     return run
 
 
-def linked(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles reach the similarity. The text of b, which has
-    few pairs, is met first; the text of a leader then joins by a key that Spark may split."""
+def compared(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """(a, b, shared, ok): the pairs with the size of the overlap of their multisets of shingles and
+    whether it reaches the similarity. The text of b, which has few pairs, is met first; the text of
+    a then joins by a key that Spark may split."""
     t = texts.select(F.col("rep"), "text")
     both = pairs.join(t.withColumnsRenamed({"rep": "b", "text": "text_b"}), "b").join(t.withColumnsRenamed({"rep": "a", "text": "text_a"}), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(p), "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(p), "a long, b long, shared long, ok boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,36 +177,86 @@ def classes(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class), a row for each document."""
     p = p or NearDup()
     made = cut(banded(docs, p))
-    texts_of = made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    reps = cut(texts_of)
-    member = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    # buckets of more than one text, each with its leader; leaders differ from band to band
-    order = F.struct(F.xxhash64("rep", F.col("band") % 4).alias("h"), F.col("rep").alias("leader"))
-    lead = member.groupBy("bucket").agg(F.min(order)["leader"].alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    shared = cut(member.select("rep", "bucket").join(lead.select("bucket", "leader"), "bucket"))
-    pairs = cut(shared.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
-    ids = shared.select("rep").distinct()
+    reps = cut(made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    member = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
+    # buckets of more than one text, each led by the text that shares buckets with most others: the
+    # original of a group of edited copies meets them more often than they meet each other
+    held = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(_ranked(member.select("rep", "size", "bucket").join(held, "bucket")))
+    lead = cut(shared.groupBy("bucket").agg(F.max(F.struct("rank", "rep"))["rep"].alias("leader")))
+    first = _pairs(shared.select("bucket", "rep").join(lead, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
     source = docs.select(docs["doc_id"].cast("long").alias("rep"), whole("text").alias("text"))
-    met = source.join(ids, "rep", "left_semi")
+    met = source.join(shared.select("rep").distinct(), "rep", "left_semi")
     one = W.partitionBy("rep").orderBy(F.lit(0))
     texts = cut(met.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i"))
-    links = cut(linked(pairs, texts, p))
+    tested = cut(compared(first, texts, p))
+    links = tested.filter("ok").select("a", "b")
     roots = components(links)
-    # what the leaders have not joined
-    held = cut(_rooted(shared.select("rep", "bucket"), roots))
-    by = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = by.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    open_ = held.join(main, "bucket")
-    outer = open_.filter("root <> main").select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra"))
-    inner = open_.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
-    cross = outer.join(inner, "bucket").filter("ra <> rb and (in_main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(linked(cross.join(known, ["a", "b"], "left_anti"), texts, p))
-    roots = components(links.union(more)) if more.take(1) else roots
+    open_ = cut(_open(_rooted(shared.drop("n"), roots)))
+    if open_.take(1):
+        weights = _weights(texts.join(open_.select("rep", "root").distinct(), "rep"), p)
+        seen = tested.select("a", "b", "shared").union(tested.select("b", "a", "shared")).toDF("rep", "leader", "with_leader")
+        held = open_.join(lead, "bucket").join(seen, ["rep", "leader"], "left").join(weights, "rep")
+        leads = F.col("rep") == F.col("leader")
+        held = held.withColumn("with_leader", F.when(leads, F.col("size")).otherwise(F.col("with_leader")))
+        held = held.withColumn("apart", F.when(leads, 0).otherwise(F.col("size") - F.col("with_leader") - F.col("own")))
+        open_ = cut(_open(held.filter(F.col("met") >= p.similarity * F.col("size"))))
+        for step in (_second, _second, _crossing):
+            pairs = cut(step(open_, p).join(first, ["a", "b"], "left_anti"))
+            first = first.union(pairs)
+            links = links.union(cut(compared(pairs, texts, p)).filter("ok").select("a", "b"))
+            roots = components(links)
+            open_ = cut(_open(_rooted(open_.drop("root"), roots)))
     named = _rooted(reps.select("key", "rep"), roots).select("key", "root")
     placed = made.select("doc_id", "key").join(named, "key").groupBy("doc_id").agg(F.min("root").alias("class_id"))
-    lone = docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(placed.select("doc_id"), "doc_id", "left_anti")
-    return placed.unionByName(lone.select("doc_id", F.col("doc_id").alias("class_id")))
+    lone_docs = docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(placed.select("doc_id"), "doc_id", "left_anti").distinct()
+    return placed.unionByName(lone_docs.select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return cut(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+OF_BOUND = ("root", "size", "met", "with_leader", "apart")
+
+
+def _may_link(p: NearDup):
+    """The bound on what two texts of a bucket share: neither more than either has in common with
+    other components, nor more than the smaller overlap with the bucket's leader plus the smaller of
+    their other shingles that any text shares."""
+    near = F.least("with_leader_a", "with_leader_b") + F.least("apart_a", "apart_b")
+    most = F.least(F.col("met_a"), F.col("met_b"), near)
+    return most >= p.similarity * (F.col("size_a") + F.col("size_b") - most) - 1e-9
+
+
+def _side(members: DataFrame, x: str) -> DataFrame:
+    return members.select("bucket", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in OF_BOUND])
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    """The members (rep, bucket, n) with rank: how many others the text meets over all buckets."""
+    rank = members.groupBy("rep").agg(F.sum("n").alias("rank"))
+    return members.join(rank, "rep")
+
+
+def _main(open_: DataFrame) -> DataFrame:
+    """(bucket, main): the largest component of each bucket."""
+    by = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    return by.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+
+
+def _second(open_: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of each open text with the text of highest rank outside its bucket's largest component."""
+    order = F.struct("rank", "rep", *OF_BOUND)
+    hub = open_.join(_main(open_), "bucket").filter("root <> main").groupBy("bucket").agg(F.max(order).alias("hub"))
+    hub = hub.select("bucket", F.col("hub.rep").alias("a"), *[F.col(f"hub.{c}").alias(f"{c}_a") for c in OF_BOUND])
+    return _pairs(_side(open_, "b").join(hub, "bucket").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
+
+
+def _crossing(open_: DataFrame, p: NearDup) -> DataFrame:
+    """Pairs of the texts outside a bucket's largest component with those of its other components."""
+    outer = _side(open_.join(_main(open_), "bucket").filter("root <> main"), "a")
+    return _pairs(outer.join(_side(open_, "b"), "bucket").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
 
 
 def keep_one(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
