@@ -142,4 +142,25 @@ SQL: dict[str, str] = {
       FROM (SELECT event_type, 'user ' || (user_id % 40) AS reason, max(event_id) AS last FROM events GROUP BY ALL)) WHERE k <= 6""",
     "collection_health": """SELECT event_type AS section, bool_or(value > 1) AS ok, coalesce(string_agg(DISTINCT CASE WHEN value <= 1 THEN (user_id % 20)::VARCHAR END, ',' ORDER BY CASE WHEN value <= 1 THEN (user_id % 20)::VARCHAR END), '') AS failed FROM events GROUP BY 1""",
     "host_counts": "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
+    "page_manifest": """SELECT page_id, len(list_filter(b, lambda x: NOT regexp_matches(x, '^<[hH]'))) AS n_paragraphs, len(list_filter(b, lambda x: regexp_matches(x, '^<[hH]'))) AS n_headings
+      FROM (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(a, '<(h[1-6]|p|li|blockquote)([ >])', chr(1) || '<\\1\\2', 'g'), chr(1)), lambda y: y), lambda x: regexp_matches(x, '^<(h[1-6]|p|li|blockquote)[ >]')
+        AND trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) <> '') AS b FROM (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS a FROM pages)) WHERE len(b) > 0""",
+    "private_hosts": "SELECT page_id, page_id % 5 = 0 AS private FROM pages",
+    "draft_limits": """WITH i AS (SELECT conv_id, turn, role, left(text, 12) AS h, length(regexp_replace(regexp_replace(text, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`~#>\\s]', '', 'g')) AS n FROM conversations),
+      d AS (SELECT conv_id, count(*) AS k, count(DISTINCT role) AS e, sum(n) AS n FROM i GROUP BY 1),
+      r AS (SELECT 'item-too-long' AS rule FROM i WHERE n > 230 UNION ALL SELECT 'heading-missing' FROM i WHERE trim(h) = '' UNION ALL SELECT 'heading-ends-in-stop' FROM i WHERE regexp_matches(h, '[.。!！]\\s*$')
+        UNION ALL SELECT 'too-many-items' FROM d WHERE k > 7 UNION ALL SELECT 'event-twice' FROM d WHERE e < k UNION ALL SELECT 'draft-too-short' FROM d WHERE n < CASE WHEN k < 4 THEN k * 300 ELSE 600 END
+        UNION ALL SELECT 'draft-too-long' FROM d WHERE n > 1500)
+      SELECT rule, count(*) AS n FROM r GROUP BY 1""",
+    "frozen_contexts": """SELECT issue_date, cutoff_at, cutoff_at - INTERVAL 24 HOUR AS window_start, cutoff_at - INTERVAL 7 DAY AS supplement_start
+      FROM (SELECT (ts - INTERVAL 1 HOUR)::DATE::VARCHAR AS issue_date, min(ts) AS cutoff_at FROM events GROUP BY 1)""",
+    "asset_budgets": """SELECT source AS article_id, sum(k)::BIGINT AS n, sum(size)::BIGINT AS bytes, max(size)::BIGINT AS largest, sum(k) <= 50 AND max(size) <= 20000 AND sum(size) <= 200000 AS fits
+      FROM (SELECT source, max(length(text)) AS size, count(*) AS k FROM documents GROUP BY source, sha256(text)) GROUP BY 1""",
+    "instruction_units": """WITH n AS (SELECT conv_id || '-' || turn AS unit_id, lower(text || chr(10) || coalesce(left(lag(text) OVER w, 1200), '') || chr(10) || coalesce(left(lead(text) OVER w, 1200), '')) AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+      SELECT unit_id, s AS source_term, x AS target_term FROM n, (VALUES ('hinre', 'x1'), ('éaument', 'x2')) v(s, x) WHERE contains(t, s) OR contains(t, x)""",
+    "retranslation_plan": """SELECT doc_id, ord FROM (SELECT conv_id AS doc_id, turn AS ord, h OR coalesce(lag(h) OVER w, false) OR coalesce(lead(h) OVER w, false) AS near
+      FROM (SELECT *, contains(lower(text), 'hinre') OR contains(lower(text), 'éaument') AS h FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE near""",
+    "quota_state": """WITH b AS (SELECT event_type AS provider, date_trunc('week', ts) AS s, count(*) AS used FROM events GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY s DESC) AS k FROM b WHERE s <= TIMESTAMP '2024-01-29'),
+      d AS (SELECT provider, strftime(s, '%Y-%m-%d') AS period, used, least(500, CASE provider WHEN 'view' THEN 480 WHEN 'click' THEN 470 WHEN 'error' THEN 480 WHEN 'purchase' THEN 420 ELSE 900 END)::BIGINT AS capacity FROM c WHERE k = 1)
+      SELECT *, greatest(capacity - used, 0) AS remaining, CASE WHEN capacity <= used THEN 'exhausted' WHEN greatest(capacity - used, 0) * 10 <= capacity THEN 'low' ELSE 'ok' END AS state FROM d""",
 }

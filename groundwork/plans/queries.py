@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from groundwork.functions.columns import canonical_url, host, numeric_tokens
 from groundwork.operators import candidates as C
 from groundwork.operators import documents as D
+from groundwork.operators import drafts as V
 from groundwork.operators import evidence as E
 from groundwork.operators import latest as L
 from groundwork.operators import ledgers as G
+from groundwork.operators import review as R
+from groundwork.operators import structure as S
 from groundwork.operators import threads as H
 from groundwork.sources.tables import table
 
@@ -318,3 +321,50 @@ def host_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def number_totals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source").agg(F.sum(F.size(numeric_tokens(F.col("text")))).cast("long").alias("n"))
+
+
+def page_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of each page's article, counted by type."""
+    return D.document_manifest(S.page_blocks(table(spark, sf, "pages")), "page_id").select("page_id", "n_paragraphs", "n_headings")
+
+
+def private_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("http://10.0.0."), (F.col("page_id") % 250).cast("string"), F.lit("/"))).otherwise(F.col("url"))
+    return R.flag_private_hosts(p.select("page_id", url.alias("url"))).select("page_id", "private")
+
+
+def draft_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as drafts, turns as items of 200 characters."""
+    c = table(spark, sf, "conversations")
+    items = c.select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("int").alias("item"), F.col("role").alias("event_id"), F.left("text", F.lit(12)).alias("heading"), F.col("text").alias("body"), F.lit(200).alias("target"))
+    return V.validate_drafts(items, low=600, high=1500).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def frozen_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(G.issue_date(F.col("ts")).cast("string").alias("issue_date"), F.col("ts").alias("started_at"))
+    return V.freeze_context(e)
+
+
+def asset_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as assets of their source."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("article_id"), F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("size"))
+    return R.asset_budget(d, most=50, each=20_000, total=200_000)
+
+
+def instruction_units(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").withColumn("type", F.lit("paragraph"))
+    units = D.unit_context(c, "conv_id", "turn").withColumn("unit_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return R.instructions_per_unit(units, [("hinre", "x1"), ("éaument", "x2")])
+
+
+def retranslation_plan(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), "text")
+    return V.plan_retranslation(c, ["term"], ["hinre", "éaument"]).select("doc_id", "ord")
+
+
+def quota_state(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    b = e.groupBy(F.col("event_type").alias("provider"), F.date_trunc("week", "ts").alias("period_start")).agg(F.count("*").alias("used"))
+    b = b.select("provider", F.date_format("period_start", "yyyy-MM-dd").alias("period"), "period_start", "used", F.lit(500).cast("long").alias("limit_units"))
+    return V.quota_status(b, _at(CUTOFF), {"view": 480, "click": 470, "error": 480, "purchase": 420, "signup": 900})
