@@ -11,31 +11,38 @@ from pyspark.sql import functions as F
 from groundwork.functions.columns import collapsed, numeric_tokens
 
 
-def _shingles(text: Column, k: int) -> Column:
-    ws = F.split(text, " ")
+def _shingles(ws: str, k: int) -> Column:
+    """Hashes of the k-word runs of a column of words; of all words where there are fewer. The words
+    are a column, as an expression would be evaluated again for each run."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k), " ")))
 
 
-def find_quotes(passages: DataFrame, docs: DataFrame, k: int = 5, small: int = 200_000) -> DataFrame:
+def find_quotes(passages: DataFrame, docs: DataFrame, k: int = 5, small: int = 5_000) -> DataFrame:
     """(item_id, doc_id): documents that contain a passage, modulo white space.
 
     A document with the passage has all of its interior words in a row (the first and the last may
-    be parts of words), so one interior shingle of k words, the same for all documents, finds every
-    candidate; ``contains`` decides. Passages are sent to the documents up to ``small`` of them, so
-    that no document moves; more of them meet in a shuffle join. Passages of fewer than k + 2 words
-    are held against all documents in blocks of the passage table.
+    be parts of words), so one interior shingle of k words finds every candidate; ``contains``
+    decides. Up to ``small`` passages, as counted, their shingles are a set that each document is
+    held against where it is read, so that no document moves; more of them meet the documents'
+    shingles in a shuffle join. Passages of fewer than k + 2 words are held against all documents.
     """
     p = passages.select("item_id", collapsed(F.col("text")).alias("quote")).filter(F.length("quote") >= 8)
-    ws = F.split("quote", " ")
-    inner = F.array_join(F.slice(ws, 2, F.size(ws) - 2), " ")
-    long_ = p.filter(F.size(ws) >= k + 2).withColumn("h", F.get(_shingles(inner, k), F.lit(0)))
-    short = p.filter(F.size(ws) < k + 2)
+    p = p.withColumn("ws", F.split("quote", " "))
+    seed = F.xxhash64(F.array_join(F.slice("ws", 2, k), " "))
+    long_ = p.filter(F.size("ws") >= k + 2).select("item_id", "quote", seed.alias("h"))
+    short = p.filter(F.size("ws") < k + 2).select("item_id", "quote")
     d = docs.select("doc_id", collapsed(F.col("text")).alias("body"))
-    few = passages.limit(small + 1).count() <= small
-    side = F.broadcast if few else (lambda x: x)
-    held = d.select("doc_id", "body", F.explode(F.array_distinct(_shingles(F.col("body"), k))).alias("h")).join(side(long_), "h").filter(F.col("body").contains(F.col("quote")))
-    out = held.select("item_id", "doc_id")
-    return out.unionByName(d.join(side(short), F.col("body").contains(F.col("quote"))).select("item_id", "doc_id")).distinct()
+    worded = d.withColumn("ws", F.split("body", " "))
+    own = F.array_distinct(_shingles("ws", k))
+    contained = F.col("body").contains(F.col("quote"))
+    if passages.limit(small + 1).count() <= small:
+        seeds = [r["h"] for r in long_.select("h").distinct().collect()]
+        hits = worded.select("doc_id", "body", F.explode_outer(F.filter(own, lambda x: x.isin(seeds))).alias("h")) if seeds else d.limit(0).withColumn("h", F.lit(0).cast("long"))
+        found, rest = hits.join(F.broadcast(long_), "h").filter(contained), F.broadcast(short)
+    else:
+        ids = worded.select("doc_id", F.explode_outer(own).alias("h")).join(long_, "h").select("doc_id", "item_id", "quote")
+        found, rest = ids.join(d, "doc_id").filter(contained), short
+    return found.select("item_id", "doc_id").unionByName(d.join(rest, contained).select("item_id", "doc_id")).distinct()
 
 
 def ground_quotes(claims: DataFrame, locators: DataFrame) -> DataFrame:
