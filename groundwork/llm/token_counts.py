@@ -107,12 +107,24 @@ def recount(trees: DataFrame, v: Vocabulary | None = None) -> DataFrame:
     return trees.select("doc_id", "text", "lengths", "sums", "edits").mapInPandas(run, f"{TREES}, n_before long, n_after long, n_encoded long")
 
 
-def revised_counts(docs: DataFrame, v: Vocabulary | None = None) -> DataFrame:
-    """Token counts of every document before and after the clean-up."""
-
-    @F.pandas_udf(EDITS)
-    def found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b, "new": new} for a, b, new in clean_up_edits(x)] for x in text])
+def revised_counts(docs: DataFrame, v: Vocabulary | None = None, rows: int = 500) -> DataFrame:
+    """What ``recount`` gives for every document under its clean-up. Tree, edits and update are one
+    pass over a text, ``rows`` documents at a time, so that a task holds one vocabulary."""
+    v = v or Vocabulary()
+    names = ["doc_id", "text", "lengths", "sums", "n_before", "n_after", "n_encoded"]
 
-    trees = build_trees(docs, v)
-    return recount(trees.withColumn("edits", found("text")), v)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(v.path)
+        for f in frames:
+            for at in range(0, len(f), rows):
+                part = f.iloc[at : at + rows]
+                out = []
+                for i, text in zip(part["doc_id"], part["text"], strict=True):
+                    old = build(text, count, v.leaf)
+                    es = clean_up_edits(text)
+                    new, changed, n = edit(old, text, es, count, v.leaf) if es else (old, text, 0)
+                    out.append((i, changed, new.lengths, new.sums, old.total, new.total, n))
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": f["doc_id"].dtype})
+
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole("text").alias("text"))
+    return d.mapInPandas(run, f"{TREES}, n_before long, n_after long, n_encoded long")

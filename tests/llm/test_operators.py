@@ -101,6 +101,16 @@ def test_edits_encode_only_their_surroundings(spark, sf, texts):
     assert sum(r["n_encoded"] for r in rows) < 0.25 * sum(map(len, texts.values()))
 
 
+def test_recount_applies_given_edits(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 60), (2, None)], "doc_id long, text string")
+    trees = token_counts.build_trees(docs)
+    rows = trees.selectExpr("*", "case when doc_id = 1 then array(named_struct('start', 4, 'end', 7, 'new', 'five six'), named_struct('start', 5, 'end', 9, 'new', 'overlaps')) end as edits")
+    got = {r["doc_id"]: r for r in token_counts.recount(rows).collect()}
+    count = token_counts.counter(token_counts.Vocabulary().path)
+    assert got[1]["text"].startswith("one five six three one") and got[1]["n_after"] == count(got[1]["text"]) and got[1]["n_encoded"] < 800
+    assert (got[2]["text"], got[2]["n_before"], got[2]["n_after"]) == ("", 0, 0)
+
+
 def test_main_text_on_held_out_pages():
     model, wrong, total = html_text.trained(html_text.Pages()), 0, 0
     for html, labels in html_text.labelled(120, 991):
