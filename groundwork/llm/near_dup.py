@@ -9,7 +9,7 @@
 4. Texts of buckets that still hold several components are open. What two of them share is bounded by
    the shingles that they have in common with other components at all, and by their overlaps with the
    leader plus their other shingles that any text shares. By these exact bounds, texts (such as those that share only a passage) that cannot reach the threshold
-   leave, exactly. Twice, the rest is paired with the text that meets most others outside the
+   leave, exactly. The rest is paired with the text that meets most others outside the
    bucket's largest component.
 5. What is open after that pairs with the texts of other components of its bucket, where the bound
    allows a link. So every pair of a bucket is compared, excluded by the bound, or already in one
@@ -149,24 +149,31 @@ def compared(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(p), "a long, b long, shared long, ok boolean")
 
 
+#: Links up to which a graph is one partition, so that its rounds need no exchange.
+SMALL_GRAPH = 250_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), root the smallest node of its component: large
     stars and small stars by turns until nothing moves. Stars come from grouped minima and joins;
-    each round is written to the shared folder."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
-    seen = None
+    each round is written to the shared folder. A graph of at most SMALL_GRAPH links, as counted, is
+    held in one partition; a larger one is dealt by node."""
+    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(low, "u")
-        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u > v").distinct())
+        edges = cut(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         seen = now
+        if now[0] <= SMALL_GRAPH:
+            edges = edges.coalesce(1)
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if now[0] <= SMALL_GRAPH else both
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        edges = (small.coalesce(1) if now[0] <= SMALL_GRAPH else small).filter("u > v").distinct()
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -201,7 +208,7 @@ def classes(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
         held = held.withColumn("with_leader", F.when(leads, F.col("size")).otherwise(F.col("with_leader")))
         held = held.withColumn("apart", F.when(leads, 0).otherwise(F.col("size") - F.col("with_leader") - F.col("own")))
         open_ = cut(_open(held.filter(F.col("met") >= p.similarity * F.col("size"))))
-        for step in (_second, _second, _crossing):
+        for step in (_second, _crossing):
             pairs = cut(step(open_, p).join(first, ["a", "b"], "left_anti"))
             first = first.union(pairs)
             links = links.union(cut(compared(pairs, texts, p)).filter("ok").select("a", "b"))
