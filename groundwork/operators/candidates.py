@@ -99,13 +99,30 @@ def exclude_delivered(candidates: DataFrame, ledger: DataFrame, runs: DataFrame,
     return candidates.join(sent, "event_id", "left_anti")
 
 
+def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """order columns and first, the number from 1 of the first row with these values in ``order``.
+    Only the order columns move: their values, each once with its count, are sorted over ranges,
+    counted by range, and each range starts where the ones before it end."""
+    each = rows.groupBy(*order).agg(F.count("*").alias("n"))
+    each = checkpointed(each.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = each.withColumn("part", F.shiftright("at", 33))
+    ends = part.groupBy("part").agg(F.sum("n").alias("total")).withColumn("end", F.sum("total").over(W.orderBy("part")))
+    within = F.sum("n").over(W.partitionBy("part").orderBy("at"))
+    starts = F.broadcast(ends.select("part", (F.col("end") - F.col("total")).alias("start")))
+    return part.withColumn("upto", within).join(starts, "part").select(*order, (F.col("start") + F.col("upto") - F.col("n") + 1).alias("first"))
+
+
 def merge_sources(user: DataFrame, search: DataFrame) -> DataFrame:
     """(url, text, ord) of both, user rows first: of rows that share a URL the first stays, rows
     without a URL all stay; source_id S1, S2, ... by first appearance."""
     both = user.withColumn("origin", F.lit(0)).unionByName(search.withColumn("origin", F.lit(1)))
     order = [F.col("origin"), F.col("ord")]
     named = top_per(both.filter("url is not null"), ["url"], order).unionByName(both.filter("url is null"))
-    return named.withColumn("n", F.row_number().over(W.orderBy(*order))).withColumn("source_id", F.concat(F.lit("S"), F.col("n")))
+    firsts = _numbered(named, ["origin", "ord"]).withColumnsRenamed({"origin": "_origin", "ord": "_ord"})
+    placed = named.join(firsts, (F.col("origin") == F.col("_origin")) & F.col("ord").eqNullSafe(F.col("_ord")))
+    tied = F.row_number().over(W.partitionBy("origin", "ord").orderBy("url"))
+    placed = placed.withColumn("n", (F.col("first") + tied - 1).cast("int")).drop("_origin", "_ord", "first")
+    return placed.withColumn("source_id", F.concat(F.lit("S"), F.col("n")))
 
 
 def resolve_entities(rows: DataFrame, id_: str, keys: Sequence[str]) -> DataFrame:
