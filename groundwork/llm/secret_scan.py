@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and a linear-chain CRF over the tokens around suspicious ones.
 
-Tokens are runs of letters, digits and a few joiners, or single marks. The CRF tags each as begin,
-inside or outside of a secret from its shape, its neighbours and the file, and is decoded by
-Viterbi. A token without a digit or of fewer than 8 characters cannot begin a secret (the label is
-barred), so a stretch without digits is outside whatever its features; decoded are the stretches
-within ``reach`` words of a digit, wherever they stand in the text.
+Tokens are runs of letters, digits and a few joiners, or single marks. The CRF tags each as outside,
+or as begin or inside of a secret without blanks or of a phrase of words, from its shape, its neighbours and the file, and is decoded by
+Viterbi over the whole text. Tokens of one shape weigh the same, so the weights are looked up by
+shape. A token's weights bound what a secret through it can gain over leaving all outside; where no
+run of tokens can gain, outside is the best labelling, and only the other stretches are decoded,
+between neighbours that are outside. The labels are those of a decoding of all tokens.
 
 The tagger is trained on the driver from ``lines`` labelled lines that a seeded generator writes
-(settings, code, logs and prose, with and without secrets).
+(settings, code, logs and prose, with and without secrets; some secrets are letters only, passphrases,
+key blocks or split by marks).
 
 Edge cases: a null text is empty; a text without matches has no spans; spans of the patterns stay
-whatever the tagger says, and a tagged span that touches one of them is left out; repeated rows are
+whatever the tagger says, and of a tagged span that touches them the part beyond them is left; repeated rows are
 scanned alike; an empty table gives an empty table; further columns pass through ``redact``.
 """
 
@@ -21,6 +23,7 @@ import random
 import re
 import string
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,7 +36,6 @@ from groundwork.llm.crf import Crf, train
 from groundwork.llm.spans import SPANS, in_order, redacted
 from groundwork.llm.text import whole
 
-BAR = "barred"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "secret")
 # fixed values: the patterns of the base kinds
@@ -44,7 +46,7 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 @dataclass(frozen=True)
 class Tagger:
-    """lines: labelled lines to train on. reach: tokens on either side of a suspicious one."""
+    """lines: labelled lines to train on. reach: tokens before one in which a keyword still counts."""
 
     lines: int = 900
     epochs: int = 5
@@ -61,18 +63,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.~-]+|[^\sA-Za-z0-9+/_.~-]")
-_DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"\s?(?:[A-Za-z0-9+/_.~-]+|[^\sA-Za-z0-9+/_.~-])")  # with the white space before it
 _KEYWORD = re.compile(r"(?ai)pass|pwd|secret|token|key|auth|bearer|cred|signature|salt|cookie|session")
+_PHRASE = re.compile(r"(?ai)pass_?phrase")
 _SAFE = re.compile(r"(?ai)version|release|page|phone|tel|fax|call|date|time|commit|build|port|id|isbn|doi|order|invoice|price|total|size|license|licence|uuid|ip|host|card|ref")
 _KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|rk_|xox[abprs]-|eyJ|AIza|ya29|SG[.]|npm_|pypi-|hf_|dop_v1|shpat_")
 _PLAIN = [re.compile(x) for x in (r"\d+", r"\d+([.]\d+)+", r"v\d+([.]\d+)*", r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[A-Za-z]+[-_.]?\d{1,4}", r"\d+(st|nd|rd|th|px|ms|kb|mb|gb|s|m|h|k|x)")]
-_KINDS_OF_MARK = {"=": "eq", ":": "colon", '"': "quote", "'": "quote", "@": "at", "(": "open", ")": "close", "`": "quote"}
+_CONSONANTS = re.compile(r"(?ai)[b-df-hj-np-tv-xz]+")
+_KINDS_OF_MARK = {"=": "eq", ":": "colon", '"': "quote", "'": "quote", "@": "at", "(": "open", ")": "close", "`": "quote", ",": "stop", ";": "stop"}
 
 
-def _shape(tok: str) -> list[str]:
+def _shape(token: str) -> list[str]:
+    tok = token.lstrip()
+    gap = [] if tok == token else ["gap:line" if token[0] in "\r\n" else "gap:blank"]
+    return gap + _shape_of(tok)
+
+
+def _shape_of(tok: str) -> list[str]:
     if not (tok[0].isalnum() or tok[0] in "+/_.~-"):
-        return [f"mark:{_KINDS_OF_MARK.get(tok, 'other')}"]
+        return [f"mark:{_KINDS_OF_MARK.get(tok) or ('letter' if tok.isalpha() else 'other')}"]
     body = tok.rstrip(".")
     out = [f"len:{min(8, len(body).bit_length() if len(body) < 24 else 6 + (len(body) >= 40))}"]
     kinds = (any("0" <= c <= "9" for c in body), any("a" <= c <= "z" for c in body), any("A" <= c <= "Z" for c in body))
@@ -86,8 +95,14 @@ def _shape(tok: str) -> list[str]:
         out.append(f"entropy:{int(2 * entropy)}")
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:], strict=False))
         out.append(f"turns:{min(4, turns // 2)}")
+    elif len(body) >= 8:
+        turns = sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:], strict=False) if a.isalpha() and b.isalpha())
+        out.append(f"case:{min(5, turns)}")
+        out.append(f"hard:{min(4, max(map(len, _CONSONANTS.findall(body)), default=0) // 2)}")
     if "/" in body:
         out.append(f"slash:{body.startswith('/') or body.count('/') > 2}")
+    if _PHRASE.search(tok):
+        out.append("phrase")
     if _KEYWORD.search(tok):
         out.append("keyword")
     elif _SAFE.fullmatch(tok):
@@ -95,17 +110,31 @@ def _shape(tok: str) -> list[str]:
     return out
 
 
-def _features(tokens: list[str], file: str) -> list[list[str]]:
-    shapes = [_shape(t) for t in tokens]
+_BACK = (1, 2, 3)
+
+
+def _from_own(shape: Sequence[str]) -> list[str]:
+    return ["bias", *shape]
+
+
+def _from_before(shape: Sequence[str], d: int) -> list[str]:
+    """Features that a token has from the shape of the token ``d`` places before it."""
+    return [f"-{d}:{x}" for x in shape if d == 1 and not x.startswith(("len", "entropy")) or x in ("keyword", "phrase", "safe", "mark:eq", "mark:colon")]
+
+
+def _from_after(shape: Sequence[str]) -> list[str]:
+    return [f"+1:{x}" for x in shape if x.startswith(("mark", "edge", "gap"))]
+
+
+def _features(tokens: list[str], file: str, reach: int) -> list[list[str]]:
+    shapes, edge = [_shape(t) for t in tokens], ["edge"]
     out = []
     for i, own in enumerate(shapes):
-        fs = ["bias", f"file:{file}", *own]
-        for d in (1, 2, 3):
-            before = shapes[i - d] if i >= d else ["edge"]
-            fs += [f"-{d}:{x}" for x in before if d == 1 and not x.startswith(("len", "entropy")) or x in ("keyword", "safe", "mark:eq", "mark:colon")]
-        after = shapes[i + 1] if i + 1 < len(shapes) else ["edge"]
-        fs += [f"+1:{x}" for x in after if x.startswith(("mark", "edge"))]
-        near = {x for s in shapes[max(0, i - 4) : i] for x in s}
+        fs = [f"file:{file}", *_from_own(own)]
+        for d in _BACK:
+            fs += _from_before(shapes[i - d] if i >= d else edge, d)
+        fs += _from_after(shapes[i + 1] if i + 1 < len(shapes) else edge)
+        near = {x for s in shapes[max(0, i - reach) : i] for x in s}
         fs += [f"near:{x}" for x in ("keyword", "safe") if x in near]
         out.append(fs)
     return out
@@ -123,16 +152,26 @@ class _Writer:
         self.r = random.Random(seed)
 
     def some(self, alphabet: str, low: int, high: int) -> str:
-        while True:
-            s = "".join(self.r.choices(alphabet, k=self.r.randint(low, high)))
-            if any(c.isdigit() for c in s):
-                return s
+        return "".join(self.r.choices(alphabet, k=self.r.randint(low, high)))
 
     def word(self) -> str:
         return "".join(self.r.choices(("an", "the", "re", "ti", "on", "er", "ble", "ing", "ou", "st", "de", "la", "chen", "ou", "mi"), k=self.r.randint(1, 4)))
 
     def prose(self, low: int = 2, high: int = 7) -> str:
-        return " ".join(self.word() for _ in range(self.r.randint(low, high)))
+        return " ".join(self.written(self.word()) for _ in range(self.r.randint(low, high)))
+
+    def written(self, word: str) -> str:
+        x = self.r.random()
+        return word.capitalize() if x < 0.1 else word.upper() if x < 0.13 else word + self.r.choice(("ä", "é", "è", "ß", "ñ", "ó")) + self.r.choice(("", "n", "ti")) if x < 0.25 else word + self.r.choice((",", ".", "!", ";", "!!", "%%%", "&&&", "***", "###", "$$$")) if x < 0.38 else word
+
+    def chosen(self) -> str:
+        """What people choose: letters only, split by marks, short."""
+        r, a, d = self.r, string.ascii_letters, string.digits
+        piece = lambda: r.choice((self.word(), self.some(a + d, 1, 9), self.word().capitalize(), self.some(d, 1, 4)))
+        return r.choice((
+            lambda: self.some(string.ascii_lowercase, 6, 24), lambda: self.some(a, 8, 32), lambda: self.word() + self.some(d, 1, 4), lambda: self.word() + self.word(),
+            lambda: piece() + "".join(r.choice("@@@!#$%^&*?") + piece() for _ in range(r.randint(1, 3))), lambda: piece() + r.choice("@@@!#$%&*") + piece() + r.choice(("!", "#", "?", "")),
+        ))()
 
     def secret(self) -> str:
         a, d, h = string.ascii_letters, string.digits, "0123456789abcdef"
@@ -140,7 +179,7 @@ class _Writer:
             lambda: self.some(a + d, 16, 44), lambda: self.some(h, 16, 64), lambda: self.some(a + d + "+/", 24, 60),
             lambda: "ghp_" + self.some(a + d, 36, 36), lambda: "sk-" + self.some(a + d, 20, 48), lambda: "AKIA" + self.some(string.ascii_uppercase + d, 16, 16),
             lambda: "xoxb-" + self.some(d, 10, 12) + "-" + self.some(a + d, 20, 24), lambda: f"eyJ{self.some(a + d, 16, 30)}.eyJ{self.some(a + d, 20, 60)}.{self.some(a + d + '_-', 30, 43)}",
-            lambda: "AIza" + self.some(a + d + "_-", 35, 35), lambda: self.some(a + d + "_-", 20, 40), lambda: self.some(string.ascii_uppercase + d, 20, 40),
+            lambda: self.some(a, 20, 44), lambda: self.some(a, 24, 60), lambda: "AIza" + self.some(a + d + "_-", 35, 35), lambda: self.some(a + d + "_-", 20, 40), lambda: self.some(string.ascii_uppercase + d, 20, 40),
         ))()
 
     def harmless(self) -> str:
@@ -172,107 +211,220 @@ class _Writer:
             tail = f"{tail} {self.prose()} {self.harmless()} {self.prose()}"
         return head + value + tail, [(len(head), len(head) + len(value))] if hide else []
 
+    def told(self) -> tuple[str, list[tuple[int, int]]]:
+        """A line whose words, not the value's looks, tell a secret; or one that looks like it."""
+        r, kind = self.r, self.r.choice((0, 0, 0, 1, 2, 3, 4, 5, 6, 6))
+        key = r.choice(("password", "passwd", "pwd", "pass", "DB_PASS", "secret", "auth_token", "client_secret", "user_password"))
+        name = r.choice(("name", "title", "city", "user", "label", "color", "mode", "author", "note", "path"))
+        value, n = self.chosen(), self.prose
+        if kind == 0:  # values of settings
+            head, tail = r.choice((("", ""), (f"{n()} ", ""), (f"{n()}: ", f" {n()}")))
+            eq, end = r.choice(((" = ", ""), ("=", ""), (": ", ""), (":", ""), (' = "', '"'), ("='", "'"), ('": "', '",')))
+            head, tail = f"{head}{key}{eq}", f"{end}{tail}"
+        elif kind == 1:  # in addresses
+            head, tail = f"{r.choice(('', n() + ' '))}{r.choice(('https', 'postgres', 'ftp', 'amqp', 'mysql'))}://{self.word()}:", f"@{self.word()}{r.choice(('', '.example.com'))}{r.choice(('', '/' + self.word(), ' ' + n()))}"
+            value = r.choice((self.word() + self.some(string.digits, 1, 3), self.some(string.ascii_letters, 6, 20), self.some(string.ascii_letters + string.digits, 6, 20)))
+        elif kind == 2:
+            head, tail = f"{r.choice(('', n() + ' '))}{r.choice(('user', 'admin', 'root', self.word()))}:", f"@{r.choice(('host', 'db', self.word()))}{r.choice(('', ' ' + n()))}"
+            value = r.choice((self.word() + self.some(string.digits, 1, 3), self.some(string.ascii_letters, 6, 20)))
+        elif kind == 3:
+            head, tail = f"{r.choice(('', n() + ' '))}Authorization: {r.choice(('Bearer', 'Token', 'Basic'))} ", r.choice(("", f" {n()}", "'"))
+            value = self.some(string.ascii_letters, 12, 50)
+        elif kind == 4:  # passphrases
+            q = r.choice(('"', "'", ""))
+            head, tail = f"{r.choice(('', n() + '. '))}{r.choice(('passphrase', 'pass_phrase', 'PASSPHRASE'))}{r.choice((': ', ' = ', '='))}{q}", q
+            value = r.choice((" ", "-", " ")).join(self.word() for _ in range(r.randint(3, 6)))
+            tail += f"\n{n()}" if r.random() < 0.5 else f", {n()}" if q else ""
+        elif kind == 5:  # key blocks
+            of = r.choice(("RSA ", "EC ", "OPENSSH ", ""))
+            head, tail = f"{r.choice(('', n() + chr(10)))}-----BEGIN {of}PRIVATE KEY-----\n", f"\n-----END {of}PRIVATE KEY-----{r.choice(('', chr(10) + n()))}"
+            rows = [*(self.some(string.ascii_letters + string.digits + "+/", 40, 64) for _ in range(r.randint(1, 4))), self.some(string.ascii_letters, 12, 40) + r.choice(("", "=", "=="))]
+            ends = [len(head) + sum(map(len, rows[: i + 1])) + i for i in range(len(rows))]  # each line is a secret
+            return head + "\n".join(rows) + tail, [(end - len(row), end) for row, end in zip(rows, ends, strict=True)]
+        else:  # words, names and capitals that are none
+            plain = r.choice((
+                lambda: f"{name}{r.choice((': ', ' = ', '='))}{r.choice((self.word(), self.word().capitalize(), n()))}", lambda: f"{n()} {self.word()}{self.word().capitalize()}{self.word().capitalize()}() {n()}",
+                lambda: f"{n()} {r.choice(('password', 'token', 'secret', 'key', 'passphrase'))} {n()}", lambda: f"{n()}: {n()}, {n()}.", lambda: f"{self.word()}@{self.word()}.example.com {n()}", lambda: f"{n()} {self.word()}@{self.word()} {n()}!",
+                lambda: f"{n(3, 5)} -- {n()} ({n()}) \"{n()}\"", lambda: n(8, 24), lambda: f"{n()} https://{self.word()}.example.org/{self.word()} {n()}", lambda: f"{self.word()}{r.choice('äöüßéñóíà')}{self.word()} {n()}. {n()}",
+            ))()
+            return plain, []
+        return head + value + tail, [(len(head), len(head) + len(value))]
+
 
 def labelled(lines: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     w = _Writer(seed)
-    return [w.line() for _ in range(lines)]
+    return [w.told() if w.r.random() < 0.5 else w.line() for _ in range(lines)]
+
+
+# labels: the first two begin or go on with a secret without blanks, the others with a phrase
+OUT, BEGIN, INSIDE, BEGIN_PHRASE, INSIDE_PHRASE = range(5)
+_AFTER = {BEGIN: INSIDE, INSIDE: INSIDE, BEGIN_PHRASE: INSIDE_PHRASE, INSIDE_PHRASE: INSIDE_PHRASE}
 
 
 def _tags(tokens: list[re.Match], spans: list[tuple[int, int]]) -> list[int]:
-    """0 outside, 1 begin, 2 inside."""
     out, last = [], None
     for m in tokens:
-        s = next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
-        out.append(0 if s is None else 2 if s == last else 1)
+        end = m.end()
+        s = next((s for s in spans if s[0] < end and end - len(m[0].lstrip()) < s[1]), None)
+        blank = s is not None and any(s[0] < t.start() and t.end() <= s[1] and t[0][0].isspace() for t in tokens)
+        out.append(OUT if s is None else _AFTER[out[-1]] if s == last else BEGIN_PHRASE if blank else BEGIN)
         last = s
     return out
 
 
+class Weights:
+    """A trained tagger with its weights by shape, for one process. Shapes are numbered as they are
+    met, tokens are looked up; 0 is the edge."""
+
+    def __init__(self, crf: Crf, names: dict[str, int], reach: int):
+        self.crf, self.names, self.reach = crf, names, reach
+        to = crf.step.max(axis=0) - crf.step[0, 0]
+        self.enter = np.maximum(to, crf.begin - crf.begin[0])[1:]  # the most that a step to each label of a secret gains
+        self.leave = max(0.0, (crf.step[1:, 0] - crf.step[0, 0]).max())
+        self.clear()
+
+    def __reduce__(self):
+        return _here, (self.crf, self.names, self.reach)
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.shapes: dict[tuple[str, ...], int] = {}
+        self.tables: list[list[np.ndarray]] = [[] for _ in range(2 + len(_BACK))]
+        self.flags: list[tuple[bool, bool]] = []
+        self.made: tuple[int, list[np.ndarray], np.ndarray] = (0, [], np.zeros(0))
+        self._add(("edge",))
+
+    def of(self, *features: str) -> np.ndarray:
+        return self.crf.emit[[self.names[f] for f in features if f in self.names]].sum(axis=0)
+
+    def _add(self, shape: tuple[str, ...]) -> int:
+        parts = [_from_own(shape), *[_from_before(shape, d) for d in _BACK], _from_after(shape)]
+        for t, fs in zip(self.tables, parts, strict=True):
+            t.append(self.of(*fs))
+        self.flags.append(("keyword" in shape, "safe" in shape))
+        return self.shapes.setdefault(shape, len(self.shapes))
+
+    def number(self, token: str) -> int:
+        shape = tuple(_shape(token))
+        n = self.shapes.get(shape)
+        n = self._add(shape) if n is None else n
+        if len(self.known) < 300_000:  # further ones are shaped each time
+            self.known[token] = n
+        return n
+
+    def scores(self, tokens: list[str], file: str) -> np.ndarray:
+        known = self.known
+        at = np.array([n if (n := known.get(t)) is not None else self.number(t) for t in tokens], np.int64)
+        if self.made[0] != len(self.flags):
+            self.made = (len(self.flags), [np.array(t) for t in self.tables], np.array(self.flags))
+        _, (own, *before, after), flags = self.made
+        s = own[at] + self.of(f"file:{file}")
+        padded = np.concatenate((np.zeros(len(_BACK), np.int64), at, [0]))
+        for d, t in zip(_BACK, before, strict=True):
+            s += t[padded[len(_BACK) - d : len(padded) - 1 - d]]
+        s += after[padded[len(_BACK) + 1 :]]
+        for k, name in enumerate(("keyword", "safe")):
+            if (has := flags[at, k]).any():
+                seen = np.concatenate(([0], np.cumsum(has)))
+                i = np.arange(len(at))
+                s += (seen[i] > seen[np.maximum(0, i - self.reach)])[:, None] * self.of(f"near:{name}")
+        return s
+
+    def tags(self, tokens: list[str], file: str) -> np.ndarray:
+        """The best labels of all tokens."""
+        out = np.zeros(len(tokens), np.int64)
+        if not tokens:
+            return out
+        s = self.scores(tokens, file)
+        gain = (s[:, 1:] - s[:, :1] + self.enter).max(axis=1) + self.leave + 1e-9
+        total = np.concatenate(([0.0], np.cumsum(gain)))
+        low = np.minimum.accumulate(total)[:-1]
+        high = np.maximum.accumulate(total[::-1])[::-1][1:]
+        may = high - low >= -1e-6  # some run through the token may gain, by the bound
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], may.view(np.int8), [0]))))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            out[a:b] = self.best(s[a:b], a == 0, b == len(tokens))
+        return out
+
+    def best(self, s: np.ndarray, first: bool, last: bool) -> list[int]:
+        """Viterbi over a stretch whose neighbours are outside. Ties go to the smaller label."""
+        step, back, labels = self.crf.step.tolist(), [], range(len(self.crf.begin))
+        now = ((self.crf.begin if first else self.crf.step[0]) + s[0]).tolist()
+        for own in s[1:].tolist():
+            ways = [max(labels, key=lambda a: now[a] + step[a][y]) for y in labels]
+            back.append(ways)
+            now = [now[a] + step[a][y] + own[y] for y, a in enumerate(ways)]
+        if not last:
+            now = [x + step[y][0] for y, x in enumerate(now)]
+        out = [max(labels, key=now.__getitem__)]
+        for ways in reversed(back):
+            out.append(ways[out[-1]])
+        return out[::-1]
+
+
+_CACHE: dict = {}
+
+
+def _here(crf: Crf, names: dict[str, int], reach: int) -> Weights:
+    """One for each Python worker, so that tasks share the tokens that it knows."""
+    key = (crf.emit.tobytes(), crf.step.tobytes(), tuple(names), reach)
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = Weights(crf, names, reach)
+    return _CACHE[key]
+
+
 @lru_cache(maxsize=2)
-def trained(p: Tagger) -> tuple[Crf, dict[str, int]]:
-    """The tagger and the numbers of its features, the last of which bars the label begin."""
+def trained(p: Tagger) -> Weights:
     names: dict[str, int] = {}
     data = []
     for text, spans in labelled(p.lines, p.seed):
-        tokens = list(_TOKEN.finditer(text))
-        seq = [[names.setdefault(f, len(names)) for f in fs] for fs in _features([m[0] for m in tokens], _file_kind(text))]
+        tokens = list(_TOKEN.finditer(text))  # spans begin at tokens, not at the white space before them
+        seq = [[names.setdefault(f, len(names)) for f in fs] for fs in _features([m[0] for m in tokens], _file_kind(text), p.reach)]
         data.append((seq, _tags(tokens, spans)))
-    crf = train(data, len(names), 3, p.epochs)
-    names[BAR] = len(names)
-    return Crf(np.vstack([crf.emit, [0.0, -1e6, 0.0]]), crf.step, crf.begin), names
-
-
-def _may_begin(token: str) -> bool:
-    return len(token) >= 8 and _DIGIT.search(token) is not None
-
-
-def tags(tokens: list[str], file: str, model: tuple[Crf, dict[str, int]]) -> list[int]:
-    if not any(map(_may_begin, tokens)):
-        return [0] * len(tokens)
-    crf, names = model
-    seq = [[names[f] for f in fs if f in names] for fs in _features(tokens, file)]
-    return crf.viterbi([fs if _may_begin(t) else [*fs, names[BAR]] for t, fs in zip(tokens, seq, strict=True)])
-
-
-def _word_back(text: str, i: int, floor: int) -> int:
-    while i > floor and text[i - 1].isspace():
-        i -= 1
-    while i > floor and not text[i - 1].isspace():
-        i -= 1
-    return i
-
-
-def _word_on(text: str, i: int) -> int:
-    m = _NEXT_WORD.match(text, i)
-    return m.end() if m else len(text)
+    crf = train(data, len(names), 5, p.epochs)
+    for name in ("gap:blank", "gap:line"):
+        crf.emit[names[name], INSIDE] = -1e6  # the label's meaning: no blank before it; phrases have blanks
+    for label, after in ((OUT, INSIDE), (OUT, INSIDE_PHRASE), (BEGIN, INSIDE_PHRASE), (INSIDE, INSIDE_PHRASE), (BEGIN_PHRASE, INSIDE), (INSIDE_PHRASE, INSIDE)):
+        crf.step[label, after] = -1e6  # nothing is inside of what has not begun
+    crf.begin[[INSIDE, INSIDE_PHRASE]] = -1e6
+    return Weights(crf, names, p.reach)
 
 
-_NEXT_WORD = re.compile(r"\s*\S+")
-
-
-def stretches(text: str, reach: int) -> list[tuple[int, int]]:
-    """(start, end) of the parts within ``reach`` words of a word with a digit, in order."""
-    out: list[tuple[int, int]] = []
-    at = floor = 0
-    while m := _DIGIT.search(text, at):
-        start = m.start()
-        while start > at and not text[start - 1].isspace():
-            start -= 1
-        at = _word_on(text, start)
-        left, right = start, at
-        for _ in range(reach):
-            left, right = _word_back(text, left, floor), _word_on(text, right)
-        if out and left <= out[-1][1]:
-            out[-1] = (out[-1][0], right)
-        else:
-            out.append((left, right))
-        floor = out[-1][0]
-    return out
-
-
-def tagged_spans(text: str, p: Tagger, model: tuple[Crf, dict[str, int]]) -> list[tuple[str, int, int]]:
+def tagged_spans(text: str, p: Tagger, model: Weights) -> list[tuple[str, int, int]]:
     """Spans that the tagger finds in a whole text."""
+    tags = model.tags(_TOKEN.findall(text), _file_kind(text))
+    if not tags.any():
+        return []
     out: list[tuple[str, int, int]] = []
-    file = ""
-    for left, right in stretches(text, p.reach):
-        file = file or _file_kind(text)
-        tokens = list(_TOKEN.finditer(text, left, right))
-        start = end = None
-        for t, tag in zip([*tokens, None], [*tags([t[0] for t in tokens], file, model), 0], strict=True):
-            if start is not None and tag != 2:
-                out.append(("secret", start, end))
-                start = None
-            if tag == 1:
-                start, end = t.start(), t.end()
-            elif tag == 2 and start is not None:
-                end = t.end()
+    start, end, last = None, 0, OUT
+    for t, tag in zip([*_TOKEN.finditer(text), None], [*tags.tolist(), OUT], strict=True):
+        goes_on = start is not None and tag == _AFTER.get(last)
+        if start is not None and not goes_on:
+            out.append(("secret", start, end))
+            start = None
+        if tag in (BEGIN, BEGIN_PHRASE):
+            start = t.end() - len(t[0].lstrip())
+        if start is not None:
+            end = t.end()
+        last = tag
     return out
 
 
-def find(text: str, p: Tagger, model: tuple[Crf, dict[str, int]]) -> list[tuple[str, int, int]]:
+def _beyond(span: tuple[str, int, int], base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
+    """The parts of a tagged span that no span of ``base`` covers."""
+    kind, at, end = span
+    out = []
+    for _, a, b in sorted((b for b in base if b[1] < end and at < b[2]), key=lambda b: b[1]):
+        out.append((kind, at, a))
+        at = max(at, b)
+    return [(k, a, b) for k, a, b in [*out, (kind, at, end)] if text[a:b].strip()]
+
+
+def find(text: str, p: Tagger, model: Weights) -> list[tuple[str, int, int]]:
     """All spans of a text, in order."""
     base = base_spans(text)
-    more = [s for s in tagged_spans(text, p, model) if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+    more = [part for s in tagged_spans(text, p, model) for part in _beyond(s, base, text)]
     return in_order(base + more, KINDS)
 
 
