@@ -11,6 +11,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is never shown as text of the page.
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas select option datalist textarea button audio video title".split())
 GAP = frozenset(("br", "td", "th", "img", "wbr", "input"))
+#: Elements that may stand in a head; any other one, and text, closes a head whose end tag is left out.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "tr", "tbody", "thead", "tfoot", "caption", "title", "legend"}
 _CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "tr": ("tr", frozenset(("table",))), "dd": ("dd", frozenset(("dl",))), "dt": ("dd", frozenset(("dl",)))}
 
@@ -43,7 +45,7 @@ def families(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
     out = set()
     for k, v in attrs:
         if k in ("class", "id", "role", "aria-label", "itemprop", "data-role") and v:
-            out |= {f for w in map(str.lower, _WORDS.findall(v[:400])) if (f := _FAMILY.get(w) or next((y for x, y in _STEMS if w.startswith(x)), None))}
+            out |= {f for w in map(str.lower, _WORDS.findall(v)) if (f := _FAMILY.get(w) or next((y for x, y in _STEMS if w.startswith(x)), None))}
         elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
             out.add("hidden")
     return frozenset(out)
@@ -67,6 +69,10 @@ class _Reader(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":
+            self._close("head", frozenset(("template",)))
+        elif tag not in _IN_HEAD and self.open[-1][0] == "head":
+            self._cut(len(self.open) - 1)
         if tag in _CLOSES_P:
             self._close("p", frozenset(("article", "section", "div", "td", "li", "blockquote", "main", "aside")))
         if tag in _CLOSES:
@@ -121,6 +127,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self._cut(len(self.open) - 1)
         if self.skip <= 0:
             self.parts.append(data)
             if self.links > 0:

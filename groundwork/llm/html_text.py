@@ -70,7 +70,7 @@ class _Writer:
     """Labelled pages for training: html and the label of each of its leaf blocks, in order."""
 
     def __init__(self, seed: int):
-        self.r = random.Random(seed)
+        self.r, self.heads = random.Random(seed), random.Random(seed)  # heads of their own: they change no other draw
         self.labels: list[int] = []
 
     def words(self, low: int, high: int) -> str:
@@ -153,7 +153,8 @@ class _Writer:
 
     def page(self) -> tuple[str, list[int]]:
         r, self.labels = self.r, []
-        parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{self.words(2, 6)}</title></head><body>"]
+        close = self.heads.choice(("</head><body>", "</head><body>", "<body>", ""))  # both tags may be left out
+        parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{self.words(2, 6)}</title>{close}"]
         if r.random() < 0.4:
             parts.append(r.choice(("<header>{}</header>", '<div class="header">{}</div>', '<header><div class="logo">{}</div></header>')).format(self.put(_OTHER, self.words(1, 5))))
         if r.random() < 0.85:
