@@ -28,21 +28,27 @@ def last_directive(messages: DataFrame, thread: str, order: str, rules: dict[str
     return messages.groupBy(thread).agg(*last)
 
 
-def nearest_ancestor(runs: DataFrame, artifacts: DataFrame, most: int = 64) -> DataFrame:
-    """(id, ancestor, depth): the nearest ancestor within the same thread that has an artifact. The
-    rows that still look walk up together, a join a step; the walk ends when none is left, or after
-    ``most`` steps, which only a cycle takes."""
+def nearest_ancestor(runs: DataFrame, artifacts: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, ancestor, depth): the nearest ancestor within the same thread that has an artifact, at
+    any depth, or at ``most`` of them where given. Rows that still look take over where the row that
+    they have come to points, so that each round doubles their way; a way as long as the runs of the
+    longest thread is a cycle without an artifact and ends. A run is no ancestor of its own."""
     has = artifacts.select(F.col("id").alias("at"), F.lit(True).alias("hit")).distinct()
-    up = runs.select(F.col("id").alias("at"), F.col("parent_id").alias("next"), "thread_key")
-    walk = runs.select("id", F.col("parent_id").alias("at"), "thread_key", F.lit(1).alias("depth")).filter("at is not null")
-    found: list[DataFrame] = []
-    for _ in range(most):
-        here = checkpointed(walk.join(up, ["at", "thread_key"]).join(has, "at", "left"))
-        found.append(here.filter("hit").select("id", F.col("at").alias("ancestor"), "depth"))
-        walk = here.filter("hit is null and next is not null").select("id", F.col("next").alias("at"), "thread_key", (F.col("depth") + 1).alias("depth"))
-        if not walk.take(1):
-            break
-    return reduce(DataFrame.unionByName, found)
+    up = runs.select(F.col("id").alias("at"), "thread_key")
+    first = runs.select("id", F.col("parent_id").alias("at"), "thread_key", F.lit(1).alias("depth")).filter("at is not null")
+    ways = checkpointed(first.join(up, ["at", "thread_key"]).join(has, "at", "left").select("id", "thread_key", "at", "depth", F.coalesce("hit", F.lit(False)).alias("hit")))
+    if most is None:
+        most = runs.groupBy("thread_key").count().agg(F.max("count")).first()[0] or 0
+    found = [ways.filter("hit")]
+    looking = ways.filter(f"not hit and depth < {most}")
+    while looking.take(1):
+        on = ways.select(F.col("id").alias("at"), "thread_key", F.col("at").alias("to"), F.col("depth").alias("more"), "hit")
+        moved = looking.drop("hit").join(on, ["at", "thread_key"]).select("id", "thread_key", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), "hit")
+        moved = checkpointed(moved)
+        found.append(moved.filter("hit"))
+        looking = moved.filter(f"not hit and depth < {most}")
+        ways = reduce(DataFrame.unionByName, [*found, looking])
+    return reduce(DataFrame.unionByName, found).filter(f"depth <= {most} and id <> at").select("id", F.col("at").alias("ancestor"), "depth")
 
 
 def pack_batches(units: DataFrame, doc: str, order: str, chars: int = 8000, items: int = 24) -> DataFrame:
