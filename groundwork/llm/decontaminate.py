@@ -171,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Leak | None = None) -
     p = p or Leak()
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole("text").alias("text"))
     if not _is_small(benchmark, p):
-        return _by_shuffle(d, benchmark, p)
+        return _by_shuffle(cut(d.withColumn("row", F.monotonically_increasing_id())), benchmark, p).drop("row")
     shared = _Shared(_shared(benchmark, p))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +197,7 @@ def _seeds(p: Leak, id_: str):
 
 
 def _by_shuffle(d: DataFrame, benchmark: DataFrame, p: Leak) -> DataFrame:
-    d = cut(d.withColumn("row", F.monotonically_increasing_id()))
+    """The pairs, with the row of ``d`` (row, doc_id, text), whose numbers have to be fixed."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole("text").alias("text"))
     items = cut(items.withColumn("item", F.monotonically_increasing_id()))
     own = items.select("item", "text").mapInPandas(_seeds(p, "item"), "item long, h long, place long, n long")
@@ -209,23 +209,26 @@ def _by_shuffle(d: DataFrame, benchmark: DataFrame, p: Leak) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for i, item_id, item, text in zip(f["doc_id"], f["item_id"], f["item_text"], f["text"], strict=True):
+            for row, i, item_id, item, text in zip(f["row"], f["doc_id"], f["item_id"], f["item_text"], f["text"], strict=True):
                 numbers: dict[str, int] = {}
                 a = [numbers.setdefault(w, len(numbers)) for w in terms(item)]
                 share, longest, count = _measure(a, [numbers.get(w, -1) for w in terms(text)], p)
                 if share >= p.coverage:
-                    rows.append((i, item_id, share, longest, count))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "longest", "n_tiles"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                    rows.append((row, i, item_id, share, longest, count))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "item_id", "coverage", "longest", "n_tiles"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    return texts.select("doc_id", "item_id", "item_text", "text").mapInPandas(run, PAIRS)
+    return texts.select("row", "doc_id", "item_id", "item_text", "text").mapInPandas(run, f"row long, {PAIRS}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Leak | None = None) -> DataFrame:
     """The documents that leak no item, in the columns of ``docs``."""
     p = p or Leak()
     if not _is_small(benchmark, p):
-        gone = cut(contaminated(docs, benchmark, p).select(F.col("doc_id").alias("_gone")).distinct())
-        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+        number = "_row" + "_" * max(map(len, docs.columns))  # no column has this name
+        kept = cut(docs.withColumn(number, F.monotonically_increasing_id()))
+        rows = kept.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole("text").alias("text"))
+        gone = _by_shuffle(rows, benchmark, p).select(F.col("row").alias("_gone")).distinct()
+        return kept.join(gone, kept[number] == gone["_gone"], "left_anti").select(*docs.columns)
     shared = _Shared(_shared(benchmark, p))
 
     @F.pandas_udf(T.BooleanType())
