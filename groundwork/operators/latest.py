@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -70,3 +73,27 @@ def audit_transitions(log: DataFrame, allowed: DataFrame, key: str, order: Seque
     w = W.partitionBy(key).orderBy(*order)
     steps = log.withColumn("from_status", F.lag(status).over(w)).withColumn("to_status", F.col(status)).filter("from_status is not null")
     return steps.join(allowed, ["from_status", "to_status"], "left_anti")
+
+
+def carried(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, tuple]], made: str) -> DataFrame:
+    """``rows`` with the columns ``made``: ``step`` takes what is carried and the next value of a
+    key, in ``order``, and gives what is carried on and the row's new values; each key begins with
+    ``start``. A key's rows stand in a row of one partition and pass in bounded batches."""
+    new = T.StructType.fromDDL(made)
+    kinds = [{"boolean": pa.bool_(), "long": pa.int64(), "bigint": pa.int64()}[f.dataType.simpleString()] for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, start()
+        for b in batches:
+            out = []
+            at = zip(*(b.column(k).to_pylist() for k in keys), strict=True)
+            for key, v in zip(at, b.column(value).to_pylist(), strict=True):
+                if last is None or any(x != y and (x == x or y == y) for x, y in zip(key, last, strict=True)):
+                    last, state = key, start()
+                state, given = step(state, v)
+                out.append(given)
+            cols = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new.names])
+
+    ranked = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return ranked.mapInArrow(run, T.StructType([*rows.schema.fields, *new.fields]))

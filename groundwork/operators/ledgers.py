@@ -8,23 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundwork.operators.latest import carried
+
 
 def quota_ledger(requests: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, units: str = "units") -> DataFrame:
     """keys, order, units, allowed, used_after: in order, a request is allowed if what is used plus
-    its units stays within the limit; denied requests use nothing. A fold over the sorted requests
-    of each key (provider and period), which a quota bounds in time."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(units).cast("long").alias("units"))))
-    empty = F.expr("array()").cast("array<struct<allowed:boolean,used:bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        ok = a["used"] + r["units"] <= limit
-        used = F.when(ok, a["used"] + r["units"]).otherwise(a["used"])
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(F.struct(ok.alias("allowed"), used.alias("used")))).alias("out"))
-
-    by = requests.groupBy(*keys).agg(rows.alias("rows")).withColumn("out", F.aggregate("rows", start, step, lambda a: a["out"]))
-    each = by.select(*keys, F.inline(F.arrays_zip("rows", "out")))
-    return each.select(*keys, "rows.*", F.col("out.allowed").alias("allowed"), F.col("out.used").alias("used_after"))
+    its units stays within the limit; denied requests use nothing. Rows are sorted within keys
+    (provider and period) and read a batch at a time; only what is used is carried on."""
+    rows = requests.select(*keys, *order, F.col(units).cast("long").alias("units"))
+
+    def start() -> int:
+        return 0
+
+    def step(used: int, n: int | None) -> tuple[int, tuple]:
+        ok = None if n is None else used + n <= limit
+        used = used + n if ok else used
+        return used, (ok, used)
+
+    return carried(rows, keys, [F.col(c) for c in (*order, "units")], "units", start, step, "allowed boolean, used_after long")
 
 
 def issue_date(ts: Column) -> Column:

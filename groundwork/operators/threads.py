@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.operators.latest import carried
 from groundwork.plans.lineage import checkpointed
 
 
@@ -53,21 +54,19 @@ def nearest_ancestor(runs: DataFrame, artifacts: DataFrame, most: int | None = N
 
 def pack_batches(units: DataFrame, doc: str, order: str, chars: int = 8000, items: int = 24) -> DataFrame:
     """units with batch (from 1): greedy packing in order by characters and items; a unit beyond
-    the limit is a batch of its own. One document is packed at a time, streamed in order."""
+    the limit is a batch of its own. Documents are streamed in order, a bounded batch of units at a time."""
     rows = units.select(doc, order, F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
 
-    def packed(f: pd.DataFrame) -> pd.DataFrame:
-        batch, used, held, out = 1, 0, 0, []
-        f = f.sort_values([order, "size"])
-        for n in f["size"]:
-            if held and (used + n > chars or held >= items):
-                batch, used, held = batch + 1, 0, 0
-            used, held = used + n, held + 1
-            out.append(batch)
-        return f.assign(batch=out)
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(doc).applyInPandas(packed, f"{doc} {kinds[doc]}, {order} {kinds[order]}, size long, batch long")
+    def start() -> tuple[int, int, int]:
+        return 1, 0, 0
+
+    def step(now: tuple[int, int, int], n: int) -> tuple[tuple[int, int, int], tuple]:
+        batch, used, held = now
+        if held and (used + n > chars or held >= items):
+            batch, used, held = batch + 1, 0, 0
+        return (batch, used + n, held + 1), (batch,)
+
+    return carried(rows, [doc], [F.col(order).asc_nulls_last(), F.col("size")], "size", start, step, "batch long")
 
 
 def chunk_text(units: DataFrame, keys: Sequence[str], limit: int, text: str = "text") -> DataFrame:
