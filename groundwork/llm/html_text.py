@@ -1,16 +1,18 @@
 """Main text of web pages: a linear-chain CRF over the leaf blocks of the DOM.
 
 Each leaf block (the text between two block-level boundaries) has features of its ancestor tags, of
-the words in their class and id, and of its text; the chain tells article from the rest and is
-decoded by Viterbi over the whole page. Text of scripts, styles, form controls and hidden elements is
-not part of any block.
+the words in their class and id, of its text, and of what the heading above and short lines say; the
+chain tells article from the rest and is decoded by Viterbi over the whole page. Text of scripts,
+styles, form controls and hidden elements is not part of any block; formulas and drawings are read as
+text. Only white space, line breaks and cells part words.
 
 The labelled pages are written by a seeded generator (``pages`` of them, many layouts, with menus,
 headers, sidebars, notices, adverts, forms and comments around and inside the article); the weights
 are trained on the driver.
 
 Edge cases: null html is empty; a page without article blocks has an empty text; broken or cut-off
-markup is read as far as it goes; repeated rows are read alike; an empty table gives an empty table;
+markup is read as far as it goes (heads, paragraphs, items and controls whose end tags are left out
+end where the next block tells); an input column main_text is replaced; repeated rows are read alike; an empty table gives an empty table;
 further columns pass through.
 """
 
@@ -25,15 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.crf import Crf, train
-from groundwork.llm.html_blocks import Block, blocks
+from groundwork.llm.html_blocks import SAID, Block, blocks, said
 from groundwork.llm.text import whole
 
-_TAGS = frozenset("nav footer header aside article main form section table ul ol dl figure figcaption blockquote pre p li h1 h2 h3 h4 h5 h6 a label address tr details dialog".split())
-
-
 @dataclass(frozen=True)
 class Pages:
-    pages: int = 360
+    pages: int = 450
     epochs: int = 7
     seed: int = 5
 
@@ -41,23 +40,29 @@ class Pages:
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features of each block of a page."""
     out, total, heading = [], len(page), False
+    told = [said(b.text) for b in page]
+    under, last = frozenset(), frozenset()  # what the heading above, and the short line before, tell
     for i, b in enumerate(page):
         n, words = len(b.text), b.text.count(" ") + 1
-        tags = _TAGS.intersection(b.tags)
         link = b.linked / max(n, 1)
-        leaf = next((t for t in reversed(b.tags) if t in _TAGS or t == "div"), "none")
-        fs = ["bias", f"leaf:{leaf}", f"words:{min(6, words.bit_length())}", f"link:{0 if not b.linked else 1 if link < 0.4 else 2 if link < 0.9 else 3}"]
-        fs += [f"in:{t}" for t in tags] + [f"is:{m}" for m in b.marks]
+        fs = ["bias", f"leaf:{b.leaf}", f"words:{min(6, words.bit_length())}", f"link:{0 if not b.linked else 1 if link < 0.4 else 2 if link < 0.9 else 3}"]
+        fs += [f"in:{t}" for t in b.tags] + [f"is:{m}" for m in b.marks]
         fs += [f"near:{m}" for m in b.near] or ["near:none"]
-        inner = next((t for t in reversed(b.tags) if t in ("article", "main", "nav", "aside", "footer", "header", "form")), "none")
-        fs.append(f"inner:{inner}")
+        fs.append(f"inner:{b.inner}")
         fs.append(f"end:{'stop' if b.text[-1] in '.!?…:;\"”»' else 'open'}")
         if b.text.startswith(("©", "(c)", "Copyright")):
             fs.append("copyright")
         if i and page[i - 1].parent == b.parent:
             fs.append("same-parent")
+        fs += [f"says:{m}" for m in told[i]]
+        if b.leaf in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            under = told[i]
+            fs += [f"heads:{m}" for m in under]
+        else:
+            fs += [f"under:{m}" for m in under] + [f"after:{m}" for m in last]
+        last = told[i]
         fs.append(f"head:{heading}")
-        heading = heading or leaf == "h1"
+        heading = heading or b.leaf == "h1"
         fs.append(f"at:{min(3, 4 * i // total)}")
         out.append(fs)
     return out
@@ -90,6 +95,8 @@ class _Writer:
 
     def extra(self) -> str:
         r = self.r
+        if r.random() < 0.3:
+            return self.named_by_words()
         kind = r.randrange(9)
         s = lambda: self.sentence(3, 14)
         if kind == 0:
@@ -104,7 +111,7 @@ class _Writer:
             return f'<form action="/s"><label>{self.put(_OTHER, self.words(1, 3))}</label><div>{self.put(_OTHER, self.words(1, 6))}</div><input name="q"><button>{self.words(1, 1)}</button></form>'
         if kind == 4:
             ps = "".join(self.put(_OTHER, f'<div class="comment"><p>{self.sentence(3, 30)}</p></div>') for _ in range(r.randint(1, 4)))
-            return r.choice((f'<section id="comments">{ps}</section>', f'<div class="comments"><h3>{self.put(_OTHER, self.words(1, 2))}</h3>{ps}</div>' if False else f'<div class="comments">{ps}</div>'))
+            return r.choice((f'<section id="comments">{ps}</section>', f'<div class="comments">{ps}</div>'))
         if kind == 5:
             return f'<div class="{r.choice(("share", "social", "tags", "related", "author-bio", "meta"))}">{self.put(_OTHER, self.words(1, 6))}</div>'
         if kind == 6:
@@ -113,8 +120,43 @@ class _Writer:
             return f'<div class="{r.choice(("breadcrumb", "pagination", "toolbar", "login-box"))}">{self.put(_OTHER, self.words(1, 5))}</div>'
         return "<!-- note -->"
 
+    def no_family(self) -> str:
+        """A class that tells nothing."""
+        return self.r.choice(("", f' class="{self.r.choice(("x", "c", "blk", "l", "u", "box", "wrap", "col", "row", "part", "unit"))}{self.r.randint(0, 99)}"'))
+
+    def said(self, family: str, least: int, most: int) -> str:
+        ws = [*(self.r.choice(SAID[family].split()) for _ in range(self.r.randint(1, 2))), *self.words(1, 3).split()[: self.r.randint(least, most)]]
+        self.r.shuffle(ws)
+        return " ".join(ws).capitalize()
+
+    def time(self) -> str:
+        r = self.r
+        return r.choice((f"{r.randint(2, 20)} hours ago", f"{r.randint(2, 20)} days ago", f"20{r.randint(10, 30)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.2024, {r.randint(10, 23)}:{r.randint(10, 59)}", f"vor {r.randint(2, 9)} Stunden", f"il y a {r.randint(2, 9)} jours", f"hace {r.randint(2, 9)} horas"))
+
+    def named_by_words(self) -> str:
+        """Comments, related links, notices and adverts that their words, not their classes, name."""
+        r, family = self.r, self.r.choice(("talk", "talk", "talk", "share", "ad", "note", "form"))
+        tag, outer, inner = r.choice(("h2", "h3", "h4")), r.choice(("section", "div")), self.no_family()
+        head = self.put(_OTHER, f"<{tag}>{self.said(family, 0, 2)}</{tag}>")
+        if family == "talk":
+            items = []
+            for _ in range(r.randint(1, 4)):
+                by = self.put(_OTHER, f"<{(x := r.choice(('div', 'p', 'h5')))}>{self.words(1, 2).title()}{r.choice((' ', ', ', ' · '))}{self.time()}</{x}>") if r.random() < 0.7 else ""
+                text = self.put(_OTHER, f"<{(x := r.choice(('p', 'div', 'p')))}>{' '.join(self.sentence(3, 16) for _ in range(r.randint(1, 3)))}</{x}>")
+                reply = self.put(_OTHER, f"<div>{r.choice(('Reply', 'Antworten', 'Répondre', 'Responder'))}</div>") if r.random() < 0.4 else ""
+                items.append(r.choice(("<div{}>{}</div>", "<li{}>{}</li>", "<div{}>{}</div>")).format(inner, by + text + reply))
+            body = "".join(items)
+        elif family == "share":
+            body = "<ul>" + "".join(self.put(_OTHER, f'<li><a href="/{i}">{self.words(2, 9)}</a></li>') for i in range(r.randint(1, 5))) + "</ul>"
+        else:
+            body = self.put(_OTHER, f"<p>{self.said(family, 1, 3)} {self.words(1, 2)}</p>") + self.put(_OTHER, f"<p>{self.sentence(2, 9)}</p>")
+        return f"<{outer}{self.no_family()}>{head}{body}</{outer}>"
+
     def paragraph(self) -> str:
         r = self.r
+        if r.random() < 0.03:  # articles have such words and times as well
+            tag = r.choice(("p", "p", "h2"))
+            return self.put(_ARTICLE, f"<{tag}>{r.choice((self.said(r.choice(tuple(SAID)), 2, 3), self.words(1, 3) + ' ' + self.time()))}{r.choice(('', '.'))}</{tag}>")
         text = r.choice((lambda: self.words(1, 5), lambda: self.sentence(1, 3), lambda: self.sentence(5, 20), lambda: " ".join(self.sentence(4, 16) for _ in range(r.randint(1, 6)))))()
         if r.random() < 0.1:
             text = text.replace(" ", "*** ", 3)
@@ -145,6 +187,10 @@ class _Writer:
             body.append(self.paragraph())
             if r.random() < 0.12:
                 body.append(self.extra())
+        if r.random() < 0.25:  # parts of their own, with headings
+            cls = self.no_family()
+            for i in range(0, len(body), 3):
+                body[i : i + 3] = [f"<{(x := r.choice(('section', 'div')))}{cls}>{''.join(body[i : i + 3])}</{x}>", "", ""][: len(body[i : i + 3])]
         inside = head + "".join(body) + (self.extra() if r.random() < 0.2 else "")
         return r.choice((
             f"<article>{inside}</article>", f"<main><article>{inside}</article></main>", f"<article>{inside}</article>", f"<main>{inside}</main>",
