@@ -9,11 +9,12 @@ between neighbours that are outside. The labels are those of a decoding of all t
 
 The tagger is trained on the driver from ``lines`` labelled lines that a seeded generator writes
 (settings, code, logs and prose, with and without secrets; some secrets are letters only, passphrases,
-key blocks or split by marks).
+key blocks, told in prose or split by marks; some harmless words are as long and as hard to say).
 
 Edge cases: a null text is empty; a text without matches has no spans; spans of the patterns stay
 whatever the tagger says, and of a tagged span that touches them the part beyond them is left; repeated rows are
-scanned alike; an empty table gives an empty table; further columns pass through ``redact``.
+scanned alike; an empty table gives an empty table; further columns pass through, and an input column
+secret_spans is replaced by ``scan``.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 class Tagger:
     """lines: labelled lines to train on. reach: tokens before one in which a keyword still counts."""
 
-    lines: int = 900
+    lines: int = 1400
     epochs: int = 5
     seed: int = 11
     reach: int = 4
@@ -157,8 +158,13 @@ class _Writer:
     def word(self) -> str:
         return "".join(self.r.choices(("an", "the", "re", "ti", "on", "er", "ble", "ing", "ou", "st", "de", "la", "chen", "ou", "mi"), k=self.r.randint(1, 4)))
 
+    def compound(self) -> str:
+        """A long word as languages have them, with clusters of consonants."""
+        parts = self.r.choices(("rechts", "schutz", "ver", "sicher", "ung", "donau", "dampf", "schiff", "fahrt", "keit", "heit", "lich", "sch", "ch", "st", "nd", "wh", "th", "nt", "ble", "tion", "ment", "ness", "ship", "counter", "re", "wachs", "welt", "tz", "er", "ed", "ing", "ly", "zu", "angst", "strength"), k=self.r.randint(3, 7))
+        return "".join(parts)
+
     def prose(self, low: int = 2, high: int = 7) -> str:
-        return " ".join(self.written(self.word()) for _ in range(self.r.randint(low, high)))
+        return " ".join(self.written(self.word() if self.r.random() < 0.85 else self.compound()) for _ in range(self.r.randint(low, high)))
 
     def written(self, word: str) -> str:
         x = self.r.random()
@@ -191,6 +197,8 @@ class _Writer:
             lambda: f"{self.word()}.{n(2)}@mail{n(1)}.example.com", lambda: f"https://{self.word()}.example.org/{self.word()}/{n(3)}?page={n(1)}",
             lambda: f"{'-'.join(''.join(r.choices(h, k=k)) for k in (8, 4, 4, 4, 12))}", lambda: f"{self.word()}{n(2)}", lambda: f"${n(2)}.{n(2)}", lambda: f"{n(3)}px",
             lambda: f"/usr/{self.word()}/{self.word()}{n(1)}/{self.word()}", lambda: f"{self.word()}_{self.word()}_{n(1)}", lambda: f"version {r.randint(1, 4)}.0", lambda: f"{n(1)},{n(3)}",
+            lambda: f"20{n(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{n(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z", lambda: f"{r.choice(('RFC', 'ISO', 'DIN', 'EN', 'CVE-', 'PR'))}{n(4)}", lambda: "/" + "/".join(self.word() + r.choice(("", "", n(1), "-" + self.word())) for _ in range(r.randint(3, 7))),
+            lambda: "".join(self.word().capitalize() for _ in range(r.randint(2, 5))),
         ))()
 
     def line(self) -> tuple[str, list[tuple[int, int]]]:
@@ -213,7 +221,7 @@ class _Writer:
 
     def told(self) -> tuple[str, list[tuple[int, int]]]:
         """A line whose words, not the value's looks, tell a secret; or one that looks like it."""
-        r, kind = self.r, self.r.choice((0, 0, 0, 1, 2, 3, 4, 5, 6, 6))
+        r, kind = self.r, self.r.choice((0, 0, 0, 1, 2, 3, 4, 5, 6, 6, 6, 7, 7))
         key = r.choice(("password", "passwd", "pwd", "pass", "DB_PASS", "secret", "auth_token", "client_secret", "user_password"))
         name = r.choice(("name", "title", "city", "user", "label", "color", "mode", "author", "note", "path"))
         value, n = self.chosen(), self.prose
@@ -241,11 +249,20 @@ class _Writer:
             rows = [*(self.some(string.ascii_letters + string.digits + "+/", 40, 64) for _ in range(r.randint(1, 4))), self.some(string.ascii_letters, 12, 40) + r.choice(("", "=", "=="))]
             ends = [len(head) + sum(map(len, rows[: i + 1])) + i for i in range(len(rows))]  # each line is a secret
             return head + "\n".join(rows) + tail, [(end - len(row), end) for row, end in zip(rows, ends, strict=True)]
+        elif kind == 7:  # told in prose, and as arguments of commands
+            say = r.choice(("password", "passwd", "secret", "token", "api key", "passcode", "pwd", "secret key"))
+            value = r.choice((self.some(string.ascii_lowercase, 16, 30), self.word() + self.some(string.digits, 2, 4), self.word().capitalize() + self.some(string.digits, 2, 4) + r.choice(("!", "?", "#", "")), self.some(string.ascii_letters + string.digits, 8, 30)))
+            head = f"{r.choice(('', n() + ' '))}{say} {r.choice(('is ', 'was ', '', 'to ', 'is: '))}"
+            tail = r.choice(("", f", {n()}", f" {n()}", ".", f". {n()}"))
+            if r.random() < 0.2:
+                head, tail = f"{self.word()}-cli {r.choice(('-a', '-p', '--password', '--token'))} ", f" {self.word()}"
         else:  # words, names and capitals that are none
             plain = r.choice((
                 lambda: f"{name}{r.choice((': ', ' = ', '='))}{r.choice((self.word(), self.word().capitalize(), n()))}", lambda: f"{n()} {self.word()}{self.word().capitalize()}{self.word().capitalize()}() {n()}",
-                lambda: f"{n()} {r.choice(('password', 'token', 'secret', 'key', 'passphrase'))} {n()}", lambda: f"{n()}: {n()}, {n()}.", lambda: f"{self.word()}@{self.word()}.example.com {n()}", lambda: f"{n()} {self.word()}@{self.word()} {n()}!",
-                lambda: f"{n(3, 5)} -- {n()} ({n()}) \"{n()}\"", lambda: n(8, 24), lambda: f"{n()} https://{self.word()}.example.org/{self.word()} {n()}", lambda: f"{self.word()}{r.choice('äöüßéñóíà')}{self.word()} {n()}. {n()}",
+                lambda: f"{n()} {r.choice(('password', 'token', 'secret', 'key', 'passphrase'))} {n()}", lambda: f"{n()} {r.choice(('password', 'token', 'secret'))} {r.choice(('is', 'was', 'of', 'to', ''))} {n()}.", lambda: f"{n()}: {n()}, {n()}.", lambda: f"{self.word()}@{self.word()}.example.com {n()}", lambda: f"{n()} {self.word()}@{self.word()} {n()}!",
+                lambda: f"{n(3, 5)} -- {n()} ({n()}) \"{n()}\"", lambda: n(8, 24), lambda: f"{n()} {self.compound()} {n()} {self.compound().capitalize()}{r.choice(('.', ',', ''))}",
+                lambda: f"{r.choice(('token', 'password', 'session', 'key', 'auth', 'secret'))}_{r.choice(('count', 'enabled', 'timeout', 'length', 'limit', 'reset', 'file', 'size', 'type'))}{r.choice((': ', ' = ', '='))}{r.choice(('true', 'false', 'none', self.some(string.digits, 1, 6), self.word()))}",
+                lambda: f'{name} = "{n(1, 3)}"', lambda: f"{n()} https://{self.word()}.example.org/{self.word()} {n()}", lambda: f"{self.word()}{r.choice('äöüßéñóíà')}{self.word()} {n()}. {n()}",
             ))()
             return plain, []
         return head + value + tail, [(len(head), len(head) + len(value))]
