@@ -49,38 +49,57 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(data: Sequence[tuple[Sequence[Sequence[int]], Sequence[int]]], features: int, labels: int, epochs: int = 8, rate: float = 0.4, decay: float = 1e-4, seed: int = 7) -> Crf:
-    """Weights that fit ``data``, pairs of a sequence and its labels. The same data and seed give
-    the same weights."""
+def train(data: Sequence[tuple[Sequence[Sequence[int]], Sequence[int]]], features: int, labels: int, epochs: int = 8, rate: float = 0.4, decay: float = 1e-4, seed: int = 7, batch: int = 8) -> Crf:
+    """Weights that fit ``data``, pairs of a sequence and its labels, by steps over ``batch`` sequences
+    of like length at a time. The same data and seed give the same weights."""
     emit, step, begin = np.zeros((features, labels)), np.zeros((labels, labels)), np.zeros(labels)
     sq = [np.full_like(w, 1e-2) for w in (emit, step, begin)]
+    by_length = sorted((d for d in range(len(data)) if len(data[d][0])), key=lambda d: len(data[d][0]))
+    parts = [_padded([data[d] for d in by_length[i : i + batch]]) for i in range(0, len(by_length), batch)]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for d in order.permutation(len(data)):
-            seq, gold = data[d]
-            n = len(seq)
-            if not n:
-                continue
-            s = Crf(emit, step, begin).scores(seq)
-            f, b = np.zeros((n, labels)), np.zeros((n, labels))
-            f[0] = begin + s[0]
-            for i in range(1, n):
-                f[i] = _log_sum(f[i - 1][:, None] + step, 0) + s[i]
-            for i in range(n - 2, -1, -1):
-                b[i] = _log_sum(step + (s[i + 1] + b[i + 1])[None, :], 1)
-            z = _log_sum(f[-1], 0)
-            there = np.zeros((n, labels))
-            there[np.arange(n), gold] = 1
-            miss = there - np.exp(f + b - z)
-            g = [np.zeros_like(emit), np.zeros_like(step), miss[0]]
-            counts = np.fromiter(map(len, seq), np.int64, n)
-            flat = np.fromiter((x for xs in seq for x in xs), np.int64, int(counts.sum()))
-            np.add.at(g[0], flat, miss[np.repeat(np.arange(n), counts)])
-            for i in range(1, n):
-                g[1] -= np.exp(f[i - 1][:, None] + step + (s[i] + b[i])[None, :] - z)
-                g[1][gold[i - 1], gold[i]] += 1
-            for w, grad, total in zip((emit, step, begin), g, sq, strict=True):
+        for k in order.permutation(len(parts)):
+            grads = _gradient(*parts[k], emit, step, begin)
+            for w, grad, total in zip((emit, step, begin), grads, sq, strict=True):
                 grad = grad - decay * w
                 total += grad * grad
                 w += rate * grad / np.sqrt(total)
     return Crf(emit, step, begin)
+
+
+def _padded(some: list[tuple[Sequence[Sequence[int]], Sequence[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, their places in a padded grid of positions by sequences, lengths, labels)."""
+    n = np.array([len(seq) for seq, _ in some])
+    gold = np.full((n.max(), len(some)), -1)
+    flat, place = [], []
+    for j, (seq, tags) in enumerate(some):
+        gold[: n[j], j] = tags
+        for i, fs in enumerate(seq):
+            flat += fs
+            place += [i * len(some) + j] * len(fs)
+    return np.array(flat), np.array(place), n, gold
+
+
+def _gradient(flat: np.ndarray, place: np.ndarray, n: np.ndarray, gold: np.ndarray, emit: np.ndarray, step: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """The log-likelihood's gradient, by forward-backward over all sequences at once."""
+    m, many, labels = *gold.shape, len(begin)
+    s = np.zeros((m * many, labels))
+    np.add.at(s, place, emit[flat])
+    s = s.reshape(m, many, labels)
+    f, b = np.zeros_like(s), np.zeros_like(s)
+    f[0] = begin + s[0]
+    for i in range(1, m):
+        f[i] = np.where((i < n)[:, None], _log_sum(f[i - 1][:, :, None] + step, 1) + s[i], f[i - 1])
+    for i in range(m - 2, -1, -1):
+        b[i] = np.where((i + 1 < n)[:, None], _log_sum(step + (s[i + 1] + b[i + 1])[:, None, :], 2), 0)
+    z = _log_sum(f[-1], 1)
+    held = gold >= 0
+    there = (gold[:, :, None] == np.arange(labels)) * 1.0
+    miss = (there - np.exp(f + b - z[:, None])) * held[:, :, None]
+    of_emit, of_step = np.zeros_like(emit), np.zeros_like(step)
+    np.add.at(of_emit, flat, miss.reshape(m * many, labels)[place])
+    if m > 1:
+        both = held[1:]
+        np.add.at(of_step, (gold[:-1][both], gold[1:][both]), 1)
+        of_step -= np.exp(f[:-1, :, :, None] + step + (s[1:] + b[1:])[:, :, None, :] - z[:, None, None])[both].sum(axis=0)
+    return [of_emit, of_step, miss[0].sum(axis=0)]

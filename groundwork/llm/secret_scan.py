@@ -49,8 +49,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 class Tagger:
     """lines: labelled lines to train on. reach: tokens before one in which a keyword still counts."""
 
-    lines: int = 1400
-    epochs: int = 5
+    lines: int = 3000
+    epochs: int = 10
     seed: int = 11
     reach: int = 4
 
@@ -68,9 +68,11 @@ _TOKEN = re.compile(r"\s?(?:[A-Za-z0-9+/_.~-]+|[^\sA-Za-z0-9+/_.~-])")  # with t
 _KEYWORD = re.compile(r"(?ai)pass|pwd|secret|token|key|auth|bearer|cred|signature|salt|cookie|session")
 _PHRASE = re.compile(r"(?ai)pass_?phrase")
 _SAFE = re.compile(r"(?ai)version|release|page|phone|tel|fax|call|date|time|commit|build|port|id|isbn|doi|order|invoice|price|total|size|license|licence|uuid|ip|host|card|ref")
+_ABOUT = re.compile(r"(?ai)[_-](?:count|enabled|timeout|length|limit|reset|file|size|type|url|path|ttl|age|policy)$")  # settings about a secret
 _KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk[-_]|pk_|rk_|xox[abprs]-|eyJ|AIza|ya29|SG[.]|npm_|pypi-|hf_|dop_v1|shpat_")
 _PLAIN = [re.compile(x) for x in (r"\d+", r"\d+([.]\d+)+", r"v\d+([.]\d+)*", r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"[A-Za-z]+[-_.]?\d{1,4}", r"\d+(st|nd|rd|th|px|ms|kb|mb|gb|s|m|h|k|x)")]
 _CONSONANTS = re.compile(r"(?ai)[b-df-hj-np-tv-xz]+")
+_RAGGED, _ODD = re.compile(r"[A-Z][a-z](?=[A-Z])"), re.compile(r"(?ai)[jqxzvkwy]")
 _KINDS_OF_MARK = {"=": "eq", ":": "colon", '"': "quote", "'": "quote", "@": "at", "(": "open", ")": "close", "`": "quote", ",": "stop", ";": "stop"}
 
 
@@ -99,13 +101,17 @@ def _shape_of(tok: str) -> list[str]:
     elif len(body) >= 8:
         turns = sum(a.isupper() != b.isupper() for a, b in zip(body, body[1:], strict=False) if a.isalpha() and b.isalpha())
         out.append(f"case:{min(5, turns)}")
-        out.append(f"hard:{min(4, max(map(len, _CONSONANTS.findall(body)), default=0) // 2)}")
+        hard, ragged = max(map(len, _CONSONANTS.findall(body)), default=0), min(3, len(_RAGGED.findall(body)))
+        out += [f"hard:{min(4, hard // 2)}", f"ragged:{ragged}"]
+        if len(body) >= 14:
+            odd = min(5, 10 * len(_ODD.findall(body)) // len(body))
+            out += [f"odd:{odd}", f"mix:{min(4, hard // 2)}:{odd}:{min(ragged, 1)}"]
     if "/" in body:
         out.append(f"slash:{body.startswith('/') or body.count('/') > 2}")
     if _PHRASE.search(tok):
         out.append("phrase")
     if _KEYWORD.search(tok):
-        out.append("keyword")
+        out.append("about" if _ABOUT.search(tok) else "keyword")
     elif _SAFE.fullmatch(tok):
         out.append("safe")
     return out
@@ -120,7 +126,7 @@ def _from_own(shape: Sequence[str]) -> list[str]:
 
 def _from_before(shape: Sequence[str], d: int) -> list[str]:
     """Features that a token has from the shape of the token ``d`` places before it."""
-    return [f"-{d}:{x}" for x in shape if d == 1 and not x.startswith(("len", "entropy")) or x in ("keyword", "phrase", "safe", "mark:eq", "mark:colon")]
+    return [f"-{d}:{x}" for x in shape if d == 1 and not x.startswith(("len", "entropy")) or x in ("keyword", "about", "phrase", "safe", "mark:eq", "mark:colon")]
 
 
 def _from_after(shape: Sequence[str]) -> list[str]:
@@ -198,6 +204,7 @@ class _Writer:
             lambda: f"{'-'.join(''.join(r.choices(h, k=k)) for k in (8, 4, 4, 4, 12))}", lambda: f"{self.word()}{n(2)}", lambda: f"${n(2)}.{n(2)}", lambda: f"{n(3)}px",
             lambda: f"/usr/{self.word()}/{self.word()}{n(1)}/{self.word()}", lambda: f"{self.word()}_{self.word()}_{n(1)}", lambda: f"version {r.randint(1, 4)}.0", lambda: f"{n(1)},{n(3)}",
             lambda: f"20{n(2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{n(1)}:{r.randint(10, 59)}:{r.randint(10, 59)}Z", lambda: f"{r.choice(('RFC', 'ISO', 'DIN', 'EN', 'CVE-', 'PR'))}{n(4)}", lambda: "/" + "/".join(self.word() + r.choice(("", "", n(1), "-" + self.word())) for _ in range(r.randint(3, 7))),
+            lambda: f"https://{r.choice(('www.', ''))}{self.word()}.{r.choice(('org', 'com', 'net'))}/{'/'.join(r.choice((self.word(), n(r.randint(1, 4)))) for _ in range(r.randint(1, 4)))}/{'-'.join(self.word() for _ in range(r.randint(1, 6)))}",
             lambda: "".join(self.word().capitalize() for _ in range(r.randint(2, 5))),
         ))()
 
@@ -221,7 +228,7 @@ class _Writer:
 
     def told(self) -> tuple[str, list[tuple[int, int]]]:
         """A line whose words, not the value's looks, tell a secret; or one that looks like it."""
-        r, kind = self.r, self.r.choice((0, 0, 0, 1, 2, 3, 4, 5, 6, 6, 6, 7, 7))
+        r, kind = self.r, self.r.choice((0, 0, 0, 0, 0, 1, 2, 3, 4, 5, 6, 6, 6, 6, 7, 7))
         key = r.choice(("password", "passwd", "pwd", "pass", "DB_PASS", "secret", "auth_token", "client_secret", "user_password"))
         name = r.choice(("name", "title", "city", "user", "label", "color", "mode", "author", "note", "path"))
         value, n = self.chosen(), self.prose
@@ -418,7 +425,7 @@ def tagged_spans(text: str, p: Tagger, model: Weights) -> list[tuple[str, int, i
     for t, tag in zip([*_TOKEN.finditer(text), None], [*tags.tolist(), OUT], strict=True):
         goes_on = start is not None and tag == _AFTER.get(last)
         if start is not None and not goes_on:
-            out.append(("secret", start, end))
+            out.append(("secret", start, start + len(text[start:end].rstrip(".")) or end))  # a full stop ends the sentence
             start = None
         if tag in (BEGIN, BEGIN_PHRASE):
             start = t.end() - len(t[0].lstrip())
