@@ -1,6 +1,8 @@
 """Personal data by weak supervision.
 
-Candidates are the matches of the fixed patterns and of wider ones. Labelers (format, checksum,
+Candidates are the matches of the fixed patterns and of wider ones (phones in other groups, numbers of
+accounts and of social security, written-out addresses, names by title or first name, in English,
+German, French and Spanish). Labelers (format, checksum,
 gazetteer, context before, context after, shape) vote for, against, or abstain. Over the counts of
 all vote patterns of the corpus, expectation-maximisation estimates how reliable each labeler is and
 how likely each pattern is personal data (two hidden classes for each kind). Those likelihoods
@@ -43,21 +45,40 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# wider patterns
+# wider patterns; runs are possessive and begin at a token's start, so that scans are linear
 _WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z+.])(?:\+?[0-9]{1,3}[\x20.-])?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+_GROUPED_PHONE = re.compile(r"(?<![0-9A-Za-z+.,-])(?<![0-9]\x20)(?:\(?0[0-9]{0,5}\)?|[1-9][0-9]{1,2})(?:[\x20./-][0-9]{2,4}){2,5}+(?![0-9]|[.,][0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")
-_WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]{2,63}){1,4}")
-_NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")
-_FIRST = frozenset("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen maria anna peter paul laura marie hans jean carlos jose luis pierre julia".split())
-_TLDS = frozenset("com net org edu gov mil int info biz io de fr es it uk eu ch at nl be pl us ca au nz jp cn in br mx".split())
-_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])")  # at most 34 signs by the standard
+_WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?)[A-Za-z0-9-]++)+")
+TITLES = "Mr Mrs Ms Miss Mx Dr Prof Sir Herr Herrn Frau Monsieur Madame Mademoiselle Mme Mlle Señor Señora Señorita señor señora señorita Sr Sra Srta Don Doña Dra M"
+_CAP = r"[^\W\d_a-zß-öø-ÿ]['’]?[^\W\d_]++(?:[-'’][^\W\d_]++)*+"
+_LINK = r"(?:(?:van|von|de|del|di|da|zu)\x20(?:(?:der|den|la|le|los|las)\x20)?)?+"
+_TITLED = re.compile(rf"(?<!\w)(?:(?:{TITLES.replace(' ', '|')})\.?\x20)+{_LINK}{_CAP}(?:\x20{_LINK}{_CAP}){{0,2}}")
+_NAMED = re.compile(rf"(?<!\w)({_CAP})(?:\x20[^\W\d_]\.)?\x20{_LINK}{_CAP}")
+FIRST = frozenset("""
+james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen
+daniel nancy matthew lisa anthony betty mark margaret donald sandra steven ashley andrew emily paul donna joshua michelle kenneth carol kevin
+amanda brian melissa george deborah edward stephanie henry laura eleanor alice emma olivia jack oliver harry grace sophie
+hans peter klaus jürgen wolfgang uwe stefan andreas frank dieter sabine petra monika ursula claudia birgit anja heike katrin lukas jonas felix leon anna lena lea
+jean pierre michel philippe alain nicolas françois jacques louis claire nathalie isabelle sylvie catherine martine camille chloé léa manon julien antoine
+josé juan manuel carlos luis javier francisco antonio miguel pedro maría carmen ana isabel dolores pilar lucía marta elena sofía pablo diego alejandro fernando maria marie julia
+""".split())
+#: Words that begin names of places, firms and titles, not of people.
+_NO_NAME = frozenset("new old great saint san santa los las the der die das ein le la les un une el los una grand united national wall royal ring ringe post street journal bank bahn city".split())
+#: Top-level domains of more than two letters; all of two letters are country codes.
+_TLDS = frozenset("com net org edu gov mil int info biz app dev shop online site blog cloud tech museum name travel jobs".split())
+_COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TN TR UA VA VG XK".split())
 _NEAR = {
-    "email": "mail|contact|write|reach|address", "ip": "ip|address|host|server|client|login|from", "card": "card|visa|credit|debit|payment|pay|billing",
-    "phone": "phone|call|tel|mobile|cell|fax|contact|whatsapp", "ssn": "ssn|social|security|tax", "iban": "iban|bank|account|transfer", "name": "dear|contact|by|with|from|met",
+    "email": "e-?mail|contact|write|reach|address|kontakt|schreib|adresse|écri|courriel|correo|escrib", "ip": "ip|address|host|server|client|login|from", "card": "card|visa|credit|debit|payment|pay|billing|karte|carte|tarjeta",
+    "phone": "phone|call|tel|tél|mobile|cell|fax|contact|whatsapp|telefon|ruf|anruf|handy|appel|portable|teléfono|llam|móvil", "ssn": "ssn|social|security|tax",
+    "iban": "iban|bank|account|transfer|konto|überweis|compte|virement|banque|cuenta|banco",
+    "name": "dear|contact|by|with|name is|met|signed|sincerely|mein name|ansprechpartner|kontakt|appelle|llamo|tenant|ask|from",
 }
 _NEAR = {k: re.compile(f"(?i)(?<![a-z])(?:{v})") for k, v in _NEAR.items()}
-_AGAINST = re.compile(r"(?i)(?<![a-z])(?:version|release|isbn|issn|order|invoice|section|figure|fig|chapter|serial|sku|part|model|build|ref|licen[sc]e)")
+#: What stands right before a name that someone states.
+_STATED = re.compile(r"(?i)(?:name is|i am|i'm|dear|mein name ist|ich bin|ich heiße|m'appelle|je suis|me llamo|mi nombre es|soy|signed by|sincerely,|contact|kontakt:|ansprechpartner(?:in)? ist)\s*$")
+_AGAINST = re.compile(r"(?i)(?<![a-z])(?:version|release|isbn|issn|order|invoice|section|figure|fig|chapter|serial|sku|part|model|build|ref|licen[sc]e|code|room|total|score|years?|rechnung|kapitel|abbildung|facture|chapitre|factura|capítulo)")
 
 
 def _luhn(digits: str) -> bool:
@@ -99,12 +120,21 @@ def wide_spans(text: str, has_digit: bool) -> list[tuple[str, int, int]]:
     if has_digit:
         for kind, p in (("phone", _WIDE_PHONE), ("ssn", _SSN), ("iban", _IBAN)):
             out += [(kind, *m.span()) for m in p.finditer(text)]
+        out += [("phone", *m.span()) for m in _GROUPED_PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
         out += [("ip", *m.span()) for m in _IP.finditer(text)]
         out += [("card", *m.span()) for m in _CARD.finditer(text) if 12 <= len(_digits(m[0])) <= 19]
-    if "at]" in text or "at)" in text:
+    if any(x in text for x in ("at]", "at)", "at}")):
         out += [("email", *m.span()) for m in _WIDE_EMAIL.finditer(text)]
-    if any(t in text for t in ("Mr", "Ms", "Dr", "Prof")):
-        out += [("name", *m.span()) for m in _NAME.finditer(text)]
+    if _TITLE.search(text):
+        out += [("name", *m.span()) for m in _TITLED.finditer(text)]
+    if any(w in FIRST for w in map(str.lower, _CAPS.findall(text))):
+        ends = {i for _, a, b in out if _ == "name" for i in range(a, b)}
+        at = 0
+        while m := _NAMED.search(text, at):
+            at = m.start(1) + 1
+            if m[1].lower() in FIRST and m.start() not in ends:
+                out.append(("name", *m.span()))
+                at = m.end()
     return out
 
 
@@ -123,24 +153,28 @@ def _checksum(kind: str, s: str) -> int:
 
 def _gazetteer(kind: str, s: str) -> int:
     if kind == "email":
-        return 1 if re.split(r"[.\])\x20]", s.lower())[-1] in _TLDS else -1
+        last = re.split(r"[.\])}\x20]", s.lower())[-1]
+        return 1 if last in _TLDS or (len(last) == 2 and last.isalpha()) else -1
     if kind == "name":
-        return 1 if set(s.lower().split()) & _FIRST else 0
+        ws = s.lower().replace(".", "").split()
+        return -1 if _NO_NAME.intersection(ws) else 1 if FIRST.intersection(ws) else 0
     if kind == "iban":
         return 1 if s[:2] in _COUNTRIES else -1
-    return 1 if kind == "phone" and "555" in s else 0
+    if kind == "phone":  # a trunk or country prefix
+        return 1 if re.match(r"\+|00|\(?0", s) else 0 if _WIDE_PHONE.fullmatch(s) else -1
+    return 0
 
 
 def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """A vote of each labeler: 1 for, -1 against, 0 abstains."""
     s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 24]
     digits = len(_digits(s))
-    shape = {"email": len(s) <= 80, "ip": 7 <= len(s) <= 15, "card": 13 <= digits <= 16, "phone": 10 <= digits <= 13, "ssn": True, "iban": 15 <= len(s.replace(" ", "")) <= 34, "name": len(s) <= 40}[kind]
+    shape = {"email": len(s) <= 80, "ip": 7 <= len(s) <= 15, "card": 13 <= digits <= 16, "phone": 9 <= digits <= 13, "ssn": True, "iban": 15 <= len(s.replace(" ", "")) <= 34, "name": len(s) <= 40}[kind]
     left, right = text[start - 1 : start] if start else "", text[end : end + 1]
     cut_off = left.isalnum() or right.isalnum() or left in ("-", "/", "#", "$") or right in ("-", "/", "%")
     return (
         1 if base else 0, _checksum(kind, s), _gazetteer(kind, s),
-        -1 if _AGAINST.search(before) else 1 if _NEAR[kind].search(before) else 0, 1 if _NEAR[kind].search(after) else 0, -1 if cut_off or not shape else 1,
+        -1 if _AGAINST.search(before) else 1 if (_STATED if kind == "name" else _NEAR[kind]).search(before) or (kind == "name" and s[: s.find(" ")].rstrip(".") in _TITLE_SET) else 0, 1 if _NEAR[kind].search(after) else 0, -1 if cut_off or not shape else 1,
     )
 
 
@@ -227,14 +261,18 @@ def candidates_of(text: str) -> list[tuple[str, int, int, bool, int]]:
     has_digit = _DIGIT.search(text) is not None
     base = base_spans(text) if has_digit or "@" in text else []
     known = set(base)
+    wide = [s for s in wide_spans(text, has_digit) if s not in known and not (s[0] == "phone" and any(a < s[2] and s[1] < b for _, a, b in base))]
     out = []
-    for kind, a, b in [*base, *(s for s in wide_spans(text, has_digit) if s not in known)]:
+    for kind, a, b in [*base, *wide]:
         fixed = (kind, a, b) in known
         out.append((kind, a, b, fixed, code(kind, votes(kind, text, a, b, fixed), text[a:b])))
     return out
 
 
 _DIGIT = re.compile(r"[0-9]")
+_TITLE = re.compile(rf"(?<!\w)(?:{TITLES.replace(' ', '|')})(?!\w)")
+_TITLE_SET = frozenset(TITLES.split())
+_CAPS = re.compile(_CAP)
 _SPANS = "array<struct<kind:string,start:long,end:long,fixed:boolean>>"
 _FOUND = "array<struct<kind:string,start:long,end:long,fixed:boolean,code:long>>"
 

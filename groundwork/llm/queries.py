@@ -70,7 +70,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["fixed"])
-    return found.select("doc_id", *spans.digest(F.col("pii_spans"), base, pii.BASE))
+    return found.select("doc_id", *spans.digest(F.col("pii_spans"), base, pii.BASE), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
