@@ -1,11 +1,13 @@
 """License scans with a positional index of rare words.
 
-The index holds, for each rare word of the licence notices, its (template, position) postings. A
-word is rare by its inverse document frequency over all documents; the rarest three words of each
-template are always in. For each rare word of a file, every posting votes, with the word's weight,
-for (template, start = place - position): postings intersect where their relative positions agree.
-A start whose template words carry enough of the template's weight, with the template's mandatory
-phrases standing inside it, labels the file.
+The index holds, for each template (a licence text, a notice, an identifier), postings (template,
+position) of its words of highest inverse document frequency over all documents: as many as carry
+more than the weight that a match may lack. So no place that reaches the score can lack all of them,
+and the words left out lose nothing. A file's licence words are looked up from its rarest on; every
+posting tells a start (place - position), and starts that agree up to a band, which edits shift, are
+one place. A place whose words carry enough of the template's weight is aligned with it word by word;
+if the words in line still do, and the template's mandatory phrases stand inside, it labels the file.
+"licence" is read as "license" there.
 
 Edge cases: a null text is empty; a text without licence words has no label and score 0; places of
 the base phrases count whatever the index says; repeated rows are scanned alike; an empty table gives
@@ -14,59 +16,31 @@ an empty table; further columns are not read.
 
 from __future__ import annotations
 
+import difflib
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.llm.license_texts import templates
 from groundwork.llm.text import TERM, whole
 
 # fixed values: the base phrases and their labels
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, notice, mandatory phrases): all phrases must stand within the notice's place.
-TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "this project is licensed under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
-    ("apache-2", "licensed under the apache license version 2 0", ("apache license", "2 0")),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache org licenses", "2 0")),
-    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license", "3")),
-    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license", "version 3")),
-    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license", "2")),
-    ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license", "version 2")),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3", ("gnu lesser general public license", "3")),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license", "3")),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "2 0")),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("bsd-3", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
-    ("bsd-2", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "without fee")),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
-    ("cc0", "licensed under cc0 1 0", ("cc0 1 0",)),
-    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ("attribution sharealike 4 0",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ("attribution noncommercial 4 0",)),
-)
-
-
 @dataclass(frozen=True)
 class Scan:
-    """score: share of a template's weight that a place must have. rare: share of all documents up
-    to which a word counts as rare. slack: words by which parts of a notice may be shifted."""
+    """score: share of a template's weight that a place must have in line. band: words by which edits
+    may shift parts of a template, two at least and one in ``band`` of its length."""
 
-    score: float = 0.75
-    rare: float = 0.05
-    slack: int = 1
+    score: float = 0.7
+    band: int = 8
 
 
 _TERMS = re.compile(TERM)
@@ -77,65 +51,97 @@ def terms(text: str) -> list[str]:
     return _TERMS.findall(text.encode().lower().decode())
 
 
+SPELLED = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+
+
+@lru_cache(maxsize=1)
+def wanted_texts() -> tuple[tuple[str, tuple[str, ...], tuple[tuple[str, ...], ...]], ...]:
+    """(label, words, words of the mandatory phrases) of each template, each text once."""
+    out = {}
+    for label, text, phrases in templates():
+        ws = tuple(SPELLED.get(w, w) for w in terms(text))
+        out.setdefault((label, ws), tuple(tuple(SPELLED.get(w, w) for w in terms(x)) for x in phrases))
+    return tuple((label, ws, phrases) for (label, ws), phrases in out.items())
+
+
 class Index:
     def __init__(self, frequency: dict[str, int], documents: int, p: Scan):
-        self.p = p
-        self.templates = [(label, notice.split(), [x.split() for x in phrases]) for label, notice, phrases in TEMPLATES]
-        vocabulary = {w for _, ws, _ in self.templates for w in ws}
-        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 0.05 for w in vocabulary}
-        rare = {w for w in vocabulary if frequency.get(w, 0) <= p.rare * documents}
-        for _, ws, _ in self.templates:
-            rare.update(sorted(set(ws), key=lambda w: (-self.idf[w], w))[:3])
+        self.p, self.templates = p, wanted_texts()
+        self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 0.05 for _, ws, _ in self.templates for w in ws}
         self.postings = defaultdict(list)
-        self.weight = []
+        self.weight = [sum(self.idf[w] for w in ws) for _, ws, _ in self.templates]
         for t, (_, ws, _) in enumerate(self.templates):
-            self.weight.append(sum(self.idf[w] for w in ws))
-            for i, w in enumerate(ws):
-                if w in rare:
+            left = (1 - p.score) * self.weight[t]
+            for w in sorted(set(ws), key=lambda w: (-self.idf[w], w)):
+                at = [i for i, x in enumerate(ws) if x == w]
+                for i in at:
                     self.postings[w].append((t, i))
-        self.rare_weight = [sum(self.idf[w] for w in ws if w in rare) for _, ws, _ in self.templates]
+                left -= len(at) * self.idf[w]
+                if left < 0:
+                    break
+        for other, w in SPELLED.items():
+            if w in self.postings:
+                self.postings[other] = self.postings[w]
         self.base = [(x.split(), label) for x, label in BASE.items()]
-        self.wanted = set(self.postings) | {ws[-1] for ws, _ in self.base}
+        self.last = {ws[-1] for ws, _ in self.base}
+        self.wanted = set(self.postings) | self.last
 
     def scan(self, ws: list[str]) -> dict:
-        at = [i for i, w in enumerate(ws) if w in self.wanted]
         base, first, last, found = set(), None, None, 0
-        for i in at:
-            for phrase, label in self.base:
-                start = i - len(phrase) + 1
-                if ws[i] == phrase[-1] and start >= 0 and ws[start : i + 1] == phrase:
-                    base.add(label)
-                    found += 1
-                    first, last = min(start, first if first is not None else start), max(start, last if last is not None else start)
-        ballots: dict[tuple[int, int], float] = defaultdict(float)
-        for i in at:
-            for t, pos in self.postings.get(ws[i], ()):
-                ballots[t, i - pos] += self.idf[ws[i]]
-        best: dict[str, float] = {}
-        for (t, start), v in ballots.items():
-            shifted = sum(ballots.get((t, start + d), 0.0) for d in range(-self.p.slack, self.p.slack + 1) if d)
-            if v + shifted < 0.5 * self.rare_weight[t]:
+        places = defaultdict(list)
+        for i, w in enumerate(ws):
+            if w not in self.wanted:
                 continue
-            label, notice, phrases = self.templates[t]
-            score = self._score(ws, start, t)
-            if score >= self.p.score and score > best.get(label, 0) and self._verified(ws[max(0, start - 2) : start + len(notice) + 2], phrases):
-                best[label] = score
+            places[w].append(i)
+            if w in self.last:
+                for phrase, label in self.base:
+                    start = i - len(phrase) + 1
+                    if w == phrase[-1] and start >= 0 and ws[start : i + 1] == phrase:
+                        base.add(label)
+                        found += 1
+                        first, last = min(start, first if first is not None else start), max(start, last if last is not None else start)
+        best = self._labels(ws, places) if places else {}
         return {
             "n_words": len(ws), "n_base": found, "first_word": first, "last_word": last, "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | set(best))), "score": max([1.0 if base else 0.0, *best.values()]),
         }
 
-    def _score(self, ws: list[str], start: int, t: int) -> float:
-        got = 0.0
-        for pos, w in enumerate(self.templates[t][1]):
-            i = start + pos
-            if w in ws[max(0, i - self.p.slack) : max(0, i + self.p.slack + 1)]:
-                got += self.idf[w]
-        return min(1.0, got / self.weight[t])
+    def _labels(self, ws: list[str], places: dict[str, list[int]]) -> dict[str, float]:
+        """The best score of each label."""
+        starts = defaultdict(set)
+        for w in sorted(places, key=lambda w: -self.idf.get(SPELLED.get(w, w), 0)):  # the file's rarest words first
+            for t, pos in self.postings.get(w, ()):
+                starts[t].update(i - pos for i in places[w])
+        best: dict[str, float] = {}
+        for t, some in starts.items():
+            label, of, phrases = self.templates[t]
+            band = max(2, len(of) // self.p.band)
+            after = None
+            for start in sorted(some):
+                if after is not None and start <= after:
+                    continue  # of the place before
+                part = [SPELLED.get(w, w) for w in ws[max(0, start - band) : max(0, start + len(of) + 2 * band)]]
+                after = start + band
+                if self._present(part, of) < self.p.score * self.weight[t] or not self._verified(part, phrases):
+                    continue
+                score = self._in_line(part, of) / self.weight[t]
+                if score >= self.p.score:
+                    best[label] = max(best.get(label, 0.0), min(1.0, score))
+        return best
+
+    def _present(self, part: list[str], of: tuple[str, ...]) -> float:
+        """The weight of the words of ``of`` that ``part`` has, in any order: no alignment has more."""
+        have = Counter(part)
+        return sum(self.idf[w] * min(n, have[w]) for w, n in Counter(of).items() if w in have) + 1e-9
+
+    def _in_line(self, part: list[str], of: tuple[str, ...]) -> float:
+        """The weight of the words of ``of`` that ``part`` has in the same order."""
+        same = difflib.SequenceMatcher(None, part, of, autojunk=False).get_matching_blocks()
+        return sum(self.idf[w] for m in same for w in of[m.b : m.b + m.size])
 
     @staticmethod
-    def _verified(part: list[str], phrases: list[list[str]]) -> bool:
-        return all(any(part[i : i + len(x)] == x for i in range(len(part) - len(x) + 1)) for x in phrases)
+    def _verified(part: list[str], phrases: tuple[tuple[str, ...], ...]) -> bool:
+        return all(any(tuple(part[i : i + len(x)]) == x for i in range(len(part) - len(x) + 1)) for x in phrases)
 
 
 RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -144,7 +150,7 @@ RESULT = "n_words long, n_base long, first_word long, last_word long, base_label
 def frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
     """How many documents have each licence word (a fixed list), and how many there are: counted on
     all documents; a number for each word of the list reaches the driver."""
-    vocabulary = frozenset(w for _, notice, _ in TEMPLATES for w in notice.split())
+    vocabulary = frozenset(w for _, ws, _ in wanted_texts() for w in ws)
 
     @F.pandas_udf("array<string>")
     def has(text: pd.Series) -> pd.Series:
