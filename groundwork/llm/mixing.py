@@ -3,10 +3,13 @@
 Every document of a source expects target / size copies. Within the source, documents stand in a
 fixed order (size class, block, size, hash); the prefix sums of the expected copies plus one random
 offset cross integers, and each crossing emits the document once. Neighbours in that order are of
-like size, so that the words taken come within about one document of the target.
+like size, so that the words taken come within about one document of the target. Targets are
+fractions and the sums whole numbers, so no rounding takes a document once too often.
 
 Ranks are dealt by (source, size class, block), not by source: a source with a third of all rows
-spreads over hundreds of groups, whose offsets come from a prefix sum over their counts.
+spreads over hundreds of groups, whose offsets come from a prefix sum over their counts; a size class
+with many rows (documents of one size, or empty ones) has as many blocks as its count asks for. Words
+are counted once; ids and sizes are written to the shared folder and read back for the counts.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in the order; sources
 without words have target 0; repeated rows are drawn apart from each other; an empty table gives an
@@ -15,26 +18,28 @@ empty table; a null doc_id is an id like any other.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundwork.llm.lineage import cut
 from groundwork.llm.text import WORD, whole
 
 
 @dataclass(frozen=True)
 class Mix:
     """weights: by turns, over the sources in order. share_percent: of all sizes, to be taken in
-    sum. cap: times its size that a source gives at most. seed: of the offset. blocks: parts of
-    each size class of a source, for spreading the ranks."""
+    sum. cap: times its size that a source gives at most. seed: of the offset. block_rows: about as
+    many rows of a size class of a source are ranked together."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share_percent: int = 150
     cap: int = 2
     seed: int = 17
-    blocks: int = 8
+    block_rows: int = 100_000
 
 
 def size_class(size: Column) -> Column:
@@ -50,59 +55,78 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
 
 
+WHOLE = "decimal(38,0)"
+
+
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """(source, source_size) to (source, source_size, target); a row for each source.
+    """(source, source_size) to (source, source_size, num, den, target); a row for each source.
+    target is num / den, whole numbers.
 
     Filling by weight under caps: with the sources in order of cap / weight, those whose cap is
     below their share of what the ones before leave are capped, the rest share by weight. One row
     for each source meets in one window: sources, unlike documents, are few.
     """
-    cap, w = F.col("source_size") * mix.cap, F.col("_w")
+    cap, w = (F.col("source_size") * mix.cap).cast(WHOLE), F.col("_w")
     rank = (F.row_number().over(W.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % len(mix.weights)
     weight = F.element_at(F.array(*[F.lit(x) for x in mix.weights]), (rank + 1).cast("int"))
-    order = W.orderBy((cap / w).asc(), F.col("source").isNull(), F.col("source"))
+    turns = math.lcm(*mix.weights)
+    per_weight = (cap * F.expr(f"{turns} div _w")).cast(WHOLE)
+    order = W.orderBy(per_weight.asc(), F.col("source").isNull(), F.col("source"))
     rest = order.rowsBetween(W.currentRow, W.unboundedFollowing)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     all_rows = W.partitionBy(F.lit(1))
-    out = sizes.withColumn("_w", weight).withColumn("_total", F.sum("source_size").over(all_rows) * mix.share_percent / 100)
-    out = out.withColumn("_left", F.col("_total") - F.coalesce(F.sum(cap).over(before), F.lit(0)))
-    out = out.withColumn("_weights", F.sum("_w").over(rest))
+    out = sizes.withColumn("_w", weight).withColumn("_total", (F.sum("source_size").over(all_rows) * mix.share_percent).cast(WHOLE))
+    # in hundredths of a word, so that the percentage leaves whole numbers
+    out = out.withColumn("_left", (F.col("_total") - F.coalesce(F.sum(cap).over(before), F.lit(0)) * 100).cast(WHOLE))
+    out = out.withColumn("_weights", F.sum("_w").over(rest).cast(WHOLE))
     # the first source in order that isn't capped sets the share of all later ones
-    out = out.withColumn("_capped", cap.cast("double") * F.col("_weights") <= F.col("_left") * w)
+    out = out.withColumn("_capped", cap * F.col("_weights") * 100 <= F.col("_left") * w)
     out = out.withColumn("_i", F.row_number().over(order))
     free = F.struct(F.col("_left"), F.col("_weights"))
     first = F.min_by(F.when(~F.col("_capped"), free), F.when(~F.col("_capped"), F.col("_i"))).over(all_rows)
     out = out.withColumn("_free", first)
-    share = F.col("_free._left") * w / F.col("_free._weights")
-    return out.select("source", "source_size", F.when(F.col("_capped") | F.col("_free").isNull(), cap.cast("double")).otherwise(share).alias("target"))
+    full = F.col("_capped") | F.col("_free").isNull()
+    num = F.when(full, cap).otherwise((F.col("_free._left") * w).cast(WHOLE)).cast(WHOLE)
+    den = F.when(full, F.lit(1).cast(WHOLE)).otherwise((F.col("_free._weights") * 100).cast(WHOLE))
+    out = out.withColumn("num", num).withColumn("den", den)
+    return out.select("source", "source_size", "num", "den", (F.col("num").cast("double") / F.col("den").cast("double")).alias("target"))
+
+
+def _same(a: DataFrame, b: DataFrame, cols: tuple[str, ...]) -> list[Column]:
+    return [a[c].eqNullSafe(b[f"c_{c}"]) for c in cols]
 
 
 def plan(docs: DataFrame, mix: Mix | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (times the mix takes the document), and the
-    columns of ``keep``."""
+    columns of ``keep``, which are read again."""
     m = mix or Mix()
     size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
     sized = docs.select("doc_id", "source", size.alias("size"), *keep)
-    key = draw(F.col("doc_id"), m.seed)
-    sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_key", key).withColumn("_block", F.col("_key") % m.blocks)
-    chunk = ["source", "_class", "_block"]
-    counts = sized.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
+    sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_key", draw(F.col("doc_id"), m.seed))
+    narrow = cut(sized.drop(*keep))
+    by_class = narrow.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    # no more rows than one in block_rows
+    large = by_class.filter(F.col("_n") > m.block_rows).select(F.col("source").alias("c_source"), F.col("_class").alias("c__class"), F.expr(f"1 + _n div {m.block_rows}").alias("_blocks"))
+    blocked = lambda d: d.join(large, _same(d, large, ("source", "_class")), "left").withColumn("_block", F.col("_key") % F.coalesce("_blocks", F.lit(1))).drop("c_source", "c__class", "_blocks")
+    chunk = ("source", "_class", "_block")
+    counts = blocked(narrow).groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))
     goal = targets(counts.groupBy("source").agg(F.sum("_size").alias("source_size")), m)
     prior = W.partitionBy("source").orderBy(F.col("_class").desc(), "_block").rowsBetween(W.unboundedPreceding, -1)
     chunks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(prior), F.lit(0))).drop("_n", "_size")
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    g = goal.withColumnRenamed("source", "_s")
-    chunks = chunks.join(g, chunks["source"].eqNullSafe(g["_s"])).drop("_s")
-    c = chunks.select(*[F.col(x).alias(f"c_{x}") for x in chunk], "_before", "source_size", "target")
+    g = goal.withColumnRenamed("source", "c_source")
+    chunks = chunks.join(g, _same(chunks, g, ("source",))).drop("c_source")
+    # the offset, below one copy, as a whole number of parts of den * source_size
+    unit = (F.col("den") * F.col("source_size")).cast(WHOLE)
+    offset = draw(F.coalesce(F.col("source"), F.lit("")), m.seed).cast(WHOLE)
+    chunks = chunks.withColumn("_unit", unit).withColumn("_draw", offset).withColumn("_offset", F.expr(f"cast(cast(_unit * _draw as {WHOLE}) div 4294967296 as {WHOLE})"))
+    c = chunks.select(*[F.col(x).alias(f"c_{x}") for x in chunk], "_before", "source_size", "target", "num", "_unit", "_offset")
+    rows = blocked(sized if keep else narrow)
     rank = F.row_number().over(W.partitionBy(*chunk).orderBy(F.col("size").desc(), "_key", "doc_id"))
-    ranked = sized.withColumn("_rank", rank)
-    placed = ranked.join(c, [ranked[x].eqNullSafe(c[f"c_{x}"]) for x in chunk])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = draw(F.coalesce(F.col("source"), F.lit("")), m.seed) / F.lit(4294967296.0)
-    at = F.col("_before") + F.col("_rank")
-    copies = F.floor(at * F.col("_rate") + F.col("_u")) - F.floor((at - 1) * F.col("_rate") + F.col("_u"))
-    out = placed.withColumn("_rate", rate).withColumn("_u", offset).withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", *keep)
+    ranked = rows.withColumn("_rank", rank)
+    placed = ranked.join(c, _same(ranked, c, chunk)).withColumn("_at", (F.col("_before") + F.col("_rank")).cast("decimal(20,0)"))
+    crossed = lambda at: F.expr(f"cast({at} * num + _offset as {WHOLE}) div _unit")
+    copies = F.when(F.col("source_size") > 0, crossed("_at") - crossed("(_at - 1)")).otherwise(F.lit(0))
+    return placed.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", *keep)
 
 
 def mix_sources(docs: DataFrame, mix: Mix | None = None) -> DataFrame:

@@ -10,29 +10,30 @@ OP1 = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS k FROM documents
-), b AS (SELECT *, k % 8 AS block, CASE {_BINS} ELSE size END AS bin FROM d
+), c AS (SELECT *, CASE {_BINS} ELSE size END AS bin FROM d
+), b AS (SELECT *, k % CASE WHEN count(*) OVER (PARTITION BY source, bin) > 100000 THEN 1 + count(*) OVER (PARTITION BY source, bin) // 100000 ELSE 1 END AS block FROM c
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::HUGEINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
   FROM d GROUP BY source
 ), o AS (
-  SELECT *, source_size * 2 AS cap, row_number() OVER (ORDER BY source_size * 2 / w, source NULLS LAST) AS i FROM s
+  SELECT *, source_size * 2 AS cap, row_number() OVER (ORDER BY source_size * 2 * (10 // w), source NULLS LAST) AS i FROM s
 ), r AS (
-  SELECT *, (sum(source_size) OVER ())::DOUBLE * 150 / 100
-            - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS room,
-         (sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS ws FROM o
-), f AS (SELECT room, ws FROM r WHERE cap::DOUBLE * ws > room * w ORDER BY i LIMIT 1
+  SELECT *, (sum(source_size) OVER ())::HUGEINT * 150
+            - 100 * coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS room,
+         (sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS ws FROM o
+), f AS (SELECT room, ws FROM r WHERE cap * ws * 100 > room * w ORDER BY i LIMIT 1
 ), t AS (
-  SELECT r.source, r.source_size, CASE WHEN cap::DOUBLE * r.ws <= r.room * w OR f.ws IS NULL THEN cap::DOUBLE
-         ELSE f.room * w / f.ws END AS target FROM r LEFT JOIN f ON true
+  SELECT r.source, r.source_size, CASE WHEN cap * r.ws * 100 <= r.room * w OR f.ws IS NULL THEN cap ELSE f.room * w END AS num,
+         CASE WHEN cap * r.ws * 100 <= r.room * w OR f.ws IS NULL THEN 1::HUGEINT ELSE f.ws * 100 END AS den FROM r LEFT JOIN f ON true
 ), p AS (
-  SELECT b.doc_id, b.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-         row_number() OVER (PARTITION BY b.source ORDER BY bin DESC, block, b.size DESC, k, doc_id) AS n,
-         ('0x' || substr(md5('17:' || coalesce(b.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  SELECT b.doc_id, b.size, t.source_size, num, num::DOUBLE / den::DOUBLE AS target, den * source_size AS unit,
+         (row_number() OVER (PARTITION BY b.source ORDER BY bin DESC, block, b.size DESC, k, doc_id))::HUGEINT AS n,
+         (den * source_size * ('0x' || substr(md5('17:' || coalesce(b.source, '')), 1, 8))::BIGINT) // 4294967296 AS u
   FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, size * (floor(n * rate + u) - floor((n - 1) * rate + u))::BIGINT AS taken FROM p
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       CASE WHEN source_size > 0 THEN size * ((n * num + u) // unit - ((n - 1) * num + u) // unit) ELSE 0 END::BIGINT AS taken FROM p
 """
 
 _HEAD = "'<|' || x.role || '|>' || chr(10)"
