@@ -32,14 +32,14 @@ from groundwork.llm.text import WORD, whole
 @dataclass(frozen=True)
 class Mix:
     """weights: by turns, over the sources in order. share_percent: of all sizes, to be taken in
-    sum. cap: times its size that a source gives at most. seed: of the offset. block_rows: about as
-    many rows of a size class of a source are ranked together."""
+    sum. cap: times its size that a source gives at most. seed: of the offset. spread: a size class
+    of n rows of a source is ranked in 1 + sqrt(n) / spread blocks."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share_percent: int = 150
     cap: int = 2
     seed: int = 17
-    block_rows: int = 100_000
+    spread: int = 10
 
 
 def size_class(size: Column) -> Column:
@@ -105,8 +105,9 @@ def plan(docs: DataFrame, mix: Mix | None = None, keep: tuple[str, ...] = ()) ->
     sized = sized.withColumn("_class", size_class(F.col("size"))).withColumn("_key", draw(F.col("doc_id"), m.seed))
     narrow = cut(sized.drop(*keep))
     by_class = narrow.groupBy("source", "_class").agg(F.count(F.lit(1)).alias("_n"))
-    # no more rows than one in block_rows
-    large = by_class.filter(F.col("_n") > m.block_rows).select(F.col("source").alias("c_source"), F.col("_class").alias("c__class"), F.expr(f"1 + _n div {m.block_rows}").alias("_blocks"))
+    # a row for each source and size class that has several blocks
+    blocks = F.lit(1) + F.floor(F.floor(F.sqrt("_n")) / m.spread)
+    large = by_class.select(F.col("source").alias("c_source"), F.col("_class").alias("c__class"), blocks.cast("long").alias("_blocks")).filter("_blocks > 1")
     blocked = lambda d: d.join(large, _same(d, large, ("source", "_class")), "left").withColumn("_block", F.col("_key") % F.coalesce("_blocks", F.lit(1))).drop("c_source", "c__class", "_blocks")
     chunk = ("source", "_class", "_block")
     counts = blocked(narrow).groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_size"))

@@ -11,7 +11,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS k FROM documents
 ), c AS (SELECT *, CASE {_BINS} ELSE size END AS bin FROM d
-), b AS (SELECT *, k % CASE WHEN count(*) OVER (PARTITION BY source, bin) > 100000 THEN 1 + count(*) OVER (PARTITION BY source, bin) // 100000 ELSE 1 END AS block FROM c
+), b AS (SELECT *, k % (1 + floor(sqrt(count(*) OVER (PARTITION BY source, bin)))::BIGINT // 10) AS block FROM c
 ), s AS (
   SELECT source, sum(size)::HUGEINT AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w

@@ -102,8 +102,8 @@ def test_no_place_is_taken_once_too_often(spark):
     rows = [(i, "a", "w " * (1 + i % 3)) for i in range(4096)] + [(9000 + i, "b", "x " * 400) for i in range(40)] + [(9999, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     for seed in range(3):
-        for block_rows in (50, 100_000):
-            out = mixing.plan(docs, mixing.Mix(weights=(1, 7), share_percent=190, seed=seed, block_rows=block_rows)).toPandas()
+        for spread in (1, 1000):
+            out = mixing.plan(docs, mixing.Mix(weights=(1, 7), share_percent=190, seed=seed, spread=spread)).toPandas()
             assert len(out) == len(rows) and out["copies"].max() <= 2
             for _, g in out.groupby("source"):
                 assert abs((g["size"] * g["copies"]).sum() - g["target"].iloc[0]) <= 2 * g["size"].max()
