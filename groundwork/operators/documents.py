@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundwork.functions.columns import SECRET_TOKEN, collapsed, numeric_tokens, redacted
+from groundwork.functions.columns import SECRET_TOKEN, SPACE, collapsed, numeric_tokens, redacted
 
 
 def content_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,23 +57,31 @@ _BOUNDARY = r"(?<=\n)(?=[^\n])|(?<=[.!?。！？]\s)(?=[A-Z“\"‘(\[])"
 
 def build_excerpts(locators: DataFrame, keys: Sequence[str], text: str = "text", shortest: int = 8) -> DataFrame:
     """keys, n, quote: contiguous spans whose concatenation is the text. A span shorter than
-    ``shortest`` collapsed characters joins the next, a short last one the previous."""
-    size = lambda x: F.length(collapsed(x))
-    empty = F.expr("array()").cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        grown = F.concat(a["open"], x)
-        full = size(grown) >= shortest
-        return F.struct(F.when(full, F.concat(a["done"], F.array(grown))).otherwise(a["done"]).alias("done"), F.when(full, F.lit("")).otherwise(grown).alias("open"))
-
-    def finish(a: Column) -> Column:
-        n = F.size(a["done"])
-        joined = F.concat(F.slice(a["done"], 1, n - 1), F.array(F.concat(F.element_at(a["done"], -1), a["open"])))
-        return F.when(a["open"] == "", a["done"]).when(n == 0, F.array(a["open"])).otherwise(joined)
-
-    spans = F.aggregate(F.split(text, _BOUNDARY), start, step, finish)
-    return locators.select(*keys, F.posexplode(spans).alias("n", "quote")).withColumn("n", F.col("n") + 1)
+    ``shortest`` collapsed characters joins the next, a short last one the previous. Each text is
+    read once, from its first piece to its last."""
+
+    @F.pandas_udf("array<string>")
+    def spans(pieces: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(parts: Sequence[str], ns: Sequence[int]) -> list[str]:
+            out, at, held = [], 0, 0
+            for i in range(len(parts)):
+                held = ns[i] if at == i else size("".join(parts[at : i + 1])) if held + ns[i] < 4 * shortest else held + ns[i]
+                if held >= shortest:
+                    out.append("".join(parts[at : i + 1]))
+                    at, held = i + 1, 0
+            rest = "".join(parts[at:])
+            return out if not rest else [*out[:-1], out[-1] + rest] if out else [rest]
+
+        return pd.Series([one(p, n) if p is not None else [] for p, n in zip(pieces, sizes, strict=True)])
+
+    space = re.compile(SPACE + "+", re.ASCII)
+
+    def size(x: str) -> int:
+        return len(space.sub(" ", x).strip(" "))
+
+    parts = locators.select(*keys, F.split(text, _BOUNDARY).alias("_p"))
+    parts = parts.withColumn("_n", F.transform("_p", lambda x: F.length(collapsed(x))))
+    return parts.select(*keys, F.posexplode(spans("_p", "_n")).alias("n", "quote")).withColumn("n", F.col("n") + 1)
 
 
 # fixed values: links in prose

@@ -11,38 +11,54 @@ from pyspark.sql import functions as F
 from groundwork.functions.columns import collapsed, numeric_tokens
 
 
-def _shingles(ws: str, k: int) -> Column:
-    """Hashes of the k-word runs of a column of words; of all words where there are fewer. The words
-    are a column, as an expression would be evaluated again for each run."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, k), " ")))
+def _run(hashes: str, at: Column | int, k: int) -> Column:
+    """The hash of k words in a row from place ``at`` on, from the hashes of the words."""
+    return F.xxhash64(*[F.get(F.col(hashes), (F.lit(at) if isinstance(at, int) else at) + i) for i in range(k)])
 
 
-def find_quotes(passages: DataFrame, docs: DataFrame, k: int = 5, small: int = 5_000) -> DataFrame:
+def _made(**cols: Column) -> Column:
+    """The columns, computed once: they leave through a generator, so that no later expression has
+    them evaluated again at each of its steps."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+
+
+def _grams(word: str, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(F.col(word), i, F.lit(n)))
+
+
+def find_quotes(passages: DataFrame, docs: DataFrame, k: int = 5, gram: int = 4) -> DataFrame:
     """(item_id, doc_id): documents that contain a passage, modulo white space.
 
     A document with the passage has all of its interior words in a row (the first and the last may
-    be parts of words), so one interior shingle of k words finds every candidate; ``contains``
-    decides. Up to ``small`` passages, as counted, their shingles are a set that each document is
-    held against where it is read, so that no document moves; more of them meet the documents'
-    shingles in a shuffle join. Passages of fewer than k + 2 words are held against all documents.
+    be parts of words), so one interior run of k words, by its hash, finds every candidate;
+    ``contains`` decides. Hashes meet in a join, which Spark does where the documents are read as
+    long as the passages' hashes are small, and by a shuffle of hashes beyond that; texts meet
+    passages only as candidates. A passage of fewer than k + 2 words has no such run: the first
+    ``gram`` characters of its longest word stand in one of the document's distinct words.
     """
     p = passages.select("item_id", collapsed(F.col("text")).alias("quote")).filter(F.length("quote") >= 8)
     p = p.withColumn("ws", F.split("quote", " "))
-    seed = F.xxhash64(F.array_join(F.slice("ws", 2, k), " "))
-    long_ = p.filter(F.size("ws") >= k + 2).select("item_id", "quote", seed.alias("h"))
-    short = p.filter(F.size("ws") < k + 2).select("item_id", "quote")
+    long_ = p.filter(F.size("ws") >= k + 2).select("item_id", _made(hs=F.transform("ws", lambda w: F.xxhash64(w)))).select("item_id", _run("hs", 1, k).alias("h"))
+    longest = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    short = p.filter(F.size("ws") < k + 2).select("item_id", F.left(longest, F.lit(gram)).alias("h"))
     d = docs.select("doc_id", collapsed(F.col("text")).alias("body"))
-    worded = d.withColumn("ws", F.split("body", " "))
-    own = F.array_distinct(_shingles("ws", k))
-    contained = F.col("body").contains(F.col("quote"))
-    if passages.limit(small + 1).count() <= small:
-        seeds = [r["h"] for r in long_.select("h").distinct().collect()]
-        hits = worded.select("doc_id", "body", F.explode_outer(F.filter(own, lambda x: x.isin(seeds))).alias("h")) if seeds else d.limit(0).withColumn("h", F.lit(0).cast("long"))
-        found, rest = hits.join(F.broadcast(long_), "h").filter(contained), F.broadcast(short)
-    else:
-        ids = worded.select("doc_id", F.explode_outer(own).alias("h")).join(long_, "h").select("doc_id", "item_id", "quote")
-        found, rest = ids.join(d, "doc_id").filter(contained), short
-    return found.select("item_id", "doc_id").unionByName(d.join(rest, contained).select("item_id", "doc_id")).distinct()
+    worded = d.select("doc_id", F.split("body", " ").alias("ws"))
+    hashed = worded.select("doc_id", _made(hs=F.transform("ws", lambda w: F.xxhash64(w)))).filter(F.size("hs") >= k)
+    runs = F.transform(F.sequence(F.lit(0), F.size("hs") - k), lambda i: _run("hs", i, k))
+    found = _candidates(hashed.select("doc_id", F.explode(runs).alias("h")), long_)
+    sizes = [r["n"] for r in short.select(F.length("h").alias("n")).distinct().collect()]  # at most ``gram`` numbers
+    if sizes:
+        word = worded.select("doc_id", F.explode(F.array_distinct("ws")).alias("w"))
+        grams = F.concat(*[_grams("w", n) for n in sorted(sizes)])
+        found = found.unionByName(_candidates(word.select("doc_id", F.explode(grams).alias("h")), short))
+    both = found.join(p.select("item_id", "quote"), "item_id").join(d, "doc_id")
+    return both.filter(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+
+
+def _candidates(each: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where a document has a passage's key."""
+    return each.join(wanted, "h").select("doc_id", "item_id").distinct()
 
 
 def ground_quotes(claims: DataFrame, locators: DataFrame) -> DataFrame:
@@ -59,11 +75,18 @@ def grounding_report(grounded: DataFrame) -> DataFrame:
     return grounded.groupBy(F.coalesce("code", F.lit("ACCEPTED")).alias("code")).agg(F.count("*").alias("n"))
 
 
-def gate_evidence_cards(grounded: DataFrame, claims: int = 3, locators: int = 2) -> DataFrame:
-    """Cards with enough verified claims from enough locators."""
+def gate_evidence_cards(grounded: DataFrame, claims: int = 3, locators: int = 2, most: int = 15) -> DataFrame:
+    """(card_id, verified, locators, proposed, accepted, partial): a card is accepted with enough verified
+    claims from enough locators, of at most ``most`` that were proposed."""
     ok = F.col("code").isNull()
     by = grounded.groupBy("card_id").agg(F.count_if(ok).alias("verified"), F.countDistinct(F.when(ok, F.col("locator_id"))).alias("locators"), F.count("*").alias("proposed"))
-    return by.withColumn("accepted", (F.col("verified") >= claims) & (F.col("locators") >= locators)).withColumn("partial", F.col("accepted") & (F.col("verified") < F.col("proposed")))
+    accepted = (F.col("verified") >= claims) & (F.col("locators") >= locators) & (F.col("proposed") <= most)
+    return by.withColumn("accepted", accepted).withColumn("partial", F.col("accepted") & (F.col("verified") < F.col("proposed")))
+
+
+def rejected_claims(grounded: DataFrame) -> DataFrame:
+    """(card_id, claim_idx, code) of the claims that were not verified."""
+    return grounded.filter("code is not null").select("card_id", "claim_idx", "code")
 
 
 def ungrounded_numbers(claims: DataFrame, sources: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,10 +104,48 @@ def numeric_gap_candidates(missing: DataFrame, excerpts: DataFrame, top: int = 2
     return by.withColumn("rank", rank).filter(F.col("rank") <= top).select("sent_id", "rank", "excerpt_id", "covered")
 
 
+def gaps_nowhere(missing: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """(sent_id, token): missing tokens that no excerpt has."""
+    held = excerpts.select(F.explode(numeric_tokens(F.col("quote"))).alias("token")).distinct()
+    return missing.select("sent_id", "token").distinct().join(held, "token", "left_anti").select("sent_id", "token")
+
+
 def resolve_excerpt_refs(refs: DataFrame, excerpts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References with their quotes, each once, and the references that name no excerpt."""
-    one = refs.dropDuplicates(["claim_id", "excerpt_id"])
-    return one.join(excerpts.select("excerpt_id", "quote"), "excerpt_id"), one.join(excerpts.select("excerpt_id"), "excerpt_id", "left_anti")
+    """References (claim_id, card_id, excerpt_id) with their quotes, each once, and those that name
+    none of their card's excerpts (card_id, excerpt_id, quote), with its first and last id, in order
+    of their numbers, as the range that would do."""
+    one = refs.dropDuplicates(["claim_id", "card_id", "excerpt_id"])
+    n = F.regexp_extract("excerpt_id", r"(\d+)$", 1).try_cast("long")
+    span = excerpts.groupBy("card_id").agg(F.min_by("excerpt_id", n).alias("first_id"), F.max_by("excerpt_id", n).alias("last_id"))
+    lost = one.join(excerpts.select("card_id", "excerpt_id").distinct(), ["card_id", "excerpt_id"], "left_anti").join(span, "card_id", "left")
+    return one.join(excerpts.select("card_id", "excerpt_id", "quote"), ["card_id", "excerpt_id"]), lost
+
+
+SENTENCE_END = r"(?<=[。！？!?;；])|\n"
+
+
+def unmapped_sentences(bodies: DataFrame, claims: DataFrame) -> DataFrame:
+    """(body_id, n, sentence): sentences of bodies (body_id, text) with numbers that no claim
+    (body_id, sentence) has."""
+    parts = F.transform(F.split("text", SENTENCE_END), lambda x: F.trim(x))
+    rows = bodies.select("body_id", F.posexplode(parts).alias("n", "sentence")).filter((F.col("sentence") != "") & (F.size(numeric_tokens(F.col("sentence"))) > 0))
+    said = claims.select("body_id", F.trim("sentence").alias("sentence")).distinct()
+    return rows.join(said, ["body_id", "sentence"], "left_anti").select("body_id", "n", "sentence")
+
+
+def nearest_sentences(bodies: DataFrame, claims: DataFrame, least: int = 4) -> DataFrame:
+    """(body_id, sentence, nearest, shared): for claims' sentences that do not stand in their body, the
+    body's sentence with the longest common beginning, of ``least`` characters or more. Beginnings of
+    ``least`` characters meet in a join; the first of equals stays."""
+    lost = claims.select("body_id", F.trim("sentence").alias("sentence")).distinct().join(bodies, "body_id").filter(~F.col("text").contains(F.col("sentence")) & (F.length("sentence") >= least)).select("body_id", "sentence", F.left("sentence", F.lit(least)).alias("_k"))
+    parts = F.transform(F.split("text", SENTENCE_END), lambda x: F.trim(x))
+    own = bodies.select("body_id", F.posexplode(parts).alias("n", "nearest")).filter(F.length("nearest") >= least).withColumn("_k", F.left("nearest", F.lit(least)))
+    both = lost.join(own, ["body_id", "_k"])
+    size = F.least(F.length("sentence"), F.length("nearest"))
+    shared = F.coalesce(F.array_position(F.zip_with(F.split(F.left("sentence", size), ""), F.split(F.left("nearest", size), ""), lambda a, b: a == b), False), F.lit(0))
+    both = both.withColumn("shared", F.when(shared == 0, size).otherwise(shared - 1).cast("int"))
+    best = F.row_number().over(W.partitionBy("body_id", "sentence").orderBy(F.col("shared").desc(), "n"))
+    return both.withColumn("_r", best).filter("_r = 1").select("body_id", "sentence", "nearest", "shared")
 
 
 def trim_refs(tokens: DataFrame, refs: DataFrame, most: int = 6) -> DataFrame:
@@ -96,14 +157,38 @@ def trim_refs(tokens: DataFrame, refs: DataFrame, most: int = 6) -> DataFrame:
     return marked.withColumn("_rank", rank).filter((F.col("_rank") <= most) | (F.col("_cover") == 1)).drop("_rank", "_cover")
 
 
-def resolve_citations(bodies: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(body_id, source_id, number) by first use of the marks [S1] or [1], and marks without a source."""
-    found = F.regexp_extract_all("text", F.lit(r"[\[【]S?(\d{1,4})[\]】]"), F.lit(1))
-    marks = bodies.select("body_id", F.posexplode(found).alias("pos", "n")).withColumn("source_id", F.concat(F.lit("S"), F.col("n")))
-    used = marks.groupBy("body_id", "source_id").agg(F.min("pos").alias("pos"))
-    known = used.join(sources.select("source_id").distinct(), "source_id")
-    number = F.row_number().over(W.partitionBy("body_id").orderBy("pos"))
-    return known.select("body_id", "source_id", number.alias("number")), used.join(sources.select("source_id").distinct(), "source_id", "left_anti").select("body_id", "source_id")
+#: Marks of citations: in square or corner brackets but not as a link's label, and S with a number in round ones.
+_CITED = r"(?:\[(S?\d+)\]|【(S?\d+)】)(?!\()|[（(]\s*(S\d+)\s*[）)]"
+#: A number alone in round brackets: a mark where a stop stands before, or a mark or nothing after.
+_BARE = r"(?<=[。！？.!?])\s*[（(]\s*(\d+)\s*[）)]|[（(]\s*(\d+)\s*[）)](?=\s*(?:[，。；、,.!?！？;:：]|$))"
+
+
+def resolve_citations(bodies: DataFrame, sources: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(body_id, source_id, number) by first use of the marks [S1], [1], 【1】, (S1) and, where such a
+    source is there and punctuation tells a mark, (1); and (body_id, source_id) of marks without a
+    source. A body without a mark has the sources of ``listed`` (body_id, source_id, ord), else all, in
+    order. ``sources`` (source_id, ord) is one article's list."""
+    ids = lambda c, g: F.regexp_extract_all("text", F.lit(c), F.lit(g))
+    found = F.concat(*[F.transform(ids(c, g), lambda x: F.struct(x.alias("n"), F.lit(sure).alias("sure"))) for c, gs, sure in ((_CITED, (1, 2, 3), True), (_BARE, (1, 2), False)) for g in gs])
+    marks = bodies.select("body_id", "text", F.explode(F.filter(found, lambda x: x["n"] != "")).alias("m"))
+    bare = F.regexp_replace("m.n", "^S", "")
+    place = F.regexp_instr("text", F.concat(F.lit(r"[\[【（(]\s*S?"), bare, F.lit(r"\s*[\]】）)]")))
+    used = marks.select("body_id", F.concat(F.lit("S"), bare).alias("source_id"), "m.sure", place.alias("pos"))
+    used = used.groupBy("body_id", "source_id").agg(F.min("pos").alias("pos"), F.bool_or("sure").alias("sure"))
+    named = sources.select("source_id", (F.col("ord") if "ord" in sources.columns else F.lit(0)).cast("int").alias("_ord")).distinct()
+    known = used.join(named, "source_id").select("body_id", "source_id", F.struct("pos").alias("at"))
+    lost = used.filter("sure").join(named, "source_id", "left_anti").select("body_id", "source_id")
+    none = bodies.select("body_id").join(known.select("body_id").distinct(), "body_id", "left_anti")
+    own = none.join(listed, "body_id").select("body_id", "source_id", F.struct(F.col("ord").alias("pos")).alias("at")) if listed is not None else None
+    rest = none if own is None else none.join(own.select("body_id").distinct(), "body_id", "left_anti")
+    # each body lists all sources of its article: this product is the result
+    whole = rest.crossJoin(F.broadcast(named)).select("body_id", "source_id", F.struct(F.col("_ord").cast("int").alias("pos")).alias("at"))
+    parts = [known.withColumn("at", F.col("at.pos").cast("long")), whole.withColumn("at", F.col("at.pos").cast("long"))] + ([own.withColumn("at", F.col("at.pos").cast("long"))] if own is not None else [])
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    number = F.row_number().over(W.partitionBy("body_id").orderBy("at", "source_id"))
+    return every.select("body_id", "source_id", number.alias("number")), lost
 
 
 def lint_style(texts: DataFrame, rules: Sequence[tuple[str, str]], id_: str, text: str) -> DataFrame:

@@ -80,6 +80,37 @@ def recent_reasons(audits: DataFrame, scope: str, order: str, n: int = 6, cut: i
     return one.withColumn("rank", rank).filter(F.col("rank") <= n).select(scope, "rank", "reason")
 
 
-def collection_health(slots: DataFrame) -> DataFrame:
-    """section, ok, failed: a section is well if any of its slots is, with the failed ones listed."""
-    return slots.groupBy("section").agg(F.bool_or("ok").alias("ok"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("slot_id")))), ",").alias("failed"))
+#: (section, group, slots, least): a section is well if one of its groups has ``least`` slots that are well.
+Rule = tuple[str, str, Sequence[str], int]
+
+
+def collection_health(slots: DataFrame, rules: Sequence[Rule], needed: Sequence[str] = (), run: str = "run_id") -> tuple[DataFrame, DataFrame]:
+    """(run, section, ok) for every run of slots (run_id, slot_id, ok), and (run, healthy, failed):
+    healthy where all sections in ``needed`` (all, where none is named) are well; failed lists the
+    slots that are not. ``rules`` are a short list."""
+    one = slots.groupBy(run, "slot_id").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("ok"))
+    held = [F.struct(F.lit(section).alias("section"), (F.count_if(F.col("ok") & F.col("slot_id").isin(*ids)) >= least).alias("ok")) for section, _, ids, least in rules]
+    by = one.groupBy(run).agg(F.array(*held).alias("groups"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("slot_id")))), ",").alias("failed"))
+    sections = by.select(run, F.explode("groups").alias("g")).groupBy(run, F.col("g.section").alias("section")).agg(F.bool_or("g.ok").alias("ok"))
+    asked = sections.filter(F.col("section").isin(*needed)) if needed else sections
+    whole = asked.groupBy(run).agg(F.bool_and("ok").alias("healthy"))
+    return sections, by.select(run, "failed").join(whole, run)
+
+
+def issue_states(issues: DataFrame, today: str, days: int = 30, keep: int = 7, at: str = "issue_date") -> DataFrame:
+    """(issue_date, state) of the last ``days`` days: done where a row (issue_date, done) says so,
+    catch-up where it is missing and younger than ``keep`` days, else expired."""
+    calendar = issues.sparkSession.sql(f"select explode(sequence(date '{today}' - interval {days - 1} days, date '{today}')) as {at}")
+    done = issues.groupBy(at).agg(F.bool_or("done").alias("done"))
+    age = F.date_diff(F.to_date(F.lit(today)), F.col(at))
+    state = F.when(F.coalesce("done", F.lit(False)), "done").when(age < keep, "catch-up").otherwise("expired")
+    return calendar.join(done, at, "left").select(at, state.alias("state"))
+
+
+def stage_report(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """n, failures, retries, hit_rate and the 95th percentile of duration_ms of stages: telemetry
+    (outcome, attempt, retrying, cache_hit, duration_ms)."""
+    return events.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col("outcome") != "ok").alias("failures"), F.count_if(F.col("retrying") | (F.col("attempt") > 1)).alias("retries"),
+        F.avg(F.col("cache_hit").cast("int")).alias("hit_rate"), F.expr("percentile(duration_ms, 0.95)").alias("p95"),
+    )

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions.columns import host, numeric_tokens
+from groundwork.functions.columns import host
+from groundwork.operators.latest import top_per
 
 
 def flag_unusable_pages(pages: DataFrame) -> DataFrame:
@@ -19,12 +20,17 @@ def flag_unusable_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("reason", F.when(v == 0, "empty").when(challenge, "challenge").when(wall, "login-wall").when(shell, "client-shell"))
 
 
-def eligible_figures(figures: DataFrame, most: int = 3) -> DataFrame:
-    """Figures (doc_id, ord, url, caption) with a caption that claims no foreign rights; first ``most``."""
-    from groundwork.operators.latest import top_per
+# fixed values: captions that claim rights of others
+FOREIGN_RIGHTS = r"(?i)third.party|courtesy|reproduced|used with permission|all rights reserved|copyright|©|转载|经许可"
 
-    ok = figures.filter((F.coalesce("caption", F.lit("")) != "") & F.col("url").rlike("^https?://") & ~F.col("caption").rlike(r"(?i)permission|copyright|©|courtesy of|reproduced from|adapted from"))
-    return top_per(ok, ["doc_id"], [F.col("ord")], most)
+
+def eligible_figures(figures: DataFrame, most: int = 3, issue: str | None = None) -> DataFrame:
+    """Figures (doc_id, ord, url, caption) with a caption that claims no rights of others and a web
+    address: the first ``most`` of a document and, where ``issue`` is a column, of an issue."""
+    caption = F.trim(F.coalesce("caption", F.lit("")))
+    ok = figures.filter((caption != "") & F.col("url").rlike("^https?:") & ~caption.rlike(FOREIGN_RIGHTS))
+    own = top_per(ok, ["doc_id"], [F.col("ord")], most)
+    return own if issue is None else top_per(own, [issue], [F.col("doc_id"), F.col("ord")], most)
 
 
 def drop_retracted(documents: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -56,7 +62,20 @@ def flag_private_hosts(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumn("private", F.coalesce(local | F.coalesce(inside, F.lit(False)), F.lit(True)))
 
 
-RESIDUE = [("object", r"\[object Object\]"), ("path", r"(?:/Users/|/home/|C:\\\\)[^\s]+"), ("placeholder", r"⟦[^⟧]*⟧|\{\{[^}]*\}\}"), ("control", r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), ("tex", r"\\(?:frac|begin|mathbb|textbf)\b")]
+# fixed values: marks of unfinished output
+RESIDUE = (
+    ("placeholder", r"SL_INLINE_\d"), ("object", r"\[object Object\]"), ("path", r"/(?:Users|home|private|var)/"), ("control", r"[\x00-\x08\x0B\x0C\x0E-\x1F]"),
+    ("tex", r"\\(?:frac|begin|end|mathbb|mathbf|mathrm|mathcal|textbf|text|sum|int|left|right|sqrt|alpha|beta)(?![A-Za-z])"),
+)
+
+
+def lint_output_residue(articles: DataFrame, id_: str = "article_id", text: str = "text") -> DataFrame:
+    """(id, rule, n, hit): marks of unfinished output in articles, with their number and the first of
+    them; code between backticks or fences may have them."""
+    prose = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)```.*?(?:```|$)", " "), r"`[^`\n]*`", " ")
+    a = articles.select(id_, prose.alias("_t"))
+    hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_count("_t", F.lit(p)).cast("long").alias("n"), F.regexp_extract("_t", p, 0).alias("hit")) for n, p in RESIDUE])
+    return a.select(id_, F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select(id_, "h.*")
 
 
 def classify_failures(runs: DataFrame) -> DataFrame:
@@ -108,16 +127,64 @@ def exact_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(EXACT), F.lit(1))
 
 
+# fixed values: magnitudes of amounts
+MAGNITUDES = {"k": 3, "thousand": 3, "m": 6, "million": 6, "b": 9, "bn": 9, "billion": 9, "t": 12, "trillion": 12, "万": 4, "十万": 5, "百万": 6, "千万": 7, "亿": 8, "十亿": 9, "百亿": 10, "千亿": 11, "万亿": 12}
+_AMOUNT = r"[-+]?\d+(?:[,.]\d+)*"
+_AMOUNTS = (
+    rf"(?i)(?<![A-Za-z0-9.,])({_AMOUNT})(?:\s*(%|‰)|\s*(percent|per\s+cent)(?![A-Za-z])|\s*(bn|[kmbt])(?![A-Za-z0-9])|(?:\s*[-‐‑]\s*|\s*)(thousand|million|billion|trillion)(?![A-Za-z])|\s*(万亿|千亿|百亿|十亿|千万|百万|十万|亿|万))?"
+)
+#: Chinese numerals of the ordinal and the plain form, up to ninety-nine.
+_HAN = "零一二三四五六七八九"
+_HAN_NUMBER = rf"(?:第)([一二三四五六七八九]?十[一二三四五六七八九]?|[{_HAN}])(?=[级期步章节条个届位次])"
+
+
+def _han(x: Column) -> Column:
+    """A Chinese numeral of up to ninety-nine as a number."""
+    digit = lambda c: F.instr(F.lit(_HAN), c) - 1
+    tens, ones = F.regexp_extract(x, "^(.?)十", 1), F.regexp_extract(x, "十(.)$", 1)
+    ten = F.when(tens == "", 1).otherwise(digit(tens)) * 10 + F.when(ones == "", 0).otherwise(digit(ones))
+    return F.when(x.contains("十"), ten).otherwise(digit(x)).cast("string")
+
+
+def amounts(text: Column) -> Column:
+    """The amounts of a text as tokens ``NUM:n``, ``PCT:n`` or ``PERMILLE:n``: signs kept, thousands
+    separators and trailing zeros dropped, magnitudes in words or letters multiplied out."""
+    t = F.replace(F.replace(text, F.lit("−"), F.lit("-")), F.lit("**"), F.lit(""))
+    parts = F.regexp_extract_all(t, F.lit(_AMOUNTS), F.lit(0))
+    unit = lambda x: F.lower(F.regexp_extract(x, rf"(?i)^{_AMOUNT}[\s‐‑-]*(.*)$", 1))
+    power = F.create_map(*[F.lit(x) for w, n in MAGNITUDES.items() for x in (w, 10**n)])
+
+    def one(x: Column) -> Column:
+        kind = F.when(unit(x).rlike("^(?:%|percent|per\\s+cent)$"), "PCT:").when(unit(x) == "‰", "PERMILLE:").otherwise("NUM:")
+        bare = F.regexp_replace(F.regexp_extract(x, f"^({_AMOUNT})", 1), ",|^\\+", "")
+        times = F.coalesce(F.element_at(power, unit(x)), F.lit(1))
+        value = (bare.try_cast("decimal(24,6)") * times.cast("decimal(13,0)")).cast("decimal(38,6)").cast("string")
+        return F.concat(kind, F.coalesce(F.regexp_replace(F.regexp_replace(value, r"0+$", ""), r"\.$", ""), bare))
+
+    ordinals = F.transform(F.regexp_extract_all(t, F.lit(_HAN_NUMBER), F.lit(1)), lambda x: F.concat(F.lit("NUM:"), _han(x)))
+    return F.concat(F.transform(parts, one), ordinals)
+
+
+_WORDED = r"(?i)(?<![A-Za-z])(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|dozens?|hundreds?|thousands?|millions?|billions?|trillions?|percent|half|halves|third|quarters?|twice|double|triple)(?![A-Za-z])"
+
+
 def translation_equivalence(units: DataFrame) -> DataFrame:
-    """unit_id, kind, token, n_source, n_target, severity of tokens and numbers that source and target
-    of a unit (unit_id, source, target) have not equally often. What the target lacks is an error;
-    an unexplained number is a warning where the source has number words, else an error."""
-    side = lambda c: F.concat(F.transform(exact_tokens(F.col(c)), lambda x: F.struct(F.lit("exact").alias("kind"), x.alias("token"))), F.transform(numeric_tokens(F.regexp_replace(c, EXACT, " ")), lambda x: F.struct(F.lit("number").alias("kind"), x.alias("token"))))
-    rows = lambda c, name: units.select("unit_id", F.explode(side(c)).alias("t")).groupBy("unit_id", "t.kind", "t.token").agg(F.count("*").alias(name))
-    both = rows("source", "n_source").join(rows("target", "n_target"), ["unit_id", "kind", "token"], "full_outer").fillna(0, ["n_source", "n_target"]).filter("n_source <> n_target")
-    worded = units.select("unit_id", F.col("source").rlike(r"(?i)(?<![A-Za-z])(?:one|two|three|four|five|six|seven|eight|nine|ten|hundred|thousand|million|billion|percent|half)(?![A-Za-z])").alias("worded"))
-    out = both.join(worded, "unit_id")
-    return out.select("unit_id", "kind", "token", "n_source", "n_target", F.when((F.col("n_target") > F.col("n_source")) & (F.col("kind") == "number") & F.col("worded"), "warning").otherwise("error").alias("severity"))
+    """unit_id, kind, token, n_source, n_target, severity of exact tokens and amounts that source and
+    target of a unit (unit_id, source, target) have not equally often. What the target lacks is an
+    error; an amount that it has more often is a warning where the source has number words and no
+    amount is lacking, else an error. Tokens and amounts are counted within the unit's row."""
+    def side(c: str) -> Column:
+        exact = F.transform(exact_tokens(F.col(c)), lambda x: F.struct(F.lit("exact").alias("kind"), x.alias("token")))
+        return F.concat(exact, F.transform(amounts(F.regexp_replace(c, EXACT, " ")), lambda x: F.struct(F.lit("number").alias("kind"), x.alias("token"))))
+
+    u = units.select("unit_id", side("source").alias("s"), side("target").alias("t"), F.col("source").rlike(_WORDED).alias("worded"))
+    how_many = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    counted = F.transform(F.array_union("s", "t"), lambda x: F.struct(x["kind"].alias("kind"), x["token"].alias("token"), how_many(F.col("s"), x).alias("n_source"), how_many(F.col("t"), x).alias("n_target")))
+    gaps = u.select("unit_id", "worded", F.filter(counted, lambda x: x["n_source"] != x["n_target"]).alias("g"))
+    lacking = F.exists("g", lambda x: (x["kind"] == "number") & (x["n_target"] < x["n_source"]))
+    rows = gaps.withColumn("_lacks", lacking).select("unit_id", "worded", "_lacks", F.explode("g").alias("g"))
+    mild = (F.col("g.kind") == "number") & (F.col("g.n_target") > F.col("g.n_source")) & F.col("worded") & ~F.col("_lacks")
+    return rows.select("unit_id", "g.*", F.when(mild, "warning").otherwise("error").alias("severity"))
 
 
 def untranslated_units(units: DataFrame) -> DataFrame:
@@ -154,6 +221,40 @@ def page_coverage(pages: DataFrame, expected: DataFrame) -> DataFrame:
     return want.join(pages.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("missing"))
 
 
+def extraction_coverage(expected: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, rules, score, accepted): whether the extraction of a document is whole.
+
+    expected and found (doc_id, page) are its pages, sizes (doc_id, parsed, extracted, layer, images,
+    referenced) characters without white space of the parser's text, of the blocks and of the text
+    layer, and images. Pages must be the same; blocks hold half of a parser's text of 1,000 characters
+    or more; where the layer has 200 characters a page, the parser holds 35 and blocks 25 percent of
+    it; images are referenced. The score, from 0 to 5, loses one for each rule; 3 are accepted."""
+    per = lambda d, name: d.groupBy("doc_id").agg(F.count_distinct("page").alias(name), F.bit_xor(F.xxhash64("page")).alias(f"{name}_set"))
+    # distinct rows first: a repeated page would cancel itself out
+    both = per(expected.select("doc_id", "page").distinct(), "wanted").join(per(found.select("doc_id", "page").distinct(), "got"), "doc_id", "left").join(sizes, "doc_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rich = n("layer") >= 200 * F.col("wanted")
+    rules = F.array_compact(F.array(
+        F.when((n("got") != F.col("wanted")) | (n("got_set") != F.col("wanted_set")), F.lit("pages")), F.when((n("parsed") >= 1000) & (n("extracted") < 0.5 * n("parsed")), F.lit("blocks-of-parser")),
+        F.when(rich & (n("parsed") < 0.35 * n("layer")), F.lit("parser-of-layer")), F.when(rich & (n("extracted") < 0.25 * n("layer")), F.lit("blocks-of-layer")), F.when(n("referenced") < n("images"), F.lit("images")),
+    ))
+    return both.select("doc_id", rules.alias("rules")).withColumn("score", 5 - F.size("rules")).withColumn("accepted", F.col("score") >= 3)
+
+
+BLOCK_TYPES = ("heading", "paragraph", "list_item", "quote", "code", "table", "figure", "equation", "reference")
+
+
+def document_completeness(documents: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc_id, reason): null where a document's blocks (type, text) are there, of known types, and an
+    HTML document has 120 characters of text or something to look at."""
+    by = blocks.groupBy(doc).agg(
+        F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("type").isin(*BLOCK_TYPES), F.lit(False))).alias("unknown"), F.count_if(F.col("type").isin("figure", "table", "equation")).alias("visual"),
+        F.sum(F.length(F.coalesce("text", F.lit("")))).alias("size"),
+    )
+    reason = F.when(F.col("n").isNull(), "empty").when(F.col("unknown") > 0, "unknown-type").when((F.col("kind") == "html") & (F.col("size") < 120) & (F.col("visual") == 0), "too-short")
+    return documents.select(doc, "kind").join(by, doc, "left").select(doc, reason.alias("reason"))
+
+
 def repair_targets(errors: DataFrame, items: DataFrame) -> DataFrame:
     """Items (draft_id, item) to rewrite: errors (draft_id, scope) of an item hit it, one without a
     scope hits all items of its draft, one of the header none."""

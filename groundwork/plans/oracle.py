@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from groundwork.functions.columns import DROPPED_PARAMETERS
-from groundwork.operators import candidates as C
-from groundwork.plans.queries import CUTOFF, SUPPLEMENT, WINDOW
+CUTOFF, WINDOW, SUPPLEMENT = "2024-01-29 00:00:00", "2024-01-28 00:00:00", "2024-01-22 00:00:00"
+DROPPED_PARAMETERS = "(?i)^(utm_|fbclid$|gclid$|ref$|api[_-]?key$|token$|x-amz-|x-goog-)|signature|credential|authorization"
+_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 
 
 def _ws(x: str) -> str:
@@ -21,7 +21,10 @@ _NUM = "[-+]?(?:\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?)(?:[eE][-+]?\\
 
 
 def _tokens(x: str) -> str:
-    return f"list_transform(regexp_extract_all(regexp_replace(replace({x}, '−', '-'), '(\\d)[-+]', '\\1 ', 'g'), '{_NUM}'), lambda y: ltrim(replace(y, ',', ''), '+'))"
+    """Numbers and number words; the tables' texts tell no months."""
+    digits = f"list_transform(regexp_extract_all(regexp_replace(replace({x}, '−', '-'), '(\\d)[-+]', '\\1 ', 'g'), '{_NUM}'), lambda y: ltrim(replace(y, ',', ''), '+'))"
+    words = f"list_transform(regexp_extract_all(lower({x}), '\\b(?:{'|'.join(_WORDS)}|single)\\b'), lambda y: CASE WHEN y = 'single' THEN '1' ELSE (list_position({_WORDS}, y) - 1)::VARCHAR END)"
+    return f"list_concat({digits}, {words})"
 
 
 _LINES = "(SELECT doc_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents))"
@@ -37,9 +40,11 @@ def _has(p: str, n: int) -> str:
     return f"CASE WHEN regexp_matches(t, '{p}') THEN {n} ELSE 0 END"
 
 
-def _plain(p: str) -> str:
-    """The pattern without lookaround: letters around a word are consumed instead."""
-    return p.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])")
+_FINANCE = (
+    "(?i)\\b(financ\\w*|trading|invest\\w*|portfolio|backtest\\w*|econometric\\w*|stocks?|bonds?|forex|cryptocurrenc\\w*|securities)\\b|\\b(?:financial|stock|bond|capital|prediction|equity|commodity|crypto)\\s+markets?\\b"
+    "|\\b(?:asset\\s+(?:pricing|allocation)|option\\s+pricing|quantitative\\s+(?:finance|trading|investment))\\b|金融|交易|投资|回测|股票|债券|资产配置|资产定价|量化金融|量化投资|量化交易"
+)
+_MODELS = "(?i)\\b(LLM|language model|foundation model|agent|transformer|reasoning|generative AI|machine learning)\\b|大模型|语言模型|机器学习|智能体|时序"
 
 
 def _top(where: str, n: int, slot: int) -> str:
@@ -48,13 +53,13 @@ def _top(where: str, n: int, slot: int) -> str:
 
 SQL: dict[str, str] = {
     "find_quotes": f"""SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {_ws('text')} AS q FROM benchmark) b JOIN (SELECT doc_id, {_ws('text')} AS t FROM documents) d ON contains(t, q) WHERE length(q) >= 8""",
-    "quote_report": f"""WITH l AS {_LINES}, c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS n, left(text, 24) AS q, split_part(text, chr(10), 1) AS t FROM documents)
+    "quote_report": f"""WITH l AS {_LINES}, c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS n, split_part(text, chr(10), 1) AS q, split_part(text, chr(10), 1) AS t FROM documents)
       SELECT CASE WHEN NOT coalesce(length({_ws('q')}) >= 8 AND contains({_ws('l.text')}, {_ws('q')}), false) THEN 'QUOTE_NOT_FOUND'
         WHEN len(list_filter({_tokens('t')}, lambda z: NOT list_contains({_tokens('q')}, z))) > 0 THEN 'NUMERIC_MISMATCH' ELSE 'ACCEPTED' END AS code, count(*) AS n
       FROM c LEFT JOIN l USING (doc_id, n) GROUP BY 1""",
-    "evidence_cards": f"""WITH l AS {_LINES}, c AS (SELECT doc_id, n, length({_ws('text')}) >= 8 AS ok FROM l WHERE n <= 3)
+    "evidence_cards": f"""WITH l AS {_LINES}, c AS (SELECT doc_id, n, length({_ws('text')}) >= 8 AS ok FROM l)
       SELECT *, accepted AND verified < proposed AS partial FROM (SELECT doc_id AS card_id, count(*) FILTER (ok) AS verified, count(DISTINCT n) FILTER (ok) AS locators, count(*) AS proposed,
-        count(*) FILTER (ok) >= 3 AND count(DISTINCT n) FILTER (ok) >= 2 AS accepted FROM c GROUP BY 1)""",
+        count(*) FILTER (ok) >= 3 AND count(DISTINCT n) FILTER (ok) >= 2 AND count(*) <= 15 AS accepted FROM c GROUP BY 1)""",
     "canonical_pages": f"SELECT canon AS canonical_url, count(*) AS n_pages, min(page_id) AS first_id FROM {_CANON} WHERE canon IS NOT NULL GROUP BY 1",
     "page_host_profile": """WITH k(profile_id, dom, ord) AS (VALUES ('blogs', 'example.com', 2), ('nets', 'example.net', 3), ('orgs', 'org', 4), ('all-com', 'com', 5)),
       h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages)
@@ -66,14 +71,14 @@ SQL: dict[str, str] = {
       r AS (SELECT page_id AS id, page_id AS v FROM p UNION SELECT r.id, e.v FROM r JOIN e ON r.v = e.u)
       SELECT id, min(v) AS entity FROM r GROUP BY id""",
     "page_link_references": f"SELECT url, count(DISTINCT page_id) AS n_sources, min(page_id) AS first_source FROM {_LINKS} GROUP BY url",
-    "unverified_links": f"WITH l AS {_LINKS} SELECT page_id, url FROM l WHERE url NOT IN (SELECT url FROM l GROUP BY url HAVING count(DISTINCT page_id) >= 2)",
+    "unverified_links": f"WITH l AS {_LINKS} SELECT page_id, url FROM l WHERE url NOT IN (SELECT url FROM l GROUP BY url HAVING count(DISTINCT page_id) >= 3)",
     "content_duplicates": "SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents",
     "license_gate": "SELECT doc_id, source = 'src0' AND lang <> 'de' AS permitted FROM documents",
     "text_gate": "SELECT doc_id, n BETWEEN 400 AND 20000 AS eligible, CASE WHEN n < 400 THEN 'too-short' WHEN n > 20000 THEN 'too-long' END AS reason FROM (SELECT doc_id, length(trim(text)) AS n FROM documents)",
-    "credential_hits": """SELECT doc_id, 'pair' AS kind, unnest(regexp_extract_all(text, '(?i)(?:access_token|appsecret|secret|token|key|password)=[^&\\s]+')) AS hit FROM documents
-      UNION ALL SELECT doc_id, 'token', unnest(regexp_extract_all(text, '(?:^|[^a-zA-Z0-9_])(xox[baprs]-[\\w-]+|xapp-[\\w-]+|sk-[\\w-]{12,})', 1)) FROM documents""",
-    "redacted_docs": """SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)(access_token|appsecret|secret|token|key)=([^&\\s]+)', '\\1=[REDACTED]', 'g'),
-      '(^|[^a-zA-Z0-9_])(?:xox[baprs]-[\\w-]+|xapp-[\\w-]+|sk-[\\w-]{12,})', '\\1[REDACTED]', 'g')) AS digest FROM documents""",
+    "credential_hits": """SELECT doc_id, CASE WHEN doc_id % 7 = 2 THEN 'token' ELSE 'pair' END AS kind, CASE doc_id % 7 WHEN 0 THEN 'token=abc' || doc_id WHEN 1 THEN 'KEY=x-' || doc_id ELSE 'xoxb-1234-' || doc_id END AS hit FROM documents WHERE doc_id % 7 <= 2
+      UNION ALL SELECT doc_id, 'pair', unnest(regexp_extract_all(text, '(?i)(?:access_token|appsecret|secret|token|key|password)=[^&\\s]+')) FROM documents""",
+    "redacted_docs": """SELECT doc_id, md5(regexp_replace(text, '(?i)(access_token|appsecret|secret|token|key)=([^&\\s]+)', '\\1=[REDACTED]', 'g')
+      || CASE doc_id % 7 WHEN 0 THEN ' token=[REDACTED]&a=1' WHEN 1 THEN ' API_KEY=[REDACTED] end' WHEN 2 THEN ' ([REDACTED])' ELSE '' END) AS digest FROM documents""",
     "locators": f"SELECT doc_id, 'L' || n AS locator_id, length(text)::INT AS size FROM {_LINES}",
     "numeric_index": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL",
     "number_totals": f"SELECT source, sum(len({_tokens('text')}))::BIGINT AS n FROM documents GROUP BY 1",
@@ -82,17 +87,17 @@ SQL: dict[str, str] = {
     "style_hits": """SELECT doc_id, rule, hit FROM (SELECT doc_id, rule, regexp_extract(text, p) AS hit FROM documents, (VALUES ('insult', 'idiot|scum|trash'), ('loud', '[A-Z]{4,}!!'), ('rights', 'All rights reserved')) r(rule, p)) WHERE hit <> ''""",
     "temporal_status": f"SELECT * FROM {_STATUS}",
     "in_window": f"SELECT status, count(*) AS n FROM {_STATUS} WHERE status NOT IN ('old', 'future') GROUP BY 1",
-    "candidate_scores": f"""SELECT doc_id, (CASE s WHEN 'current' THEN 40 WHEN 'supplement' THEN 15 WHEN 'unverified' THEN 5 ELSE -100 END + {_has(_plain(C.FINANCE), 18)} + {_has(_plain(C.MODELS), 12)}
-        + CASE WHEN regexp_matches(t, '{_plain(C.FINANCE)}') AND regexp_matches(t, '{_plain(C.MODELS)}') THEN 25 ELSE 0 END + {_has(C.SERIES, 10)}
-        + CASE WHEN lang = 'fr' THEN 8 ELSE 0 END + CASE WHEN source = 'src1' THEN 8 ELSE 0 END - {_has(C.NOTICE, 80)})::INT AS score
+    "candidate_scores": f"""SELECT doc_id, (CASE s WHEN 'current' THEN 40 WHEN 'supplement' THEN 15 WHEN 'unverified' THEN 5 ELSE -100 END + {_has(_FINANCE, 18)} + {_has(_MODELS, 12)}
+        + CASE WHEN regexp_matches(t, '{_FINANCE}') AND regexp_matches(t, '{_MODELS}') THEN 25 ELSE 0 END + {_has('(?i)time.series|forecast|probabilistic|时序|时间序列|预测', 10)}
+        + CASE WHEN lang = 'fr' THEN 8 ELSE 0 END + CASE WHEN source = 'src1' THEN 8 ELSE 0 END - {_has('(?i)careers|hiring|webinar|conference registration|招聘|报名', 80)})::INT AS score
       FROM (SELECT doc_id, lang, source, CASE WHEN quality = 1 THEN 'current' WHEN toxic = 1 THEN 'old' ELSE 'unverified' END AS s,
-        CASE WHEN source = 'src0' THEN 'Forecast of stock returns' ELSE '' END || ' ' || CASE WHEN lang = 'en' THEN 'A language model' ELSE '' END || ' ' || left(text, 40) AS t
+        CASE source WHEN 'src0' THEN 'Forecast of stock returns' WHEN 'src2' THEN 'On asset  pricing' WHEN 'src3' THEN 'Prediction Markets' WHEN 'src4' THEN '量化交易' WHEN 'src5' THEN 'Webinar: hiring' ELSE '' END || ' ' || CASE WHEN lang = 'en' THEN 'A language model' ELSE '' END || ' ' || text AS t
         FROM documents JOIN labels USING (doc_id))""",
     "top_slots": f"""WITH d AS (SELECT doc_id AS id, source, lang, n_chars AS score FROM documents), u AS (SELECT * FROM {_top("lang = 'fr'", 4, 0)} UNION ALL SELECT * FROM {_top("source = 'src0'", 3, 1)}
       UNION ALL SELECT * FROM {_top("source = 'src1'", 3, 2)} UNION ALL SELECT * FROM {_top("lang IN ('de', 'es')", 2, 3)} UNION ALL SELECT * FROM {_top("true", 12, 4)})
       SELECT id, score FROM (SELECT id, any_value(score) AS score, min(slot) AS slot FROM u GROUP BY id) ORDER BY slot, score DESC, id LIMIT 12""",
     "exclude_delivered": """SELECT c_custkey::VARCHAR AS event_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND NOT value < 20)""",
-    "merge_sources": """WITH b AS (SELECT left(text, 40) AS url, 0 AS origin, doc_id AS ord FROM documents UNION ALL SELECT left(text, 40), 1, item_id FROM benchmark),
+    "merge_sources": """WITH b AS (SELECT sha256(text) AS url, 0 AS origin, doc_id AS ord FROM documents UNION ALL SELECT sha256(text), 1, item_id FROM benchmark),
       f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY origin, ord) AS k FROM b) SELECT 'S' || row_number() OVER (ORDER BY origin, ord) AS source_id, origin, ord FROM f WHERE k = 1""",
     "latest_revision": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1",
     "thread_input": """SELECT conv_id, count(*) AS n, md5(string_agg(CASE WHEN k = 1 THEN text ELSE '[follow-up] ' || text END, chr(10) || chr(10) ORDER BY turn)) AS digest
@@ -102,7 +107,7 @@ SQL: dict[str, str] = {
     "ancestor_chain": """SELECT c.conv_id * 1000 + c.turn AS id, max(u.conv_id * 1000 + u.turn) AS ancestor, (c.turn - max(u.turn))::INT AS depth
       FROM conversations c JOIN conversations u ON u.conv_id = c.conv_id AND u.turn < c.turn AND u.role = 'user' GROUP BY c.conv_id, c.turn""",
     "unit_context": """SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS section,
-      left(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 50) AS before, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 50) AS after FROM conversations""",
+      md5(left(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 1200)) AS before, md5(left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1200)) AS after FROM conversations""",
     "quota_ledger": """WITH RECURSIVE q AS (SELECT user_id, ts::DATE AS day, event_id, (props->>'$.k')::BIGINT AS units, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) AS i FROM events),
       r AS (SELECT *, units <= 120 AS allowed, CASE WHEN units <= 120 THEN units ELSE 0 END AS used_after FROM q WHERE i = 1
         UNION ALL SELECT q.*, r.used_after + q.units <= 120, CASE WHEN r.used_after + q.units <= 120 THEN r.used_after + q.units ELSE r.used_after END FROM r JOIN q ON q.user_id = r.user_id AND q.day = r.day AND q.i = r.i + 1)
@@ -140,13 +145,12 @@ SQL: dict[str, str] = {
       WHERE event_type = 'error' AND value > 5 AND user_id % 3 < 2 AND ts > TIMESTAMP '{CUTOFF}' - INTERVAL 1 DAY""",
     "recent_reasons": """SELECT event_type, k::INT AS rank, reason FROM (SELECT event_type, reason, row_number() OVER (PARTITION BY event_type ORDER BY last DESC, reason) AS k
       FROM (SELECT event_type, 'user ' || (user_id % 40) AS reason, max(event_id) AS last FROM events GROUP BY ALL)) WHERE k <= 6""",
-    "collection_health": """SELECT event_type AS section, bool_or(value > 1) AS ok, coalesce(string_agg(DISTINCT CASE WHEN value <= 1 THEN (user_id % 20)::VARCHAR END, ',' ORDER BY CASE WHEN value <= 1 THEN (user_id % 20)::VARCHAR END), '') AS failed FROM events GROUP BY 1""",
     "host_counts": "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "page_manifest": """SELECT page_id, len(list_filter(b, lambda x: NOT regexp_matches(x, '^<[hH]'))) AS n_paragraphs, len(list_filter(b, lambda x: regexp_matches(x, '^<[hH]'))) AS n_headings
       FROM (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(a, '<(h[1-6]|p|li|blockquote)([ >])', chr(1) || '<\\1\\2', 'g'), chr(1)), lambda y: y), lambda x: regexp_matches(x, '^<(h[1-6]|p|li|blockquote)[ >]')
         AND trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) <> '') AS b FROM (SELECT page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS a FROM pages)) WHERE len(b) > 0""",
     "private_hosts": "SELECT page_id, page_id % 5 = 0 AS private FROM pages",
-    "draft_limits": """WITH i AS (SELECT conv_id, turn, role, left(text, 12) AS h, length(regexp_replace(regexp_replace(text, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`~#>\\s]', '', 'g')) AS n FROM conversations),
+    "draft_limits": """WITH i AS (SELECT conv_id, turn, role, split_part(text, chr(10), 1) AS h, length(regexp_replace(regexp_replace(text, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`~#>\\s]', '', 'g')) AS n FROM conversations),
       d AS (SELECT conv_id, count(*) AS k, count(DISTINCT role) AS e, sum(n) AS n FROM i GROUP BY 1),
       r AS (SELECT 'item-too-long' AS rule FROM i WHERE n > 230 UNION ALL SELECT 'heading-missing' FROM i WHERE trim(h) = '' UNION ALL SELECT 'heading-ends-in-stop' FROM i WHERE regexp_matches(h, '[.。!！]\\s*$')
         UNION ALL SELECT 'too-many-items' FROM d WHERE k > 7 UNION ALL SELECT 'event-twice' FROM d WHERE e < k UNION ALL SELECT 'draft-too-short' FROM d WHERE n < CASE WHEN k < 4 THEN k * 300 ELSE 600 END

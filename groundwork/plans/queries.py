@@ -37,15 +37,15 @@ def quote_report(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     places = D.build_locators(docs.select("doc_id", "text"), separator="\n").select(F.col("doc_id").alias("card_id"), "locator_id", "text")
     where = F.when(F.col("doc_id") % 2 == 0, "L1").otherwise("L2")
-    claims = docs.select(F.col("doc_id").alias("card_id"), F.lit(1).alias("claim_idx"), where.alias("locator_id"), F.left("text", F.lit(24)).alias("quote"), _first_line("text").alias("text"))
+    claims = docs.select(F.col("doc_id").alias("card_id"), F.lit(1).alias("claim_idx"), where.alias("locator_id"), _first_line("text").alias("quote"), _first_line("text").alias("text"))
     return E.grounding_report(E.ground_quotes(claims, places))
 
 
 def evidence_cards(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three locators of each document as claims on themselves."""
+    """All locators of each document as claims on themselves."""
     docs = table(spark, sf, "documents")
     places = D.build_locators(docs.select("doc_id", "text"), separator="\n").select(F.col("doc_id").alias("card_id"), "n", "locator_id", "text")
-    claims = places.filter("n <= 3").select("card_id", F.col("n").alias("claim_idx"), "locator_id", F.col("text").alias("quote"), "text")
+    claims = places.select("card_id", F.col("n").alias("claim_idx"), "locator_id", F.col("text").alias("quote"), "text")
     return E.gate_evidence_cards(E.ground_quotes(claims, places.drop("n")))
 
 
@@ -81,7 +81,7 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 def unverified_links(spark: SparkSession, sf: str) -> DataFrame:
     links = _links(spark, sf)
-    allowed = D.link_references(links, "page_id").filter("n_sources >= 2")
+    allowed = D.link_references(links, "page_id").filter("n_sources >= 3")
     return D.unverified_links(links, allowed)
 
 
@@ -100,11 +100,17 @@ def text_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def credential_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return D.scan_credentials(table(spark, sf, "documents").select("doc_id", "text"))
+    return D.scan_credentials(_with_credentials(spark, sf))
+
+
+def _with_credentials(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, of which some end in a credential, by turns."""
+    tail = F.expr("CASE doc_id % 7 WHEN 0 THEN concat(' token=abc', doc_id, '&a=1') WHEN 1 THEN concat(' API_KEY=x-', doc_id, ' end') WHEN 2 THEN concat(' (xoxb-1234-', doc_id, ')') ELSE '' END")
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", tail).alias("text"))
 
 
 def redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return D.redact(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5("text").alias("digest"))
+    return D.redact(_with_credentials(spark, sf)).select("doc_id", F.md5("text").alias("digest"))
 
 
 def locators(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +151,7 @@ def in_window(spark: SparkSession, sf: str) -> DataFrame:
 def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     status = F.when(F.col("quality") == 1, "current").when(F.col("toxic") == 1, "old").otherwise("unverified")
-    text = F.concat_ws(" ", F.when(F.col("source") == "src0", "Forecast of stock returns").otherwise(""), F.when(F.col("lang") == "en", "A language model").otherwise(""), F.left("text", F.lit(40)))
+    text = F.concat_ws(" ", F.expr("CASE source WHEN 'src0' THEN 'Forecast of stock returns' WHEN 'src2' THEN 'On asset  pricing' WHEN 'src3' THEN 'Prediction Markets' WHEN 'src4' THEN '量化交易' WHEN 'src5' THEN 'Webinar: hiring' ELSE '' END"), F.when(F.col("lang") == "en", "A language model").otherwise(""), "text")
     return d.select("doc_id", C.score(status, text, F.col("lang") == "fr", F.col("source") == "src1").alias("score"))
 
 
@@ -163,8 +169,8 @@ def exclude_delivered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_sources(spark: SparkSession, sf: str) -> DataFrame:
-    user = table(spark, sf, "documents").select(F.left("text", F.lit(40)).alias("url"), "text", F.col("doc_id").alias("ord"))
-    search = table(spark, sf, "benchmark").select(F.left("text", F.lit(40)).alias("url"), "text", F.col("item_id").alias("ord"))
+    user = table(spark, sf, "documents").select(F.sha2("text", 256).alias("url"), "text", F.col("doc_id").alias("ord"))
+    search = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("url"), "text", F.col("item_id").alias("ord"))
     return C.merge_sources(user, search).select("source_id", "origin", "ord")
 
 
@@ -190,8 +196,8 @@ def ancestor_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 def unit_context(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").withColumn("type", F.when(F.col("role") == "user", "heading").otherwise("paragraph"))
-    made = D.unit_context(c, "conv_id", "turn", cut=50)
-    return made.select("conv_id", "turn", F.md5("section").alias("section"), "before", "after")
+    made = D.unit_context(c, "conv_id", "turn")
+    return made.select("conv_id", "turn", *[F.md5(x).alias(x) for x in ("section", "before", "after")])
 
 
 def quota_ledger(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,11 +316,6 @@ def recent_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return G.recent_reasons(e, "event_type", "event_id")
 
 
-def collection_health(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select(F.col("event_type").alias("section"), (F.col("user_id") % 20).cast("string").alias("slot_id"), (F.col("value") > 1).alias("ok"))
-    return G.collection_health(e)
-
-
 def host_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
@@ -337,7 +338,7 @@ def private_hosts(spark: SparkSession, sf: str) -> DataFrame:
 def draft_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as drafts, turns as items of 200 characters."""
     c = table(spark, sf, "conversations")
-    items = c.select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("int").alias("item"), F.col("role").alias("event_id"), F.left("text", F.lit(12)).alias("heading"), F.col("text").alias("body"), F.lit(200).alias("target"))
+    items = c.select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("int").alias("item"), F.col("role").alias("event_id"), _first_line("text").alias("heading"), F.col("text").alias("body"), F.lit(200).alias("target"))
     return V.validate_drafts(items, low=600, high=1500).groupBy("rule").agg(F.count("*").alias("n"))
 
 

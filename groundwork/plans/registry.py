@@ -7,11 +7,12 @@ from inspect import getmembers, isfunction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundwork.plans import queries
+from groundwork.plans import queries, queries_review
 from groundwork.plans.oracle import SQL
+from groundwork.plans.oracle_review import SQL as REVIEW_SQL
 
 FLAGSHIP = "find_quotes"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: f for name, f in getmembers(queries, isfunction) if f.__module__ == queries.__name__ and not name.startswith("_")
+    name: f for module in (queries, queries_review) for name, f in getmembers(module, isfunction) if f.__module__ == module.__name__ and not name.startswith("_")
 }
-ORACLE_SQL: dict[str, str] = {name: sql for name, sql in SQL.items() if name in QUERIES}
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in {**SQL, **REVIEW_SQL}.items() if name in QUERIES}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.functions.columns import arxiv_identity, canonical_url, collapsed
+from groundwork.functions.columns import arxiv_identity, canonical_url, collapsed, day_or_instant
 
 _LINK = "array<struct<_href:string,_rel:string>>"
 ATOM = f"id string, title string, published string, updated string, summary string, license string, link {_LINK}"
@@ -14,19 +14,6 @@ RSS = "title string, link string, description string, pubDate string, `dc:date`
 CANDIDATE = ("title", "url", "summary", "published", "updated", "event_at", "event_type", "license_url", "source_id", "provider")
 
 
-def day_or_instant(text: Column) -> Column:
-    """(at, precision): an instant where the text has a zone, else its calendar day; null for months,
-    years and impossible days."""
-    t = F.trim(text)
-    day = F.try_to_date(F.regexp_replace(F.regexp_extract(t, r"^(\d{4}[-/]\d{2}[-/]\d{2})", 1), "/", "-"), "yyyy-MM-dd")
-    zoned = t.rlike(r"(?i)(?:Z|[+-]\d{2}:?\d{2}|GMT|UTC)$")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]+,\s*", ""), r"(?i)(?:GMT|UTC|Z)$", "+0000"), r"([+-]\d{2}):(\d{2})$", "$1$2")
-    named = F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z"))
-    # a zoned instant on an impossible day is no date at all
-    instant = F.when(zoned, F.when(t.rlike(r"^\d{4}"), F.when(day.isNotNull(), F.try_to_timestamp(t))).otherwise(named))
-    return F.when(instant.isNotNull(), F.struct(instant.alias("at"), F.lit("instant").alias("precision"))).when(day.isNotNull() & ~zoned, F.struct(day.cast("timestamp").alias("at"), F.lit("day").alias("precision")))
-
-
 def read_feeds(spark: SparkSession, path: str, source_id: str, kind: str = "atom") -> DataFrame:
     """Candidates of RSS or Atom files. A versioned arXiv entry with an update is a revision, whose
     event is the update."""

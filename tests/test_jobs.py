@@ -93,7 +93,7 @@ def test_quotes_meet_modulo_white_space(spark):
     docs = spark.createDataFrame([(1, "one two three\nfour  five six seven eight nine"), (2, "none of it"), (3, None)], "doc_id int, text string")
     items = spark.createDataFrame([(7, "two three four five six seven eight"), (8, "of it"), (9, "none of it")], "item_id int, text string")
     assert sorted(map(tuple, E.find_quotes(items, docs).collect())) == [(7, 1), (9, 2)]
-    assert sorted(map(tuple, E.find_quotes(items, docs, small=0).collect())) == [(7, 1), (9, 2)]
+    assert sorted(map(tuple, E.find_quotes(items, docs, k=3, gram=2).collect())) == [(7, 1), (9, 2)]
 
 
 def test_gap_candidates_rank(spark):

@@ -20,7 +20,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    show = lambda v: None if v is None or v != v or v is pd.NaT else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: None if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted([tuple(map(show, r)) for r in df.itertuples(index=False)], key=str)
 
 

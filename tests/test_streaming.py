@@ -38,3 +38,67 @@ def test_windows_and_debounce(spark, tmp_path):
     assert days["2023-12-31T01:00:00"] == 1 and days["2024-01-01T01:00:00"] == 2
     runs = [(r["thread"], r["n"]) for r in drain(spark, jobs.debounce_revisions(s, "thread", "ts", "10 minutes"))]
     assert sorted(runs) == [("a", 1), ("a", 2)]
+
+
+def test_equal_content_only_advances_the_version(spark, tmp_path):
+    schema = "thread_key string, ts string, version double, text string"
+    s = stream(spark, tmp_path, [[("t", "1", 1.0, "a")], [("t", "1", 3.0, "a")], [("t", "1", 2.0, "b")], [("t", "1", 4.0, "b")]], schema)
+    assert sorted(r["version"] for r in drain(spark, jobs.latest_messages(s))) == [1.0, 4.0]
+
+
+def test_controls_are_bound_to_the_revision_they_first_met(spark, tmp_path):
+    schema = "thread_key string, ts string, version double, command string"
+    parts = [
+        [("t", "9", 50.0, "cancel")],  # no revision yet
+        [("t", "1", 100.0, "message")],
+        [("t", "2", 90.0, "cancel")],  # older than the message
+        [("t", "3", 110.0, "cancel")],  # applied
+        [("t", "3", 110.0, "cancel")],  # replayed
+        [("t", "3", 111.0, "cancel")],  # the same command again
+        [("t", "3", 112.0, "retry")],  # nothing to retry after a cancel
+        [("t", "4", 120.0, "message")],
+        [("t", "3", 121.0, "retry")],  # bound to the first revision
+        [("t", "4", 0.0, "failed")],
+        [("t", "5", 130.0, "retry")],  # applied
+        [("t", "4", 0.0, "publishing")],
+        [("t", "6", 131.0, "cancel")],  # rejected while publishing
+        [("u", "1", 10.0, "message")],
+        [("u", "2", 11.0, "cancel")],
+    ]
+    s = stream(spark, tmp_path, parts, schema)
+    rows = sorted((r["thread_key"], r["version"], r["ts"], r["revision"], r["outcome"]) for r in drain(spark, jobs.apply_controls(s)))
+    assert [(v, rev, o) for k, v, _, rev, o in rows if k == "t"] == [
+        (50.0, 0, "ignored"), (90.0, 1, "ignored"), (110.0, 1, "applied"), (110.0, 1, "ignored"), (111.0, 1, "ignored"), (112.0, 1, "rejected"), (121.0, 1, "ignored"), (130.0, 2, "applied"), (131.0, 2, "rejected"),
+    ]
+    assert [(v, rev, o) for k, v, _, rev, o in rows if k == "u"] == [(11.0, 1, "applied")]
+
+
+def test_late_rows_go_to_a_side_table(spark, tmp_path):
+    t = datetime.fromisoformat
+    schema = "id int, ts timestamp, received timestamp"
+    s = stream(spark, tmp_path, [[(1, t("2024-01-01 00:00"), t("2024-01-01 00:04")), (2, t("2024-01-01 00:00"), t("2024-01-01 00:06"))]], schema)
+    assert [r["id"] for r in drain(spark, jobs.drop_late(s, "ts", "received"))] == [1]
+    assert [r["id"] for r in drain(spark, jobs.late_rows(s, "ts", "received"))] == [2]
+
+
+def test_one_notice_a_run_and_kind(spark, tmp_path):
+    t = datetime.fromisoformat
+    schema = "run_id int, kind string, ts timestamp"
+    s = stream(spark, tmp_path, [[(1, "done", t("2024-01-01 00:00")), (1, "done", t("2024-01-01 00:01"))], [(1, "done", t("2024-01-01 00:02")), (2, "done", t("2024-01-01 00:02")), (1, "failed", t("2024-01-01 00:02"))]], schema)
+    assert sorted((r["run_id"], r["kind"]) for r in drain(spark, jobs.outbox_stream(s, "ts"))) == [(1, "done"), (1, "failed"), (2, "done")]
+
+
+def test_delivered_events_are_of_finished_live_runs(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "done", False, "m"), (2, "done", True, "m"), (3, "failed", False, "m"), (4, "done", False, "")], "id int, status string, dry_run boolean, media_id string")
+    s = stream(spark, tmp_path, [[(i, f"e{i}") for i in range(1, 5)]], "run_id int, event_id string")
+    assert [tuple(r) for r in drain(spark, jobs.delivered_ledger(s, runs))] == [(1, "e1")]
+
+
+def test_messages_of_known_people(spark, tmp_path):
+    from groundwork.sources import landed
+
+    path = tmp_path / "m"
+    path.mkdir()
+    rows = ['{"workspace": "w", "channel": "c", "user": "%s", "ts": "%d", "bot": %s}' % x for x in (("a", 1, "false"), ("b", 2, "false"), ("a", 3, "true"))]
+    (path / "x.json").write_text("\n".join(rows))
+    assert [r["ts"] for r in drain(spark, landed.read_message_stream(spark, str(path), "w", ("a",)))] == ["1"]

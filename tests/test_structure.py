@@ -95,7 +95,7 @@ def test_private_hosts(spark):
 def test_equivalence_of_translations(spark):
     u = spark.createDataFrame([(1, "GPT-5 costs 20 at https://e.com", "GPT-5 20 https://e.com"), (2, "two tests gave 3", "2 3"), (3, "3 runs", "4")], "unit_id int, source string, target string")
     rows = R.translation_equivalence(u).collect()
-    assert {(r["unit_id"], r["token"], r["severity"]) for r in rows} == {(2, "2", "warning"), (3, "3", "error"), (3, "4", "error")}
+    assert {(r["unit_id"], r["token"], r["severity"]) for r in rows} == {(2, "NUM:2", "warning"), (3, "NUM:3", "error"), (3, "NUM:4", "error")}
     assert {r["unit_id"]: (r["errors"], r["warnings"]) for r in R.assess_units(R.translation_equivalence(u)).collect()} == {2: (0, 1), 3: (2, 0)}
 
 
