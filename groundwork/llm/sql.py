@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from groundwork.llm.quality import Rules
-
 _BINS = " ".join(f"WHEN size >= {128 << k} THEN {k} * 128 + (size >> {k})" for k in range(39, 0, -1))
 
 OP1 = f"""
@@ -66,8 +64,12 @@ SELECT x.conv_id, any_value(m.n_prefix)::BIGINT AS n_prefix,
 FROM x JOIN m USING (conv_id) GROUP BY x.conv_id
 """
 
-_R = Rules()
-_PHRASES = "|".join(_R.boilerplate)
+_PHRASES = (
+    "all rights reserved|click here|cookie policy|enable javascript|lorem ipsum|privacy policy|read more|share this|sign up|skip to content|subscribe to|terms of service|terms of use|use cookies"
+    "|alle rechte vorbehalten|hier klicken|weiterlesen|datenschutzerklärung|javascript aktivieren|verwendet cookies|zum inhalt springen|newsletter abonnieren|nutzungsbedingungen"
+    "|tous droits réservés|cliquez ici|lire la suite|politique de confidentialité|activer javascript|utilise des cookies|aller au contenu|conditions d''utilisation"
+    "|todos los derechos reservados|haga clic aquí|leer más|política de privacidad|habilitar javascript|utiliza cookies|saltar al contenido|términos de uso"
+)
 
 
 def _marks(chars: str, text: str) -> str:
@@ -77,9 +79,10 @@ def _marks(chars: str, text: str) -> str:
 _N = "(length(x) - length(translate(x, ' ' || chr(9), '')) + 1)"
 _BAR = _marks("|»›•·", "x")
 _FAILS = (
-    f"{_marks('!?#*$%&|<>{}[]~^=_\\@', 'x')} > {_R.max_marks}::DOUBLE * {_N} OR ({_BAR} >= 3 AND {_BAR} > {_R.max_bars}::DOUBLE * {_N})"
+    f"{_marks('!?#*$%&|<>{}[]~^=_\\@', 'x')} > 0.4::DOUBLE * {_N} OR ({_BAR} >= 3 AND {_BAR} > 0.2::DOUBLE * {_N})"
     f" OR ({_N} >= 4 AND NOT regexp_matches(x, '\\p{{Ll}}') AND regexp_matches(x, '\\p{{Lu}}'))"
-    f" OR ({_N} <= {_R.boilerplate_words} AND regexp_matches(lower(x), '{_PHRASES}'))"
+    f" OR (len(ls) > 1 AND {_N} >= 12 AND NOT regexp_matches(x, '[.,!?…:;。，！？；：]'))"
+    f" OR ({_N} <= 20 AND regexp_matches(lower(x), '{_PHRASES}'))"
 )
 OP7 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
@@ -98,7 +101,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
          length(array_to_string(ls, '')) AS whole,
          coalesce(length(array_to_string(list_distinct(list_filter(ls, lambda x: NOT ({_FAILS}))), '')), 0) AS kept_chars
   FROM w LEFT JOIN cov USING (r)
-), b AS (SELECT *, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed FROM m)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND kept_chars >= {_R.min_left}::DOUBLE * whole AS kept FROM b
+       NOT base_failed AND kept_chars >= 0.5::DOUBLE * whole AS kept FROM b
 """
