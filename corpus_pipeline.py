@@ -8,38 +8,41 @@ may be taken twice.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwork.llm import decontaminate, mixing, near_dup, quality, secret_scan
+from groundwork.llm.lineage import shared_folder
 from groundwork.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines removed."""
+    """Documents that pass, with their failing lines removed. Null and empty texts, and texts of fewer
+    than 50 words, go; repeated rows are judged alike."""
     return quality.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: the first by doc_id, then text. Rows without a doc_id
+    stay, as do texts without words; texts that share a doc_id are documents of their own."""
     return near_dup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; each row is judged, whatever its doc_id. Null texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret."""
+    """All documents, with a mark in place of each secret. Null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken: not at all, once or twice. A null source
+    is a source of its own; sources without words are not taken."""
     return mixing.mix_sources(docs)
 
 
@@ -58,8 +61,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Results of stages are written below spark.checkpoint.dir, the
     folder that the cluster shares; a folder of our own serves only where none is named (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{base}/{i}-{name}"

@@ -20,7 +20,8 @@ Two texts at a similarity of 0.8 share no bucket with a probability of 3e-6.
 Edge cases: words are runs of letters and digits in lower case, so copies that differ in case, white
 space or punctuation only are one text; a text of one to four words has one shingle; a text without
 words (null, empty, punctuation only) and a row without a doc_id are a class of their own; rows that
-share a doc_id are one document; an empty table gives an empty table; further columns are not read.
+share a doc_id are one document in ``classes``, which then is in the class of its smallest text, and
+one for each text in ``keep_one``; ids from 2 to the 62 on are taken for others; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,11 +45,14 @@ from groundwork.llm.text import TERM, whole
 
 @dataclass(frozen=True)
 class NearDup:
+    """small_graph: links up to which a graph is one partition, so that its rounds need no exchange."""
+
     similarity: float = 0.8
     shingle: int = 5
     components: int = 160
     rows: int = 5
     batch_words: int = 200_000
+    small_graph: int = 250_000
 
 
 _TERMS = re.compile(TERM)
@@ -94,7 +98,7 @@ def _bag_rows(p: NearDup):
 def _weights(texts: DataFrame, p: NearDup) -> DataFrame:
     """(rep, own, met) of ``texts`` (rep, root, text): how many of a text's shingles, repeats counted,
     no other text has, and how many a text of another component has."""
-    ws = F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1))
+    ws = F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1))
     hashed = texts.select("rep", "root", F.transform(ws, lambda w: F.xxhash64(w)).alias("hashes"))
     rows = hashed.mapInArrow(_bag_rows(p), "rep long, root long, h long, w long").repartition("h")  # once, for the groups and the join
     by = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -104,10 +108,24 @@ def _weights(texts: DataFrame, p: NearDup) -> DataFrame:
     return each.groupBy("rep").agg(sums(True).alias("own"), sums(False).alias("met"))
 
 
+#: Members of a bucket that meet what is told of their bucket in one task, about.
+TOGETHER = 256
+
+
+def _with(members: DataFrame, told: DataFrame, who: str = "rep") -> DataFrame:
+    """``members`` (bucket, n, ...) with the rows that ``told`` (bucket, n, ...) has of their bucket. n is
+    the bucket's size: a bucket with many members is dealt in as many parts as that asks for, and what
+    is told of it is there for each part."""
+    parts = F.expr(f"n div {TOGETHER}")
+    left = members.withColumn("_part", F.pmod(F.xxhash64(who), parts + 1))
+    right = told.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts))).drop("n")
+    return left.join(right, ["bucket", "_part"]).drop("_part")
+
+
 def _open(members: DataFrame) -> DataFrame:
-    """The members (rep, bucket, root, ...) of buckets that hold several components."""
-    several = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
-    return members.join(several.select("bucket"), "bucket")
+    """The members (rep, bucket, n, root, ...) of buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.max("n").alias("n"), F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high")
+    return _with(members, several.select("bucket", "n"))
 
 
 def banded(docs: DataFrame, p: NearDup) -> DataFrame:
@@ -120,7 +138,7 @@ def banded(docs: DataFrame, p: NearDup) -> DataFrame:
 
 def _similar(p: NearDup):
     def bag(text: str) -> Counter:
-        ws = _TERMS.findall(text.lower())
+        ws = _TERMS.findall(text)  # in lower case
         return Counter(zip(*(ws[j:] for j in range(p.shingle)), strict=False)) if len(ws) >= p.shingle else Counter([tuple(ws)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,14 +167,10 @@ def compared(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_similar(p), "a long, b long, shared long, ok boolean")
 
 
-#: Links up to which a graph is one partition, so that its rounds need no exchange.
-SMALL_GRAPH = 250_000
-
-
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int = NearDup.small_graph) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), root the smallest node of its component: large
     stars and small stars by turns until nothing moves. Stars come from grouped minima and joins;
-    each round is written to the shared folder. A graph of at most SMALL_GRAPH links, as counted, is
+    each round is written to the shared folder. A graph of at most ``most`` links, as counted, is
     held in one partition; a larger one is dealt by node."""
     edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), None
     while True:
@@ -165,15 +179,15 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         seen = now
-        if now[0] <= SMALL_GRAPH:
+        if now[0] <= most:
             edges = edges.coalesce(1)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if now[0] <= SMALL_GRAPH else both
+        both = both.coalesce(1) if now[0] <= most else both
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = (small.coalesce(1) if now[0] <= SMALL_GRAPH else small).filter("u > v").distinct()
+        edges = (small.coalesce(1) if now[0] <= most else small).filter("u > v").distinct()
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -183,27 +197,46 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class), a row for each document."""
     p = p or NearDup()
+    return _placed(docs, p)[0]
+
+
+#: From here on numbers of texts that share their doc_id with other texts; real ids are smaller.
+CLASHING = 1 << 62
+
+
+def _keyed(text: Column) -> Column:
+    """The digest of a text's words."""
+    return F.md5(F.array_join(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)), " "))
+
+
+def _placed(docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id) for each doc_id, and (doc_id, key) of the texts that are not the first of
+    their class. Where a doc_id has several texts, each is a node of its own."""
     made = cut(banded(docs, p))
-    reps = cut(made.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
+    several = made.groupBy("doc_id").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).filter("_low <> _high").select("doc_id", F.lit(True).alias("_clash"))
+    node = F.when(F.col("_clash"), CLASHING + F.pmod(F.xxhash64("doc_id", "key"), F.lit(CLASHING))).otherwise(F.col("doc_id"))
+    made = made.join(several, "doc_id", "left").withColumn("node", node).drop("_clash")
+    reps = cut(made.groupBy("key").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     member = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
     # buckets of more than one text, each led by the text that shares buckets with most others: the
     # original of a group of edited copies meets them more often than they meet each other
     held = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(_ranked(member.select("rep", "size", "bucket").join(held, "bucket")))
-    lead = cut(shared.groupBy("bucket").agg(F.max(F.struct("rank", "rep"))["rep"].alias("leader")))
-    first = _pairs(shared.select("bucket", "rep").join(lead, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    source = docs.select(docs["doc_id"].cast("long").alias("rep"), whole("text").alias("text"))
+    lead = cut(shared.groupBy("bucket").agg(F.max("n").alias("n"), F.max(F.struct("rank", "rep"))["rep"].alias("leader")))
+    first = _pairs(_with(shared.select("bucket", "n", "rep"), lead).filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole("text").alias("text")).join(several, "doc_id", "left")
+    source = source.withColumn("key", F.when(F.col("_clash"), _keyed(F.col("text")))).select(node.alias("rep"), F.lower("text").alias("text"))
     met = source.join(shared.select("rep").distinct(), "rep", "left_semi")
-    one = W.partitionBy("rep").orderBy(F.lit(0))
+    one = W.partitionBy("rep").orderBy(F.lit(0))  # rows of one node have the same words
     texts = cut(met.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i"))
     tested = cut(compared(first, texts, p))
     links = tested.filter("ok").select("a", "b")
-    roots = components(links)
-    open_ = cut(_open(_rooted(shared.drop("n"), roots)))
+    roots = components(links, p.small_graph)
+    open_ = cut(_open(_rooted(shared, roots)))
     if open_.take(1):
         weights = _weights(texts.join(open_.select("rep", "root").distinct(), "rep"), p)
         seen = tested.select("a", "b", "shared").union(tested.select("b", "a", "shared")).toDF("rep", "leader", "with_leader")
-        held = open_.join(lead, "bucket").join(seen, ["rep", "leader"], "left").join(weights, "rep")
+        held = _with(open_, lead).join(seen, ["rep", "leader"], "left").join(weights, "rep")
         leads = F.col("rep") == F.col("leader")
         held = held.withColumn("with_leader", F.when(leads, F.col("size")).otherwise(F.col("with_leader")))
         held = held.withColumn("apart", F.when(leads, 0).otherwise(F.col("size") - F.col("with_leader") - F.col("own")))
@@ -212,12 +245,18 @@ def classes(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
             pairs = cut(step(open_, p).join(first, ["a", "b"], "left_anti"))
             first = first.union(pairs)
             links = links.union(cut(compared(pairs, texts, p)).filter("ok").select("a", "b"))
-            roots = components(links)
+            roots = components(links, p.small_graph)
             open_ = cut(_open(_rooted(open_.drop("root"), roots)))
     named = _rooted(reps.select("key", "rep"), roots).select("key", "root")
-    placed = made.select("doc_id", "key").join(named, "key").groupBy("doc_id").agg(F.min("root").alias("class_id"))
+    texts_in = cut(made.select("doc_id", "key", "node").join(named, "key"))
+    # a root is the smallest doc_id of a class but for clashing texts, whose nodes are no ids
+    own = texts_in.filter(F.col("node") >= CLASHING).groupBy("root").agg(F.min("doc_id").alias("_own"))
+    texts_in = texts_in.join(own, "root", "left").withColumn("class", F.least("_own", "root"))
+    first = texts_in.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_first"))
+    later = texts_in.join(first, "root").filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("key") != F.col("_first.key"))).select("doc_id", "key")
+    placed = texts_in.groupBy("doc_id").agg(F.min("class").alias("class_id"))
     lone_docs = docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(placed.select("doc_id"), "doc_id", "left_anti").distinct()
-    return placed.unionByName(lone_docs.select("doc_id", F.col("doc_id").alias("class_id")))
+    return placed.unionByName(lone_docs.select("doc_id", F.col("doc_id").alias("class_id"))), later
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -237,7 +276,7 @@ def _may_link(p: NearDup):
 
 
 def _side(members: DataFrame, x: str) -> DataFrame:
-    return members.select("bucket", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in OF_BOUND])
+    return members.select("bucket", "n", F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in OF_BOUND])
 
 
 def _ranked(members: DataFrame) -> DataFrame:
@@ -247,30 +286,32 @@ def _ranked(members: DataFrame) -> DataFrame:
 
 
 def _main(open_: DataFrame) -> DataFrame:
-    """(bucket, main): the largest component of each bucket."""
-    by = open_.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    return by.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    """(bucket, n, main): the largest component of each bucket."""
+    by = open_.groupBy("bucket", "root").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    return by.groupBy("bucket").agg(F.max("n").alias("n"), F.max(F.struct("k", "root"))["root"].alias("main"))
 
 
 def _second(open_: DataFrame, p: NearDup) -> DataFrame:
     """Pairs of each open text with the text of highest rank outside its bucket's largest component."""
     order = F.struct("rank", "rep", *OF_BOUND)
-    hub = open_.join(_main(open_), "bucket").filter("root <> main").groupBy("bucket").agg(F.max(order).alias("hub"))
-    hub = hub.select("bucket", F.col("hub.rep").alias("a"), *[F.col(f"hub.{c}").alias(f"{c}_a") for c in OF_BOUND])
-    return _pairs(_side(open_, "b").join(hub, "bucket").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
+    hub = _with(open_, _main(open_)).filter("root <> main").groupBy("bucket").agg(F.max("n").alias("n"), F.max(order).alias("hub"))
+    hub = hub.select("bucket", "n", F.col("hub.rep").alias("a"), *[F.col(f"hub.{c}").alias(f"{c}_a") for c in OF_BOUND])
+    return _pairs(_with(_side(open_, "b"), hub, "b").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
 
 
 def _crossing(open_: DataFrame, p: NearDup) -> DataFrame:
     """Pairs of the texts outside a bucket's largest component with those of its other components."""
-    outer = _side(open_.join(_main(open_), "bucket").filter("root <> main"), "a")
-    return _pairs(outer.join(_side(open_, "b"), "bucket").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
+    outer = _side(_with(open_, _main(open_)).filter("root <> main"), "a")
+    return _pairs(_with(_side(open_, "b"), outer, "b").filter((F.col("root_a") != F.col("root_b")) & _may_link(p)))
 
 
 def keep_one(docs: DataFrame, p: NearDup | None = None) -> DataFrame:
-    """The documents without all but the first of each class, in the columns of ``docs``. Rows
-    without a doc_id stay."""
-    known = docs.filter(F.col("doc_id").isNotNull())
-    gone = cut(classes(docs, p).filter("doc_id <> class_id").select("doc_id"))
-    one = W.partitionBy("doc_id").orderBy(F.lit(0))
-    kept = known.join(gone, "doc_id", "left_anti").select(*[known[c] for c in docs.columns]).withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The documents without all but the first of each class, in the columns of ``docs``: by doc_id,
+    then by text. Of rows that share a doc_id, those with other words are documents of their own, those
+    with the same words are one; rows without a doc_id stay."""
+    later = cut(_placed(docs, p or NearDup())[1].select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")))
+    packed = docs.select(docs["doc_id"].cast("long").alias("_id"), _keyed(whole("text")).alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_all"))
+    known = packed.filter("_id is not null").join(later, ["_id", "_key"], "left_anti")
+    one = W.partitionBy("_id", "_key").orderBy(F.md5(F.coalesce(F.col("_all.text"), F.lit(""))))
+    kept = known.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    return kept.unionByName(packed.filter("_id is null")).select(*[F.col("_all")[c].alias(c) for c in docs.columns])

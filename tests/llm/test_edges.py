@@ -108,3 +108,32 @@ def test_no_place_is_taken_once_too_often(spark):
             for _, g in out.groupby("source"):
                 assert abs((g["size"] * g["copies"]).sum() - g["target"].iloc[0]) <= 2 * g["size"].max()
                 assert abs(g["copies"].sum() - len(g) * g["target"].iloc[0] / g["source_size"].iloc[0]) <= 1
+
+
+def test_clashing_ids_lose_no_text(spark):
+    """Texts that share a doc_id are documents of their own; large graphs give the same classes."""
+    other, third = PROSE.replace("word", "name"), PROSE.replace("the", "a")
+    near = PROSE.replace("word59 ", "")
+    docs = spark.createDataFrame([(1, PROSE), (2, near), (2, other), (3, third), (3, third + " "), (4, other), (5, ""), (5, None)], "doc_id long, text string")
+    left = sorted((r["doc_id"], r["text"] or "") for r in near_dup.keep_one(docs).collect())
+    assert [(i, t.strip()) for i, t in left] == [(1, PROSE), (2, other), (3, third), (5, "")]
+    for p in (near_dup.NearDup(), near_dup.NearDup(small_graph=0)):
+        assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs, p).collect()} == {1: 1, 2: 1, 3: 3, 4: 2, 5: 5}
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    """The same classes when buckets are dealt in parts."""
+    import random
+
+    r = random.Random(2)
+    base = [f"w{r.randrange(500)}" for _ in range(80)]
+    texts = []
+    for i in range(60):
+        ws = list(base)
+        for _ in range(r.randrange(6)):
+            ws[r.randrange(80)] = f"x{r.randrange(10**6)}"
+        texts.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, near_dup.classes(docs).collect()))
+    monkeypatch.setattr(near_dup, "TOGETHER", 3)
+    assert sorted(map(tuple, near_dup.classes(docs).collect())) == want
