@@ -6,7 +6,7 @@ spans that a loss covers (the assistant's words and their end mark).
 
 Edge cases: turns stand by (turn, role, text), so ties and repeated rows have one order; a null
 role is "unknown" and a null text is empty; a side without turns after the prefix has an empty
-completion without spans; a pair that lacks a side is dropped by ``format_pairs``; an empty table
+completion without spans; rows without a conv_id give no pair; a pair that lacks a side is dropped by ``format_pairs``; an empty table
 gives an empty table; further columns are not read.
 """
 
@@ -19,25 +19,35 @@ OPEN, MID, END = "<|", "|>\n", "<|end|>\n"
 
 
 def conversation_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id and its turns, an array of (turn, role, text) in order."""
+    """conv_id and its turns, an array of (turn, role, text) in order. Rows without a conv_id are of
+    no conversation."""
     t = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
+    return conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("turns"))
 
 
-def stale_reply_pairs(conversations: DataFrame) -> DataFrame:
+def _half(text: Column) -> Column:
+    """The first half of a text's words."""
+    ws = F.split(text, " ")
+    return F.array_join(F.slice(ws, 1, F.floor(F.size(ws) / 2).cast("int")), " ")
+
+
+def stale_reply_pairs(conversations: DataFrame, early: Column | None = None) -> DataFrame:
     """Pairs from plain conversations: the chosen side is the conversation up to its last assistant
     turn; the rejected side ends with a worse reply to the same turns: the assistant's previous
-    reply, or, where there is none, the first half of the words of the same reply. Conversations
-    without an assistant turn give no pair."""
+    reply, or, where there is none, the first half of the words of the same reply. Where ``early``
+    holds, the rejected side leaves at the first reply, of which it has the first half, and goes on with
+    the same turns. Conversations without an assistant turn give no pair."""
     c = conversation_turns(conversations)
     said = F.filter("turns", lambda t: t["role"] == "assistant")
     c = c.withColumn("_said", said).filter(F.size("_said") > 0)
     c = c.withColumn("_last", F.element_at("_said", -1)).withColumn("_upto", F.filter("turns", lambda t: t <= F.col("_last")))
-    half = F.split(F.col("_last.text"), " ")
-    cut = F.array_join(F.slice(half, 1, F.floor(F.size(half) / 2).cast("int")), " ")
-    stale = F.when(F.size("_said") > 1, F.get("_said", F.size("_said") - 2)["text"]).otherwise(cut)
+    stale = F.when(F.size("_said") > 1, F.get("_said", F.size("_said") - 2)["text"]).otherwise(_half(F.col("_last.text")))
     worse = F.struct(F.col("_last.turn").alias("turn"), F.col("_last.role").alias("role"), stale.alias("text"))
     rejected = F.concat(F.slice("_upto", 1, F.size("_upto") - 1), F.array(worse))
+    if early is not None:
+        at = F.array_position(F.transform("_upto", lambda t: t["role"] == "assistant"), F.lit(True)) - 1
+        left = F.transform("_upto", lambda t, i: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.when(i == at, _half(t["text"])).otherwise(t["text"]).alias("text")))
+        rejected = F.when(early, left).otherwise(rejected)
     return c.select(F.col("conv_id").alias("pair_id"), F.col("_upto").alias("chosen_turns"), rejected.alias("rejected_turns"))
 
 

@@ -20,8 +20,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with an assistant turn as a preference pair."""
-    made = chat.format_pairs(chat.stale_reply_pairs(table(spark, sf_dir, "conversations")))
+    """Every conversation with an assistant turn as a preference pair; of those with an odd number the
+    rejected side leaves at the first reply."""
+    made = chat.format_pairs(chat.stale_reply_pairs(table(spark, sf_dir, "conversations"), early=F.col("conv_id") % 2 == 1))
     spans = [chat.spans_text(F.col(c)).alias(c) for c in ("chosen_spans", "rejected_spans")]
     return made.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", "chosen", "rejected", *spans)
 

@@ -36,6 +36,7 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
 
 _HEAD = "'<|' || x.role || '|>' || chr(10)"
 _RENDER = f"coalesce(string_agg({_HEAD} || x.text || '<|end|>' || chr(10), '' ORDER BY x.i) FILTER"
+_HALF = "array_to_string(string_split(u.text, ' ')[1:len(string_split(u.text, ' ')) // 2], ' ')"
 OP2 = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
@@ -44,24 +45,27 @@ WITH c AS (
 ), u AS (SELECT c.*, l.last FROM c JOIN l USING (conv_id) WHERE c.i <= l.last
 ), stale AS (
   SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM u WHERE role = 'assistant') WHERE k = 2
+), f AS (SELECT conv_id, min(i) AS first FROM u WHERE role = 'assistant' GROUP BY 1
 ), x AS (
   SELECT u.conv_id, u.i, u.role, 'chosen' AS side, u.last, u.text FROM u
   UNION ALL
   SELECT u.conv_id, u.i, u.role, 'rejected', u.last,
-         CASE WHEN u.i < u.last THEN u.text WHEN s.conv_id IS NOT NULL THEN s.text
-              ELSE array_to_string(string_split(u.text, ' ')[1:len(string_split(u.text, ' ')) // 2], ' ') END
-  FROM u LEFT JOIN stale s USING (conv_id)
+         CASE WHEN u.conv_id % 2 = 1 THEN CASE WHEN u.i = f.first THEN {_HALF} ELSE u.text END
+              WHEN u.i < u.last THEN u.text WHEN s.conv_id IS NOT NULL THEN s.text ELSE {_HALF} END
+  FROM u JOIN f USING (conv_id) LEFT JOIN stale s USING (conv_id)
 ), m AS (
-  SELECT a.conv_id, CASE WHEN a.text = b.text THEN a.last ELSE a.last - 1 END AS n_prefix
-  FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.side = 'chosen' AND b.side = 'rejected' AND a.i = a.last AND b.i = a.last
+  SELECT a.conv_id, coalesce(min(a.i) FILTER (a.text <> b.text) - 1, max(a.last)) AS n_prefix
+  FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.side = 'chosen' AND b.side = 'rejected' AND a.i = b.i GROUP BY 1
+), y AS (
+  SELECT x.*, m.n_prefix, sum(CASE WHEN x.i > m.n_prefix THEN length({_HEAD}) + length(x.text) + 8 ELSE 0 END) OVER (PARTITION BY x.conv_id, side ORDER BY x.i)::BIGINT AS ends FROM x JOIN m USING (conv_id)
 )
-SELECT x.conv_id, any_value(m.n_prefix)::BIGINT AS n_prefix,
-  {_RENDER} (WHERE side = 'chosen' AND x.i <= m.n_prefix), '') AS prompt,
-  {_RENDER} (WHERE side = 'chosen' AND x.i > m.n_prefix), '') AS chosen,
-  {_RENDER} (WHERE side = 'rejected' AND x.i > m.n_prefix), '') AS rejected,
-  coalesce(max(length({_HEAD}) || ':' || (length({_HEAD}) + length(x.text) + 8)) FILTER (WHERE side = 'chosen' AND x.i > m.n_prefix), '') AS chosen_spans,
-  coalesce(max(length({_HEAD}) || ':' || (length({_HEAD}) + length(x.text) + 8)) FILTER (WHERE side = 'rejected' AND x.i > m.n_prefix), '') AS rejected_spans
-FROM x JOIN m USING (conv_id) GROUP BY x.conv_id
+SELECT x.conv_id, any_value(x.n_prefix)::BIGINT AS n_prefix,
+  {_RENDER} (WHERE side = 'chosen' AND x.i <= x.n_prefix), '') AS prompt,
+  {_RENDER} (WHERE side = 'chosen' AND x.i > x.n_prefix), '') AS chosen,
+  {_RENDER} (WHERE side = 'rejected' AND x.i > x.n_prefix), '') AS rejected,
+  coalesce(string_agg((ends - length(x.text) - 8) || ':' || ends, ',' ORDER BY x.i) FILTER (side = 'chosen' AND x.i > x.n_prefix AND x.role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg((ends - length(x.text) - 8) || ':' || ends, ',' ORDER BY x.i) FILTER (side = 'rejected' AND x.i > x.n_prefix AND x.role = 'assistant'), '') AS rejected_spans
+FROM y x GROUP BY x.conv_id
 """
 
 _PHRASES = (

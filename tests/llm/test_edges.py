@@ -73,7 +73,7 @@ def test_decontamination_edges(spark, docs, bench):
 def test_chat_edges(spark):
     c = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, None, "x"), (3, 0, "assistant", "a b c d"), (3, 0, "assistant", "a b c d"), (None, 0, "assistant", "z")], "conv_id long, turn long, role string, text string")
     got = {r["pair_id"]: r for r in chat.format_pairs(chat.stale_reply_pairs(c)).collect()}
-    assert set(got) == {1, 3, None}
+    assert set(got) == {1, 3}  # a row without a conv_id is of no conversation
     assert got[1]["n_prefix"] == 2 and got[1]["chosen"] == "" and got[1]["chosen_spans"] == []
     assert chat.format_pairs(chat.stale_reply_pairs(c.limit(0))).collect() == []
 
