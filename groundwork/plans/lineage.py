@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir and read back; a folder of our own serves only where
-    the session names none (tests)."""
-    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    """``df`` written to spark.checkpoint.dir and read back. A folder of our own serves where a local
+    session names none (tests); on a cluster that would not be shared, so it is an error."""
+    sc, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return df.checkpoint(eager=True)

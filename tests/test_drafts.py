@@ -60,3 +60,17 @@ def test_small_draft_jobs(spark):
     assert D.rollup_findings(i).first().asDict() == {"pass": 0, "scope": "a", "high": 1, "warnings": ["r2"]}
     t = spark.createDataFrame([("1", "plain words here", "译文", "intro", False, 0), ("2", "it is not so", "译", "intro", False, 0)], "unit_id string, source string, target string, section string, repaired boolean, warnings int")
     assert [(r["unit_id"], r["review_reason"]) for r in D.review_triage(t).collect()] == [("2", "risk-words")]
+
+
+def test_what_is_left_to_do_after_an_edit(spark):
+    """Published counts: a title edit asks for no block, a term hit in five blocks for the hit and its
+    two neighbours, anything else for all; equal fingerprints ask for nothing."""
+    from groundwork.operators import latest as L
+
+    u = spark.createDataFrame([(1, i, "the agent acts" if i == 2 else f"block {i}") for i in range(5)], "doc_id int, ord int, text string")
+    assert D.plan_retranslation(u, ["title"]).count() == 0 and D.plan_retranslation(u, ["cover", "title"]).count() == 0
+    assert sorted(r["ord"] for r in D.plan_retranslation(u, ["term"], ["Agent"]).collect()) == [1, 2, 3]
+    assert D.plan_retranslation(u, ["tone"]).count() == 5
+    cache = u.select(L.fingerprint("doc_id", "text").alias("fingerprint"))
+    assert L.reuse_by_fingerprint(u, cache, ["doc_id", "text"]).filter("not hit").count() == 0
+    assert L.reuse_by_fingerprint(u, cache.limit(0).unionByName(cache.filter("fingerprint is not null").exceptAll(cache.limit(1))), ["doc_id", "text"]).filter("not hit").count() == 1
