@@ -213,9 +213,12 @@ def _placed(docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id) for each doc_id, and (doc_id, key) of the texts that are not the first of
     their class. Where a doc_id has several texts, each is a node of its own."""
     made = cut(banded(docs, p))
-    several = made.groupBy("doc_id").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).filter("_low <> _high").select("doc_id", F.lit(True).alias("_clash"))
+    several = cut(made.groupBy("doc_id").agg(F.min("key").alias("_low"), F.max("key").alias("_high")).filter("_low <> _high").select("doc_id", F.lit(True).alias("_clash")))
+    clashes = several.count()
+    several = F.broadcast(several) if clashes <= 100_000 else several  # ids, as counted
     node = F.when(F.col("_clash"), CLASHING + F.pmod(F.xxhash64("doc_id", "key"), F.lit(CLASHING))).otherwise(F.col("doc_id"))
-    made = made.join(several, "doc_id", "left").withColumn("node", node).drop("_clash")
+    marked = lambda d: d.join(several, "doc_id", "left") if clashes else d.withColumn("_clash", F.lit(False))
+    made = marked(made).withColumn("node", node).drop("_clash")
     reps = cut(made.groupBy("key").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     member = reps.select("rep", "size", F.posexplode("bands").alias("band", "bucket"))
     # buckets of more than one text, each led by the text that shares buckets with most others: the
@@ -224,7 +227,8 @@ def _placed(docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
     shared = cut(_ranked(member.select("rep", "size", "bucket").join(held, "bucket")))
     lead = cut(shared.groupBy("bucket").agg(F.max("n").alias("n"), F.max(F.struct("rank", "rep"))["rep"].alias("leader")))
     first = _pairs(_with(shared.select("bucket", "n", "rep"), lead).filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole("text").alias("text")).join(several, "doc_id", "left")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole("text").alias("text"))
+    source = marked(source)
     source = source.withColumn("key", F.when(F.col("_clash"), _keyed(F.col("text")))).select(node.alias("rep"), F.lower("text").alias("text"))
     met = source.join(shared.select("rep").distinct(), "rep", "left_semi")
     one = W.partitionBy("rep").orderBy(F.lit(0))  # rows of one node have the same words
@@ -234,7 +238,7 @@ def _placed(docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
     roots = components(links, p.small_graph)
     open_ = cut(_open(_rooted(shared, roots)))
     if open_.take(1):
-        weights = _weights(texts.join(open_.select("rep", "root").distinct(), "rep"), p)
+        weights = cut(_weights(texts.join(open_.select("rep", "root").distinct(), "rep"), p))
         seen = tested.select("a", "b", "shared").union(tested.select("b", "a", "shared")).toDF("rep", "leader", "with_leader")
         held = _with(open_, lead).join(seen, ["rep", "leader"], "left").join(weights, "rep")
         leads = F.col("rep") == F.col("leader")
@@ -248,12 +252,15 @@ def _placed(docs: DataFrame, p: NearDup) -> tuple[DataFrame, DataFrame]:
             roots = components(links, p.small_graph)
             open_ = cut(_open(_rooted(open_.drop("root"), roots)))
     named = _rooted(reps.select("key", "rep"), roots).select("key", "root")
-    texts_in = cut(made.select("doc_id", "key", "node").join(named, "key"))
-    # a root is the smallest doc_id of a class but for clashing texts, whose nodes are no ids
-    own = texts_in.filter(F.col("node") >= CLASHING).groupBy("root").agg(F.min("doc_id").alias("_own"))
-    texts_in = texts_in.join(own, "root", "left").withColumn("class", F.least("_own", "root"))
-    first = texts_in.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_first"))
-    later = texts_in.join(first, "root").filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("key") != F.col("_first.key"))).select("doc_id", "key")
+    texts_in = made.select("doc_id", "key", "node").join(named, "key").withColumn("class", F.col("root"))
+    later = texts_in.filter("doc_id <> root").select("doc_id", "key")
+    if clashes:
+        texts_in = cut(texts_in)
+        # a root is the smallest doc_id of a class but for clashing texts, whose nodes are no ids
+        own = texts_in.filter(F.col("node") >= CLASHING).groupBy("root").agg(F.min("doc_id").alias("_own"))
+        texts_in = texts_in.join(own, "root", "left").withColumn("class", F.least("_own", "root"))
+        first = texts_in.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_first"))
+        later = texts_in.join(first, "root").filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("key") != F.col("_first.key"))).select("doc_id", "key")
     placed = texts_in.groupBy("doc_id").agg(F.min("class").alias("class_id"))
     lone_docs = docs.select(docs["doc_id"].cast("long").alias("doc_id")).join(placed.select("doc_id"), "doc_id", "left_anti").distinct()
     return placed.unionByName(lone_docs.select("doc_id", F.col("doc_id").alias("class_id"))), later
