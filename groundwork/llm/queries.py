@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from groundwork.llm import chat, decontaminate, html_text, license_scan, mixing, near_dup, pii, quality, secret_scan, spans, token_counts
+from groundwork.llm import chat, decontaminate, divergence, html_text, license_scan, mixing, near_dup, pii, quality, secret_scan, spans, token_counts, topk, whitening
 from groundwork.llm import sql as oracle
 from groundwork.sources.tables import table
 
@@ -74,6 +74,21 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *spans.digest(F.col("pii_spans"), base, pii.BASE), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for each whose id is divisible by 100."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source held against the others of its language, and its foremost terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_preference_format": op2_preference_format,
@@ -85,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_spans": op8_secret_spans,
     "op9_bagminhash_classes": op9_bagminhash_classes,
     "op10_pii_spans": op10_pii_spans,
+    "op11_lanczos_whitening": op11_lanczos_whitening,
+    "op12_threshold_topk": op12_threshold_topk,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -92,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": oracle.OP1,
     "op2_preference_format": oracle.OP2,
     "op7_line_quality": oracle.OP7,
+    "op12_threshold_topk": oracle.OP12,
+    "op13_source_divergence": oracle.OP13,
 }

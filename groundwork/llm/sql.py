@@ -109,3 +109,52 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FRO
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND kept_chars >= 0.5::DOUBLE * whole AS kept FROM b
 """
+
+OP12 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 10
+"""
+
+_SHARE = "1 + (1000000000::HUGEINT * (coalesce({n}, 0)::HUGEINT + 2)) // ({total}::HUGEINT + 2 * {terms})"
+_APART = "((p - q) * (p - q)) // (p + q)"
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL
+), l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL
+), v AS (SELECT lang, count(*) AS terms FROM k GROUP BY lang
+), g AS (
+  SELECT a.lang, a.source, coalesce(v.terms, 0) AS terms, coalesce(t.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN v USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) t ON t.lang = a.lang AND t.source = a.source
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="c.n", total="g.total", terms="g.terms")} AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT l.lang, l.term, {_SHARE.format(n="l.n", total="s.total", terms="v.terms")} AS q
+  FROM l JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) s USING (lang)
+), pairs AS (
+  SELECT lang, source, item, sum({_APART}) AS value
+  FROM (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source)
+  GROUP BY ALL
+), rows_ AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, {_APART} FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows_
+) WHERE part = 'pair' OR rank <= 10
+"""
