@@ -30,7 +30,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -60,10 +59,11 @@ WHOLE = 1_000_000_000
 def _counted(held: int):
     """Counts and documents of each term by language and source, from texts."""
 
-    def frame(counts: dict, docs: dict) -> Iterator[pd.DataFrame]:
+    def out(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), of in counts.items():
-            seen = docs[lang, source]
-            yield pd.DataFrame({"lang": lang, "source": source, "term": list(of), "n": list(of.values()), "docs": [seen[t] for t in of]})
+            seen, m = docs[lang, source], len(of)
+            columns = [pa.array([lang] * m, pa.string()), pa.array([source] * m, pa.string()), pa.array(of.keys(), pa.string()), pa.array(of.values(), pa.int64()), pa.array([seen[t] for t in of], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, size = defaultdict(Counter), defaultdict(Counter), 0
@@ -76,11 +76,9 @@ def _counted(held: int):
                 docs[lang, source].update(found.keys())
                 size += len(total)
                 if size > held:
-                    for f in frame(counts, docs):
-                        yield pa.RecordBatch.from_pandas(f, preserve_index=False)
+                    yield from out(counts, docs)
                     counts, docs, size = defaultdict(Counter), defaultdict(Counter), 0
-        for f in frame(counts, docs):
-            yield pa.RecordBatch.from_pandas(f, preserve_index=False)
+        yield from out(counts, docs)
 
     return run
 

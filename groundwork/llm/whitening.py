@@ -186,8 +186,6 @@ def fit(vectors: DataFrame, dims: int, p: Whitening | None = None) -> Whitened:
     blocks = made.coalesce(min(p.tasks, 1 + size // p.task_values)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sums, n = _totals(blocks, dims)
-        if n == 0 or dims == 0:
-            return Whitened(np.zeros((0, dims)), np.zeros(0), 0.0, sums, n, 0.0, 0)
         mean = np.array([_ratio(s, n) for s in sums])
         found, s, norm2, steps = bidiagonalised(blocks, mean, n, p.components, p.seed)
         values = np.square(s) / n
@@ -225,7 +223,7 @@ def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", p: Whi
     p = p or Whitening()
     rows = df.select(df[key].alias("vec_id"), scaled(df, vector, p.scale).alias("x")).filter("x IS NOT NULL")
     dims = rows.agg(F.coalesce(F.max(F.size("x")), F.lit(0))).first()[0]
-    made = fit(rows, dims, p)
+    made = fit(rows, dims, p) if dims else Whitened(np.zeros((0, 0)), np.zeros(0), 0.0, [], 0, 0.0, 0)
     mean = np.array([_ratio(s, made.n) for s in made.sums]) if made.n else np.zeros(dims)
     turn = (made.vectors / np.sqrt(made.values)[:, None]).T
     k, shares = len(made.values), made.values / made.trace if made.trace else made.values
