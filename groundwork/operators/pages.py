@@ -8,30 +8,49 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SKIPPED = frozenset("script style noscript template nav form aside iframe button select textarea".split())
-KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "paragraph", "li": "list_item", "blockquote": "quote", "pre": "code", "table": "table", "figure": "figure", "math": "equation"}
-_ENDS_P = (frozenset(KINDS) - {"math"}) | frozenset("article div section main ul ol dl header footer hr".split())
-_UNWANTED = re.compile(r"(?i)(?:^|[\s_-])(?:advert\w*|ads?|comments?|cookie\w*|newsletter|share|social|related|sidebar|promo\w*)(?:$|[\s_-])")
-_BIB = re.compile(r"(?i)(?:^|[\s_-])(?:references|bibliography|ref-list|biblist)(?:$|[\s_-])")
+#: Elements and class names that are no content.
+SKIPPED = frozenset("script style noscript nav form aside video audio iframe template".split())
+UNWANTED = frozenset("advertisement advert ads related-posts recommended comments cookie-banner newsletter-signup social-share".split())
+#: Hosts whose frames are videos, and the label of a frame without a title.
+VIDEO_HOSTS, VIDEO = frozenset(("youtube.com", "youtu.be", "vimeo.com", "player.vimeo.com")), "原文视频"
+#: Most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 50, 200
+#: What the first container of the title's heading must hold to be the content.
+LEAST_TEXT, LEAST_PARAGRAPHS, LEAST_HEADINGS, MANY_PARAGRAPHS = 800, 3, 2, 6
+#: A block counts as so many characters when articles are compared.
+BLOCK_WORTH = 80
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+KINDS = {**dict.fromkeys(HEADINGS, "heading"), "p": "paragraph", "li": "list_item", "blockquote": "quote", "pre": "code", "table": "table", "figure": "figure", "math": "equation", "img": "figure"}
+_ENDS_P = (frozenset(KINDS) - {"math", "img"}) | frozenset("article div section main ul ol dl header footer hr address details fieldset center".split())
+#: Elements that stand on lines of their own; what is inline beside them is a paragraph without a tag.
+BLOCK = _ENDS_P | frozenset("html head body nav form aside dt dd summary legend figcaption caption thead tbody tfoot tr td th".split())
+CONTAINERS = frozenset("div section main article td".split())
+_IN_HEAD = frozenset("base link meta title style script noscript template".split())
+_BIB = frozenset("references bibliography ref-list biblist ltx_bibliography doc-bibliography".split())
 _NOTE_ANCHOR = re.compile(r"(?i)#(?:bib|ref|cite|fn|note|footnote)[\w.:-]*$")
 
 
 class Node:
-    """An element; ``inside`` has its texts and elements in order."""
+    """An element; ``inside`` has its texts and elements in order. What ``measured`` sets: drop (no
+    content), size and linked (characters of its text, and of that in links), paragraphs, headings,
+    worth (blocks), block (something that stands on lines of its own is inside)."""
 
-    __slots__ = ("attrs", "inside", "tag", "up")
+    __slots__ = ("attrs", "block", "drop", "headings", "inside", "linked", "paragraphs", "size", "tag", "up", "worth")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up, self.inside = tag, attrs, up, []
+        self.drop = self.block = False
+        self.size = self.linked = self.paragraphs = self.headings = self.worth = 0
 
     def walk(self) -> Iterator[Node]:
         todo = [self]
@@ -55,27 +74,47 @@ class Node:
                 todo += reversed(x.inside)
         return "".join(out)
 
+    def names(self) -> set[str]:
+        return {*self.attrs.get("class", "").split(), self.attrs.get("id", ""), self.attrs.get("role", "")}
+
 
 class _Tree(HTMLParser):
+    """Builds the tree. ``open`` counts the open elements by tag, so that what cannot be closed is not
+    looked for."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter = Counter()
+
+    def _up_to(self, n: Node) -> None:
+        while self.at is not n:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _ENDS_P:
+        if self.open["head"] and tag not in _IN_HEAD:  # a head that was never closed
+            n = self.at
+            while n.tag != "head":
+                n = n.up
+            self._up_to(n.up)
+        if tag in _ENDS_P and self.open["p"]:
             p = self.at  # an open paragraph ends, with the phrases in it that were never closed
             while p.up is not None and p.tag != "p" and p.tag not in _ENDS_P and p.tag not in ("td", "th"):
                 p = p.up
             if p.tag == "p":
-                self.at = p.up
-        if tag == self.at.tag and tag in ("li", "td", "th", "tr"):
-            self.at = self.at.up
+                self._up_to(p.up)
+        if tag == self.at.tag and tag in ("li", "td", "th", "tr", "dt", "dd"):
+            self._up_to(self.at.up)
+        elif (tag == "dt" and self.at.tag == "dd") or (tag == "dd" and self.at.tag == "dt") or (tag in ("td", "th") and self.at.tag in ("td", "th")):
+            self._up_to(self.at.up)
         elif tag == "tr" and self.at.tag in ("td", "th"):
-            self.at = self.at.up.up if self.at.up.tag == "tr" else self.at.up
+            self._up_to(self.at.up.up if self.at.up.tag == "tr" else self.at.up)
         n = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.inside.append(n)
         if tag not in VOID:
             self.at = n
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -83,11 +122,11 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n.up is not None and n.tag != tag:
-            n = n.up
-        if n.up is not None:
-            self.at = n.up
+        if self.open[tag]:
+            n = self.at
+            while n.tag != tag:
+                n = n.up
+            self._up_to(n.up)
 
     def handle_data(self, data: str) -> None:
         self.at.inside.append(data)
@@ -96,6 +135,8 @@ class _Tree(HTMLParser):
 def tree(html: str) -> Node:
     t = _Tree()
     t.feed(html or "")
+    if re.match(r"</?[A-Za-z]", t.rawdata):  # a tag that the page ends in
+        t.rawdata = ""
     t.close()
     return t.root
 
@@ -109,11 +150,7 @@ def lines(text: str) -> str:
 
 
 def _unwanted(n: Node) -> bool:
-    a = n.attrs
-    return (
-        n.tag in SKIPPED or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        or (n.tag in ("header", "footer") and not any(p.tag == "article" for p in _above(n))) or bool(_UNWANTED.search(f"{a.get('class', '')} {a.get('id', '')}"))
-    )
+    return n.drop
 
 
 def _above(n: Node) -> Iterator[Node]:
@@ -121,16 +158,89 @@ def _above(n: Node) -> Iterator[Node]:
         yield n
 
 
-def content_root(root: Node, title: str) -> Node:
-    """The only article; else what holds the heading that says the title, up to its first ancestor
-    with paragraphs; else main; else the article with most text; else the body."""
-    articles = [n for n in root.walk() if n.tag == "article"]
-    if len(articles) == 1:
-        return articles[0]
+def _no_content(n: Node, titled: set[int]) -> bool:
+    if n.tag in SKIPPED or n.tag in ("head", "title"):
+        return True
+    if id(n) in titled:  # what holds the title is content, whatever its names say
+        return False
+    a = n.attrs
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower() or (n.tag in ("header", "footer") and n.up is not None and n.up.tag in ("body", "html", "")) or a.get("id") == "comments" or not UNWANTED.isdisjoint(a.get("class", "").split())
+
+
+def _mended(root: Node) -> None:
+    """Frames of videos become paragraphs with a link; a heading that hides its letters from readers
+    has the label that it gives them."""
+    for n in list(root.walk()):
+        if n.tag == "iframe" and "src" in n.attrs:
+            src = n.attrs["src"].strip()
+            try:
+                host = (urlsplit("https:" + src if src.startswith("//") else src).hostname or "").removeprefix("www.")
+            except ValueError:
+                continue
+            if host in VIDEO_HOSTS:
+                link = Node("a", {"href": src}, n)
+                link.inside = [flat(n.attrs.get("title", "")) or VIDEO]
+                n.tag, n.attrs, n.inside = "p", {}, [link]
+        elif n.tag in HEADINGS and flat(n.attrs.get("aria-label", "")) and any(x.attrs.get("aria-hidden") == "true" for x in n.walk()):
+            n.inside = [flat(n.attrs["aria-label"])]
+
+
+def measured(root: Node, title: str) -> None:
+    """Sets what each node says of what is below it: what is no content on the way down, sums on the
+    way up."""
+    _mended(root)
     head = next((n for n in root.walk() if n.tag == "h1" and title and flat(n.text()) == title), None)
-    held = next((p for p in _above(head) if p.tag in ("div", "section", "main", "article") and p.first("p")), None) if head else None
-    main = next((n for n in root.walk() if n.tag == "main" or n.attrs.get("role") == "main"), None)
-    return held or main or max(articles, key=lambda n: len(n.text(_unwanted)), default=None) or root.first("body") or root
+    titled = {id(p) for p in _above(head)} if head else set()
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        n.drop = n is not root and (n.up.drop or _no_content(n, titled))
+        order.append(n)
+        todo += [x for x in n.inside if isinstance(x, Node)]
+    for n in reversed(order):  # each after all that is below it
+        if n.drop:
+            continue
+        n.size += sum(len(flat(x)) for x in n.inside if isinstance(x, str))
+        if n.tag == "a":
+            n.linked = n.size
+        n.paragraphs += n.tag == "p"
+        n.headings += n.tag in HEADINGS
+        n.worth += n.tag in ("p", "figure", "table", "pre") or n.tag in HEADINGS
+        if n.up is not None:
+            up = n.up
+            up.size, up.linked, up.paragraphs, up.headings, up.worth = up.size + n.size, up.linked + n.linked, up.paragraphs + n.paragraphs, up.headings + n.headings, up.worth + n.worth
+            up.block = up.block or n.block or n.tag in BLOCK or n.tag == "img" or _displayed(n)
+
+
+def _displayed(n: Node) -> bool:
+    return n.tag == "math" and n.attrs.get("display") == "block"
+
+
+def _plain(title: str) -> str:
+    return flat(title).casefold()
+
+
+def content_root(root: Node, title: str) -> Node:
+    """What has the content of a measured tree: the first container around the title's heading that
+    has enough text and blocks; else the only article; else the lowest container of most of the text
+    outside links, which the title's heading stands in if there is one; else main; else the richest
+    article; else the body."""
+    kept = [n for n in root.walk() if not n.drop]
+    heads = [n for n in kept if n.tag == "h1"]
+    said = _plain(title)
+    head = next((n for n in heads if said and (own := _plain(n.text())) and (own in said or said in own)), heads[0] if len(heads) == 1 else None)
+    around = [p for p in _above(head) if p.tag not in ("body", "html", "")] if head else []
+    held = next((p for p in around if p.size >= LEAST_TEXT and p.paragraphs >= LEAST_PARAGRAPHS and (p.headings >= LEAST_HEADINGS or p.paragraphs >= MANY_PARAGRAPHS)), None)
+    articles = [n for n in kept if n.tag == "article"]
+    if held or len(articles) == 1:
+        return held or articles[0]
+    body = next((n for n in kept if n.tag == "body"), root)
+    prose, most, least = body.size - body.linked, None, 1 / 2 if around else 3 / 4
+    for n in around or kept:
+        if n.tag in CONTAINERS and n.size - n.linked > least * prose and n.paragraphs and (most is None or n.size < most.size):
+            most = n
+    main = next((n for n in kept if n.tag == "main" or n.attrs.get("role") == "main"), None)
+    return most or main or max(articles, key=lambda n: n.size + BLOCK_WORTH * n.worth, default=None) or body
 
 
 #: What says a field, first to last: (tag, attribute, value, the attribute with the content; none: the text).
@@ -187,30 +297,57 @@ def metadata(root: Node, url: str) -> dict:
     return {**out, "scholarly": scholarly}
 
 
-def rich(n: Node, url: str, skip: Callable[[Node], bool]) -> tuple[str, list[dict]]:
-    """A block's text with numbered tokens in place of links and formulas, and the tokens."""
+def rich(inside: list[Node | str], url: str, skip: Callable[[Node], bool]) -> tuple[str, list[dict]]:
+    """The text of what is ``inside`` with numbered tokens in place of links and formulas, and the
+    tokens. What stands on lines of its own is on lines of its own."""
     fragments: list[dict] = []
 
     def token(value: str, kind: str) -> str:
         fragments.append({"token": f"⟦{len(fragments) + 1:03d}⟧", "value": value, "kind": kind})
         return fragments[-1]["token"]
 
-    def read(x: Node | str) -> str:
+    out: list[str] = []
+    todo: list[Node | str] = list(reversed(inside))
+    while todo:
+        x = todo.pop()
         if isinstance(x, str):
-            return x
-        if x.tag == "br":
-            return "\n"
-        if x.tag == "math":
-            return token(x.attrs.get("alttext") or flat(x.text()), "math")
-        if x.tag == "a" and "href" in x.attrs:
-            label, to = flat(x.text()), x.attrs["href"]
+            out.append(x)
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.drop or skip(x):
+            out.append("\n" if skip(x) and x.tag in BLOCK else "")
+        elif x.tag == "math":
+            out.append(token(x.attrs.get("alttext") or flat(x.text()), "math"))
+        elif x.tag == "a" and "href" in x.attrs and not x.block:
+            label, to = flat(x.text(_unwanted)), x.attrs["href"]
             if label.strip("[]()").isdigit() and _NOTE_ANCHOR.search(to):
-                return token(label, "citation")
-            whole = urljoin(url, to)
-            return token(f"[{label or whole}]({whole})" if whole.startswith(("http://", "https://")) else label, "link")
-        return "" if x is not n and skip(x) else "".join(map(read, x.inside))
+                out.append(token(label, "citation"))
+                continue
+            whole = _joined(url, to)
+            out.append(token(f"[{label or whole}]({whole})" if whole.startswith(("http://", "https://")) else label, "link"))
+        elif x.tag in BLOCK:
+            todo += ["\n", *reversed(x.inside), "\n"]
+        else:
+            todo += reversed(x.inside)
+    return lines("".join(out)), fragments
+
+
+def _joined(url: str, to: str) -> str:
+    try:
+        return urljoin(url, to)
+    except ValueError:  # no address
+        return to
+
 
-    return lines("".join(map(read, n.inside))), fragments
+def _own_rows(n: Node) -> Iterator[Node]:
+    """The rows of a table, not those of tables in its cells."""
+    todo = [x for x in reversed(n.inside) if isinstance(x, Node)]
+    while todo:
+        x = todo.pop()
+        if x.tag == "tr":
+            yield x
+        if x.tag != "table":
+            todo += [y for y in reversed(x.inside) if isinstance(y, Node)]
 
 
 def grid(n: Node) -> list[list[str]]:
@@ -218,7 +355,7 @@ def grid(n: Node) -> list[list[str]]:
     without text go, all rows are of one width."""
     rows: list[list[str]] = []
     held: dict[int, tuple[str, int]] = {}  # column: text and rows to go
-    for tr in (x for x in n.walk() if x.tag == "tr" and next((p for p in _above(x) if p.tag == "table"), None) is n):
+    for tr in _own_rows(n):
         row: dict[int, str] = {}
 
         def from_above(at: int, row: dict[int, str] = row) -> int:
@@ -234,7 +371,7 @@ def grid(n: Node) -> list[list[str]]:
         at = from_above(0)
         for cell in (x for x in tr.inside if isinstance(x, Node) and x.tag in ("td", "th")):
             at, text = from_above(at), flat(cell.text(_unwanted))
-            wide, high = (min(most, max(1, int(v))) if (v := cell.attrs.get(k, "1")).isdigit() else 1 for k, most in (("colspan", 50), ("rowspan", 200)))
+            wide, high = (min(most, max(1, int(v))) if (v := cell.attrs.get(k, "1")).isdecimal() else 1 for k, most in (("colspan", MOST_COLUMNS), ("rowspan", MOST_ROWS)))
             for i in range(wide):
                 row[at] = text if i == 0 else ""
                 if high > 1:
@@ -250,44 +387,115 @@ def grid(n: Node) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows]
 
 
+def _whole(said: str | None, default: int) -> int:
+    said = (said or "").strip()
+    return int(said) if re.fullmatch(r"[+-]?\d{1,9}", said, re.ASCII) else default
+
+
+def _count_off(n: Node) -> dict[int, int]:
+    """The ordinal of each item of an ordered list, by the item's identity: from start, or from their
+    number down where the list is reversed; an item's value counts on from there."""
+    items = [x for x in n.inside if isinstance(x, Node) and x.tag == "li" and not x.drop]
+    back = "reversed" in n.attrs
+    at, out = _whole(n.attrs.get("start"), len(items) if back else 1), {}
+    for x in items:
+        at = _whole(x.attrs.get("value"), at)
+        out[id(x)] = at
+        at += -1 if back else 1
+    return out
+
+
+#: Blocks that stand for themselves in an item, a quote or a paragraph, after its own text.
+_OWN = frozenset(("ul", "ol", "table", "figure", "pre", "img"))
+
+
+def _held(n: Node) -> list[Node]:
+    """What stands for itself below a block, outermost first."""
+    out, todo = [], [x for x in reversed(n.inside) if isinstance(x, Node)]
+    while todo:
+        x = todo.pop()
+        if x.drop:
+            continue
+        if x.tag in _OWN:
+            out.append(x)
+        elif x.tag != "math":
+            todo += [y for y in reversed(x.inside) if isinstance(y, Node)]
+    return out
+
+
 def blocks(root: Node, url: str) -> list[dict]:
-    """Typed blocks of a content root in order; what stands inside of a block is not one again, but
-    for items of a list inside an item."""
+    """Typed blocks of a measured content root in order, by one pass with a stack of its own that
+    carries what the nodes above tell. Each visible character is in one block: text beside blocks is a
+    paragraph, an item's, quote's or paragraph's own text comes before the lists, tables, figures and
+    code in it."""
     out: list[dict] = []
 
-    def add(n: Node, kind: str, **more: object) -> None:
-        inner = lambda x: _unwanted(x) or (n.tag == "li" and x.tag in ("ul", "ol"))
-        text, fragments = ("", []) if kind in ("table", "figure") else rich(n, url, inner)
-        bib = next((p.attrs.get("id") or p.attrs.get("class") for p in [n, *_above(n)] if _BIB.search(f"{p.attrs.get('class', '')} {p.attrs.get('id', '')}")), None)
-        caption = n.first("figcaption", "caption") if kind in ("table", "figure") else None
-        row = {"type": kind, "level": int(n.tag[1]) if kind == "heading" else None, "text": text, "fragments": fragments, "caption": flat(caption.text()) if caption else "", "bibliography_id": bib, "rows": [], "images": [], **more}
+    def add(kind: str, bib: str | None, text: str = "", fragments: list[dict] | None = None, **more: object) -> None:
+        row = {"type": kind, "level": None, "text": text, "fragments": fragments or [], "caption": "", "bibliography_id": bib, "rows": [], "images": [], "ordinal": None, "depth": None, **more}
         if row["text"] or row["rows"] or row["images"]:
             out.append({**row, "ord": len(out)})
 
-    todo: list[Node] = [root]
+    def images(n: Node) -> list[dict]:
+        return [{"src": _joined(url, s), "alt": flat(i.attrs.get("alt", ""))} for i in n.walk() if i.tag == "img" and not i.drop and (s := i.attrs.get("src") or i.attrs.get("data-src"))]
+
+    todo: list[tuple] = [(root, None, "", {}, 0)]  # node or inline nodes, bibliography, caption around it, ordinals, depth of lists
     while todo:
-        n = todo.pop()
-        if n is not root and _unwanted(n):
+        n, bib, above, ordinals, depth = todo.pop()
+        if isinstance(n, list):
+            add("paragraph", bib, *rich(n, url, lambda x: False))
+            continue
+        if n.drop:
             continue
-        kind, deeper = KINDS.get(n.tag), [x for x in n.inside if isinstance(x, Node)]
+        if bib is None and not _BIB.isdisjoint(n.names()):
+            bib = n.attrs.get("id") or n.attrs.get("class") or n.attrs.get("role")
+        kind, inside = KINDS.get(n.tag), n.inside
         if kind == "table":
-            add(n, kind, rows=grid(n))
-        elif kind == "figure" and n.first("table"):
-            todo += reversed(deeper)
+            caption, rows = n.first("caption"), grid(n)
+            if rows:
+                add(kind, bib, rows=rows, caption=flat(caption.text(_unwanted)) if caption else above)
+                continue
         elif kind == "figure":
-            add(n, kind, images=[{"src": urljoin(url, s), "alt": flat(i.attrs.get("alt", ""))} for i in n.walk() if i.tag == "img" and (s := i.attrs.get("src") or i.attrs.get("data-src"))])
-        elif kind == "quote" and n.first("p"):
-            todo += reversed(deeper)
+            caption, inner = n.first("figcaption"), n.first("table")
+            said = flat(caption.text(_unwanted)) if caption else ""
+            found = [] if inner else images(n)
+            if found:
+                add(kind, bib, images=found, caption=said or above)
+            elif inner and not inner.first("caption"):
+                above = said
+            if caption and (found or above):  # its text is told
+                caption.drop = True
+            for i in n.walk() if found else ():
+                i.drop = i.drop or i.tag == "img"
+        elif kind == "code":
+            add(kind, bib, n.text(_unwanted).strip("\n"))
+            continue
+        elif kind == "equation":
+            add(kind, bib, n.attrs.get("alttext") or flat(n.text()))
+            continue
         elif kind:
-            add(n, kind)
-            todo += reversed([x for x in deeper if n.tag == "li" and x.tag in ("ul", "ol")])
-        else:
-            todo += reversed(deeper)
+            more = {"level": int(n.tag[1])} if kind == "heading" else {"ordinal": ordinals.get(id(n)), "depth": max(0, depth - 1)} if kind == "list_item" else {}
+            add(kind, bib, *rich(inside, url, lambda x: x.tag in _OWN), **more)
+            inside = _held(n)
+        elif n.tag in ("ul", "ol"):
+            depth, ordinals = depth + 1, _count_off(n) if n.tag == "ol" else {}
+        below: list[tuple] = []
+        run: list[Node | str] = []
+        for x in inside:
+            if isinstance(x, str) or not (x.block or x.tag in BLOCK or x.tag == "img" or _displayed(x)):
+                run.append(x)
+                continue
+            if run:
+                below.append((run, bib, "", {}, depth))
+                run = []
+            below.append((x, bib, above, ordinals, depth))
+        if run:
+            below.append((run, bib, "", {}, depth))
+        todo += reversed(below)
     return out
 
 
 META = "title string, author string, published string, modified string, scholarly boolean"
-BLOCKS = "array<struct<ord:int,type:string,level:int,text:string,fragments:array<struct<token:string,value:string,kind:string>>,caption:string,bibliography_id:string,rows:array<array<string>>,images:array<struct<src:string,alt:string>>>>"
+BLOCKS = "array<struct<ord:int,type:string,level:int,text:string,fragments:array<struct<token:string,value:string,kind:string>>,caption:string,bibliography_id:string,rows:array<array<string>>,images:array<struct<src:string,alt:string>>,ordinal:int,depth:int>>"
 
 
 def read_structure(pages: DataFrame, id_: str = "page_id") -> DataFrame:
@@ -300,6 +508,7 @@ def read_structure(pages: DataFrame, id_: str = "page_id") -> DataFrame:
             for url, html in zip(f["url"].fillna(""), f["html"].fillna(""), strict=True):
                 root = tree(html)
                 meta = metadata(root, url)
+                measured(root, meta["title"] or "")
                 rows.append({**meta, "blocks": blocks(content_root(root, meta["title"] or ""), url)})
             yield pd.concat([f[[id_, "url"]].reset_index(drop=True), pd.DataFrame(rows, columns=[*(x.split()[0] for x in META.split(", ")), "blocks"])], axis=1)
 
@@ -312,7 +521,8 @@ def page_metadata(pages: DataFrame, id_: str = "page_id") -> DataFrame:
 
 
 def extract_blocks(pages: DataFrame, id_: str = "page_id") -> DataFrame:
-    """A row for each block: id, ord, type, level, text, fragments, caption, bibliography_id, rows, images."""
+    """A row for each block: id, ord, type, level, text, fragments, caption, bibliography_id, rows, images,
+    ordinal and depth of list items."""
     return read_structure(pages, id_).select(id_, F.inline("blocks"))
 
 

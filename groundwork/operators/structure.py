@@ -123,14 +123,3 @@ def translation_units(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     caption = rows.filter(F.col("type").isin("figure", "table") & (F.coalesce("caption", F.lit("")) != "")).select(doc, F.concat(F.lit("c"), F.col("ord").cast("string")).alias("unit_id"), F.lit("caption").alias("kind"), F.col("caption").alias("text"))
     return body.unionByName(caption)
 
-
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ord, type, text of headings, paragraphs and list items of the article, by patterns
-    over the markup: for well-formed pages whose article stands in one element."""
-    inner = F.regexp_extract("html", r"(?s)<(article|main)\b[^>]*>(.*?)</\1>", 2)
-    found = F.regexp_extract_all(inner, F.lit(r"(?s)(<(?:h[1-6]|p|li|blockquote)\b[^>]*>.*?)(?=<(?:h[1-6]|p|li|blockquote)\b|$)"), F.lit(1))
-    rows = pages.select("page_id", F.posexplode(found).alias("ord", "raw"))
-    tag = F.lower(F.regexp_extract("raw", r"^<([a-zA-Z0-9]+)", 1))
-    kind: Column = F.when(tag.rlike("^h[1-6]$"), "heading").when(tag == "li", "list_item").when(tag == "blockquote", "quote").otherwise("paragraph")
-    text = F.trim(F.regexp_replace(F.regexp_replace("raw", r"<br\s*/?>", " "), r"<[^>]*>", ""))
-    return rows.select("page_id", "ord", kind.alias("type"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text")).filter("text <> ''")

@@ -12,6 +12,7 @@ from groundwork.operators import drafts as V
 from groundwork.operators import evidence as E
 from groundwork.operators import latest as L
 from groundwork.operators import ledgers as G
+from groundwork.operators import pages as P
 from groundwork.operators import review as R
 from groundwork.operators import structure as S
 from groundwork.operators import threads as H
@@ -326,7 +327,7 @@ def number_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of each page's article, counted by type."""
-    return D.document_manifest(S.page_blocks(table(spark, sf, "pages")), "page_id").select("page_id", "n_paragraphs", "n_headings")
+    return D.document_manifest(P.extract_blocks(table(spark, sf, "pages")), "page_id").select("page_id", "n_paragraphs", "n_headings")
 
 
 def private_hosts(spark: SparkSession, sf: str) -> DataFrame:
