@@ -14,8 +14,8 @@ with their multiplicity. A node and an ancestor of it give their pair's correcti
 that pass the node, however many they are.
 
 Rows are dealt by their first nodes and sorted, so each task receives the paths of its subtrees in order
-and holds one path and the sums of pairs, which it hands on when they are many. All sums are of whole
-numbers and exact.
+and makes the tree of a batch of them at a time; sums over trees add up. All are of whole numbers and
+exact.
 
 Edge cases: text, lang and source that are null count as empty; a language whose terms are all too rare
 has V = 0 and pairs of value 0; a source without kept terms still has a share for each; a single source
@@ -25,34 +25,35 @@ gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.llm.lineage import cut
-from groundwork.llm.text import LOWER, UPPER
 
 
 @dataclass(frozen=True)
 class Audit:
-    """least: documents of its language that a term needs. top: ranks of terms. held: counts, or pairs,
-    that a task holds before it hands them on. parts: by which terms of a source are dealt where each
+    """least: documents of its language that a term needs. top: ranks of terms. held: counts that a task holds
+    before it hands them on; pairs: nodes with their ancestors that it takes together. parts: by which terms of a source are dealt where each
     meets the other sources of its language."""
 
     least: int = 10
     top: int = 10
-    held: int = 500_000
+    held: int = 1_000_000
+    pairs: int = 500_000
     parts: int = 64
 
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(UPPER, LOWER)
+#: Bytes of UTF-8 as they count in terms: letters lower-cased, all beyond ASCII, anything else a blank.
+_BYTES = bytes(b if b >= 0x80 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 WHOLE = 1_000_000_000
 
 
@@ -62,18 +63,18 @@ def _counted(held: int):
     def out(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), of in counts.items():
             seen, m = docs[lang, source], len(of)
-            columns = [pa.array([lang] * m, pa.string()), pa.array([source] * m, pa.string()), pa.array(of.keys(), pa.string()), pa.array(of.values(), pa.int64()), pa.array([seen[t] for t in of], pa.int64())]
+            columns = [pa.array([lang] * m, pa.string()), pa.array([source] * m, pa.string()), pa.array(of.keys(), pa.string()), pa.array(of.values(), pa.int64()), pa.array(map(seen.__getitem__, of), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, size = defaultdict(Counter), defaultdict(Counter), 0
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                found = Counter(TERM.findall(text.translate(_LOWER) if not text.isascii() else text.lower()))
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
+                terms = text.as_buffer().to_pybytes().translate(_BYTES).split()
                 total = counts[lang, source]
                 size -= len(total)
-                total.update(found)
-                docs[lang, source].update(found.keys())
+                total.update(terms)
+                docs[lang, source].update(set(terms))
                 size += len(total)
                 if size > held:
                     yield from out(counts, docs)
@@ -105,47 +106,58 @@ def apart(a: Column, b: Column) -> Column:
     return F.call_function("div", (a - b) * (a - b), a + b)
 
 
-def _apart(a: int, b: int) -> int:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a - b) * (a - b) // (a + b)
 
 
-def _tree(held: int):
-    """Sums of pair corrections (lang, a, b, v) from paths with their multiplicity, in order. A path is
-    an array of (at, p, p0): a source's place, its share for the count and its share for none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-        lang, path, through = None, [], []  # the path that is open, and the rows through each of its nodes
+def _nodes(langs: np.ndarray, starts: np.ndarray, at: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the tree of sorted paths: a row that has it, its depth, the rows through it."""
+    sizes, m = np.diff(starts), len(n)
+    row = np.repeat(np.arange(m), sizes)
+    depth = np.arange(len(at)) - starts[row]
+    other = starts[np.maximum(row - 1, 0)] + depth
+    there = (row > 0) & (depth < sizes[np.maximum(row - 1, 0)])
+    other = np.where(there, other, 0)
+    same = there & (at == at[other]) & (p == p[other]) & (langs[row] == langs[np.maximum(row - 1, 0)])
+    shared = np.minimum.reduceat(np.where(same, sizes[row], depth), starts[:-1]).tolist()
+    through, long = np.r_[0, np.cumsum(n)].tolist(), sizes.tolist()
+    open_, found = [], []
+    for i in range(m + 1):
+        keep = shared[i] if i < m else 0
+        while len(open_) > keep:
+            of = open_.pop()
+            found.append((of, len(open_), through[i] - through[of]))
+        if i < m:
+            open_ += [i] * (long[i] - keep)
+    return tuple(np.array(x) for x in zip(*found, strict=True))
 
-        def close(depth: int) -> None:
-            while len(path) > depth:
-                (b, pb, zb), n = path.pop(), through.pop()
-                if through:
-                    through[-1] += n
-                for a, pa_, za in path:
-                    sums[lang, a, b] += n * (_apart(pa_, pb) - _apart(pa_, zb) - _apart(za, pb) + _apart(za, zb))
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*((*key, v) for key, v in sums.items()), strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["lang", "a", "b", "v"])
+def _tree(held: int):
+    """Sums of pair corrections (lang, a, b, v) from sorted paths with their multiplicity, by the tree of
+    each batch. A path is an array of (at, p, p0): a source's place, its share for the count and its
+    share for none; none is empty."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, nodes, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "path", "n")), strict=True):
-                new = [(x["at"], x["p"], x["p0"]) for x in nodes]
-                same = 0
-                if of == lang:
-                    while same < min(len(path), len(new)) and path[same] == new[same]:
-                        same += 1
-                close(same)
-                lang = of
-                path.extend(new[same:])
-                through.extend([0] * (len(new) - same))
-                through[-1] += n
-            if len(sums) > held:
-                yield out()
-                sums.clear()
-        close(0)
-        if sums:
-            yield out()
+            if not batch.num_rows:
+                continue
+            column, langs = batch.column("path"), batch.column("lang").dictionary_encode()
+            starts = np.asarray(column.offsets).astype(np.int64)
+            at, p, p0 = (column.values.field(c).to_numpy()[starts[0] : starts[-1]].astype(np.int64) for c in ("at", "p", "p0"))
+            starts, codes = starts - starts[0], langs.indices.to_numpy().astype(np.int64)
+            row, depth, n = _nodes(codes, starts, at, p, batch.column("n").to_numpy())
+            ends = np.cumsum(depth)
+            i = 0
+            while i < len(row):  # as many nodes as have about ``held`` ancestors
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + held, "right")))
+                up = depth[i:j]
+                node = np.repeat(starts[row[i:j]] + up, up)
+                over = np.arange(len(node)) - np.repeat(np.cumsum(up) - up, up) + np.repeat(starts[row[i:j]], up)
+                v = _apart(p[over], p[node]) - _apart(p[over], p0[node]) - _apart(p0[over], p[node]) + _apart(p0[over], p0[node])
+                f = pd.DataFrame({"lang": np.repeat(codes[row[i:j]], up), "a": at[over].astype(np.int32), "b": at[node].astype(np.int32), "v": v * np.repeat(n[i:j], up)})
+                f = f.groupby(["lang", "a", "b"], as_index=False)["v"].sum()
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(f["lang"])), pa.array(f["a"]), pa.array(f["b"]), pa.array(f["v"])], names=["lang", "a", "b", "v"])
+                i = j
 
     return run
 
@@ -190,7 +202,7 @@ def _pairs(shares: DataFrame, groups: DataFrame, p: Audit) -> DataFrame:
     rows = shares.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("at", "p", "p0"))).alias("path"))
     rows = rows.filter(F.size("path") > 1).groupBy("lang", "path").agg(F.count("*").alias("n"))
     rows = rows.repartition("lang", F.slice("path", 1, 3)).sortWithinPartitions("lang", "path")
-    both = rows.mapInArrow(_tree(p.held), "lang string, a int, b int, v long")
+    both = rows.mapInArrow(_tree(p.pairs), "lang string, a int, b int, v long")
 
     sums = none.unionByName(single).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("v").alias("value"))
     ways = F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("other")), F.struct(F.col("b").alias("at"), F.col("a").alias("other")))).alias("w")

@@ -47,7 +47,7 @@ def texts(seed, n, sources, words):
         yield " ".join(w.upper() if draw.random() < 0.2 else w for w in some) or None, draw.choice(["en", "de", None]), s
 
 
-@pytest.mark.parametrize("p", [divergence.Audit(), divergence.Audit(least=2, top=3, held=1, parts=3)])
+@pytest.mark.parametrize("p", [divergence.Audit(), divergence.Audit(least=2, top=3, held=1, pairs=1, parts=3)])
 def test_against_a_plain_version(spark, p):
     words = ["alpha", "béta", "ÉCART", "ß", "gamma-delta", "漢字", "😀", "a", "rare9tail", "it's", *[f"w{i}x{chr(97 + i % 26)}" for i in range(30)]]
     rows = [*texts(1, 400, ["s1", "s2", "s3", None, "ω", "S9"], words), ("only here", "fr", "s1"), ("", "fr", "s2"), (None, "it", "s7"), *[("alpha beta " * 9000, "en", "hot")] * 3]
