@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from groundwork.streaming.ordered import ordered_threads
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,93 +37,15 @@ def debounce_revisions(stream: DataFrame, thread: str, ts: str, gap: str, waterm
     return by.select(thread, F.col("w.start").alias("started"), F.col("w.end").alias("ready_at"), "n")
 
 
-class _Latest(StatefulProcessor):
-    """Per thread and message: the highest version so far and its content; only a higher version with
-    other content passes, one with the same content advances the version."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "ts string", "version double, digest string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for f in rows:
-            keep = []
-            for ts, version, text in zip(f["ts"], f["version"], f["text"], strict=True):
-                digest = hashlib.sha256((text or "").encode()).hexdigest()
-                old = self.seen.getValue((ts,)) if self.seen.containsKey((ts,)) else None
-                higher = version == version and (old is None or version > old[0])
-                if higher:
-                    self.seen.updateValue((ts,), (float(version), digest))
-                keep.append(higher and (old is None or old[1] != digest))
-            yield f[keep]
-
-    def close(self) -> None:
-        pass
-
-
-def latest_messages(stream: DataFrame) -> DataFrame:
-    """(thread_key, ts, version, text): messages whose version is higher than any before it and whose
-    content is new."""
-    rows = stream.select("thread_key", "ts", "version", "text")
-    return rows.groupBy("thread_key").transformWithStateInPandas(_Latest(), "thread_key string, ts string, version double, text string", "append", "none")
-
-
-ACTIVE, REDONE = ("queued", "running", "needs_input"), ("failed", "needs_review")
+def latest_messages(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """(thread_key, ts, version, text): the messages of ``ordered_threads`` that are accepted: of a
+    version higher than any before it of its ts, as message or as control message, and of new content."""
+    return ordered_threads(stream, delay).filter("outcome = 'accepted'").select("thread_key", "ts", "version", "text")
 
 
-class _Controls(StatefulProcessor):
-    """Per thread: its revision and status, the highest version of its messages, and for each control
-    message the revision that it was bound to when it first came, its version and command."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "revision int, status string, messages double, controls double")
-        self.seen = handle.getMapState("seen", "ts string", "revision int, version double, command string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        revision, status, messages, controls = self.now.get() if self.now.exists() else (0, "none", float("-inf"), float("-inf"))
-        for f in rows:
-            out = []
-            for ts, version, command in zip(f["ts"], f["version"], f["command"], strict=True):
-                if command == "message":
-                    if version > messages:
-                        revision, status, messages, controls = revision + 1, "queued", float(version), float("-inf")
-                elif command not in ("cancel", "retry"):
-                    status = command  # what the run came to
-                else:
-                    prior = self.seen.getValue((ts,)) if self.seen.containsKey((ts,)) else None
-                    bound = prior[0] if prior else revision
-                    if not revision or (prior and version <= prior[1]):
-                        outcome = "ignored"
-                    elif bound != revision or version < max(messages, controls) or (prior and prior[2] == command):
-                        outcome = "ignored"
-                        self.seen.updateValue((ts,), (bound, float(version), command))
-                    else:
-                        self.seen.updateValue((ts,), (bound, float(version), command))
-                        controls = max(controls, float(version))
-                        if command == "cancel":
-                            outcome = "rejected" if status == "publishing" else "applied" if status in ACTIVE else "ignored"
-                            status = "cancelled" if outcome == "applied" else status
-                        else:
-                            outcome = "applied" if status in REDONE else "rejected"
-                            status = "queued" if outcome == "applied" else status
-                    out.append((key[0], ts, float(version), command, bound, outcome))
-            yield pd.DataFrame(out, columns=["thread_key", "ts", "version", "command", "revision", "outcome"])
-        self.now.update((revision, status, messages, controls))
-
-    def close(self) -> None:
-        pass
-
-
-def apply_controls(stream: DataFrame) -> DataFrame:
-    """(thread_key, ts, version, command, revision, outcome) of the control messages in a stream
-    (thread_key, ts, version, command) of a thread's messages (command ``message``), of what its runs
-    come to (command is the status) and of its control messages ``cancel`` and ``retry``.
-
-    A control message is bound to the revision that is current when it first comes, so an edit or a
-    replay never reaches a later one. It is ignored where it is older than the thread's messages or its
-    revision's controls, repeats its command or meets a later revision; cancel is applied to active
-    runs and rejected while one is published, retry is applied to failed ones and else rejected."""
-    out = "thread_key string, ts string, version double, command string, revision int, outcome string"
-    return stream.select("thread_key", "ts", "version", "command").groupBy("thread_key").transformWithStateInPandas(_Controls(), out, "append", "none")
+def apply_controls(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """(thread_key, ts, version, command, revision, outcome): the control messages of ``ordered_threads``."""
+    return ordered_threads(stream, delay).filter("command in ('cancel', 'retry')").select("thread_key", "ts", "version", "command", "revision", "outcome")
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -164,11 +87,6 @@ def quota_ledger_stream(stream: DataFrame, limit: int) -> DataFrame:
     return rows.groupBy("provider", "period").transformWithStateInPandas(_Quota(limit), out, "append", "none")
 
 
-def outbox_stream(events: DataFrame, ts: str, watermark: str = "1 day") -> DataFrame:
-    """One notice per run and kind within the watermark."""
-    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["run_id", "kind"])
-
-
 def delivered_ledger(stream: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, event_id) of finished, live runs with a media id: a stream-static join."""
     done = runs.filter("status = 'done' and not dry_run and coalesce(media_id, '') <> ''").select(F.col("id").alias("run_id"))

@@ -17,9 +17,20 @@ def stream(spark, tmp_path, parts, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
 
 
+MESSAGES = "thread_key string, at timestamp, ts string, version double, command string, text string"
+
+
+def timed(parts):
+    """A second between rows, and rows of another thread that let the watermark pass them."""
+    n, out = 0, []
+    for rows in parts:
+        out.append([(k, datetime.fromtimestamp(1704067200 + (n := n + 1)), *more) for k, *more in rows])
+    return [*out, *[[("z", datetime.fromtimestamp(1704097200 + 600 * i), None, None, "done", None)] for i in range(2)]]
+
+
 def test_latest_messages_pass_only_higher_versions(spark, tmp_path):
-    schema = "thread_key string, ts string, version double, text string"
-    s = stream(spark, tmp_path, [[("t", "1", 110.0, "a")], [("t", "1", 105.0, "b"), ("t", "2", 1.0, "n")], [("t", "1", 110.0, "c")], [("t", "1", 111.0, "d")]], schema)
+    said = [[("t", "1", 110.0, "a")], [("t", "1", 105.0, "b"), ("t", "2", 1.0, "n")], [("t", "1", 110.0, "c")], [("t", "1", 111.0, "d")]]
+    s = stream(spark, tmp_path, timed([[(*r[:3], "message", r[3]) for r in rows] for rows in said]), MESSAGES)
     assert sorted((r["ts"], r["version"]) for r in drain(spark, jobs.latest_messages(s))) == [("1", 110.0), ("1", 111.0), ("2", 1.0)]
 
 
@@ -41,13 +52,12 @@ def test_windows_and_debounce(spark, tmp_path):
 
 
 def test_equal_content_only_advances_the_version(spark, tmp_path):
-    schema = "thread_key string, ts string, version double, text string"
-    s = stream(spark, tmp_path, [[("t", "1", 1.0, "a")], [("t", "1", 3.0, "a")], [("t", "1", 2.0, "b")], [("t", "1", 4.0, "b")]], schema)
+    said = [[("t", "1", 1.0, "a")], [("t", "1", 3.0, "a")], [("t", "1", 2.0, "b")], [("t", "1", 4.0, "b")]]
+    s = stream(spark, tmp_path, timed([[(*r[:3], "message", r[3]) for r in rows] for rows in said]), MESSAGES)
     assert sorted(r["version"] for r in drain(spark, jobs.latest_messages(s))) == [1.0, 4.0]
 
 
 def test_controls_are_bound_to_the_revision_they_first_met(spark, tmp_path):
-    schema = "thread_key string, ts string, version double, command string"
     parts = [
         [("t", "9", 50.0, "cancel")],  # no revision yet
         [("t", "1", 100.0, "message")],
@@ -65,10 +75,10 @@ def test_controls_are_bound_to_the_revision_they_first_met(spark, tmp_path):
         [("u", "1", 10.0, "message")],
         [("u", "2", 11.0, "cancel")],
     ]
-    s = stream(spark, tmp_path, parts, schema)
+    s = stream(spark, tmp_path, timed([[(*r, None) for r in rows] for rows in parts]), MESSAGES)
     rows = sorted((r["thread_key"], r["version"], r["ts"], r["revision"], r["outcome"]) for r in drain(spark, jobs.apply_controls(s)))
     assert [(v, rev, o) for k, v, _, rev, o in rows if k == "t"] == [
-        (50.0, 0, "ignored"), (90.0, 1, "ignored"), (110.0, 1, "applied"), (110.0, 1, "ignored"), (111.0, 1, "ignored"), (112.0, 1, "rejected"), (121.0, 1, "ignored"), (130.0, 2, "applied"), (131.0, 2, "rejected"),
+        (50.0, 0, "ignored"), (90.0, 1, "ignored"), (110.0, 1, "applied"), (110.0, 1, "duplicate"), (111.0, 1, "ignored"), (112.0, 1, "rejected"), (121.0, 1, "ignored"), (130.0, 2, "applied"), (131.0, 2, "rejected"),
     ]
     assert [(v, rev, o) for k, v, _, rev, o in rows if k == "u"] == [(11.0, 1, "applied")]
 
@@ -81,13 +91,6 @@ def test_late_rows_go_to_a_side_table(spark, tmp_path):
     assert [r["id"] for r in drain(spark, jobs.late_rows(s, "ts", "received"))] == [2]
 
 
-def test_one_notice_a_run_and_kind(spark, tmp_path):
-    t = datetime.fromisoformat
-    schema = "run_id int, kind string, ts timestamp"
-    s = stream(spark, tmp_path, [[(1, "done", t("2024-01-01 00:00")), (1, "done", t("2024-01-01 00:01"))], [(1, "done", t("2024-01-01 00:02")), (2, "done", t("2024-01-01 00:02")), (1, "failed", t("2024-01-01 00:02"))]], schema)
-    assert sorted((r["run_id"], r["kind"]) for r in drain(spark, jobs.outbox_stream(s, "ts"))) == [(1, "done"), (1, "failed"), (2, "done")]
-
-
 def test_delivered_events_are_of_finished_live_runs(spark, tmp_path):
     runs = spark.createDataFrame([(1, "done", False, "m"), (2, "done", True, "m"), (3, "failed", False, "m"), (4, "done", False, "")], "id int, status string, dry_run boolean, media_id string")
     s = stream(spark, tmp_path, [[(i, f"e{i}") for i in range(1, 5)]], "run_id int, event_id string")
