@@ -101,10 +101,11 @@ def month_tokens(text: Column) -> Column:
     sentence (up to 24 characters before, up to 48 after)."""
     any_case = "|".join(MONTHS)
     cased = "|".join(f"{m}|{m.upper()}" for m in MONTHS)
+    begins = "(?=[JFMASOND])"  # told by one character before longer tests are made
     day = r"(?:[12]\d|3[01]|0?[1-9])(?:st|nd|rd|th)?"
-    with_year = F.regexp_extract_all(text, F.lit(rf"(?i){_NO_WORD}({any_case})\s*,?\s+(?:19|20)\d\d{_NO_MORE}"), F.lit(1))
-    before_day = F.regexp_extract_all(text, F.lit(rf"{_NO_WORD}({cased})\s+{day}{_NO_MORE}(?={_WITHIN}{{0,44}}{_YEAR})"), F.lit(1))
-    back_day = F.regexp_extract_all(text, F.lit(rf"(?<={_YEAR}{_WITHIN}{{0,20}}){_NO_WORD}({cased})\s+{day}{_NO_MORE}(?!{_WITHIN}{{0,44}}{_YEAR})"), F.lit(1))
+    with_year = F.regexp_extract_all(text, F.lit(rf"(?i){begins}{_NO_WORD}({any_case})\s*,?\s+(?:19|20)\d\d{_NO_MORE}"), F.lit(1))
+    before_day = F.regexp_extract_all(text, F.lit(rf"{begins}{_NO_WORD}({cased})\s+{day}{_NO_MORE}(?={_WITHIN}{{0,44}}{_YEAR})"), F.lit(1))
+    back_day = F.regexp_extract_all(text, F.lit(rf"{begins}{_NO_WORD}(?=(?:{cased})\s+\d)(?<={_YEAR}{_WITHIN}{{0,20}})({cased})\s+{day}{_NO_MORE}(?!{_WITHIN}{{0,44}}{_YEAR})"), F.lit(1))
     after_day = F.regexp_extract_all(text, F.lit(rf"{_NO_WORD}{day}\s+({cased}){_NO_MORE}(?={_WITHIN}{{0,44}}{_YEAR})"), F.lit(1))
     return _coded(F.concat(with_year, before_day, back_day, after_day), MONTHS, 1)
 
@@ -114,7 +115,7 @@ def numeric_tokens(text: Column) -> Column:
     months of dates as numbers."""
     found = F.regexp_extract_all(F.regexp_replace(text, "−", "-"), F.lit(f"({NUMBER})"), F.lit(1))
     digits = F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, ",", ""), r"^\+", ""))
-    spelled = F.regexp_extract_all(text, F.lit(rf"(?i){_NO_WORD}({'|'.join((*NUMBER_WORDS, 'single'))}){_NO_MORE}"), F.lit(1))
+    spelled = F.regexp_extract_all(text, F.lit(rf"(?i)(?=[zotfsen]){_NO_WORD}({'|'.join((*NUMBER_WORDS, 'single'))}){_NO_MORE}"), F.lit(1))
     words = _coded(F.transform(spelled, lambda x: F.when(F.lower(x) == "single", F.lit("one")).otherwise(x)), NUMBER_WORDS, 0)
     return F.concat(digits, words, month_tokens(text))
 

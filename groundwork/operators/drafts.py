@@ -58,21 +58,6 @@ def rollup_findings(issues: DataFrame) -> DataFrame:
     return issues.groupBy("pass", "scope").agg(F.count_if(high).alias("high"), F.array_sort(F.collect_set(F.when(~high, F.col("reason")))).alias("warnings"))
 
 
-FACT = r"(?i)incorrect|wrong|contradict|unsupported|fabricat|错误|矛盾|无依据|编造"
-OMISSION = r"(?i)omit|missing context|not mention|遗漏|未提及|缺少背景"
-
-
-def classify_findings(issues: DataFrame, requested: DataFrame) -> DataFrame:
-    """Issues (pass, scope, reason) as blocking, deferred or advisory. A fact error always blocks, and
-    wins over omission wording in the same text; an omission first raised after the first pass is
-    deferred unless it was requested before (scope, reason)."""
-    asked = requested.select("scope", "reason", F.lit(True).alias("_asked")).distinct()
-    rows = issues.join(asked, ["scope", "reason"], "left")
-    late = F.col("reason").rlike(OMISSION) & (F.col("pass") > 0) & F.col("_asked").isNull()
-    kind = F.when(F.col("reason").rlike(FACT), "blocking").when(late, "deferred").when(F.col("reason").rlike(OMISSION), "blocking").otherwise("advisory")
-    return rows.withColumn("verdict", kind).drop("_asked")
-
-
 def review_triage(units: DataFrame) -> DataFrame:
     """Units (unit_id, source, target, section, repaired, warnings) that need a review, with the reason."""
     sentences = lambda c: F.regexp_count(c, F.lit(r"[.!?。！？](?:\s|$)|[。！？]"))

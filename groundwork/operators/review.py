@@ -111,14 +111,6 @@ def inherit_evidence(runs: DataFrame, cards: DataFrame) -> DataFrame:
     return kin.join(cards.select(F.col("run_id").alias("parent_id"), "card_id"), "parent_id").select("run_id", "card_id")
 
 
-def instructions_per_unit(units: DataFrame, terms: Sequence[tuple[str, str]]) -> DataFrame:
-    """unit_id, source_term, target_term: terms, a short list, that stand in the unit's text or in its
-    neighbours'."""
-    around = F.lower(F.concat_ws("\n", "text", "before", "after"))
-    hits = F.array(*[F.when(around.contains(s.lower()) | around.contains(t.lower()), F.struct(F.lit(s).alias("source_term"), F.lit(t).alias("target_term"))) for s, t in terms])
-    return units.select("unit_id", F.explode(F.array_compact(hits)).alias("t")).select("unit_id", "t.*")
-
-
 EXACT = r"(https?://[^\s)\]]+|\\[A-Za-z]+|⟦[^⟧]+⟧|(?<![A-Za-z0-9])[A-Z]{2,}(?:-[A-Z0-9]+)*\d*(?![A-Za-z0-9]))"
 
 
@@ -200,14 +192,6 @@ def assess_units(violations: DataFrame) -> DataFrame:
     return violations.groupBy("unit_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
 
-def apply_terms(units: DataFrame, terms: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Known corrections (source term, wrong, right) of targets whose source has the term."""
-    out = F.col("target")
-    for source, wrong, right in terms:
-        out = F.when(F.lower("source").contains(source.lower()), F.replace(out, F.lit(wrong), F.lit(right))).otherwise(out)
-    return units.withColumn("target", out)
-
-
 def asset_budget(assets: DataFrame, most: int = 80, each: int = 10 << 20, total: int = 40 << 20) -> DataFrame:
     """article_id, n, bytes (each content once), largest, fits."""
     one = assets.groupBy("article_id", "sha256").agg(F.max("size").alias("size"), F.count("*").alias("k"))

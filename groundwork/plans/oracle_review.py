@@ -102,8 +102,16 @@ SQL: dict[str, str] = {
     "unmapped_sentences": "SELECT l_orderkey AS body_id, 'Item ' || l_linenumber || ' has ' || l_quantity::BIGINT || ' pieces;' AS sentence FROM lineitem WHERE l_linenumber % 2 = 1",
     "nearest_sentences": """SELECT l_orderkey AS body_id, 'P' || l_linenumber || ' is part of it.' AS sentence, 'P' || l_linenumber || ' is part ' || l_partkey || '.' AS nearest, length('P' || l_linenumber || ' is part ')::INT AS shared FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)""",
     "findings_rollup": """SELECT (user_id % 3)::INT AS pass, event_type AS scope, count(*) FILTER (value > 20) AS high, coalesce(string_agg(DISTINCT CASE WHEN value <= 20 THEN 'r' || (user_id % 5) END, ',' ORDER BY CASE WHEN value <= 20 THEN 'r' || (user_id % 5) END), '') AS warnings FROM events GROUP BY 1, 2""",
-    "findings_kinds": """WITH q AS (SELECT DISTINCT event_type, user_id FROM events WHERE value > 60 AND user_id % 4 = 1) SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'blocking' WHEN 2 THEN 'blocking' WHEN 3 THEN 'advisory'
-      ELSE CASE WHEN user_id % 3 > 0 AND (event_type, user_id) NOT IN (SELECT (event_type, user_id) FROM q) THEN 'deferred' ELSE 'blocking' END END AS verdict FROM events""",
+    "findings_kinds": """WITH q AS (SELECT DISTINCT event_type, user_id FROM events WHERE value > 60), x AS (SELECT *, event_id % 9 AS k, event_id % 2 = 0 AND (event_id // 9) % 3 <> 0 AS lost FROM events),
+      r AS (SELECT *, CASE k WHEN 1 THEN '1 ' || user_id WHEN 3 THEN '3 ' || round(value)::BIGINT || ' ' || user_id WHEN 4 THEN '4 ' || (user_id % 28) ELSE k::VARCHAR END AS said FROM x),
+      a AS (SELECT DISTINCT event_type, said FROM r WHERE value > 60)
+      SELECT event_id, CASE WHEN k IN (1, 3, 4, 7, 8) AND user_id % 3 > 0 AND NOT (k IN (3, 4) AND lost) AND a.said IS NULL THEN 'deferred' ELSE 'blocking' END AS verdict FROM r LEFT JOIN a USING (event_type, said)""",
+    "dropped_spans": """WITH p AS (SELECT p_partkey AS finding_id, 'the ' || p_name || ' of ' || p_type || ' by ' || p_brand || ' is missing' AS f, p_brand || ' makes the ' || p_name || ' of ' || p_type AS b,
+        CASE p_partkey % 3 WHEN 0 THEN p_brand || ' makes the ' || p_name WHEN 1 THEN 'the ' || p_type || ' of ' || p_brand ELSE 'it is the ' || p_name || ' of ' || p_type END AS a FROM part),
+      s AS (SELECT *, unnest(generate_series(1, length(f) - 7)) AS i FROM p), e AS (SELECT *, unnest(generate_series(i + 7, length(f))) AS j FROM s)
+      SELECT finding_id, (i - 1)::INT AS start, f[i:j] AS span FROM e WHERE contains(b, f[i:j]) AND NOT contains(a, f[i:j]) AND (i = 1 OR NOT contains(b, f[i - 1:j])) AND (j = length(f) OR NOT contains(b, f[i:j + 1]))""",
+    "term_instructions": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS source_term FROM benchmark)
+      SELECT conv_id * 1000 + turn AS unit_id, source_term, source_term || 'x' AS target_term FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations) JOIN t ON contains(text, source_term)""",
     "review_triage": """WITH u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END AS s, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '。' ELSE left(text, 10) || repeat('。', 60) END AS t FROM conversations),
       n AS (SELECT *, len(regexp_extract_all(s, '[.!?](?:\\s|$)|[。！？]')) AS ns, len(regexp_extract_all(t, '[.!?](?:\\s|$)|[。！？]')) AS nt FROM u),
       r AS (SELECT unit_id, CASE WHEN conv_id % 17 = 0 THEN 'repaired' WHEN conv_id % 13 = 0 THEN 'warnings' WHEN nt < ns THEN 'sentence-loss' WHEN length(s) > 200 AND length(t) < 0.15 * length(s) THEN 'too-short' WHEN turn = 1 THEN 'section'

@@ -15,6 +15,7 @@ from groundwork.operators import ledgers as G
 from groundwork.operators import pages as P
 from groundwork.operators import review as R
 from groundwork.operators import structure as S
+from groundwork.operators import terms as T
 from groundwork.operators import threads as H
 from groundwork.sources.tables import table
 
@@ -357,7 +358,7 @@ def asset_budgets(spark: SparkSession, sf: str) -> DataFrame:
 def instruction_units(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").withColumn("type", F.lit("paragraph"))
     units = D.unit_context(c, "conv_id", "turn").withColumn("unit_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return R.instructions_per_unit(units, [("hinre", "x1"), ("éaument", "x2")])
+    return T.instructions_per_unit(units, [("hinre", "x1"), ("éaument", "x2")])
 
 
 def retranslation_plan(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,9 +11,11 @@ from groundwork.operators import documents as D
 from groundwork.operators import drafts as V
 from groundwork.operators import evidence as E
 from groundwork.operators import ledgers as G
+from groundwork.operators import findings as N
 from groundwork.operators import pages as P
 from groundwork.operators import review as R
 from groundwork.operators import structure as S
+from groundwork.operators import terms as T
 from groundwork.sources.tables import table
 
 
@@ -296,9 +298,30 @@ def findings_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def findings_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    reason = F.expr("CASE user_id % 4 WHEN 0 THEN 'the figure is wrong and context is omitted' WHEN 1 THEN concat('missing context ', user_id) WHEN 2 THEN '数据错误' ELSE 'wording could be better' END")
-    e = table(spark, sf, "events").select("event_id", F.expr("cast(user_id % 3 as int)").alias("pass"), F.col("event_type").alias("scope"), reason.alias("reason"), "value")
-    return V.classify_findings(e, e.filter("value > 60").select("scope", "reason")).select("event_id", "verdict")
+    """Events as findings in nine wordings, some of which name a date or a passage; the draft before
+    has these in every second event, the draft after in every third."""
+    said = "concat('event value ', cast(round(value) as bigint), ' of user ', user_id)"
+    reason = F.expr(f"""CASE event_id % 9 WHEN 0 THEN 'C1：稿件将数字写成了 5，遗漏背景' WHEN 1 THEN concat('稿件没有交代 ', user_id) WHEN 2 THEN '稿件称收益为 3%，原文没有报告'
+      WHEN 3 THEN concat('遗漏：原文“', {said}, '”') WHEN 4 THEN concat('未交代 2024年1月', 1 + user_id % 28, '日至2月3日 的背景') WHEN 5 THEN '措辞可以更好'
+      WHEN 6 THEN '原文没有写在正文里' WHEN 7 THEN '没有写在导语' ELSE '稿件没有称其为实测' END""")
+    draft = f"concat({said}, '，2024年1月', 1 + user_id % 28, '日至2月3日')"
+    e = table(spark, sf, "events").select("event_id", F.expr("cast(user_id % 3 as int)").alias("pass"), F.col("event_type").alias("scope"), reason.alias("reason"), "value", F.expr(f"CASE WHEN event_id % 2 = 0 THEN {draft} ELSE 'nothing' END").alias("before"), F.expr(f"CASE WHEN (event_id div 9) % 3 = 0 THEN {draft} ELSE 'nothing' END").alias("after"))
+    return N.classify_findings(e, e.filter("value > 60").select("scope", "reason")).select("event_id", "verdict")
+
+
+def dropped_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as findings: the draft before has brand, name and type, the draft after lost one of them."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("finding_id"), F.expr("concat('the ', p_name, ' of ', p_type, ' by ', p_brand, ' is missing')").alias("finding"), F.expr("concat(p_brand, ' makes the ', p_name, ' of ', p_type)").alias("before"), F.expr("CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, ' makes the ', p_name) WHEN 1 THEN concat('the ', p_type, ' of ', p_brand) ELSE concat('it is the ', p_name, ' of ', p_type) END").alias("after"))
+    return N.dropped_spans(p)
+
+
+def term_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the benchmark as terms, each with its own beginning as the target, in conversations."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("source_term")).distinct()
+    terms = words.select("source_term", F.expr("concat(source_term, 'x')").alias("target_term"), F.xxhash64("source_term").alias("h"))
+    terms = terms.select("source_term", "target_term", F.expr("h >> 2").alias("ord"))
+    units = table(spark, sf, "conversations").select(F.expr("conv_id * 1000 + turn").alias("unit_id"), "text", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
+    return T.instructions_per_unit(units, terms)
 
 
 def review_triage(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +338,7 @@ def highlight_lints(spark: SparkSession, sf: str) -> DataFrame:
 
 def corrected_terms(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("source"), F.col("text").alias("target"))
-    return R.apply_terms(u, [("hinre", "the", "THE"), ("éau", "la ", "LA "), ("THE", "and", "&")]).select("unit_id", F.md5("target").alias("digest"))
+    return T.apply_terms(u, [("hinre", "the", "THE"), ("éau", "la ", "LA "), ("THE", "and", "&")]).select("unit_id", F.md5("target").alias("digest"))
 
 
 def untranslated(spark: SparkSession, sf: str) -> DataFrame:

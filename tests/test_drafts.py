@@ -21,12 +21,6 @@ def test_narrowing(spark):
     assert got == {1: (True, False), 2: (False, True)}
 
 
-def test_findings(spark):
-    issues = spark.createDataFrame([(0, "a", "omits the date"), (1, "a", "omits the date"), (1, "b", "omits the size"), (1, "c", "wrong number, omits unit"), (1, "d", "style")], "pass int, scope string, reason string")
-    got = {(r["pass"], r["scope"]): r["verdict"] for r in D.classify_findings(issues, issues.filter("pass = 0")).collect()}
-    assert got == {(0, "a"): "blocking", (1, "a"): "blocking", (1, "b"): "deferred", (1, "c"): "blocking", (1, "d"): "advisory"}
-
-
 def test_retranslation_plan(spark):
     u = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "the Term", "b", "c", "d"])], "doc_id int, ord int, text string")
     assert [D.plan_retranslation(u, k, ["term"]).count() for k in (["title"], ["term"], ["style"])] == [0, 3, 5]
