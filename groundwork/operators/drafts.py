@@ -97,19 +97,6 @@ def plan_retranslation(units: DataFrame, kinds: Sequence[str], terms: Sequence[s
     return units
 
 
-def crop_paper_main(blocks: DataFrame, papers: DataFrame, references: str, doc: str = "doc_id") -> DataFrame:
-    """Blocks of papers (doc_id) through the end of their first bibliography; without one, all stay
-    and boundary is false. ``references`` is the pattern of its heading."""
-    heading = F.col("type") == "heading"
-    b = blocks.join(papers.select(doc).distinct(), doc, "left_semi")
-    start = b.filter(heading & F.col("text").rlike(references)).groupBy(doc).agg(F.min(F.struct("ord", "level")).alias("_s"))
-    b = b.join(start, doc, "left")
-    after = heading & (F.col("ord") > F.col("_s.ord")) & (F.coalesce("level", F.lit(2)) <= F.coalesce("_s.level", F.lit(2)))
-    stop = b.filter(after).groupBy(doc).agg(F.min("ord").alias("_stop"))
-    kept = b.join(stop, doc, "left").filter(F.col("_stop").isNull() | (F.col("ord") < F.col("_stop")))
-    return kept.withColumn("boundary", F.col("_s").isNotNull()).drop("_s", "_stop")
-
-
 def drop_repeated_preamble(blocks: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Blocks without the text before the first abstract or introduction heading, in documents (doc_id,
     title, authors) whose title or two authors stand there again; figures and tables stay."""
@@ -117,12 +104,13 @@ def drop_repeated_preamble(blocks: DataFrame, docs: DataFrame, doc: str = "doc_i
     first = blocks.filter(head).groupBy(doc).agg(F.min("ord").alias("_first"))
     b = blocks.join(first, doc, "left").join(docs.select(doc, F.col("title").alias("_title"), F.col("authors").alias("_authors")), doc, "left")
     before = F.coalesce(F.col("ord") < F.col("_first"), F.lit(False))
-    w = W.partitionBy(doc)
-    lead = F.lower(F.array_join(F.collect_list(F.when(before, F.col("text"))).over(w), "\n"))
-    b = b.withColumn("_lead", lead)
+    b = b.withColumn("_before", before)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    lead = b.filter("_before").groupBy(doc).agg(F.lower(F.array_join(texts, "\n")).alias("_lead"), F.first("_title").alias("_title"), F.first("_authors").alias("_authors"))
     named = F.size(F.filter(F.coalesce("_authors", F.array().cast("array<string>")), lambda a: F.col("_lead").contains(F.lower(a))))
-    again = F.coalesce(F.col("_lead").contains(F.lower("_title")), F.lit(False)) | (named >= 2)
-    return b.filter(~(before & again & ~F.col("type").isin("figure", "table"))).drop("_first", "_title", "_authors", "_lead")
+    again = lead.filter(F.coalesce(F.col("_lead").contains(F.lower("_title")), F.lit(False)) | (named >= 2)).select(doc, F.lit(True).alias("_again"))
+    rows = b.drop("_title", "_authors").join(again, doc, "left")
+    return rows.filter(~(F.col("_before") & F.coalesce("_again", F.lit(False)) & ~F.col("type").isin("figure", "table"))).drop("_first", "_before", "_again")
 
 
 def translation_completeness(source: DataFrame, target: DataFrame, doc: str = "doc_id") -> DataFrame:

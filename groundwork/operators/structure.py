@@ -35,37 +35,6 @@ def markdown_blocks(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
     return by.select(id_, F.row_number().over(W.partitionBy(id_).orderBy("n")).alias("ord"), "type", level.alias("level"), bare.alias("text"))
 
 
-REFERENCES = r"(?i)^(?:\d+(?:\.\d+)*\.?\s+)?(?:references|bibliography|works cited|参考文献)\s*$"
-
-
-def annotate_bibliography(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Paragraphs and list items between a references heading and the next heading of the same or a
-    higher level become references. A deeper references heading inside does not open anew."""
-    w = W.partitionBy(doc).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    level = F.coalesce("level", F.lit(2))
-    heading = F.col("type") == "heading"
-    b = blocks.withColumn("_open", F.when(heading & F.col("text").rlike(REFERENCES), F.struct("ord", level.alias("level"))))
-    b = b.withColumn("_last", F.last("_open", ignorenulls=True).over(w))
-    closed = F.max(F.when(heading & F.col("_open").isNull() & (level <= F.col("_last.level")), F.col("ord"))).over(w)
-    inside = F.col("_last").isNotNull() & (F.coalesce(closed, F.lit(-1)) < F.col("_last.ord"))
-    kind = F.when(inside & F.col("type").isin("paragraph", "list_item"), "reference").otherwise(F.col("type"))
-    return b.withColumn("type", kind).drop("_open", "_last")
-
-
-def slice_sections(blocks: DataFrame, start: str, end: str | None = None, doc: str = "doc_id") -> DataFrame:
-    """From the first heading that contains ``start`` (case apart) to just before the next heading, at
-    the level of the end heading or above, after the one that contains ``end`` (or ``start``)."""
-    heading = F.col("type") == "heading"
-    has = lambda t: F.lower("text").contains(t.lower())
-    first = blocks.filter(heading & has(start)).groupBy(doc).agg(F.min(F.struct("ord", "level")).alias("s"))
-    b = blocks.join(first, doc)
-    last = b.filter(heading & has(end or start) & (F.col("ord") >= F.col("s.ord"))).groupBy(doc).agg(F.min(F.struct("ord", "level")).alias("e"))
-    b = b.join(last, doc)
-    stop = b.filter(heading & (F.col("ord") > F.col("e.ord")) & (F.coalesce("level", F.lit(2)) <= F.coalesce("e.level", F.lit(2)))).groupBy(doc).agg(F.min("ord").alias("stop"))
-    kept = b.join(stop, doc, "left").filter((F.col("ord") >= F.col("s.ord")) & (F.col("stop").isNull() | (F.col("ord") < F.col("stop"))))
-    return kept.withColumn("ord", F.row_number().over(W.partitionBy(doc).orderBy("ord")) - 1).drop("s", "e", "stop")
-
-
 def number_visuals(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Figures and tables counted in a document; references counted anew after any other block."""
     w = W.partitionBy(doc).orderBy("ord")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,21 +70,36 @@ def pack_batches(units: DataFrame, doc: str, order: str, chars: int = 8000, item
     return carried(rows, [doc], [F.col(order).asc_nulls_last(), F.col("size")], "size", start, step, "batch long")
 
 
-def chunk_text(units: DataFrame, keys: Sequence[str], limit: int, text: str = "text") -> DataFrame:
+#: What a cut must not go through in texts whose links and formulas are placeholders.
+PLACEHOLDERS = r"\[[^\[\]\n]+\]\(⟦[^⟦⟧\n]+⟧\)|⟦[^⟦⟧\n]+⟧"
+#: What a cut must not go through in other texts: links and formulas as well.
+PROTECTED = r"\[[^\[\]\n]+\]\([^()\s]+\)|⟦[^⟦⟧\n]+⟧|\$\$[^$]+\$\$|\$[^\s$][^$\n]*\$"
+
+
+def _cuts(t: str, limit: int, spans: list[tuple[int, int]]) -> list[str]:
+    """``t`` in parts; ``spans`` in order, none of which is cut, are passed once."""
+    out, at, i = [], 0, 0
+    while len(t) - at > limit:
+        end = max(t.rfind("\n", at + limit // 2, at + limit), t.rfind(" ", at + limit // 2, at + limit))
+        end = end + 1 if end >= 0 else at + limit
+        while i < len(spans) and spans[i][1] <= end:
+            i += 1
+        if i < len(spans) and spans[i][0] < end:
+            end = spans[i][0] if spans[i][0] > at else spans[i][1]
+        out.append(t[at:end])
+        at = end
+    return [*out, t[at:]] if at < len(t) or not out else out
+
+
+def chunk_text(units: DataFrame, keys: Sequence[str], limit: int, text: str = "text", protected: str = PLACEHOLDERS) -> DataFrame:
     """keys, n, part: a text cut into parts of at most ``limit`` characters, each at the last blank
-    or line break past half of the limit, else at the limit."""
+    or line break past half of the limit, else at the limit. A cut that would go through what
+    ``protected`` matches is made before it; what is longer than the limit is a part of its own length.
+    The parts joined are the text."""
 
     @F.pandas_udf("array<string>")
     def parts(col: pd.Series) -> pd.Series:
-        def cut(t: str) -> list[str]:
-            out, at = [], 0
-            while len(t) - at > limit:
-                end = max(t.rfind("\n", at + limit // 2, at + limit), t.rfind(" ", at + limit // 2, at + limit))
-                end = end + 1 if end >= 0 else at + limit
-                out.append(t[at:end])
-                at = end
-            return [*out, t[at:]]
-
-        return pd.Series([cut(x or "") for x in col])
+        keep = re.compile(protected)
+        return pd.Series([_cuts(x or "", limit, [m.span() for m in keep.finditer(x or "")]) for x in col])
 
     return units.select(*keys, F.posexplode(parts(F.col(text))).alias("n", "part")).withColumn("n", F.col("n") + 1)

@@ -20,6 +20,16 @@ _TURNS = """(SELECT conv_id AS doc_id, turn AS ord, CASE WHEN role = 'user' THEN
 #: Turn 2 opens a bibliography as a heading of level two, so the next heading of any level closes it.
 _BIB = f"""(SELECT t.doc_id, t.ord, CASE WHEN r.ord IS NOT NULL AND t.ord > r.ord AND NOT EXISTS (SELECT 1 FROM {_TURNS} c WHERE c.doc_id = t.doc_id AND c.type = 'heading' AND c.ord > r.ord AND c.ord <= t.ord)
   AND t.type IN ('paragraph', 'list_item') THEN 'reference' ELSE t.type END AS type, t.text FROM {_TURNS} t LEFT JOIN (SELECT doc_id, ord FROM {_TURNS} WHERE text = 'References') r ON r.doc_id = t.doc_id)"""
+_NUMBERED = """(SELECT conv_id AS doc_id, turn AS ord, role = 'user' AS h, CASE WHEN role = 'user' THEN 1 + (conv_id + turn) % 3 END AS level,
+  CASE WHEN role <> 'user' THEN text WHEN turn = 4 THEN '6. ' || CASE WHEN conv_id % 2 = 0 THEN '参考文献' ELSE 'Bibliography.' END ELSE turn || '. ' || text END AS text FROM conversations)"""
+
+
+def _siblings(n: int) -> str:
+    """Headings of level n since the last one above that level, up to the heading a."""
+    return f"""CASE WHEN a.level >= {n} THEN (SELECT count(*) FROM {_NUMBERED} c WHERE c.h AND c.doc_id = a.doc_id AND c.level = {n} AND c.ord <= a.ord
+      AND NOT EXISTS (SELECT 1 FROM {_NUMBERED} d WHERE d.h AND d.doc_id = a.doc_id AND d.level < {n} AND d.ord > c.ord AND d.ord <= a.ord)) ELSE 0 END"""
+
+
 _MISSING = "(SELECT l_orderkey AS sent_id, (1000 + l_partkey % 500)::VARCHAR AS token FROM lineitem)"
 _HELD = "(SELECT p_partkey AS excerpt_id, length('No ' || (1000 + p_partkey % 400) || ' and ' || (1000 + p_size) || '.') AS size, (1000 + p_partkey % 400)::VARCHAR AS a, (1000 + p_size)::VARCHAR AS b FROM part)"
 _E6 = "(SELECT *, ('t' || user_id) AS tk FROM events)"
@@ -112,6 +122,13 @@ SQL: dict[str, str] = {
       SELECT finding_id, (i - 1)::INT AS start, f[i:j] AS span FROM e WHERE contains(b, f[i:j]) AND NOT contains(a, f[i:j]) AND (i = 1 OR NOT contains(b, f[i - 1:j])) AND (j = length(f) OR NOT contains(b, f[i:j + 1]))""",
     "term_instructions": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS source_term FROM benchmark)
       SELECT conv_id * 1000 + turn AS unit_id, source_term, source_term || 'x' AS target_term FROM (SELECT conv_id, turn, lower(text) AS text FROM conversations) JOIN t ON contains(text, source_term)""",
+    "heading_outline": f"""SELECT a.doc_id, a.ord AS open, (SELECT min(b.ord) FROM {_NUMBERED} b WHERE b.h AND b.doc_id = a.doc_id AND b.ord > a.ord AND b.level <= a.level) AS close, a.level::INT AS level,
+        array_to_string(list_filter([{_siblings(1)}, {_siblings(2)}, {_siblings(3)}], lambda x: x > 0), '.') AS path FROM {_NUMBERED} a WHERE a.h""",
+    "section_scopes": f"""WITH h AS (SELECT *, CASE WHEN ord = 4 THEN 6 ELSE ord END AS n FROM {_NUMBERED} WHERE h), d AS (SELECT DISTINCT doc_id FROM {_NUMBERED}),
+      s AS (SELECT doc_id, min(ord) FILTER (CASE doc_id % 5 WHEN 0 THEN n = 2 WHEN 2 THEN ord = 4 WHEN 3 THEN n = 2 ELSE false END) AS a FROM d LEFT JOIN h USING (doc_id) GROUP BY 1),
+      e AS (SELECT s.doc_id, a, CASE WHEN s.doc_id % 5 IN (0, 3) THEN min(ord) FILTER (ord >= a AND CASE WHEN s.doc_id % 5 = 0 THEN ord = 4 ELSE n = 1 END) ELSE a END AS b, coalesce(string_agg(text, '；' ORDER BY ord) FILTER (text IS NOT NULL), '无') AS named FROM s LEFT JOIN h ON h.doc_id = s.doc_id GROUP BY s.doc_id, a)
+      SELECT e.doc_id, CASE WHEN b IS NOT NULL THEN a END AS open, (SELECT min(x.ord) FROM h x JOIN h y ON y.doc_id = x.doc_id AND y.ord = e.b WHERE x.doc_id = e.doc_id AND x.ord > y.ord AND x.level <= y.level) AS close,
+        CASE WHEN a IS NULL THEN 'start' WHEN b IS NULL THEN 'end' END AS error, md5(CASE WHEN a IS NULL OR b IS NULL THEN named END) AS available FROM e""",
     "review_triage": """WITH u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END AS s, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '。' ELSE left(text, 10) || repeat('。', 60) END AS t FROM conversations),
       n AS (SELECT *, len(regexp_extract_all(s, '[.!?](?:\\s|$)|[。！？]')) AS ns, len(regexp_extract_all(t, '[.!?](?:\\s|$)|[。！？]')) AS nt FROM u),
       r AS (SELECT unit_id, CASE WHEN conv_id % 17 = 0 THEN 'repaired' WHEN conv_id % 13 = 0 THEN 'warnings' WHEN nt < ns THEN 'sentence-loss' WHEN length(s) > 200 AND length(t) < 0.15 * length(s) THEN 'too-short' WHEN turn = 1 THEN 'section'

@@ -12,6 +12,7 @@ from groundwork.operators import drafts as V
 from groundwork.operators import evidence as E
 from groundwork.operators import ledgers as G
 from groundwork.operators import findings as N
+from groundwork.operators import outline as O
 from groundwork.operators import pages as P
 from groundwork.operators import review as R
 from groundwork.operators import structure as S
@@ -62,20 +63,21 @@ def _turn_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bibliography(spark: SparkSession, sf: str) -> DataFrame:
-    return S.annotate_bibliography(_turn_blocks(spark, sf)).select("doc_id", "ord", "type")
+    return O.annotate_bibliography(_turn_blocks(spark, sf)).select("doc_id", "ord", "type")
 
 
 def visual_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return S.number_visuals(S.annotate_bibliography(_turn_blocks(spark, sf))).filter("number is not null").select("doc_id", "ord", "type", "number")
+    return S.number_visuals(O.annotate_bibliography(_turn_blocks(spark, sf))).filter("number is not null").select("doc_id", "ord", "type", "number")
 
 
 def section_slices(spark: SparkSession, sf: str) -> DataFrame:
-    return S.slice_sections(_turn_blocks(spark, sf).filter("type <> 'figure'"), "references").select("doc_id", "ord", F.md5("text").alias("digest"))
+    b = _turn_blocks(spark, sf).filter("type <> 'figure'")
+    return O.slice_sections(b, b.select("doc_id", F.lit("references").alias("start"), F.lit(None).cast("string").alias("end")).distinct()).select("doc_id", "ord", F.md5("text").alias("digest"))
 
 
 def paper_main(spark: SparkSession, sf: str) -> DataFrame:
     papers = table(spark, sf, "conversations").filter("conv_id % 2 = 0").select(F.col("conv_id").alias("doc_id"))
-    return V.crop_paper_main(_turn_blocks(spark, sf), papers, S.REFERENCES).select("doc_id", "ord", "boundary")
+    return O.crop_paper_main(_turn_blocks(spark, sf), papers).select("doc_id", "ord", "boundary")
 
 
 def flat_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -324,6 +326,27 @@ def term_instructions(spark: SparkSession, sf: str) -> DataFrame:
     return T.instructions_per_unit(units, terms)
 
 
+def _numbered_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as documents: users' turns are headings of three levels with a number, the fourth
+    is one of references under another name."""
+    text = F.expr("CASE WHEN role <> 'user' THEN text WHEN turn = 4 THEN concat('6. ', CASE WHEN conv_id % 2 = 0 THEN '参考文献' ELSE 'Bibliography.' END) ELSE concat(turn, '. ', text) END")
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.expr("CASE WHEN role = 'user' THEN 'heading' ELSE 'paragraph' END").alias("type"), F.expr("CASE WHEN role = 'user' THEN 1 + (conv_id + turn) % 3 END").alias("level"), text.alias("text"))
+
+
+def heading_outline(spark: SparkSession, sf: str) -> DataFrame:
+    """The section of each heading, and its place among those around it."""
+    return O.outline(_numbered_turns(spark, sf)).select("doc_id", "open", "close", "level", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
+def section_scopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Scopes by number, by another name of the references, by ranges, and by what no heading has."""
+    b = _numbered_turns(spark, sf)
+    start = F.expr("CASE doc_id % 5 WHEN 0 THEN '2' WHEN 1 THEN '99' WHEN 2 THEN 'references' WHEN 3 THEN '2' ELSE 'no such name at all' END")
+    end = F.expr("CASE doc_id % 5 WHEN 0 THEN 'works cited' WHEN 3 THEN '1' END")
+    r = b.select("doc_id", start.alias("start"), end.alias("end")).distinct()
+    return O.section_ranges(b, r).select("doc_id", "open", "close", "error", F.md5("available").alias("available"))
+
+
 def review_triage(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as units, their translation cut in two ways."""
     c = table(spark, sf, "conversations")

@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from groundwork.operators import drafts as D
-from groundwork.operators.structure import REFERENCES
+from groundwork.operators import outline as O
 
 
 def test_limits_of_drafts(spark):
@@ -30,7 +30,7 @@ def test_paper_blocks(spark):
     rows = [("paragraph", None, "My Title"), ("figure", None, "f"), ("heading", 1, "Abstract"), ("paragraph", None, "x"), ("heading", 1, "References"), ("paragraph", None, "[1]"), ("heading", 1, "Appendix"), ("paragraph", None, "y")]
     b = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id int, ord int, type string, level int, text string")
     docs = spark.createDataFrame([(1, "my title", ["A"])], "doc_id int, title string, authors array<string>")
-    assert [r["ord"] for r in D.crop_paper_main(b, docs, REFERENCES).orderBy("ord").collect()] == [0, 1, 2, 3, 4, 5]
+    assert [r["ord"] for r in O.crop_paper_main(b, docs).orderBy("ord").collect()] == [0, 1, 2, 3, 4, 5]
     assert [r["ord"] for r in D.drop_repeated_preamble(b, docs).orderBy("ord").collect()] == [1, 2, 3, 4, 5, 6, 7]
     assert not D.translation_completeness(b, b.filter("type <> 'figure'")).first()["complete"]
 
