@@ -107,10 +107,40 @@ def issue_states(issues: DataFrame, today: str, days: int = 30, keep: int = 7, a
     return calendar.join(done, at, "left").select(at, state.alias("state"))
 
 
+#: Size of a sketch; its ranks are off by less than 2.3 / SKETCH ** 0.97 of all rows, at 99 percent.
+SKETCH = 800
+
+
+def duration_sketches(events: DataFrame, keys: Sequence[str], duration: str = "duration_ms", size: int = SKETCH) -> DataFrame:
+    """(keys, n, sketch): a mergeable quantile sketch of the durations of each key, such as a stage and a
+    day, of bounded size; to be kept, and merged into sketches of longer times. Null durations count
+    in neither."""
+    return events.groupBy(*keys).agg(F.count(duration).alias("n"), F.kll_sketch_agg_double(F.col(duration).cast("double"), size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str], size: int = SKETCH) -> DataFrame:
+    """(keys, n, sketch) over what was kept for finer keys."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", size).alias("sketch"))
+
+
+def sketch_quantile(sketches: DataFrame, q: float) -> Column:
+    """The quantile that a sketch tells; null for none."""
+    return F.when(sketches["n"] > 0, F.kll_sketch_get_quantile_double(sketches["sketch"], F.lit(q)))
+
+
+def quantile_ranks(events: DataFrame, told: DataFrame, keys: Sequence[str], duration: str = "duration_ms") -> DataFrame:
+    """(keys, below, upto): the exact shares of durations below, and at most, the value told (keys,
+    value); a told quantile q is off by max(0, below - q, q - upto)."""
+    d = events.filter(F.col(duration).isNotNull()).join(told.select(*keys, F.col("value").alias("_value")), list(keys))
+    share = lambda c: F.avg(c.cast("int"))
+    return d.groupBy(*keys).agg(share(F.col(duration) < F.col("_value")).alias("below"), share(F.col(duration) <= F.col("_value")).alias("upto"))
+
+
 def stage_report(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """n, failures, retries, hit_rate and the 95th percentile of duration_ms of stages: telemetry
-    (outcome, attempt, retrying, cache_hit, duration_ms)."""
-    return events.groupBy(*keys).agg(
+    """n, failures, retries, hit_rate and the 95th percentile of duration_ms of stages, the percentile by
+    a sketch: telemetry (outcome, attempt, retrying, cache_hit, duration_ms)."""
+    by = events.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("outcome") != "ok").alias("failures"), F.count_if(F.col("retrying") | (F.col("attempt") > 1)).alias("retries"),
-        F.avg(F.col("cache_hit").cast("int")).alias("hit_rate"), F.expr("percentile(duration_ms, 0.95)").alias("p95"),
+        F.avg(F.col("cache_hit").cast("int")).alias("hit_rate"), F.count("duration_ms").alias("_n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), SKETCH).alias("_sketch"),
     )
+    return by.withColumn("p95", F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.95)))).drop("_n", "_sketch")

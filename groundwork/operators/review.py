@@ -97,6 +97,34 @@ def reconcile_receipts(operations: DataFrame, before: DataFrame, observed: DataF
     return met.select("op_id", F.when(one, "resolved").otherwise("needs_review").alias("status"), F.when(one, F.col("draft_id")).alias("draft_id"))
 
 
+#: Fixed values, in milliseconds: how old a notice may be whose receipt is looked for, how long before and
+#: after it began its message may stand, and how far ahead of now.
+RECEIPT_AGE, EARLY, LATE, AHEAD = 48 * 3_600_000, 60_000, 600_000, 60_000
+
+
+def reconcile_notices(operations: DataFrame, messages: DataFrame, now: int, user: str, bot: str, channel: str, mark: str = r"\[[^\[\]\s]+\]") -> DataFrame:
+    """(op_id, state, ts) of notices (op_id, channel, marker, started_ms) whose sending is uncertain, by
+    messages (channel, ts, sent_ms, thread_ts, user, bot_id, text). A receipt is a root message of the
+    bot in the notice's window that bears its marker. One receipt is ``sent``; none is ``pending`` as
+    long as the window is open; else, and for old notices or another channel, ``needs_review``.
+
+    ``mark`` matches markers. Messages meet notices by channel, marker and stretch of time as long as a
+    window, of which a window meets two; a marker that many messages bear meets those of its window
+    only."""
+    width = EARLY + LATE
+    to = F.least(F.lit(now + AHEAD), F.col("started_ms") + LATE)
+    fine = F.coalesce((F.col("started_ms") >= now - RECEIPT_AGE) & (F.col("channel") == channel), F.lit(False))
+    o = operations.withColumn("_from", F.col("started_ms") - EARLY).withColumn("_to", to)
+    near = o.filter(fine & (F.col("_from") <= F.col("_to"))).select("op_id", "channel", "marker", "_from", "_to", F.explode(F.expr(f"sequence(_from div {width}, _to div {width})")).alias("_bin"))
+    roots = messages.filter((F.col("user") == user) & (F.col("bot_id") == bot) & (F.col("thread_ts").isNull() | (F.col("thread_ts") == F.col("ts"))))
+    said = roots.select("channel", "ts", "sent_ms", F.expr(f"sent_ms div {width}").alias("_bin"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({mark})"), F.lit(1)))).alias("marker"))
+    met = near.join(said, ["channel", "marker", "_bin"]).filter(F.col("sent_ms").between(F.col("_from"), F.col("_to")))
+    found = met.groupBy("op_id").agg(F.countDistinct("ts").alias("_n"), F.min("ts").alias("_ts"))
+    n = F.coalesce("_n", F.lit(0))
+    state = F.when(fine & (n == 1), "sent").when(fine & (n == 0) & (F.lit(now) < F.col("started_ms") + LATE), "pending").otherwise("needs_review")
+    return o.join(found, "op_id", "left").select("op_id", state.alias("state"), F.when(state == "sent", F.col("_ts")).alias("ts"))
+
+
 def route_notices(notices: DataFrame, aliases: DataFrame) -> DataFrame:
     """Channel and root of each notice: by alias, else by its thread key ``channel:ts``."""
     a = aliases.select("thread_key", F.col("channel").alias("_c"), F.col("root").alias("_r"))

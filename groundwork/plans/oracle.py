@@ -145,6 +145,7 @@ SQL: dict[str, str] = {
       WHERE event_type = 'error' AND value > 5 AND user_id % 3 < 2 AND ts > TIMESTAMP '{CUTOFF}' - INTERVAL 1 DAY""",
     "recent_reasons": """SELECT event_type, k::INT AS rank, reason FROM (SELECT event_type, reason, row_number() OVER (PARTITION BY event_type ORDER BY last DESC, reason) AS k
       FROM (SELECT event_type, 'user ' || (user_id % 40) AS reason, max(event_id) AS last FROM events GROUP BY ALL)) WHERE k <= 6""",
+    "incremental_upsert": "SELECT o_orderkey, o_custkey, o_orderdate::DATE::VARCHAR || ' 00:00:00' AS day, CASE WHEN o_orderkey % 1000 < 6 THEN 2 ELSE 0 END AS version FROM orders WHERE o_custkey % 10 < 9 OR o_orderkey % 1000 < 6",
     "host_counts": "SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1",
     "page_manifest": """SELECT page_id, len(list_filter(b, lambda x: NOT regexp_matches(x, '^<[hH]'))) AS n_paragraphs, len(list_filter(b, lambda x: regexp_matches(x, '^<[hH]'))) AS n_headings
       FROM (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(a, '<(h[1-6]|p|li|blockquote)([ >])', chr(1) || '<\\1\\2', 'g'), chr(1)), lambda y: y), lambda x: regexp_matches(x, '^<(h[1-6]|p|li|blockquote)[ >]')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from groundwork.operators import review as R
 from groundwork.operators import structure as S
 from groundwork.operators import terms as T
 from groundwork.operators import threads as H
+from groundwork.operators import upserts as U
+from groundwork.plans.lineage import shared_folder
 from groundwork.sources.tables import table
 
 CUTOFF, WINDOW, SUPPLEMENT = "2024-01-29 00:00:00", "2024-01-28 00:00:00", "2024-01-22 00:00:00"
@@ -250,6 +254,16 @@ def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
     return H.pack_batches(table(spark, sf, "conversations"), "conv_id", "turn", chars=700, items=3).select("conv_id", "turn", "batch")
 
 
+def incremental_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer key up to 900 as a table, those of a few dates put over it in two turns."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("string").alias("day"), F.lit(0).alias("version"))
+    root = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    U.create(o.filter("o_custkey % 10 < 9"), root, ["o_orderkey"])
+    for n in (1, 2):
+        U.upsert(o.filter(f"o_orderkey % 1000 < {n * 3}").withColumn("version", F.lit(n)), root, ["o_orderkey"], [F.col("version").desc()])
+    return U.current(spark, root, o.schema)
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     made = H.chunk_text(table(spark, sf, "documents"), ["doc_id"], 500)
     return made.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("size"), F.max(F.length("part")).alias("longest"))
