@@ -163,30 +163,30 @@ _CITED = r"(?:\[(S?\d+)\]|【(S?\d+)】)(?!\()|[（(]\s*(S\d+)\s*[）)]"
 _BARE = r"(?<=[。！？.!?])\s*[（(]\s*(\d+)\s*[）)]|[（(]\s*(\d+)\s*[）)](?=\s*(?:[，。；、,.!?！？;:：]|$))"
 
 
-def resolve_citations(bodies: DataFrame, sources: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(body_id, source_id, number) by first use of the marks [S1], [1], 【1】, (S1) and, where such a
-    source is there and punctuation tells a mark, (1); and (body_id, source_id) of marks without a
-    source. A body without a mark has the sources of ``listed`` (body_id, source_id, ord), else all, in
-    order. ``sources`` (source_id, ord) is one article's list."""
+def resolve_citations(bodies: DataFrame, sources: DataFrame, listed: DataFrame | None = None, article: str = "article_id") -> tuple[DataFrame, DataFrame]:
+    """(body_id, source_id, number) by first use of the marks [S1], [1], 【1】, (S1) and, where the
+    article has such a source and punctuation tells a mark, (1); and (body_id, source_id) of marks
+    without a source. A body without a mark has the sources of ``listed`` (body_id, source_id, ord),
+    else all of its article, in order. ``bodies`` (article_id, body_id, text) and ``sources``
+    (article_id, source_id, ord) meet by article; frames without that column are of one article."""
+    of = lambda d: F.col(article) if article in d.columns else F.lit(0)
     ids = lambda c, g: F.regexp_extract_all("text", F.lit(c), F.lit(g))
+    b = bodies.select(of(bodies).alias("_article"), "body_id", "text")
+    named = sources.select(of(sources).alias("_article"), "source_id", (F.col("ord") if "ord" in sources.columns else F.lit(0)).cast("long").alias("_ord")).distinct()
     found = F.concat(*[F.transform(ids(c, g), lambda x: F.struct(x.alias("n"), F.lit(sure).alias("sure"))) for c, gs, sure in ((_CITED, (1, 2, 3), True), (_BARE, (1, 2), False)) for g in gs])
-    marks = bodies.select("body_id", "text", F.explode(F.filter(found, lambda x: x["n"] != "")).alias("m"))
+    marks = b.select("_article", "body_id", "text", F.explode(F.filter(found, lambda x: x["n"] != "")).alias("m"))
     bare = F.regexp_replace("m.n", "^S", "")
     place = F.regexp_instr("text", F.concat(F.lit(r"[\[【（(]\s*S?"), bare, F.lit(r"\s*[\]】）)]")))
-    used = marks.select("body_id", F.concat(F.lit("S"), bare).alias("source_id"), "m.sure", place.alias("pos"))
-    used = used.groupBy("body_id", "source_id").agg(F.min("pos").alias("pos"), F.bool_or("sure").alias("sure"))
-    named = sources.select("source_id", (F.col("ord") if "ord" in sources.columns else F.lit(0)).cast("int").alias("_ord")).distinct()
-    known = used.join(named, "source_id").select("body_id", "source_id", F.struct("pos").alias("at"))
-    lost = used.filter("sure").join(named, "source_id", "left_anti").select("body_id", "source_id")
-    none = bodies.select("body_id").join(known.select("body_id").distinct(), "body_id", "left_anti")
-    own = none.join(listed, "body_id").select("body_id", "source_id", F.struct(F.col("ord").alias("pos")).alias("at")) if listed is not None else None
-    rest = none if own is None else none.join(own.select("body_id").distinct(), "body_id", "left_anti")
-    # each body lists all sources of its article: this product is the result
-    whole = rest.crossJoin(F.broadcast(named)).select("body_id", "source_id", F.struct(F.col("_ord").cast("int").alias("pos")).alias("at"))
-    parts = [known.withColumn("at", F.col("at.pos").cast("long")), whole.withColumn("at", F.col("at.pos").cast("long"))] + ([own.withColumn("at", F.col("at.pos").cast("long"))] if own is not None else [])
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+    used = marks.select("_article", "body_id", F.concat(F.lit("S"), bare).alias("source_id"), "m.sure", place.cast("long").alias("at"))
+    used = used.groupBy("_article", "body_id", "source_id").agg(F.min("at").alias("at"), F.bool_or("sure").alias("sure"))
+    known = used.join(named, ["_article", "source_id"]).select("body_id", "source_id", "at")
+    lost = used.filter("sure").join(named, ["_article", "source_id"], "left_anti").select("body_id", "source_id")
+    rest = b.select("_article", "body_id").join(known.select("body_id").distinct(), "body_id", "left_anti")
+    every = known
+    if listed is not None:
+        own = rest.join(listed, "body_id").select("body_id", "source_id", F.col("ord").cast("long").alias("at"))
+        every, rest = every.unionByName(own), rest.join(own.select("body_id").distinct(), "body_id", "left_anti")
+    every = every.unionByName(rest.join(named, "_article").select("body_id", "source_id", F.col("_ord").alias("at")))
     number = F.row_number().over(W.partitionBy("body_id").orderBy("at", "source_id"))
     return every.select("body_id", "source_id", number.alias("number")), lost
 

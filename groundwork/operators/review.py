@@ -11,13 +11,30 @@ from groundwork.functions.columns import host
 from groundwork.operators.latest import top_per
 
 
+# Wordings and addresses of challenges, walls and logins, and the sizes up to which they count.
+CHALLENGE_WORDS = r"(?i)captcha|verify (?:you are|that you are) human|checking your browser|access denied|just a moment|attention required|security check|请输入验证码"
+CHALLENGE_HINT = r"(?i)challenges\.cloudflare\.com|google\.com/recaptcha|recaptcha\.net|hcaptcha\.com/1/api\.js|cf-chl-[a-z_-]+|__cf_chl_"
+CHALLENGE_PARTS = r"""(?is)<script\b[^>]*\ssrc\s*=\s*["'][^"']*(?:challenges\.cloudflare\.com|recaptcha|hcaptcha\.com)|<iframe\b[^>]*\ssrc\s*=\s*["'][^"']*(?:recaptcha|hcaptcha\.com)|\sid\s*=\s*["']?cf-chl-|<form\b[^>]*\saction\s*=\s*["'][^"']*challenge|__cf_chl_"""
+CHALLENGE_TITLE = r"(?i)^(?:just a moment(?:\.{1,3})?|attention required!?|access denied!?|verify (?:you are|that you are) human!?|security check|captcha)$"
+WALL = r"(?i)subscribe to continue|sign in to continue|log in to continue|订阅后继续|登录后查看全文"
+LOGIN_PATH = r"(?i)^[a-z]+://[^/?#]+[^?#]*/(?:login|signin)(?:[/?#]|$)"
+PROMPT_CHARS, ARTICLE_CHARS, WALL_CHARS = 1500, 500, 5000
+
+
 def flag_unusable_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, visible, article, blocks, html) with the reason why one cannot be read."""
-    v, a = F.length(F.coalesce("visible", F.lit(""))), F.length(F.coalesce("article", F.lit("")))
-    challenge = F.col("visible").rlike(r"(?i)verify (?:that )?you are human|checking your browser|enable javascript and cookies|access denied") & (v < 1500) & (a < 500)
-    wall = F.col("visible").rlike(r"(?i)(?:log|sign) ?in to (?:continue|read)|subscribe to (?:continue|read)|登录后|订阅后") & (v < 5000)
-    shell = (a < 500) & (F.coalesce("blocks", F.lit(0)) < 3) & F.col("html").rlike(r"""(?i)id=["'](?:root|app|__next)["']""")
-    return pages.withColumn("reason", F.when(v == 0, "empty").when(challenge, "challenge").when(wall, "login-wall").when(shell, "client-shell"))
+    """pages (page_id, visible, article, blocks, html and, if there are, title and url) with the reason
+    why one cannot be read. A challenge is told by what it is built of, by its title, or by a wording in
+    a short page; only pages whose markup has such a wording or address at all are looked at."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) if c in pages.columns else F.lit("")
+    v, a, html = F.length(said("visible")), F.length(said("article")), said("html")
+    words = F.concat_ws(" ", said("title"), said("visible"))
+    hinted = html.rlike(CHALLENGE_WORDS) | html.rlike(CHALLENGE_HINT) | words.rlike(CHALLENGE_WORDS)
+    short = words.rlike(CHALLENGE_WORDS) & (v < PROMPT_CHARS) & (a < ARTICLE_CHARS)
+    challenge = hinted & (html.rlike(CHALLENGE_PARTS) | F.trim(said("title")).rlike(CHALLENGE_TITLE) | short)
+    wall = said("visible").rlike(WALL) & (v < WALL_CHARS)
+    login = said("url").rlike(LOGIN_PATH) & (v < WALL_CHARS)
+    shell = (a < ARTICLE_CHARS) & (F.coalesce("blocks", F.lit(0)) < 3) & html.rlike(r"""(?i)id=["'](?:root|app|__next)["']""")
+    return pages.withColumn("reason", F.when(v == 0, "empty").when(challenge, "challenge").when(wall, "login-wall").when(login, "login-page").when(shell, "client-shell"))
 
 
 # fixed values: captions that claim rights of others

@@ -71,7 +71,7 @@ SQL: dict[str, str] = {
       r AS (SELECT page_id AS id, page_id AS v FROM p UNION SELECT r.id, e.v FROM r JOIN e ON r.v = e.u)
       SELECT id, min(v) AS entity FROM r GROUP BY id""",
     "page_link_references": f"SELECT url, count(DISTINCT page_id) AS n_sources, min(page_id) AS first_source FROM {_LINKS} GROUP BY url",
-    "unverified_links": f"WITH l AS {_LINKS} SELECT page_id, url FROM l WHERE url NOT IN (SELECT url FROM l GROUP BY url HAVING count(DISTINCT page_id) >= 3)",
+    "unverified_links": f"WITH l AS {_LINKS} SELECT page_id, url FROM l WHERE url NOT IN (SELECT url FROM l GROUP BY url HAVING count(DISTINCT page_id) % 3 > 0)",
     "content_duplicates": "SELECT doc_id, sha256(text) AS sha256, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents",
     "license_gate": "SELECT doc_id, source = 'src0' AND lang <> 'de' AS permitted FROM documents",
     "text_gate": "SELECT doc_id, n BETWEEN 400 AND 20000 AS eligible, CASE WHEN n < 400 THEN 'too-short' WHEN n > 20000 THEN 'too-long' END AS reason FROM (SELECT doc_id, length(trim(text)) AS n FROM documents)",

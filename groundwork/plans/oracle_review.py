@@ -55,8 +55,8 @@ SQL: dict[str, str] = {
     "translation_completeness": f"""WITH a AS (SELECT doc_id, count(*) FILTER (type = 'figure') AS figures_source, sum(length(text))::BIGINT AS chars_source FROM {_TURNS} GROUP BY 1),
       b AS (SELECT doc_id, count(*) FILTER (type = 'figure') AS figures_target, sum(length(text))::BIGINT AS chars_target FROM {_TURNS} WHERE doc_id % 7 <> 0 AND NOT (doc_id % 2 = 1 AND type = 'figure') GROUP BY 1)
       SELECT doc_id, figures_source, coalesce(figures_target, 0) AS figures_target, chars_source, coalesce(chars_target, 0) AS chars_target, figures_source = coalesce(figures_target, 0) AND coalesce(chars_target, 0) > 0 AS complete FROM a LEFT JOIN b USING (doc_id)""",
-    "document_completeness": """WITH b AS (SELECT conv_id, bool_or(turn = 6) AS odd, bool_or(turn <> 6 AND role = 'system') AS seen, sum(length(left(text, 60))) AS n FROM conversations WHERE turn <= conv_id % 8 GROUP BY 1), d AS (SELECT DISTINCT conv_id FROM conversations)
-      SELECT conv_id AS doc_id, CASE WHEN n IS NULL THEN 'empty' WHEN odd THEN 'unknown-type' WHEN n < 120 AND NOT seen THEN 'too-short' END AS reason FROM d LEFT JOIN b USING (conv_id) UNION ALL SELECT -conv_id - 1, 'empty' FROM d""",
+    "document_completeness": """WITH b AS (SELECT l_orderkey, bool_or(l_linenumber = 6) AS odd, bool_or(l_linenumber <> 6 AND l_returnflag = 'R') AS seen, sum(length('Item ' || l_linenumber || ' is part ' || l_partkey || ' of supplier ' || l_suppkey || '.')) AS n FROM lineitem GROUP BY 1)
+      SELECT o_orderkey AS doc_id, CASE WHEN n IS NULL THEN 'empty' WHEN odd THEN 'unknown-type' WHEN n < 120 AND NOT seen THEN 'too-short' END AS reason FROM orders LEFT JOIN b ON l_orderkey = o_orderkey UNION ALL SELECT -o_orderkey - 1, 'empty' FROM orders""",
     "extraction_coverage": """WITH s AS (SELECT conv_id AS doc_id, count(*) AS wanted, bool_or(turn = 0) AND conv_id % 3 = 0 AS lost, sum(length(text)) AS layer FROM conversations GROUP BY 1),
       t AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN layer // 5 ELSE layer END AS parsed, CASE WHEN doc_id % 5 = 0 THEN layer // 10 ELSE layer END AS extracted FROM s),
       r AS (SELECT doc_id, list_filter([CASE WHEN lost THEN 'pages' END, CASE WHEN parsed >= 1000 AND extracted < 0.5 * parsed THEN 'blocks-of-parser' END, CASE WHEN layer >= 200 * wanted AND parsed < 0.35 * layer THEN 'parser-of-layer' END,
@@ -72,7 +72,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT DISTINCT conv_id, 'https://f.example/' || (conv_id % 9) || '/' || turn FROM conversations WHERE turn % 2 = 1) SELECT *, count(*) OVER (PARTITION BY thread_key) > 4 AS too_many FROM u""",
     "failure_classes": """SELECT event_id, CASE WHEN user_id % 7 IN (2, 3) THEN 'needs_input' WHEN value > 10 THEN 'needs_review' ELSE 'failed' END AS status,
       user_id % 7 NOT IN (2, 3) AND value <= 10 AND (user_id % 7 IN (0, 1) OR (user_id % 7 = 4 AND event_type = 'view')) AS retryable FROM events""",
-    "unusable_pages": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'challenge' WHEN 2 THEN 'login-wall' ELSE CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) < 500 AND doc_id % 5 < 3 AND doc_id % 2 = 0 THEN 'client-shell' END END AS reason FROM documents""",
+    "unusable_pages": """SELECT doc_id, CASE k WHEN 0 THEN 'empty' WHEN 1 THEN 'challenge' ELSE CASE WHEN n = 0 AND k NOT IN (2, 6) THEN 'empty' WHEN k IN (3, 4, 9) OR (k = 6 AND n + 16 < 1500 AND n < 500) OR (k = 7 AND n < 500) THEN 'challenge'
+        WHEN k = 2 AND n + 19 < 5000 THEN 'login-wall' WHEN k = 5 AND n < 5000 THEN 'login-page' WHEN (CASE WHEN k = 2 THEN 0 ELSE n END) < 500 AND doc_id % 5 < 3 AND doc_id % 2 = 0 THEN 'client-shell' END END AS reason
+      FROM (SELECT doc_id, doc_id % 12 AS k, length(text) AS n FROM documents)""",
     "primary_overlay": """WITH k AS (SELECT DISTINCT page_id % 50 AS base FROM pages ORDER BY 1 LIMIT 35), r AS (SELECT page_id % 40 AS base, max(page_id) AS last FROM pages GROUP BY 1)
       SELECT page_id, CASE WHEN last IS NULL THEN 'found ' || page_id ELSE 'record ' || last END AS title, CASE WHEN last IS NULL THEN '2024-01-01' WHEN last % 3 > 0 THEN '2024-02-' || last END AS dated
       FROM pages LEFT JOIN (SELECT * FROM r SEMI JOIN k USING (base)) r ON page_id % 50 = r.base""",
@@ -103,9 +105,11 @@ SQL: dict[str, str] = {
       FROM events LEFT JOIN customer ON user_id % 4 = 0 AND c_custkey = user_id AND c_custkey % 8 = 0""",
     "inherited_evidence": """SELECT c.o_orderkey AS run_id, l_linenumber AS card_id FROM orders c JOIN orders p ON p.o_orderkey = c.o_orderkey - 1 AND p.o_custkey % 3 = c.o_custkey % 3 AND p.o_orderstatus = c.o_orderstatus AND left(p.o_orderpriority, 1) = left(c.o_orderpriority, 1)
       JOIN lineitem ON l_orderkey = p.o_orderkey""",
-    "citation_numbers": """WITH b AS (SELECT conv_id * 1000 + turn AS body_id, turn % 4 AS k, 1 + turn % 6 AS s, 1 + conv_id % 6 AS c, 1 + conv_id % 9 AS r FROM conversations)
-      SELECT body_id, 'S' || s AS source_id, 1 AS number FROM b WHERE k = 0 UNION ALL SELECT body_id, 'S' || c, 2 FROM b WHERE k = 0 AND c <> s UNION ALL SELECT body_id, 'S' || r, CASE WHEN r > 6 THEN 0 ELSE 1 END FROM b WHERE k = 1
-      UNION ALL SELECT body_id, 'S' || c, 1 FROM b WHERE k = 2 UNION ALL SELECT body_id, 'S' || n, n FROM b, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n) WHERE k = 3 OR (k = 1 AND r > 6)""",
+    "citation_numbers": """WITH b AS (SELECT conv_id * 1000 + turn AS body_id, turn % 4 AS k, 1 + turn % 6 AS s, 1 + conv_id % 6 AS c, 1 + conv_id % 9 AS r, 3 + conv_id % 4 AS most FROM conversations),
+      m AS (SELECT body_id, most, k, unnest(CASE k WHEN 0 THEN [s, c] WHEN 1 THEN [r] WHEN 2 THEN [c] ELSE [] END) AS n, unnest(CASE k WHEN 0 THEN [1, 2] WHEN 3 THEN [] ELSE [1] END) AS i FROM b),
+      d AS (SELECT body_id, most, k, n, min(i) AS i FROM m GROUP BY ALL), g AS (SELECT body_id, n, row_number() OVER (PARTITION BY body_id ORDER BY i) AS number FROM d WHERE n <= most)
+      SELECT body_id, 'S' || n AS source_id, number FROM g UNION ALL SELECT body_id, 'S' || n, 0 FROM d WHERE n > most AND k <> 2
+      UNION ALL SELECT body_id, 'S' || n, n FROM (SELECT body_id, unnest(generate_series(1, most)) AS n FROM b WHERE body_id NOT IN (SELECT body_id FROM g))""",
     "excerpt_refs": """SELECT a.l_orderkey * 10 + a.l_linenumber AS claim_id, b.l_shipdate::VARCHAR AS quote, CASE WHEN b.l_orderkey IS NULL THEN 'E' || m.lo || '-E' || m.hi END AS span FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a
       LEFT JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1) m ON m.l_orderkey = a.l_orderkey""",
     "numeric_gaps": f"""WITH c AS (SELECT sent_id, excerpt_id, any_value(size) AS size, count(DISTINCT token) AS covered FROM {_MISSING} m JOIN {_HELD} h ON token = a OR token = b GROUP BY 1, 2)

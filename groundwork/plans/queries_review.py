@@ -96,11 +96,12 @@ def translation_completeness(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as HTML documents, with as many that have no block; the turn 6 is of no known type."""
-    c = table(spark, sf, "conversations")
-    blocks = c.filter("turn <= conv_id % 8").select(F.col("conv_id").alias("doc_id"), F.expr("CASE WHEN turn = 6 THEN 'odd' WHEN role = 'system' THEN 'figure' ELSE 'paragraph' END").alias("type"), F.left("text", F.lit(60)).alias("text"))
-    ids = c.select("conv_id").distinct()
-    docs = ids.select(F.col("conv_id").alias("doc_id")).unionByName(ids.select((-F.col("conv_id") - 1).alias("doc_id"))).withColumn("kind", F.lit("html"))
+    """Orders as HTML documents of their items, and as many that have no block; items of one carrier's
+    line are figures, the sixth is of no known type. Orders of few items are short."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    kind = F.expr("CASE WHEN l_linenumber = 6 THEN 'odd' WHEN l_returnflag = 'R' THEN 'figure' ELSE 'paragraph' END")
+    blocks = li.select(F.col("l_orderkey").alias("doc_id"), kind.alias("type"), F.expr("concat('Item ', l_linenumber, ' is part ', l_partkey, ' of supplier ', l_suppkey, '.')").alias("text"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id")).unionByName(o.select((-F.col("o_orderkey") - 1).alias("doc_id"))).withColumn("kind", F.lit("html"))
     return R.document_completeness(docs, blocks)
 
 
@@ -158,9 +159,12 @@ def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unusable_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as pages: some are empty, ask for a login, for a human, or are an empty shell."""
-    text = F.expr("CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Please verify you are human' WHEN 2 THEN concat('Log in to continue ', left(text, 3000)) WHEN 3 THEN text ELSE text END")
-    d = table(spark, sf, "documents").select("doc_id", text.alias("visible"), F.expr("CASE WHEN doc_id % 6 < 3 THEN '' ELSE text END").alias("article"), F.expr("cast(doc_id % 5 as int)").alias("blocks"), F.expr("""CASE WHEN doc_id % 2 = 0 THEN '<div id="root"></div>' ELSE '<p>' END""").alias("html"))
+    """Documents as pages: some are empty, ask for a login or for a human in words, in their title or by
+    what they are built of, come from a login address, or are an empty shell."""
+    d = table(spark, sf, "documents").withColumn("k", F.expr("doc_id % 12"))
+    d = d.select("doc_id", F.expr("CASE k WHEN 0 THEN '' WHEN 1 THEN 'Please verify that you are human' WHEN 2 THEN concat('Log in to continue ', text) WHEN 6 THEN concat('no captcha here ', text) ELSE text END").alias("visible"),
+      F.expr("CASE WHEN k < 3 THEN '' ELSE text END").alias("article"), F.expr("cast(doc_id % 5 as int)").alias("blocks"), F.expr("CASE WHEN k = 5 THEN 'https://a.example/Login?next=x' WHEN k = 8 THEN 'https://a.example/x?to=/login' ELSE 'https://a.example/login-news' END").alias("url"), F.expr("CASE WHEN k = 4 THEN 'Just a moment...' WHEN k = 7 THEN 'Just a moment of news' ELSE 'News' END").alias("title"),
+      F.expr("""concat(CASE k WHEN 1 THEN '<p>verify that you are human</p>' WHEN 3 THEN '<script async src="https://www.google.com/recaptcha/api.js"></script>' WHEN 4 THEN '<title>Just a moment...</title>' WHEN 6 THEN '<p>no captcha here' WHEN 7 THEN '<title>Just a moment of news</title>' WHEN 9 THEN '<form method="post" action="/cdn/challenge">attention required</form>' ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN '<div id="root"></div>' ELSE '<p>' END)""").alias("html"))
     return R.flag_unusable_pages(d).select("doc_id", "reason")
 
 
@@ -256,10 +260,12 @@ def inherited_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def citation_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns with marks of sources S1 to S6, in all forms; a link's label is no mark."""
+    """Turns with marks of sources in all forms; a link's label is no mark. Each conversation is an
+    article with three to six sources of its own."""
     body = F.expr("CASE turn % 4 WHEN 0 THEN concat('See [S', 1 + turn % 6, '] and 【', 1 + conv_id % 6, '】, or [2](https://x).') WHEN 1 THEN concat('It holds (S', 1 + conv_id % 9, ').') WHEN 2 THEN concat('It is so (', 1 + conv_id % 6, '), and (7 of them) too.') ELSE 'No mark.' END")
-    bodies = table(spark, sf, "conversations").select(F.expr("conv_id * 1000 + turn").alias("body_id"), body.alias("text"))
-    sources = spark.range(1, 7).select(F.expr("concat('S', id)").alias("source_id"), F.col("id").alias("ord"))
+    c = table(spark, sf, "conversations")
+    bodies = c.select(F.col("conv_id").alias("article_id"), F.expr("conv_id * 1000 + turn").alias("body_id"), body.alias("text"))
+    sources = c.select(F.col("conv_id").alias("article_id")).distinct().select("article_id", F.explode(F.expr("sequence(1, cast(3 + article_id % 4 as int))")).alias("ord")).select("article_id", F.expr("concat('S', ord)").alias("source_id"), "ord")
     known, lost = E.resolve_citations(bodies, sources)
     return known.unionByName(lost.withColumn("number", F.lit(0)))
 
