@@ -139,6 +139,15 @@ SQL: dict[str, str] = {
       e AS (SELECT s.doc_id, a, CASE WHEN s.doc_id % 5 IN (0, 3) THEN min(ord) FILTER (ord >= a AND CASE WHEN s.doc_id % 5 = 0 THEN ord = 4 ELSE n = 1 END) ELSE a END AS b, coalesce(string_agg(text, '；' ORDER BY ord) FILTER (text IS NOT NULL), '无') AS named FROM s LEFT JOIN h ON h.doc_id = s.doc_id GROUP BY s.doc_id, a)
       SELECT e.doc_id, CASE WHEN b IS NOT NULL THEN a END AS open, (SELECT min(x.ord) FROM h x JOIN h y ON y.doc_id = x.doc_id AND y.ord = e.b WHERE x.doc_id = e.doc_id AND x.ord > y.ord AND x.level <= y.level) AS close,
         CASE WHEN a IS NULL THEN 'start' WHEN b IS NULL THEN 'end' END AS error, md5(CASE WHEN a IS NULL OR b IS NULL THEN named END) AS available FROM e""",
+    "thread_requests": """WITH c AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 6 AS k, turn > min(turn) OVER (PARTITION BY conv_id) AS later FROM conversations),
+      s AS (SELECT conv_id, arg_max({'kind': CASE WHEN k = 3 THEN 'sections' ELSE 'pages' END, 'a': CASE k WHEN 0 THEN 1 + turn ELSE turn END, 'b': CASE k WHEN 0 THEN 2 + turn + conv_id % 5 ELSE turn END}, turn) AS v FROM c WHERE k IN (0, 3) OR (k = 5 AND NOT later AND turn > 0) GROUP BY 1),
+      z AS (SELECT conv_id FROM c WHERE k = 5 AND NOT later AND turn = 0),
+      t AS (SELECT conv_id, source, arg_max(target, turn) AS target, min(turn) AS at0, any_value(i) AS i FROM (SELECT conv_id, turn, 't' || (conv_id % 3) AS source, 'u' || turn AS target, 0 AS i FROM c WHERE k = 1 UNION ALL SELECT conv_id, turn, 'w', 'v' || turn, 1 FROM c WHERE k = 1) GROUP BY ALL),
+      g AS (SELECT conv_id, string_agg(source || '=' || target, ',' ORDER BY at0, i) AS terms FROM t GROUP BY 1),
+      o AS (SELECT conv_id, arg_max(role || ' ' || turn, turn) FILTER (k = 2) AS title, bool_or(k = 4) AS refresh,
+        md5(coalesce(string_agg(CASE k WHEN 0 THEN '翻译第' || (1 + turn) || '-' || (2 + turn + conv_id % 5) || '页' WHEN 3 THEN '只翻译第' || turn || '节' ELSE trim('第' || turn || '页 ' || regexp_replace(text, '\\s+', ' ', 'g')) END, chr(10) ORDER BY turn) FILTER (k IN (0, 3, 5)), '')) AS body FROM c GROUP BY 1)
+      SELECT conv_id, CASE WHEN v IS NOT NULL THEN v.kind WHEN z.conv_id IS NOT NULL THEN 'invalid-pages' ELSE 'auto' END AS kind, coalesce(v.a::VARCHAR, CASE WHEN z.conv_id IS NOT NULL THEN '0' END) AS start, coalesce(v.b::VARCHAR, CASE WHEN z.conv_id IS NOT NULL THEN '0' END) AS end,
+        title, coalesce(terms, '') AS terms, refresh, body FROM o LEFT JOIN s USING (conv_id) LEFT JOIN z USING (conv_id) LEFT JOIN g USING (conv_id)""",
     "review_triage": """WITH u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END AS s, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '。' ELSE left(text, 10) || repeat('。', 60) END AS t FROM conversations),
       n AS (SELECT *, len(regexp_extract_all(s, '[.!?](?:\\s|$)|[。！？]')) AS ns, len(regexp_extract_all(t, '[.!?](?:\\s|$)|[。！？]')) AS nt FROM u),
       r AS (SELECT unit_id, CASE WHEN conv_id % 17 = 0 THEN 'repaired' WHEN conv_id % 13 = 0 THEN 'warnings' WHEN nt < ns THEN 'sentence-loss' WHEN length(s) > 200 AND length(t) < 0.15 * length(s) THEN 'too-short' WHEN turn = 1 THEN 'section'

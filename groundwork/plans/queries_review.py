@@ -11,6 +11,7 @@ from groundwork.operators import documents as D
 from groundwork.operators import drafts as V
 from groundwork.operators import evidence as E
 from groundwork.operators import ledgers as G
+from groundwork.operators import directives as W
 from groundwork.operators import findings as N
 from groundwork.operators import outline as O
 from groundwork.operators import pages as P
@@ -384,6 +385,15 @@ def section_scopes(spark: SparkSession, sf: str) -> DataFrame:
     return O.section_ranges(b, r).select("doc_id", "open", "close", "error", F.md5("available").alias("available"))
 
 
+def thread_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as threads that ask for pages, terms, titles and sections by turns."""
+    said = F.expr("""CASE (conv_id + turn) % 6 WHEN 0 THEN concat('翻译第', 1 + turn, '-', 2 + turn + conv_id % 5, '页') WHEN 1 THEN concat('术语 t', conv_id % 3, ' 译为 u', turn, '\n术语 w → v', turn) WHEN 2 THEN concat('标题改为《', role, ' ', turn, '》')
+      WHEN 3 THEN concat('只翻译第', turn, '节') WHEN 4 THEN '请刷新来源' ELSE concat('第', turn, '页 ', regexp_replace(text, '\\\\s+', ' ')) END""")
+    made = W.thread_requests(table(spark, sf, "conversations").select("conv_id", "turn", said.alias("text")), "conv_id", "turn")
+    terms = F.array_join(F.transform("terms", lambda t: F.concat_ws("=", t["source"], t["target"])), ",")
+    return made.select("conv_id", F.col("scope.kind").alias("kind"), F.col("scope.start").alias("start"), F.col("scope.end").alias("end"), "title", terms.alias("terms"), "refresh", F.md5("body").alias("body"))
+
+
 def review_triage(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as units, their translation cut in two ways."""
     c = table(spark, sf, "conversations")
