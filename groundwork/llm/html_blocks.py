@@ -20,6 +20,8 @@ _PHRASES_ONLY = ("button", "select", "datalist", "canvas", "audio", "video", "ob
 TAGS = frozenset("nav footer header aside article main form section table ul ol dl figure figcaption blockquote pre p li h1 h2 h3 h4 h5 h6 a label address tr details dialog".split())
 LANDMARKS = frozenset("article main nav aside footer header form".split())
 #: Elements that may stand in a head; any other one, and text, closes a head whose end tag is left out.
+#: Elements that hold blocks as one thing, such as a comment with who wrote it.
+_HOLDERS = frozenset("div section article li dd td blockquote aside main".split())
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "tr", "tbody", "thead", "tfoot", "caption", "title", "legend"}
 _CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "tr": ("tr", frozenset(("table",))), "dd": ("dd", frozenset(("dl",))), "dt": ("dd", frozenset(("dl",)))}
@@ -29,7 +31,9 @@ _CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "tr": ("tr", frozenset
 class Block:
     """linked: characters inside links; tags, marks: known tags and word families of all ancestors;
     near: families of the nearest ancestor that has any; leaf, inner: the nearest known tag and
-    landmark; parent: the number of the element that holds the block."""
+    landmark; parent: the number of the element that holds the block; holder: of the nearest element
+    that holds it, items included; kin: how many elements beside the holder, itself included, have its
+    tag and class."""
 
     text: str
     linked: int
@@ -39,6 +43,8 @@ class Block:
     leaf: str
     inner: str
     parent: int
+    holder: int = 0
+    kin: int = 1
 
 
 class _Open(NamedTuple):
@@ -52,6 +58,8 @@ class _Open(NamedTuple):
     inner: str
     parent: int
     hides: bool
+    holder: int = 0
+    kind: tuple = ()
 
 
 #: Families of words in class, id and role.
@@ -64,8 +72,8 @@ FAMILIES = {
 }
 #: Words by which a short line, in one of four languages, tells what it heads or is.
 SAID = {
-    "talk": "comment comments reply replies response responses discussion opinion opinions reviews said kommentar kommentare antworten meinungen commentaire commentaires réponse réponses répondre avis comentario comentarios respuesta respuestas responder opiniones",
-    "share": "related popular trending recommended similar share tweet facebook follow more ähnliche weitere beliebt meistgelesen teilen mehr similaires lire aussi populaires partager suivre relacionados interesar leído compartir seguir más",
+    "talk": "readers leserbriefe lectores lecteurs comment comments reply replies response responses discussion opinion opinions reviews said kommentar kommentare antworten meinungen commentaire commentaires réponse réponses répondre avis comentario comentarios respuesta respuestas responder opiniones",
+    "share": "also like next related popular trending recommended similar share tweet facebook follow more ähnliche weitere beliebt meistgelesen teilen mehr similaires lire aussi populaires partager suivre relacionados interesar leído compartir seguir más",
     "ad": "advertisement sponsored promoted anzeige werbung gesponsert publicité sponsorisé publicidad anuncio patrocinado",
     "note": "cookie cookies newsletter subscribe subscription consent accept abonnieren einwilligung akzeptieren abonner abonnez inscrivez consentement accepter suscríbete suscribirse boletín consentimiento aceptar",
     "foot": "copyright rights reserved imprint privacy terms impressum datenschutz rechte vorbehalten mentions légales droits réservés confidentialité legal privacidad derechos reservados",
@@ -96,7 +104,7 @@ def families(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
     for k, v in attrs:
         if k in ("class", "id", "role", "aria-label", "itemprop", "data-role") and v:
             out |= {f for w in map(str.lower, _WORDS.findall(v)) if (f := _FAMILY.get(w) or next((y for x, y in _STEMS if w.startswith(x)), None))}
-        elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
+        elif k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
             out.add("hidden")
     return frozenset(out)
 
@@ -112,12 +120,15 @@ class _Reader(HTMLParser):
         self.parts: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
+        self.kinds: list[tuple] = []
+        self.alike: Counter[tuple] = Counter()
 
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             e = self.open[-1]
-            self.blocks.append(Block(text, self.linked, e.tags, e.marks, e.near, e.leaf, e.inner, e.parent))
+            self.blocks.append(Block(text, self.linked, e.tags, e.marks, e.near, e.leaf, e.inner, e.parent, e.holder))
+            self.kinds.append(e.kind)
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -142,10 +153,14 @@ class _Reader(HTMLParser):
         self.count += 1
         up, own = self.open[-1], families(attrs) if attrs else frozenset()
         known = tag in TAGS
+        holder, kind = up.holder, up.kind
+        if tag in _HOLDERS:
+            holder, kind = self.count, (up.holder, tag, next((v for k, v in attrs if k == "class"), None))
+            self.alike[kind] += 1
         hides = tag in HIDDEN or ("hidden" in own and "hidden" not in up.marks)
         self.open.append(_Open(
             tag, up.tags | {tag} if known and tag not in up.tags else up.tags, up.marks | own if own else up.marks, own or up.near,
-            tag if known or tag == "div" else up.leaf, tag if tag in LANDMARKS else up.inner, self.count if tag in BLOCK and tag not in ("p", "li") else up.parent, hides,
+            tag if known or tag == "div" else up.leaf, tag if tag in LANDMARKS else up.inner, self.count if tag in BLOCK and tag not in ("p", "li") else up.parent, hides, holder, kind,
         ))
         self.held[tag] += 1
         self.skip += hides
@@ -210,4 +225,6 @@ def blocks(html: str) -> list[Block]:
     r.feed(html)
     r.close()
     r.end_block()
+    for b, kind in zip(r.blocks, r.kinds, strict=True):
+        b.kin = max(1, r.alike[kind])
     return r.blocks

@@ -19,6 +19,7 @@ further columns pass through.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,19 +33,66 @@ from groundwork.llm.text import whole
 
 @dataclass(frozen=True)
 class Pages:
-    pages: int = 450
+    pages: int = 600
     epochs: int = 7
     seed: int = 5
 
 
+_HEADS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _linked(b: Block) -> bool:
+    return b.linked >= 0.9 * len(b.text)
+
+
+def _led(page: list[Block]) -> list[str]:
+    """What the first block of each block's holder is like: a short line, one with a time, or no such."""
+    out, first = [], {}
+    for b in page:
+        f = first.setdefault(b.holder, b)
+        short = f.text.count(" ") < 6 and (f.text[-1] not in ".!?…:;" or f.text.count(" ") < 2) and f.leaf not in ("h1", "h2") and not _linked(f)
+        kind = "time" if "time" in said(f.text) else "short" if short else "long"
+        out.append(f"opens-{kind}" if f is b else kind)
+    return out
+
+
+def _sections(page: list[Block], told: list[frozenset[str]], led: list[str], most: int = 8) -> list[str]:
+    """For each heading, what the blocks under it look like: things of one kind, each with a short line
+    or a time first; links; or prose. Only a few blocks are looked at."""
+    out = ["none"] * len(page)
+    for i, b in enumerate(page):
+        if b.leaf not in _HEADS:
+            continue
+        below = []
+        for j in range(i + 1, min(len(page), i + 1 + most)):
+            if page[j].leaf in ("h1", "h2", "h3") and page[j].kin < 2:
+                break
+            below.append(j)
+        items = sum(page[j].kin > 1 and led[j] in ("time", "short") for j in below)
+        if any("time" in told[j] and len(page[j].text) < 60 for j in below):
+            out[i] = "time"
+        elif below and 2 * sum(_linked(page[j]) for j in below) >= len(below):
+            out[i] = "links"
+        elif 3 * items >= len(below) and items:
+            out[i] = "items"
+        elif any(page[j].text.count(" ") >= 12 for j in below):
+            out[i] = "prose"
+        else:
+            out[i] = "short"
+    return out
+
+
 def features(page: list[Block]) -> list[list[str]]:
-    """Names of the features of each block of a page."""
+    """Names of the features of each block of a page. What a heading's words tell counts together with
+    what stands under it, so that an article may have a part on reviews or comments."""
     out, total, heading = [], len(page), False
-    told = [said(b.text) for b in page]
-    under, last = frozenset(), frozenset()  # what the heading above, and the short line before, tell
+    told, led = [said(b.text) for b in page], _led(page)
+    looks, size = _sections(page, told, led), Counter(b.holder for b in page)
+    under, last, look = frozenset(), frozenset(), "none"  # what the heading above, and the short line before, tell
     for i, b in enumerate(page):
         n, words = len(b.text), b.text.count(" ") + 1
-        link = b.linked / max(n, 1)
+        link, kin = b.linked / max(n, 1), min(3, b.kin)
+        is_head = b.leaf in _HEADS
         fs = ["bias", f"leaf:{b.leaf}", f"words:{min(6, words.bit_length())}", f"link:{0 if not b.linked else 1 if link < 0.4 else 2 if link < 0.9 else 3}"]
         fs += [f"in:{t}" for t in b.tags] + [f"is:{m}" for m in b.marks]
         fs += [f"near:{m}" for m in b.near] or ["near:none"]
@@ -54,16 +102,22 @@ def features(page: list[Block]) -> list[list[str]]:
             fs.append("copyright")
         if i and page[i - 1].parent == b.parent:
             fs.append("same-parent")
-        fs += [f"says:{m}" for m in told[i]]
-        if b.leaf in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            under = told[i]
-            fs += [f"heads:{m}" for m in under]
+        if link >= 0.5 and any(x in b.text for x in ("|", "·", "•", " - ", " / ")) and words < 16:
+            fs.append("bar-of-links")
+        fs += [f"kin:{kin}", f"led:{led[i]}", f"kin-led:{kin}:{led[i]}:{min(4, size[b.holder])}"]
+        if not is_head:
+            fs += [f"says:{m}" for m in told[i]]
+        if is_head:
+            under, look = told[i], looks[i]
+            fs += [f"heads:{m}:{look}" for m in under] + [f"looks:{look}"]
         else:
-            fs += [f"under:{m}" for m in under] + [f"after:{m}" for m in last]
+            fs += [f"under:{m}:{look}" for m in under] + [f"after:{m}" for m in last] + [f"below:{look}"]
         last = told[i]
         fs.append(f"head:{heading}")
         heading = heading or b.leaf == "h1"
         fs.append(f"at:{min(3, 4 * i // total)}")
+        if total == 1:
+            fs.append("alone")
         out.append(fs)
     return out
 
@@ -95,7 +149,7 @@ class _Writer:
 
     def extra(self) -> str:
         r = self.r
-        if r.random() < 0.3:
+        if r.random() < 0.4:
             return self.named_by_words()
         kind = r.randrange(9)
         s = lambda: self.sentence(3, 14)
@@ -137,21 +191,43 @@ class _Writer:
         """Comments, related links, notices and adverts that their words, not their classes, name."""
         r, family = self.r, self.r.choice(("talk", "talk", "talk", "share", "ad", "note", "form"))
         tag, outer, inner = r.choice(("h2", "h3", "h4")), r.choice(("section", "div")), self.no_family()
-        head = self.put(_OTHER, f"<{tag}>{self.said(family, 0, 2)}</{tag}>")
+        told = r.random() < 0.65  # else what stands under the heading, if there is one, has to tell
+        head = self.put(_OTHER, f"<{tag}>{self.said(family, 0, 2) if told else self.words(1, 3).capitalize()}</{tag}>") if told or r.random() < 0.6 else ""
         if family == "talk":
             items = []
-            for _ in range(r.randint(1, 4)):
-                by = self.put(_OTHER, f"<{(x := r.choice(('div', 'p', 'h5')))}>{self.words(1, 2).title()}{r.choice((' ', ', ', ' · '))}{self.time()}</{x}>") if r.random() < 0.7 else ""
+            named, item = r.choice((0.2, 0.9)), r.choice(("<div{}>{}</div>", "<li{}>{}</li>", "<div{}>{}</div>"))
+            for _ in range(r.randint(1, 4) if told else r.randint(2, 5)):
+                if not told:  # things of one kind, each with who wrote it
+                    by = self.put(_OTHER, f"<{(x := r.choice(('div', 'p', 'h5', 'h4', 'b', 'span')))}>{self.words(1, 2).title()}{r.choice((' ', ', ', ' · ')) + self.time() if r.random() < named else ''}</{x}>")
+                    text = self.put(_OTHER, f"<p>{' '.join(self.sentence(3, 16) for _ in range(r.randint(1, 3)))}</p>")
+                    items.append(item.format(inner, by + text))
+                    continue
+                by = self.put(_OTHER, f"<{(x := r.choice(('div', 'p', 'h5', 'b', 'span')))}>{self.words(1, 2).title()}{r.choice((' ', ', ', ' · ')) + self.time() if r.random() < named + 0.1 else r.choice(('', '', '.'))}</{x}>") if r.random() < 0.8 else ""
                 text = self.put(_OTHER, f"<{(x := r.choice(('p', 'div', 'p')))}>{' '.join(self.sentence(3, 16) for _ in range(r.randint(1, 3)))}</{x}>")
                 reply = self.put(_OTHER, f"<div>{r.choice(('Reply', 'Antworten', 'Répondre', 'Responder'))}</div>") if r.random() < 0.4 else ""
-                items.append(r.choice(("<div{}>{}</div>", "<li{}>{}</li>", "<div{}>{}</div>")).format(inner, by + text + reply))
-            body = "".join(items)
+                items.append(item.format(inner, by + text + reply))
+            body = "".join(items) if item.startswith("<div") or r.random() < 0.3 else f"<{(x := r.choice(('ul', 'ol')))}>{''.join(items)}</{x}>"
         elif family == "share":
             body = "<ul>" + "".join(self.put(_OTHER, f'<li><a href="/{i}">{self.words(2, 9)}</a></li>') for i in range(r.randint(1, 5))) + "</ul>"
         else:
             body = self.put(_OTHER, f"<p>{self.said(family, 1, 3)} {self.words(1, 2)}</p>") + self.put(_OTHER, f"<p>{self.sentence(2, 9)}</p>")
         return f"<{outer}{self.no_family()}>{head}{body}</{outer}>"
 
+    def part(self) -> str:
+        """A part of an article whose heading has such words: reviews, comments from someone, more on it."""
+        r = self.r
+        tag = r.choice(("h2", "h2", "h3"))
+        head = self.put(_ARTICLE, f"<{tag}>{self.said(r.choice(('talk', 'talk', 'share', 'share', 'foot', 'nav', 'note')), 0, 3)}</{tag}>")
+        return head + "".join(self.put(_ARTICLE, f"<p>{' '.join(self.sentence(5, 16) for _ in range(r.randint(1, 4)))}</p>") for _ in range(r.randint(1, 3)))
+
+    def bar(self) -> str:
+        """A line of links."""
+        r = self.r
+        mark = r.choice((" | ", " · ", " • ", " - ", " / "))
+        ws = [r.choice(SAID["foot"].split() + SAID["nav"].split()).capitalize() if r.random() < 0.7 else self.words(1, 1) for _ in range(r.randint(2, 5))]
+        tag = r.choice(("p", "div"))
+        return self.put(_OTHER, f"<{tag}{self.no_family()}>{mark.join(f'<a href=/{w}>{w}</a>' for w in ws)}</{tag}>")
+
     def paragraph(self) -> str:
         r = self.r
         if r.random() < 0.03:  # articles have such words and times as well
@@ -187,11 +263,13 @@ class _Writer:
             body.append(self.paragraph())
             if r.random() < 0.12:
                 body.append(self.extra())
+            if r.random() < 0.08:
+                body.append(self.part())
         if r.random() < 0.25:  # parts of their own, with headings
             cls = self.no_family()
             for i in range(0, len(body), 3):
                 body[i : i + 3] = [f"<{(x := r.choice(('section', 'div')))}{cls}>{''.join(body[i : i + 3])}</{x}>", "", ""][: len(body[i : i + 3])]
-        inside = head + "".join(body) + (self.extra() if r.random() < 0.2 else "")
+        inside = head + "".join(body) + (self.extra() if r.random() < 0.2 else "") + (self.bar() if r.random() < 0.06 else "")
         return r.choice((
             f"<article>{inside}</article>", f"<main><article>{inside}</article></main>", f"<article>{inside}</article>", f"<main>{inside}</main>",
             f'<div class="{r.choice(("content", "post", "entry-content", "story-body", "article"))}">{inside}</div>', f'<div id="content"><div>{inside}</div></div>', f"<div>{inside}</div>",
@@ -199,10 +277,15 @@ class _Writer:
 
     def page(self) -> tuple[str, list[int]]:
         r, self.labels = self.r, []
+        if r.random() < 0.05:  # nothing but a text
+            text = self.put(_ARTICLE, " ".join(self.sentence(2, 14) for _ in range(r.randint(1, 5))))
+            return r.choice(("<div>{}</div>", "{}", "<body>{}</body>", "<p>{}</p>", "<html><body><div><div>{}</div></div></body></html>")).format(text), self.labels
         close = self.heads.choice(("</head><body>", "</head><body>", "<body>", ""))  # both tags may be left out
         parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{self.words(2, 6)}</title>{close}"]
         if r.random() < 0.4:
             parts.append(r.choice(("<header>{}</header>", '<div class="header">{}</div>', '<header><div class="logo">{}</div></header>')).format(self.put(_OTHER, self.words(1, 5))))
+        if r.random() < 0.12:
+            parts.append(self.bar())
         if r.random() < 0.85:
             parts.append(self.links(r.randint(1, 7), r.choice(("", ' class="menu"'))))
         for _ in range(r.randint(0, 3)):
