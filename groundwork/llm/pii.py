@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.lineage import cut
-from groundwork.llm.spans import in_order
+from groundwork.llm.spans import Cover, in_order
 from groundwork.llm.text import whole
 
 BASE = ("email", "ip", "card", "phone")
@@ -260,8 +260,8 @@ def candidates_of(text: str) -> list[tuple[str, int, int, bool, int]]:
     """(kind, start, end, fixed pattern or not, code) of every candidate of a text."""
     has_digit = _DIGIT.search(text) is not None
     base = base_spans(text) if has_digit or "@" in text else []
-    known = set(base)
-    wide = [s for s in wide_spans(text, has_digit) if s not in known and not (s[0] == "phone" and any(a < s[2] and s[1] < b for _, a, b in base))]
+    known, cover = set(base), Cover(base)
+    wide = [s for s in wide_spans(text, has_digit) if s not in known and not (s[0] == "phone" and cover.meets(s[1], s[2]))]
     out = []
     for kind, a, b in [*base, *wide]:
         fixed = (kind, a, b) in known
@@ -302,10 +302,11 @@ def scan(docs: DataFrame) -> DataFrame:
         out = []
         for row in rows:
             base = [(s["kind"], s["start"], s["end"]) for s in row if s["fixed"]]
-            spans = list(base)
+            spans, cover, last = list(base), Cover(base), -1
             for s in sorted((s for s in row if not s["fixed"] and s["code"] in accepted), key=lambda s: (s["start"], -s["end"])):
-                if not any(b < s["end"] and s["start"] < e for _, b, e in spans):
+                if s["start"] >= last and not cover.meets(s["start"], s["end"]):
                     spans.append((s["kind"], s["start"], s["end"]))
+                    last = s["end"]
             known = set(base)
             out.append([{"kind": k, "start": a, "end": b, "fixed": (k, a, b) in known} for k, a, b in in_order(spans, KINDS)])
         return pd.Series(out)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.llm.crf import Crf, train
-from groundwork.llm.spans import SPANS, in_order, redacted
+from groundwork.llm.spans import SPANS, Cover, in_order, redacted
 from groundwork.llm.text import whole
 
 BASE = ("assign", "access", "hex")
@@ -435,20 +435,11 @@ def tagged_spans(text: str, p: Tagger, model: Weights) -> list[tuple[str, int, i
     return out
 
 
-def _beyond(span: tuple[str, int, int], base: list[tuple[str, int, int]], text: str) -> list[tuple[str, int, int]]:
-    """The parts of a tagged span that no span of ``base`` covers."""
-    kind, at, end = span
-    out = []
-    for _, a, b in sorted((b for b in base if b[1] < end and at < b[2]), key=lambda b: b[1]):
-        out.append((kind, at, a))
-        at = max(at, b)
-    return [(k, a, b) for k, a, b in [*out, (kind, at, end)] if text[a:b].strip()]
-
-
 def find(text: str, p: Tagger, model: Weights) -> list[tuple[str, int, int]]:
-    """All spans of a text, in order."""
+    """All spans of a text, in order: the base ones, and what the tagger finds outside of them."""
     base = base_spans(text)
-    more = [part for s in tagged_spans(text, p, model) for part in _beyond(s, base, text)]
+    cover = Cover(base)
+    more = [(k, x, y) for k, a, b in tagged_spans(text, p, model) for x, y in cover.rest(a, b) if text[x:y].strip()]
     return in_order(base + more, KINDS)
 
 

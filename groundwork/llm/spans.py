@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,34 @@ def in_order(spans: list[tuple[str, int, int]], kinds: tuple[str, ...]) -> list[
     return sorted(set(spans), key=lambda s: (s[1], rank.get(s[0], len(kinds)), s[0], s[2]))
 
 
+class Cover:
+    """What spans cover, as stretches in order that do not touch, each found by bisection."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether a place of the stretch from a to b is covered."""
+        i = bisect_right(self.ends, a)
+        return i < len(self.starts) and self.starts[i] < b
+
+    def rest(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of a stretch that are not covered."""
+        out, i = [], bisect_right(self.ends, a)
+        while i < len(self.starts) and self.starts[i] < b:
+            out.append((a, self.starts[i]))
+            a = self.ends[i]
+            i += 1
+        return [(x, y) for x, y in [*out, (a, b)] if x < y]
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
