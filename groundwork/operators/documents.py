@@ -33,6 +33,32 @@ def gate_text_length(docs: DataFrame, text: str = "text", low: int = 120, high:
     return docs.withColumn("reason", F.when(n < low, "too-short").when(n > high, "too-long")).withColumn("eligible", F.col("reason").isNull())
 
 
+# Sections that tell a paper's body, and the sizes that each kind of document needs.
+PAPER_SECTIONS = r"(?i)(?<![A-Za-z0-9_])(?:Introduction|Method(?:s|ology)?|Results|Experiments?|Conclusion|References|Background)(?![A-Za-z0-9_])|引言|方法|实验|结果|参考文献"
+PAPER_HEADINGS = r"(?i)Introduction|Method(?:s|ology)?|Results|Experiments?|Conclusion|References|Background|引言|方法|实验|结果|参考文献"
+LEAST_CHARS = {"pdf": 1200, "paper": 1500, "release": 80, "text": 120, "page": 120}
+MOST_CHARS, MOST_PAGES, LEAST_SECTIONS = 160_000, 100, 2
+
+
+def gate_documents(docs: DataFrame) -> DataFrame:
+    """Documents (kind, text, headings, pages, expected_pages, encrypted) with the reason why one may not
+    be read in depth, and eligible. kind is pdf, paper (a page of one), release, text or page. A PDF has
+    1 to 100 pages, all of which were read, is not encrypted and has two words of a paper's sections in
+    its text; a paper's page has two in its distinct headings; a text has no null characters and a size
+    in its kind's bounds. A document of no known kind is not eligible."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    n, pdf, paper = F.length(text), F.col("kind") == "pdf", F.col("kind") == "paper"
+    least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_CHARS.items() for x in kv]), F.col("kind"))
+    pages = F.coalesce("expected_pages", F.lit(0))
+    heads = F.array_join(F.array_distinct(F.coalesce("headings", F.array().cast("array<string>"))), " ")
+    reason = (
+        F.when(F.coalesce("kind", F.lit("")).isin(*LEAST_CHARS) == F.lit(False), "unknown-kind").when(pdf & ~pages.between(1, MOST_PAGES), "page-count").when(pdf & F.coalesce("encrypted", F.lit(False)), "encrypted")
+        .when(n < least, "too-short").when(n > MOST_CHARS, "too-long").when(F.contains(text, F.lit(chr(0))), "not-text").when(pdf & (F.coalesce("pages", F.lit(0)) != pages), "pages-lost")
+        .when(pdf & (F.regexp_count(text, F.lit(PAPER_SECTIONS)) < LEAST_SECTIONS), "no-body").when(paper & (F.regexp_count(heads, F.lit(PAPER_HEADINGS)) < LEAST_SECTIONS), "abstract-only")
+    )
+    return docs.withColumn("reason", reason).withColumn("eligible", F.col("reason").isNull())
+
+
 def scan_credentials(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """id, kind, hit of every credential in a text."""
     pairs = F.regexp_extract_all(text, F.lit(r"(?i)((?:access_token|appsecret|secret|token|key|password)=[^&\s]+)"), F.lit(1))

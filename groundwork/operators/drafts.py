@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundwork.functions.columns import canonical_url, numeric_tokens
+
 
 def plain_length(text: Column) -> Column:
     """Characters of a Markdown text without links, marks and white space."""
@@ -38,6 +40,44 @@ def validate_drafts(items: DataFrame, short_items: int = 4, per_item: int = 300,
     return own.unionByName(by.select("draft_id", F.lit(None).cast("int").alias("item"), F.explode(whole).alias("rule")))
 
 
+# What a title, a heading and a body may not have, and lengths.
+TITLE_DATED = r"(?:19|20)\d{2}\s*[-/.年]|[\d一二三四五六七八九十〇零]+\s*月|第\s*[\d一二三四五六七八九十百〇零]+\s*期|(?:期数|期号)\s*[:：]?\s*\d+"
+AS_TODAY = "今天(?:发布|公布|推出)|今日(?:发布|公布|推出)|今日最新"
+HEADING_MARKS, TITLE_MARKS = r"[\r\n<>\[\]`]|https?://", r"[\r\n<>]"
+EMBEDDED, INNER = r"(?i)<(?:script|iframe|object|embed)(?![A-Za-z])", r"⟦\d{3}⟧|\[object Object\]|/(?:Users|home|private|var)/"
+TITLE_CHARS, HEADING_CHARS, IMPORTANCE = 64, 120, ("lead", "medium", "brief")
+
+
+def validate_whole_drafts(drafts: DataFrame, items: DataFrame, allowed: DataFrame, short_items: int = 4, per_item: int = 300, low: int = 3000, high: int = 5000, most: int = 7) -> DataFrame:
+    """draft_id, item, rule: what drafts (draft_id, title, intro) and their items (draft_id, item,
+    card_id, event_id, heading, body, importance, temporal_status) break; item is null for a draft's own
+    rules. event_id is null where an item's card is not known. ``allowed`` (draft_id, url) are the
+    addresses that a draft may link, compared in canonical form. Each rule stands once for an item, or a
+    draft. A draft without items breaks ``items``, and no length is asked of it."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = items.select("draft_id", "item", F.explode(F.array_compact(F.array(
+        F.when(F.col("event_id").isNull() | (F.trim(text("body")) == "") | ~text("importance").isin(*IMPORTANCE), F.lit("evidence-or-field-missing")),
+        F.when((F.trim(text("heading")) == "") | (F.length(text("heading")) > HEADING_CHARS) | text("heading").rlike(HEADING_MARKS), F.lit("heading-not-plain")),
+        F.when((F.col("temporal_status") == "supplement") & text("body").rlike(AS_TODAY), F.lit("supplement-as-today")),
+    ))).alias("rule"))
+    by = items.groupBy("draft_id").agg(F.count("*").alias("n"), (F.count("event_id") - F.countDistinct("event_id")).alias("twice"), F.sum(plain_length(text("body"))).alias("size"), F.max(text("body").rlike(EMBEDDED)).alias("embeds"), F.max(text("body").rlike(INNER)).alias("inner"), F.max(text("body").rlike(r"!\[[^\]]*\]\(")).alias("images"))
+    d = drafts.select("draft_id", "title", "intro").join(by, "draft_id", "left")
+    n, size = F.coalesce("n", F.lit(0)), F.coalesce("size", F.lit(0)) + plain_length(text("intro"))
+    floor = F.when(n < short_items, n * per_item).otherwise(low)
+    flag = lambda c, p: F.coalesce(F.col(c), F.lit(False)) | text("intro").rlike(p)
+    whole = d.select("draft_id", F.lit(None).cast("int").alias("item"), F.explode(F.array_compact(F.array(
+        F.when((F.trim(text("title")) == "") | (F.length("title") > TITLE_CHARS) | text("title").rlike(TITLE_MARKS), F.lit("title")), F.when(text("title").rlike(TITLE_DATED), F.lit("title-dated")),
+        F.when(F.col("intro").isNull() | (n == 0) | (n > most), F.lit("items")), F.when((n > 0) & (size < floor), F.lit("draft-too-short")), F.when((n > 0) & (size > high), F.lit("draft-too-long")),
+        F.when(F.col("twice") > 0, F.lit("event-twice")), F.when(F.size(numeric_tokens(text("intro"))) > 0, F.lit("intro-number")), F.when(flag("images", r"!\[[^\]]*\]\("), F.lit("image-in-body")),
+        F.when(flag("embeds", EMBEDDED), F.lit("embedded")), F.when(flag("inner", INNER), F.lit("inner-mark")),
+    ))).alias("rule"))
+    links = F.regexp_extract_all(F.col("text"), F.lit(r"(?<!!)\[[^\]]*\]\((https?://[^()\s]+)\)"), F.lit(1))
+    said = drafts.select("draft_id", text("intro").alias("text")).unionByName(items.select("draft_id", text("body").alias("text"))).select("draft_id", F.explode(links).alias("url")).select("draft_id", canonical_url(F.col("url")).alias("url")).distinct()
+    may = allowed.select("draft_id", canonical_url(F.col("url")).alias("url")).distinct()
+    lost = said.join(may, ["draft_id", "url"], "left_anti").select("draft_id").distinct().select("draft_id", F.lit(None).cast("int").alias("item"), F.lit("link-not-verified").alias("rule"))
+    return own.unionByName(whole).unionByName(lost)
+
+
 def narrow_drafts(items: DataFrame, unsupported: DataFrame, most: int = 2, share: float = 0.15) -> DataFrame:
     """Items (draft_id, item, body) with their unsupported sentences (draft_id, item, sentence) taken
     out, where a draft has at most ``most`` of them, each stands once, ends a sentence and they are at

@@ -82,7 +82,7 @@ def flag_private_hosts(urls: DataFrame, url: str = "url") -> DataFrame:
 # fixed values: marks of unfinished output
 RESIDUE = (
     ("placeholder", r"SL_INLINE_\d"), ("object", r"\[object Object\]"), ("path", r"/(?:Users|home|private|var)/"), ("control", r"[\x00-\x08\x0B\x0C\x0E-\x1F]"),
-    ("tex", r"\\(?:frac|begin|end|mathbb|mathbf|mathrm|mathcal|textbf|text|sum|int|left|right|sqrt|alpha|beta)(?![A-Za-z])"),
+    ("tex", r"\\[a-zA-Z]{2,}"),
 )
 
 

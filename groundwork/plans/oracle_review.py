@@ -148,6 +148,15 @@ SQL: dict[str, str] = {
         md5(coalesce(string_agg(CASE k WHEN 0 THEN '翻译第' || (1 + turn) || '-' || (2 + turn + conv_id % 5) || '页' WHEN 3 THEN '只翻译第' || turn || '节' ELSE trim('第' || turn || '页 ' || regexp_replace(text, '\\s+', ' ', 'g')) END, chr(10) ORDER BY turn) FILTER (k IN (0, 3, 5)), '')) AS body FROM c GROUP BY 1)
       SELECT conv_id, CASE WHEN v IS NOT NULL THEN v.kind WHEN z.conv_id IS NOT NULL THEN 'invalid-pages' ELSE 'auto' END AS kind, coalesce(v.a::VARCHAR, CASE WHEN z.conv_id IS NOT NULL THEN '0' END) AS start, coalesce(v.b::VARCHAR, CASE WHEN z.conv_id IS NOT NULL THEN '0' END) AS end,
         title, coalesce(terms, '') AS terms, refresh, body FROM o LEFT JOIN s USING (conv_id) LEFT JOIN z USING (conv_id) LEFT JOIN g USING (conv_id)""",
+    "document_gates": """WITH d AS (SELECT doc_id, doc_id % 5 AS k, doc_id % 110 AS p, text || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 > 0 THEN ' Methodology and References' ELSE '' END AS t FROM documents),
+      r AS (SELECT doc_id, CASE WHEN k = 4 THEN 'unknown-kind' WHEN k = 0 AND NOT p BETWEEN 1 AND 100 THEN 'page-count' WHEN k = 0 AND doc_id % 40 = 0 THEN 'encrypted' WHEN length(trim(t)) < CASE k WHEN 0 THEN 1200 WHEN 1 THEN 1500 WHEN 2 THEN 80 ELSE 120 END THEN 'too-short' WHEN length(trim(t)) > 160000 THEN 'too-long'
+        WHEN k = 0 AND doc_id % 35 = 0 THEN 'pages-lost' WHEN k = 0 AND doc_id % 3 = 0 THEN 'no-body' WHEN k = 1 AND doc_id % 4 = 1 THEN 'abstract-only' END AS reason FROM d) SELECT doc_id, reason, reason IS NULL AS eligible FROM r""",
+    "whole_drafts": """WITH c AS (SELECT conv_id AS draft_id, turn AS item, (conv_id + turn) % 8 AS k, regexp_replace(text, '[0-9<`\\[⟦/]', ' ', 'g') AS t FROM conversations),
+      i AS (SELECT *, CASE WHEN item % 5 = 4 THEN NULL WHEN item = 3 AND draft_id % 4 = 0 THEN 'e0' ELSE 'e' || item END AS e, length(regexp_replace(t, '[*_`~#>\\s]', '', 'g')) + CASE k WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 5 WHEN 4 THEN 1 WHEN 5 THEN 12 ELSE 0 END AS size FROM c),
+      b AS (SELECT draft_id, count(*) AS n, count(e) - count(DISTINCT e) AS twice, sum(size) + CASE draft_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 0 END AS size, bool_or(k = 4) AS img, bool_or(k = 5) AS emb, bool_or(k = 3) AS inn, bool_or(k = 2) AS lnk FROM i GROUP BY draft_id)
+      SELECT draft_id, item::INT AS item, unnest(list_filter([CASE WHEN e IS NULL OR item % 6 = 5 THEN 'evidence-or-field-missing' END, CASE WHEN item % 4 IN (1, 2) THEN 'heading-not-plain' END, CASE WHEN item % 2 = 0 AND k = 0 THEN 'supplement-as-today' END], lambda x: x IS NOT NULL)) AS rule FROM i
+      UNION ALL SELECT draft_id, NULL, unnest(list_filter([CASE WHEN draft_id % 5 IN (0, 2) THEN 'title' END, CASE WHEN draft_id % 5 IN (1, 3) THEN 'title-dated' END, CASE WHEN draft_id % 3 = 2 OR n > 7 THEN 'items' END, CASE WHEN size < CASE WHEN n < 4 THEN n * 300 ELSE 3000 END THEN 'draft-too-short' END,
+        CASE WHEN size > 5000 THEN 'draft-too-long' END, CASE WHEN twice > 0 THEN 'event-twice' END, CASE WHEN draft_id % 3 = 1 THEN 'intro-number' END, CASE WHEN img THEN 'image-in-body' END, CASE WHEN emb THEN 'embedded' END, CASE WHEN inn THEN 'inner-mark' END, CASE WHEN lnk THEN 'link-not-verified' END], lambda x: x IS NOT NULL)) FROM b""",
     "review_triage": """WITH u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END AS s, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '。' ELSE left(text, 10) || repeat('。', 60) END AS t FROM conversations),
       n AS (SELECT *, len(regexp_extract_all(s, '[.!?](?:\\s|$)|[。！？]')) AS ns, len(regexp_extract_all(t, '[.!?](?:\\s|$)|[。！？]')) AS nt FROM u),
       r AS (SELECT unit_id, CASE WHEN conv_id % 17 = 0 THEN 'repaired' WHEN conv_id % 13 = 0 THEN 'warnings' WHEN nt < ns THEN 'sentence-loss' WHEN length(s) > 200 AND length(t) < 0.15 * length(s) THEN 'too-short' WHEN turn = 1 THEN 'section'

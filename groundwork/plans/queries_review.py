@@ -394,6 +394,26 @@ def thread_requests(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("conv_id", F.col("scope.kind").alias("kind"), F.col("scope.start").alias("start"), F.col("scope.end").alias("end"), "title", terms.alias("terms"), "refresh", F.md5("body").alias("body"))
 
 
+def document_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as PDFs, pages of papers, releases and texts by turns; some name sections, lost a page
+    or are encrypted."""
+    k = "doc_id % 5"
+    text = F.expr(f"CASE WHEN {k} = 0 AND doc_id % 3 > 0 THEN concat(text, ' Methodology and References') ELSE text END")
+    heads = F.expr("CASE doc_id % 4 WHEN 0 THEN array('1 Introduction', '2 Results') WHEN 1 THEN array('Background', 'Background') ELSE array('引言', '实验') END")
+    d = table(spark, sf, "documents").select("doc_id", F.expr(f"element_at(array('pdf', 'paper', 'release', 'text', 'odd'), cast(1 + {k} as int))").alias("kind"), text.alias("text"), heads.alias("headings"), F.expr("doc_id % 110").alias("expected_pages"), F.expr("doc_id % 110 - CASE WHEN doc_id % 35 = 0 THEN 1 ELSE 0 END").alias("pages"), F.expr("doc_id % 40 = 0").alias("encrypted"))
+    return D.gate_documents(d).select("doc_id", "reason", "eligible")
+
+
+def whole_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as drafts, their turns as items, each with a fault of its own by turns."""
+    c = table(spark, sf, "conversations")
+    body = F.expr("""concat(regexp_replace(text, '[0-9<`\\\\[⟦/]', ' '), CASE (conv_id + turn) % 8 WHEN 0 THEN ' 今日发布' WHEN 1 THEN ' [a](https://a.example/x?utm_source=y)' WHEN 2 THEN ' [b](https://b.example/)' WHEN 3 THEN ' ⟦001⟧' WHEN 4 THEN ' ![i](https://a.example/i.png)' WHEN 5 THEN ' <iframe src=x>' ELSE '' END)""")
+    items = c.select(F.col("conv_id").alias("draft_id"), F.col("turn").cast("int").alias("item"), F.lit("c").alias("card_id"), F.expr("CASE WHEN turn % 5 = 4 THEN NULL WHEN turn = 3 AND conv_id % 4 = 0 THEN 'e0' ELSE concat('e', turn) END").alias("event_id"),
+      F.expr("CASE turn % 4 WHEN 1 THEN concat(role, ' `x`') WHEN 2 THEN repeat('长', 121) ELSE role END").alias("heading"), body.alias("body"), F.expr("CASE WHEN turn % 6 = 5 THEN 'minor' ELSE 'lead' END").alias("importance"), F.expr("CASE WHEN turn % 2 = 0 THEN 'supplement' ELSE 'current' END").alias("temporal_status"))
+    drafts = c.select(F.col("conv_id").alias("draft_id")).distinct().select("draft_id", F.expr("CASE draft_id % 5 WHEN 0 THEN '' WHEN 1 THEN '2024年的新闻' WHEN 2 THEN repeat('题', 65) WHEN 3 THEN '第十二期' ELSE '模型' END").alias("title"), F.expr("CASE draft_id % 3 WHEN 0 THEN '导语' WHEN 1 THEN '导语有 12 项' END").alias("intro"))
+    return V.validate_whole_drafts(drafts, items, drafts.select("draft_id", F.lit("https://a.example/x").alias("url")))
+
+
 def review_triage(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as units, their translation cut in two ways."""
     c = table(spark, sf, "conversations")
