@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 def markdown_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -15,24 +16,78 @@ def markdown_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
     return lines.withColumn("in_code", (marks % 2 == 1) | fence)
 
 
+#: An item: its indent, its mark and its text. A picture: its label, address and title.
+ITEM = r"^(\s*)([-*+]|\d+[.)])\s+(.*)$"
+PICTURE = r"^\s*!\[([^\]]*)\]\(([^)\s]+)(?:\s+\"([^\"]*)\")?\)\s*$"
+
+
+def _in_display(line: Column, in_code: Column, w: WindowSpec) -> tuple[Column, Column]:
+    """Whether a line is of a display formula: from a line that begins with $$ to one that ends with $$.
+    A line sets the state (it opens and does not close), resets it (it closes), turns it ($$ alone) or
+    leaves it, so the state after a line is told by the last that sets or resets and the turns since."""
+    t = F.when(in_code, F.lit("")).otherwise(F.regexp_replace(line, r"^\s+|\s+$", ""))
+    opens, closes, alone = t.startswith("$$"), t.endswith("$$"), t == "$$"
+    fixed = F.when(alone, None).when(closes, 0).when(opens, 1)
+    turns = F.sum(F.when(alone, 1).otherwise(0)).over(w)
+    last = F.last(F.when(fixed.isNotNull(), F.struct(fixed.alias("s"), turns.alias("k"))), ignorenulls=True).over(w)
+    after = (F.coalesce(last["s"], F.lit(0)) + turns - F.coalesce(last["k"], F.lit(0))) % 2
+    return after, opens
+
+
 def markdown_blocks(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, ord, type, level, text: headings, lists, quotes, tables and code of Markdown; other lines
-    in a row are one paragraph."""
+    """id, ord, type, level, text, ordered, ordinal, delimiter, depth, src, caption: headings, lists,
+    quotes, tables, code, pictures and display formulas of Markdown; other lines in a row are one
+    paragraph. The text of an item is its whole line, its number, mark and depth (two blanks a step)
+    stand beside it; the text of a formula is without its marks."""
+    w = W.partitionBy(id_).orderBy("n")
+    rows = markdown_lines(docs, id_, text)
+    after, opens = _in_display(F.col("line"), F.col("in_code"), w)
+    rows = rows.withColumn("_after", after).withColumn("_opens", opens & ~F.col("in_code"))
+    before = F.coalesce(F.lag("_after").over(w), F.lit(0))
+    rows = rows.withColumn("_math", (before == 1) | F.col("_opens")).withColumn("_first", (before == 0) & F.col("_opens"))
     n = F.col("line")
     kind = (
-        F.when(F.col("in_code"), "code").when(n.rlike(r"^\s*$"), None).when(n.rlike(r"^#{1,6}\s"), "heading").when(n.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list_item")
-        .when(n.rlike(r"^\s*>"), "quote").when(n.rlike(r"^\s*\|.*\|\s*$"), "table").when(n.rlike(r"^\s*!\[[^\]]*\]\([^)]*\)\s*$"), "figure").otherwise("paragraph")
+        F.when(F.col("in_code"), "code").when(F.col("_math"), "equation").when(n.rlike(r"^\s*$"), None).when(n.rlike(r"^#{1,6}\s"), "heading").when(n.rlike(r"^\s*([-*+]|\d+[.)])\s"), "list_item")
+        .when(n.rlike(r"^\s*>"), "quote").when(n.rlike(r"^\s*\|.*\|\s*$"), "table").when(n.rlike(PICTURE), "figure").otherwise("paragraph")
     )
-    w = W.partitionBy(id_).orderBy("n")
-    rows = markdown_lines(docs, id_, text).withColumn("type", kind)
-    alone = F.col("type").isin("heading", "list_item", "figure")
+    rows = rows.withColumn("type", kind)
+    alone = F.col("type").isin("heading", "list_item", "figure") | F.col("_first")
     new = F.when(alone | F.lag("type").over(w).isNull() | (F.lag("type").over(w) != F.col("type")), 1).otherwise(0)
     rows = rows.withColumn("ord", F.sum(new).over(w)).filter("type is not null")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
     by = rows.groupBy(id_, "ord").agg(F.first("type").alias("type"), F.min("n").alias("n"), F.array_join(lines, "\n").alias("text"))
-    level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("text", "^(#+)", 1)))
-    bare = F.when(F.col("type") == "heading", F.trim(F.regexp_replace("text", "^#+", ""))).otherwise(F.col("text"))
-    return by.select(id_, F.row_number().over(W.partitionBy(id_).orderBy("n")).alias("ord"), "type", level.alias("level"), bare.alias("text"))
+    is_ = lambda t: F.col("type") == t
+    level = F.when(is_("heading"), F.length(F.regexp_extract("text", "^(#+)", 1)))
+    mark, number = F.regexp_extract("text", ITEM, 2), F.regexp_extract("text", r"^\s*(\d+)[.)]\s", 1)
+    ordered = F.when(is_("list_item"), number != "")
+    part = lambda i: F.nullif(F.regexp_extract("text", PICTURE, i), F.lit(""))
+    bare = F.when(is_("heading"), F.trim(F.regexp_replace("text", "^#+", ""))).when(is_("equation"), F.regexp_replace(F.regexp_replace("text", r"^\s*\$\$\s*", ""), r"\s*(?:\$\$)?\s*\z", "")).otherwise(F.col("text"))
+    return by.select(
+        id_, F.row_number().over(W.partitionBy(id_).orderBy("n")).alias("ord"), "type", level.alias("level"), bare.alias("text"), ordered.alias("ordered"), F.when(ordered, F.try_to_number(number, F.lit("9" * 18)).cast("long")).alias("ordinal"), F.when(ordered, F.right(mark, F.lit(1))).alias("delimiter"),
+        F.when(is_("list_item"), F.floor(F.length(F.regexp_extract("text", ITEM, 1)) / 2).cast("int")).alias("depth"), F.when(is_("figure"), part(2)).alias("src"), F.when(is_("figure"), F.coalesce(part(3), part(1))).alias("caption"),
+    ).filter((F.col("type") != "equation") | (F.col("text") != ""))
+
+
+def list_numbers(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """The items with list (which run of items they are of) and path: the numbers of the items around an
+    item and its own, counted under the one above from each list's first ordinal on. A block of another
+    type ends a list; an item that is less deep ends the deeper ones."""
+    w = W.partitionBy(doc).orderBy("ord")
+    b = blocks.withColumn("_run", F.sum(F.when(F.col("type") == "list_item", 0).otherwise(1)).over(w)).filter("type = 'list_item'")
+    b = b.withColumn("_d", F.least(F.coalesce("depth", F.lit(0)), F.lit(MOST_DEPTH)))
+    own = W.partitionBy(doc, "_run").orderBy("ord")
+    for n in range(MOST_DEPTH + 1):  # items of a depth since the last one that is less deep
+        b = b.withColumn(f"_a{n}", F.coalesce(F.max(F.when(F.col("_d") < n, F.col("ord"))).over(own), F.lit(-1)))
+        each = W.partitionBy(doc, "_run", f"_a{n}").orderBy("ord")
+        first = F.first(F.when((F.col("_d") == n) & F.coalesce("ordered", F.lit(False)), F.col("ordinal")), ignorenulls=True).over(each)
+        count = F.count_if(F.col("_d") == n).over(each)
+        b = b.withColumn(f"_n{n}", F.when((F.col("_d") >= n) & (count > 0), count + F.coalesce(first, F.lit(1)) - 1))
+    path = F.filter(F.array(*[F.col(f"_n{n}") for n in range(MOST_DEPTH + 1)]), lambda x: x.isNotNull())
+    return b.select(*blocks.columns, F.dense_rank().over(W.partitionBy(doc).orderBy("_run")).alias("list"), path.alias("path"))
+
+
+#: Depth from which on items count as equally deep.
+MOST_DEPTH = 5
 
 
 def number_visuals(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -157,6 +157,11 @@ SQL: dict[str, str] = {
       SELECT draft_id, item::INT AS item, unnest(list_filter([CASE WHEN e IS NULL OR item % 6 = 5 THEN 'evidence-or-field-missing' END, CASE WHEN item % 4 IN (1, 2) THEN 'heading-not-plain' END, CASE WHEN item % 2 = 0 AND k = 0 THEN 'supplement-as-today' END], lambda x: x IS NOT NULL)) AS rule FROM i
       UNION ALL SELECT draft_id, NULL, unnest(list_filter([CASE WHEN draft_id % 5 IN (0, 2) THEN 'title' END, CASE WHEN draft_id % 5 IN (1, 3) THEN 'title-dated' END, CASE WHEN draft_id % 3 = 2 OR n > 7 THEN 'items' END, CASE WHEN size < CASE WHEN n < 4 THEN n * 300 ELSE 3000 END THEN 'draft-too-short' END,
         CASE WHEN size > 5000 THEN 'draft-too-long' END, CASE WHEN twice > 0 THEN 'event-twice' END, CASE WHEN draft_id % 3 = 1 THEN 'intro-number' END, CASE WHEN img THEN 'image-in-body' END, CASE WHEN emb THEN 'embedded' END, CASE WHEN inn THEN 'inner-mark' END, CASE WHEN lnk THEN 'link-not-verified' END], lambda x: x IS NOT NULL)) FROM b""",
+    "list_paths": """WITH i AS (SELECT conv_id AS doc_id, turn + 1 AS n, turn % 3 AS d, CASE WHEN turn % 3 <> 1 THEN turn + 1 + conv_id % 3 END AS o, CASE WHEN turn > 3 THEN 2 ELSE 1 END AS list FROM conversations),
+      j AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) + list - 1 AS ord FROM i),
+      u AS (SELECT a.doc_id, a.n, k, coalesce((SELECT max(b.n) FROM j b WHERE b.doc_id = a.doc_id AND b.list = a.list AND b.n <= a.n AND b.d < k), -1) AS since FROM j a, (SELECT unnest([0, 1, 2]) AS k) WHERE k <= a.d),
+      p AS (SELECT u.doc_id, u.n, k, count(*) + coalesce(arg_min(c.o, c.n) FILTER (c.o IS NOT NULL), 1) - 1 AS v FROM u JOIN j a USING (doc_id, n) JOIN j c ON c.doc_id = u.doc_id AND c.list = a.list AND c.d = k AND c.n > since AND c.n <= u.n GROUP BY ALL)
+      SELECT doc_id, ord::INT AS ord, d::INT AS depth, o AS ordinal, CASE WHEN o IS NOT NULL THEN CASE WHEN n % 2 = 0 THEN ')' ELSE '.' END END AS delimiter, list, (SELECT string_agg(v::VARCHAR, '.' ORDER BY k) FROM p WHERE p.doc_id = j.doc_id AND p.n = j.n) AS path FROM j""",
     "review_triage": """WITH u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' 7' ELSE '' END AS s, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN text || '。' ELSE left(text, 10) || repeat('。', 60) END AS t FROM conversations),
       n AS (SELECT *, len(regexp_extract_all(s, '[.!?](?:\\s|$)|[。！？]')) AS ns, len(regexp_extract_all(t, '[.!?](?:\\s|$)|[。！？]')) AS nt FROM u),
       r AS (SELECT unit_id, CASE WHEN conv_id % 17 = 0 THEN 'repaired' WHEN conv_id % 13 = 0 THEN 'warnings' WHEN nt < ns THEN 'sentence-loss' WHEN length(s) > 200 AND length(t) < 0.15 * length(s) THEN 'too-short' WHEN turn = 1 THEN 'section'

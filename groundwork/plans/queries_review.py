@@ -486,6 +486,13 @@ def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", "ord", "type", "level", F.md5("text").alias("digest"))
 
 
+def list_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as nested lists of their turns, with a formula of several lines between two lists."""
+    line = F.expr("concat(repeat('  ', cast(turn % 3 as int)), CASE WHEN turn % 3 = 1 THEN '- ' ELSE concat(turn + 1 + conv_id % 3, CASE WHEN turn % 2 = 1 THEN ') ' ELSE '. ' END) END, 'turn of the ', role, CASE WHEN turn = 3 THEN '\\n$$\\nx + y\\n$$' ELSE '' END)")
+    text = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return S.list_numbers(S.markdown_blocks(text)).select("doc_id", "ord", "depth", "ordinal", "delimiter", "list", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
+
+
 def formulas(spark: SparkSession, sf: str) -> DataFrame:
     """Parts told with inline and display formulas, money, and a formula in code."""
     t = F.expr("concat('Let $x_', p_size, ' = ', p_partkey, '$ and $$y^{', p_size, '}$$ cost $5 and $6, not `$z_1$`.')")

@@ -66,7 +66,7 @@ MD = "# Title\nfirst line\nsecond line\n\n- one\n- two\n```\n# code $x_1$\n```\n
 def test_markdown_structure(spark):
     b = S.markdown_blocks(spark.createDataFrame([(1, MD)], "doc_id int, text string"))
     got = S.number_visuals(O.annotate_bibliography(b)).orderBy("ord").collect()
-    assert [r["type"] for r in got] == ["heading", "paragraph", "list_item", "list_item", "code", "quote", "table", "heading", "reference", "reference", "heading", "reference", "heading", "paragraph"]
+    assert [r["type"] for r in got] == ["heading", "paragraph", "list_item", "list_item", "code", "quote", "table", "heading", "reference", "reference", "heading", "reference", "heading", "paragraph", "equation"]
     assert [r["number"] for r in got if r["type"] == "reference"] == [1, 2, 1] and got[1]["text"] == "first line\nsecond line"
     cut = O.slice_sections(b, spark.createDataFrame([(1, "references", None)], "doc_id int, start string, end string")).orderBy("ord").collect()
     assert [r["text"] for r in cut] == ["References", "[1] A", "[2] B", "More", "x"]
