@@ -18,7 +18,7 @@ from groundwork.llm.queries import ORACLE_SQL, QUERIES
 from groundwork.llm.text import TERM, WORD
 from groundwork.sources.tables import table
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @pytest.fixture(scope="module")
