@@ -33,8 +33,8 @@ from groundwork.llm.text import whole
 
 @dataclass(frozen=True)
 class Pages:
-    pages: int = 600
-    epochs: int = 7
+    pages: int = 800
+    epochs: int = 8
     seed: int = 5
 
 
