@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.operators.latest import carried
+from groundwork.plans.lineage import checkpointed
 
 
 def quota_ledger(requests: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, units: str = "units") -> DataFrame:
@@ -128,19 +130,50 @@ def sketch_quantile(sketches: DataFrame, q: float) -> Column:
     return F.when(sketches["n"] > 0, F.kll_sketch_get_quantile_double(sketches["sketch"], F.lit(q)))
 
 
+def _beside(rows: DataFrame, told: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``rows`` with what is told of their keys; a null key is a key."""
+    other = told.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
+    return rows.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def quantile_ranks(events: DataFrame, told: DataFrame, keys: Sequence[str], duration: str = "duration_ms") -> DataFrame:
     """(keys, below, upto): the exact shares of durations below, and at most, the value told (keys,
     value); a told quantile q is off by max(0, below - q, q - upto)."""
-    d = events.filter(F.col(duration).isNotNull()).join(told.select(*keys, F.col("value").alias("_value")), list(keys))
+    d = _beside(events.filter(F.col(duration).isNotNull()), told.select(*keys, F.col("value").alias("_value")), keys, "inner")
     share = lambda c: F.avg(c.cast("int"))
     return d.groupBy(*keys).agg(share(F.col(duration) < F.col("_value")).alias("below"), share(F.col(duration) <= F.col("_value")).alias("upto"))
 
 
+def exact_quantile(events: DataFrame, keys: Sequence[str], q: float, duration: str = "duration_ms") -> DataFrame:
+    """(keys, value): the quantile q of the durations of each key, between its two neighbours in
+    proportion; keys without a duration have no row. The values of all keys, each once with its count,
+    are sorted over ranges and counted by range, so that a long key is spread over tasks; only ranges
+    that hold a neighbour are numbered. NaN is above all others."""
+    d = events.select(*keys, F.col(duration).cast("double").alias("_v")).filter("_v is not null")
+    each = d.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    each = checkpointed(each.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    key = W.partitionBy(*keys)
+    ends = each.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in")).withColumn("_at", (F.sum("_in").over(key) - 1) * F.lit(q))
+    ends = ends.withColumn("_before", F.sum("_in").over(key.orderBy("_part")) - F.col("_in"))
+    held = ends.filter((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_in") > F.floor("_at")))
+    near = _beside(each, held.drop("_in"), [*keys, "_part"], "inner")
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_part").orderBy("_v"))
+    first = lambda at: F.min(F.when(F.col("_upto") > at, F.col("_v")))
+    two = near.withColumn("_upto", upto).groupBy(*keys, "_at").agg(first(F.floor("_at")).alias("_a"), first(F.ceil("_at")).alias("_b"))
+    beyond = F.col("_at") - F.floor("_at")
+    between = F.col("_a") * (1 - beyond) + F.col("_b") * beyond
+    return two.select(*keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("value"))
+
+
 def stage_report(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """n, failures, retries, hit_rate and the 95th percentile of duration_ms of stages, the percentile by
-    a sketch: telemetry (outcome, attempt, retrying, cache_hit, duration_ms)."""
+    """n, failures, retries, hit_rate and the 95th percentile of duration_ms of stages, exact as p95 and
+    as a sketch of the numbers among them tells it: telemetry (outcome, attempt, retrying, cache_hit,
+    duration_ms)."""
+    number = F.nanvl(F.col("duration_ms").cast("double"), F.lit(None).cast("double"))
     by = events.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("outcome") != "ok").alias("failures"), F.count_if(F.col("retrying") | (F.col("attempt") > 1)).alias("retries"),
-        F.avg(F.col("cache_hit").cast("int")).alias("hit_rate"), F.count("duration_ms").alias("_n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), SKETCH).alias("_sketch"),
+        F.avg(F.col("cache_hit").cast("int")).alias("hit_rate"), F.count(number).alias("_n"), F.kll_sketch_agg_double(number, SKETCH).alias("_sketch"),
     )
-    return by.withColumn("p95", F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.95)))).drop("_n", "_sketch")
+    by = by.withColumn("p95_sketch", F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.95)))).drop("_n", "_sketch")
+    return _beside(by, exact_quantile(events, keys, 0.95).withColumnRenamed("value", "p95"), keys)

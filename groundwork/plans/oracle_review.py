@@ -92,7 +92,7 @@ SQL: dict[str, str] = {
       SELECT *, papers AND practice AS healthy FROM r""",
     "issue_states": """WITH d AS (SELECT unnest(generate_series(DATE '2024-01-07', DATE '2024-02-05', INTERVAL 1 DAY))::DATE AS d)
       SELECT d::VARCHAR AS issue_date, CASE WHEN d IN (SELECT ts::DATE FROM events WHERE event_type = 'purchase') THEN 'done' WHEN d >= DATE '2024-01-30' THEN 'catch-up' ELSE 'expired' END AS state FROM d""",
-    "stage_report": """SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'error' AND value > 5) AS failures, count(*) FILTER (value > 40 OR user_id % 3 > 1) AS retries, round(avg(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END), 6) AS hit_rate, true AS p95_close FROM events GROUP BY 1""",
+    "stage_report": """SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'error' AND value > 5) AS failures, count(*) FILTER (value > 40 OR user_id % 3 > 1) AS retries, round(avg(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(quantile_cont(value, 0.95), 6) AS p95, true AS p95_close FROM events GROUP BY 1""",
     "duration_quantiles": "SELECT event_type, q, count(*) AS n, true AS close FROM events, (SELECT unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS q) GROUP BY ALL",
     "notice_receipts": """WITH o AS (SELECT o_orderkey, (1700000000 + o_orderkey * 37 % 400000) * 1000 AS s FROM orders), m AS (SELECT l_orderkey, l_orderkey || '.' || l_linenumber AS ts, (1700000000 + l_orderkey * 37 % 400000) * 1000 - 120000 + l_partkey % 9 * 90000 AS sent
         FROM lineitem WHERE l_suppkey % 7 <> 0 AND l_linenumber NOT IN (3, 4)),

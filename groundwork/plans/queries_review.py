@@ -18,6 +18,7 @@ from groundwork.operators import pages as P
 from groundwork.operators import review as R
 from groundwork.operators import structure as S
 from groundwork.operators import terms as T
+from groundwork.plans.lineage import checkpointed
 from groundwork.sources.tables import table
 
 
@@ -204,17 +205,18 @@ def issue_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _telemetry(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.expr("CASE WHEN event_type = 'error' AND value > 5 THEN 'failed' ELSE 'ok' END").alias("outcome"), F.expr("cast(user_id % 3 as double)").alias("attempt"), (F.col("value") > 40).alias("retrying"), F.expr("user_id % 2 = 0").alias("cache_hit"), F.col("value").alias("duration_ms"))
+    return table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.expr("CASE WHEN event_type = 'error' AND value > 5 THEN 'failed' ELSE 'ok' END").alias("outcome"), F.expr("cast(user_id % 3 as double)").alias("attempt"), (F.col("value") > 40).alias("retrying"), F.expr("coalesce(user_id % 2 = 0, false)").alias("cache_hit"), F.col("value").alias("duration_ms"))
 
 
 def stage_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Figures of stages; the sketched percentile is held against its exact rank, which two percent of
-    the rows at most may part from 0.95."""
+    """Figures of stages with the exact percentile; the sketched one is held against its exact rank,
+    which two percent of the rows at most may part from 0.95."""
     e = _telemetry(spark, sf)
-    made = G.stage_report(e, ["event_type"])
-    ranks = G.quantile_ranks(e, made.select("event_type", F.col("p95").alias("value")), ["event_type"])
-    close = (F.col("below") <= 0.97) & (F.col("upto") >= 0.93)
-    return made.drop("p95").join(ranks, "event_type").withColumn("hit_rate", F.round("hit_rate", 6)).withColumn("p95_close", close).drop("below", "upto")
+    made = checkpointed(G.stage_report(e, ["event_type"]))
+    ranks = G.quantile_ranks(e.filter(~F.isnan("duration_ms")), F.broadcast(made.select("event_type", F.col("p95_sketch").alias("value"))), ["event_type"])
+    close = F.col("p95_sketch").isNull() | (F.col("below") <= 0.97) & (F.col("upto") >= 0.93)
+    held = made.join(ranks.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")), "left")
+    return held.select("event_type", "n", "failures", "retries", F.round("hit_rate", 6).alias("hit_rate"), F.round("p95", 6).alias("p95"), close.alias("p95_close"))
 
 
 def duration_quantiles(spark: SparkSession, sf: str) -> DataFrame:
