@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.functions.columns import collapsed, numeric_tokens
+from groundwork.plans.lineage import checkpointed
 
 
 def _run(hashes: str, at: Column | int, k: int) -> Column:
@@ -95,11 +97,48 @@ def ungrounded_numbers(claims: DataFrame, sources: DataFrame, keys: Sequence[str
     return tokens(claims).join(tokens(sources), [*keys, "token"], "left_anti")
 
 
-def numeric_gap_candidates(missing: DataFrame, excerpts: DataFrame, top: int = 2) -> DataFrame:
-    """For the missing tokens of each sentence (sent_id, token) the best excerpts (excerpt_id,
-    quote): more covered numbers, then shorter, then the smaller id."""
-    held = excerpts.select("excerpt_id", F.length("quote").alias("size"), F.explode(F.array_distinct(numeric_tokens(F.col("quote")))).alias("token"))
-    by = missing.join(held, "token").groupBy("sent_id", "excerpt_id").agg(F.countDistinct("token").alias("covered"), F.first("size").alias("size"))
+def _token_keys(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (tokens, sorted and distinct) for each token a, with b empty, and for each pair a < b of
+    those with ``most`` tokens or fewer."""
+    each = rows.select("*", F.posexplode("tokens").alias("_at", "a"))
+    after = F.when(F.size("tokens") <= most, F.slice("tokens", F.col("_at") + 2, F.size("tokens"))).otherwise(F.array().cast("array<string>"))
+    return each.select("*", F.explode(F.concat(F.array(F.lit("")), after)).alias("b")).drop("_at")
+
+
+def _best_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], top: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= top).drop("_n")
+
+
+def _gap_index(excerpts: DataFrame, top: int, most: int) -> DataFrame:
+    """(kind, a, b, excerpt_id, size): what sentences look up. Of excerpts with the same numbers the
+    first ``top`` by size and id are as good as all. Kind 0: of the excerpts with a number, the first
+    ``top`` and those of more than ``most`` numbers; 1: the others with a pair; 2: all with a number."""
+    held = excerpts.select("excerpt_id", F.length("quote").alias("size"), F.explode(numeric_tokens(F.col("quote"))).alias("token"))
+    sets = held.groupBy("excerpt_id").agg(F.min("size").alias("size"), F.array_sort(F.collect_set("token")).alias("tokens"))
+    keyed = _token_keys(_best_by(sets, ["tokens"], ["size", "excerpt_id"], top), most)
+    single, long_ = F.col("b") == "", F.size("tokens") > most
+    parts = (keyed.filter(single & long_), 0), (_best_by(keyed.filter(single & ~long_), ["a"], ["size", "excerpt_id"], top), 0), (keyed.filter(~single), 1), (keyed.filter(single), 2)
+    return functools.reduce(DataFrame.unionByName, [d.select(F.lit(kind).alias("kind"), "a", "b", "excerpt_id", "size") for d, kind in parts])
+
+
+def numeric_gap_candidates(missing: DataFrame, excerpts: DataFrame, top: int = 2, most: int = 24, broadcast_rows: int = 300_000) -> DataFrame:
+    """For the missing tokens of each sentence (sent_id, token) the best excerpts (excerpt_id, of one
+    excerpt, and quote): more covered numbers, then shorter, then the smaller id.
+
+    An excerpt that covers one number of a sentence can be among its best only if it is among the best
+    of that number; one that covers c has c * (c - 1) / 2 of its pairs. So sentences look up the best
+    excerpts of their numbers and all of their pairs, and not every excerpt of each number. Sentences
+    and excerpts of more than ``most`` numbers meet by single numbers. An index of up to ``broadcast_rows`` rows
+    goes to all executors.
+    """
+    index = checkpointed(_gap_index(excerpts, top, most))
+    index = F.broadcast(index) if index.count() <= broadcast_rows else index
+    sentences = missing.groupBy("sent_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    kind = F.when(F.size("tokens") > most, 2).when(F.col("b") == "", 0).otherwise(1)
+    met = _token_keys(sentences, most).select("sent_id", kind.alias("kind"), "a", "b").join(index, ["kind", "a", "b"])
+    by = met.groupBy("sent_id", "excerpt_id").agg(F.min("size").alias("size"), F.count_if(F.col("kind") != 1).alias("ones"), F.count_if(F.col("kind") == 1).alias("pairs"))
+    covered = F.greatest("ones", F.round((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("long"))
+    by = by.select("sent_id", "excerpt_id", "size", covered.alias("covered"))
     rank = F.row_number().over(W.partitionBy("sent_id").orderBy(F.col("covered").desc(), "size", "excerpt_id"))
     return by.withColumn("rank", rank).filter(F.col("rank") <= top).select("sent_id", "rank", "excerpt_id", "covered")
 
